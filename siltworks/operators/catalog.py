@@ -300,7 +300,21 @@ def validation_score(configs: DataFrame, key: str) -> DataFrame:
     flow = F.when(F.col("flow") == F.col("raw_flow"), 1.0).when(_filled(F.col("flow")).isNotNull(), 0.7).otherwise(0.4)
     parts = {"source_score": source, "destination_score": target, "rules_score": rules, "flow_score": flow}
     scored = configs.select(key, *[c.alias(n) for n, c in parts.items()])
-    return scored.withColumn("accuracy_score", F.format_number(sum(F.col(n) for n in parts) / 4, "0.00"))
+    total = F.col("source_score") + F.col("destination_score") + F.col("rules_score") + F.col("flow_score")
+    return scored.withColumn("accuracy_score", two_places(total / 4))
+
+
+def two_places(x: Column) -> Column:
+    """A score in [0, 1] as text with two places, rounded by the exact value of the double (half to even).
+
+    Means of these scores often lie at a half in decimal, where Spark's own formats round the printed digits."""
+    unit = 1 << 53
+    n = (x * F.lit(float(unit))).cast("bigint") * 100  # exact: below 2^53 * 100
+    r = n % F.lit(unit)
+    q = F.shiftright(n, 53)
+    up = (r > unit // 2) | ((r == unit // 2) & (q % 2 == 1))
+    hundredths = q + up.cast("bigint")
+    return F.format_string("%d.%02d", F.floor(hundredths / 100), hundredths % 100)
 
 
 def missing_fields(configs: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:

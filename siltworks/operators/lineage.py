@@ -381,3 +381,15 @@ def graph_signature(nodes: DataFrame, edges: DataFrame, key: str, flow: DataFram
 def first_of_structure(signatures: DataFrame, key: str) -> DataFrame:
     """One definition per structure, the first by key."""
     return first_per_key(signatures, ["signature"], [F.asc(key)])
+
+
+def best_definition(candidates: DataFrame, by: Sequence[str], path: str, steps: str, order: str) -> DataFrame:
+    """The best candidate file per group: by the words in its path and its number of steps, then by `order`."""
+    p = F.lower(path)
+    score = (
+        F.when(p.contains("pipeline-content"), 5).otherwise(0)
+        + F.when(p.contains("pipeline"), 2).otherwise(0)
+        - F.when(p.contains("manifest") | p.contains("metadata"), 3).otherwise(0)
+        + F.col(steps)
+    )
+    return first_per_key(candidates.withColumn("score", score), list(by), [F.desc("score"), F.asc(order)])
