@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from siltworks.functions import labels as L
 from siltworks.functions.text import contains_any, find_all, first_match
+from siltworks.operators.literals import literal_table
 
 Catalog = Sequence[tuple[str, Sequence[str]]]
 
@@ -119,7 +120,7 @@ def support_matrix(detected: DataFrame, label: str, by: Sequence[str] = ()) -> D
     spark = detected.sparkSession
     known = dict.fromkeys([n for n, _ in L.SOURCES] + list(L.EXTRACTABLE_SOURCES))
     rows = [(n, "supported" if n in L.EXTRACTABLE_SOURCES else "detected_only") for n in known]
-    catalog = spark.createDataFrame(rows, "name string, support_level string")
+    catalog = literal_table(spark, rows, "name string, support_level string")
     counts = detected.groupBy(F.col(label).alias("name")).agg(F.count(F.lit(1)).alias("n"))
     return catalog.join(counts, "name", "left").select(
         "name", "support_level", F.col("n").isNotNull().alias("detected"), F.coalesce("n", F.lit(0)).alias("n")

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from siltworks.functions.casts import coerce
 from siltworks.functions.rules import Rule, row_mask
+from siltworks.operators.literals import literal_table
 from siltworks.operators.keyed import first_n_per_key, mark_orphans, mark_repeated
 
 HITS = "_dq_hits"
@@ -124,8 +125,8 @@ def details(flagged: DataFrame, rules: Sequence[Rule], samples: int = 5) -> Data
         .select(*keys, F.transform("s", lambda x: x["sample"]).alias("samples"))
     )
     spark = flagged.sparkSession
-    names = spark.createDataFrame(
-        [(i, r.column, r.expected_type) for i, r in enumerate(rules)], "rule_id int, column string, expected string"
+    names = literal_table(
+        spark, [(i, r.column, r.expected_type) for i, r in enumerate(rules)], "rule_id int, column string, expected string"
     )
     # counts, picked and names have one row per rule: the rule list bounds all three
     return (

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siltworks.functions.casts import EXPECTED_TYPES
 from siltworks.functions.rules import SEVERITIES, known_rules
+from siltworks.operators.literals import literal_table
 
 
 def replace_rules(dq_rules: DataFrame, submitted: DataFrame, now: Column) -> DataFrame:
@@ -79,7 +80,8 @@ def seed_rules(profile: DataFrame, dq_rules: DataFrame, active: bool = True) ->
 
 def suggest_not_null(df: DataFrame, dataset_id: str) -> DataFrame:
     """The static suggestion when nothing better is known: NOT_NULL/ERROR/STRING for every column."""
-    return df.sparkSession.createDataFrame(
+    return literal_table(
+        df.sparkSession,
         [(dataset_id, c, "STRING", "NOT_NULL", None, "ERROR") for c in df.columns],
         "dataset_id string, column_name string, expected_data_type string, dq_rule string, rule_value string, severity string",
     )

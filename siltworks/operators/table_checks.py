@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltworks.operators.keyed import key_counts
+from siltworks.operators.literals import literal_table
 
 
 @dataclass(frozen=True)
@@ -97,7 +98,8 @@ def run_checks(df: DataFrame, checks: Sequence[Check], parents: dict[str, DataFr
             parts.append(([c], df.sparkSession.range(1).select(F.lit(0).alias("i"), F.lit(float(off)).alias("observed"))))
     out = []
     for group, values in parts:
-        limits = df.sparkSession.createDataFrame(
+        limits = literal_table(
+            df.sparkSession,
             [(i, c.name, c.kind, _f(c.low), _f(c.high)) for i, c in enumerate(group)],
             "i int, check_name string, kind string, low double, high double",
         )

@@ -1,24 +1,27 @@
 """The layered run of one dataset: raw -> bronze -> checked -> silver, rejected and gold.
 
 Every layer is a directory per batch that the batch overwrites, so a run repeated after a failure leaves the same
-files.  Silver is versioned: a run writes a new snapshot and then appends one row to the version table, so nothing is
-overwritten while it is being read and a reader never sees half a merge.
+files.  Silver is versioned: a run writes a new snapshot and then one row of the version table, so nothing is
+overwritten while it is being read and a reader never sees half a merge.  Control rows (versions, history, reports)
+are one small directory per run and dataset, overwritten by a repeated run.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltworks.functions.rules import Rule
 from siltworks.operators import dq
+from siltworks.operators.literals import literal_table
 from siltworks.operators.standardize import standardize
-from siltworks.operators.upsert import upsert
-from siltworks.plans.schemas import RUN_HISTORY
+from siltworks.operators.upsert import newer_than, upsert
+from siltworks.plans.schemas import DQ_DETAILS, RUN_HISTORY, VERSIONS, WATERMARKS
 
 
 @dataclass(frozen=True)
@@ -88,25 +91,28 @@ class LayerStore:
         return f"{self.root}/{layer}/{dataset.client}/{dataset.name}/batch={batch_id}"
 
     def _table(self, name: str, schema: str) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.root}/Control/{name}")
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return self.spark.createDataFrame([], schema)
+        path = f"{self.root}/Control/{name}"
+        literal_table(self.spark, [], schema).write.mode("ignore").parquet(f"{path}/empty")
+        return self.spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path)
 
     def versions(self) -> DataFrame:
-        return self._table("silver_versions", "dataset_id string, version bigint, batch_id string, path string")
+        return self._table("silver_versions", VERSIONS)
 
     def run_history(self) -> DataFrame:
         return self._table("run_history", RUN_HISTORY)
 
     def dq_details(self) -> DataFrame:
-        return self._table(
-            "dq_details",
-            "run_id string, dataset_id string, bucket string, rule_id int, column string, rule string, "
-            "expected string, count bigint, samples array<string>",
-        )
+        return self._table("dq_details", DQ_DETAILS)
+
+    def watermark(self, dataset: Dataset) -> str | None:
+        """The highest watermark of the dataset's earlier runs, as text."""
+        rows = self._table("watermarks", WATERMARKS).where(F.col("dataset_id") == dataset.dataset_id)
+        return rows.agg(F.max("watermark")).first()[0]
+
+    def record(self, name: str, dataset: Dataset, batch_id: str, rows: DataFrame) -> None:
+        """Control rows of one run; the same run again overwrites them."""
+        run = re.sub(r"[^A-Za-z0-9._-]+", "_", f"{dataset.dataset_id}.{batch_id}")
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/Control/{name}/{run}")
 
     def current_version(self, dataset: Dataset, before_batch: str | None = None):
         """(version, path) of the current snapshot; a repeated batch looks at the one before its own."""
@@ -116,12 +122,18 @@ class LayerStore:
         top = rows.agg(F.max(F.struct("version", "path")).alias("top")).first()["top"]
         return (top["version"], top["path"]) if top else (0, None)
 
+    def read_snapshot(self, path: str, dataset: Dataset, like: DataFrame | None = None) -> DataFrame:
+        """A silver snapshot; a partition column has its own type, not the one guessed from directory names."""
+        df = self.spark.read.parquet(path)
+        part = dataset.partition_column
+        if like is None or part not in like.columns or part not in df.columns:
+            return df
+        fields = [f if f.name != part else like.schema[part] for f in df.schema.fields]
+        return self.spark.read.schema(T.StructType(fields)).parquet(path)
+
     def silver(self, dataset: Dataset) -> DataFrame | None:
         _, path = self.current_version(dataset)
-        return self.spark.read.parquet(path) if path else None
-
-    def append(self, name: str, rows: DataFrame) -> None:
-        rows.coalesce(1).write.mode("append").parquet(f"{self.root}/Control/{name}")
+        return self.read_snapshot(path, dataset) if path else None
 
 
 def write_counted(df: DataFrame, path: str, *metrics, partition_by: Sequence[str] = ()) -> dict:
@@ -144,8 +156,12 @@ def run_dataset(
     ingest_ts: str,
     parents: Mapping[str, DataFrame] | None = None,
     gold_from: str = "batch",
+    newer_only: bool = False,
 ) -> dict:
-    """Run all layers, write them and append the run's metrics to the run history; returns the metrics."""
+    """Run all layers, write them and record the run's metrics in the run history; returns the metrics.
+
+    With `newer_only`, rows up to the highest watermark of earlier runs are left out.
+    """
     spark = store.spark
     paths = {layer: store.batch_path(layer, dataset, batch_id) for layer in ("Bronze", "Checked", "Silver", "Rejected", "Gold")}
     m = {
@@ -154,7 +170,12 @@ def run_dataset(
         "silver_rows": 0, "gold_rows": 0, "gold_status": "PENDING",
     }
     bronze = standardize(frames, batch_id, ingest_ts)
-    m["raw_rows"] = m["bronze_rows"] = write_counted(bronze, paths["Bronze"])["rows"]
+    wm = dataset.watermark_column
+    has_wm = wm in bronze.columns
+    if newer_only and has_wm:
+        bronze = newer_than(bronze, wm, store.watermark(dataset))
+    landed = write_counted(bronze, paths["Bronze"], *([F.max(wm).cast("string").alias("wm")] if has_wm else []))
+    m["raw_rows"] = m["bronze_rows"] = landed["rows"]
     # the rules run once; silver, rejected, gold and the report read this table
     flagged = dq.flag(spark.read.schema(bronze.schema).parquet(paths["Bronze"]), rules, parents)
     warned = F.size(F.filter(dq.HITS, lambda h: ~h["rejects"]))
@@ -167,27 +188,26 @@ def run_dataset(
     report = dq.details(checked, rules).persist()
     bucket = F.col("bucket") == "violations"
     m["dq_violations"] = report.where(bucket).agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
-    store.append("dq_details", report.select(F.lit(batch_id).alias("run_id"), F.lit(dataset.dataset_id).alias("dataset_id"), "*"))
+    named = report.select(F.lit(batch_id).alias("run_id"), F.lit(dataset.dataset_id).alias("dataset_id"), "*")
+    store.record("dq_details", dataset, batch_id, named)
     report.unpersist()
     valid = dq.valid_rows(checked)
     has_valid = counts["rows"] > failed
     if has_valid:
         version, current = store.current_version(dataset, before_batch=batch_id)
-        existing = spark.read.parquet(current) if current and dataset.incremental else None
+        existing = store.read_snapshot(current, dataset, valid) if current and dataset.incremental else None
         silver = merge_silver(valid, dataset, existing)
         by = [dataset.partition_column] if dataset.partition_column in silver.columns else []
         m["silver_rows"] = write_counted(silver, paths["Silver"], partition_by=by)["rows"]
         m["silver_path"] = paths["Silver"]
-        store.append("silver_versions", spark.createDataFrame(
-            [(dataset.dataset_id, version + 1, batch_id, paths["Silver"])],
-            "dataset_id string, version bigint, batch_id string, path string",
-        ))
+        row = (dataset.dataset_id, version + 1, batch_id, paths["Silver"])
+        store.record("silver_versions", dataset, batch_id, literal_table(spark, [row], VERSIONS))
     if failed:
         write_counted(dq.rejected_rows(checked), paths["Rejected"])
         m["rejected_path"] = paths["Rejected"]
     if has_valid:
         try:
-            gold = spark.read.parquet(paths["Silver"]) if gold_from == "silver" else valid
+            gold = store.read_snapshot(paths["Silver"], dataset, valid) if gold_from == "silver" else valid
             m["gold_rows"] = write_counted(gold, paths["Gold"])["rows"]
             m["gold_status"], m["gold_path"] = "PASSED", paths["Gold"]
         except Exception as e:  # a failed publish is a status of the run, not its end
@@ -195,6 +215,8 @@ def run_dataset(
     else:
         m["gold_status"], m["reason"] = "SKIPPED", "no clean rows"
     _record(store, dataset, batch_id, ingest_ts, m)
+    if has_wm and landed["wm"] is not None:
+        store.record("watermarks", dataset, batch_id, literal_table(spark, [(dataset.dataset_id, batch_id, landed["wm"])], WATERMARKS))
     return m
 
 
@@ -206,8 +228,8 @@ def record_failure(store: LayerStore, dataset: Dataset, batch_id: str, ingest_ts
 
 def _record(store: LayerStore, dataset: Dataset, batch_id: str, ingest_ts: str, m: dict) -> None:
     row = {**m, "run_id": batch_id, "batch_id": batch_id, "client_name": dataset.client, "started": ingest_ts, "finished": None}
-    schema = store.spark.createDataFrame([], RUN_HISTORY).schema
-    store.append("run_history", store.spark.createDataFrame([tuple(row.get(f.name) for f in schema.fields)], schema))
+    names = T.StructType.fromDDL(RUN_HISTORY).names
+    store.record("run_history", dataset, batch_id, literal_table(store.spark, [tuple(row.get(n) for n in names)], RUN_HISTORY))
 
 
 def run_batch(store: LayerStore, jobs: Sequence[dict], batch_id: str, ingest_ts: str) -> list[dict]:

@@ -34,6 +34,13 @@ RUN_RESULT = (
 )
 RUN_HISTORY = f"run_id string, batch_id string, client_name string, started string, finished string, {RUN_RESULT}"
 
+VERSIONS = "dataset_id string, version bigint, batch_id string, path string"
+WATERMARKS = "dataset_id string, batch_id string, watermark string"
+DQ_DETAILS = (
+    "run_id string, dataset_id string, bucket string, rule_id int, column string, rule string, expected string, "
+    "count bigint, samples array<string>"
+)
+
 REPORT_COLUMNS = (
     "status", "dataset", "dataset_id", "raw_rows", "bronze_rows", "silver_rows", "gold_rows", "gold_status",
     "bronze_path", "silver_paths", "gold_paths", "rejected_paths", "dq_violations", "dq_warnings", "reason",
