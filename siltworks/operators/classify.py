@@ -32,10 +32,6 @@ def hits(text: Column, catalog: Catalog, ignore_case: bool = False) -> Column:
     return F.filter(F.array(*found), lambda h: h["pattern"].isNotNull())
 
 
-def names(hit_array: Column) -> Column:
-    return F.transform(hit_array, lambda h: h["label"])
-
-
 def combinations(found: Column) -> Column:
     """Combination labels whose required labels are all there."""
     return F.array_compact(F.array(*[
@@ -44,17 +40,31 @@ def combinations(found: Column) -> Column:
     ]))
 
 
-def frameworks(text: Column) -> Column:
-    found = names(hits(F.lower(text), L.FRAMEWORKS))
-    return F.concat(found, combinations(found))
+def found_labels(text: Column, catalog: Catalog, ignore_case: bool = False) -> Column:
+    """array<string> of the labels of which any pattern occurs; a label's later patterns are tried only as needed."""
+    flag = "(?i)" if ignore_case else ""
+
+    def occurs(patterns: Sequence[str]) -> Column:
+        out = text.rlike(flag + patterns[0])
+        for p in patterns[1:]:
+            out = out | text.rlike(flag + p)
+        return out
+
+    return F.array_compact(F.array(*[F.when(occurs(patterns), F.lit(name)) for name, patterns in catalog]))
+
+
+def with_frameworks(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Add the framework labels of a text column, and the combination labels they make up."""
+    # two steps, so that the labels are found once and not again for each combination
+    return df.withColumn(out, found_labels(F.lower(text), L.FRAMEWORKS)).withColumn(out, F.concat(out, combinations(F.col(out))))
 
 
 def sources(text: Column) -> Column:
-    return names(hits(F.lower(text), L.SOURCES))
+    return found_labels(F.lower(text), L.SOURCES)
 
 
 def ingestion(text: Column) -> Column:
-    return names(hits(F.lower(text), L.INGESTION, ignore_case=True))
+    return found_labels(F.lower(text), L.INGESTION, ignore_case=True)
 
 
 def suite_label(text: Column) -> Column:
@@ -84,8 +94,8 @@ def checks(text: Column) -> Column:
     return F.concat(
         suite,
         expectation_labels(expectation_types(text)),
-        names(hits(low, L.SQL_CHECKS, ignore_case=True)),
-        names(hits(low, L.CHECK_TOOLS, ignore_case=True)),
+        found_labels(low, L.SQL_CHECKS, ignore_case=True),
+        found_labels(low, L.CHECK_TOOLS, ignore_case=True),
     )
 
 

@@ -70,7 +70,7 @@ _COMBO_SQL = ", ".join(
       case when array_to_string(fw, '|') = '' then 0.0 else 0.95 end as confidence from f""",
 )
 def labels_frameworks(spark, sf):
-    d = definitions(spark, sf).select("doc_id", cl.frameworks(F.col("body")).alias("f"))
+    d = cl.with_frameworks(definitions(spark, sf), "body", "f")
     return d.select("doc_id", _joined("f").alias("frameworks"), cl.confidence(F.col("f"), "frameworks").alias("confidence"))
 
 
