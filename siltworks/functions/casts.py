@@ -80,8 +80,8 @@ def coerce(c: Column, source: T.DataType, expected: str) -> tuple[Column, T.Data
 
 
 def as_number(c: Column, source: T.DataType) -> Column:
-    """The numeric reading a bound check uses, whatever type the column has by then."""
-    return to_float(c, source)
+    """The numeric reading a bound check uses, whatever type the column was cast to (a cast leaves no NaN)."""
+    return c if isinstance(source, T.DoubleType) else to_float(c, source)
 
 
 def finite_or_null(c: Column) -> Column:

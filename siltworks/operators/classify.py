@@ -1,12 +1,14 @@
 """Multi-label classification of texts and definitions by ordered catalogs.
 
-A catalog becomes one projection: every label is one boolean expression, so a table of texts is scanned once,
-without a join and without a shuffle, however long the texts are.
+A catalog becomes one projection: every label is one boolean expression, so a table of texts is scanned once and
+without a join, however long the texts are.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,20 +20,51 @@ from siltworks.operators.literals import literal_table
 Catalog = Sequence[tuple[str, Sequence[str]]]
 
 
-def hits(text: Column, catalog: Catalog, ignore_case: bool = False) -> Column:
-    """array<struct<label, pattern>>: each label whose pattern occurs, with the first pattern that does."""
-    flag = "(?i)" if ignore_case else ""
+def required_text(pattern: str) -> str:
+    """The longest literal that every match of a pattern contains, empty if none is certain.
+
+    A plain substring search is far cheaper than a pattern, and most texts contain few of the words."""
+    # classes, groups and escapes end a run of literal characters; an optional character is no part of it
+    plain = re.sub(r"\\b", "\0", pattern)
+    plain = re.sub(r"\[[^\]]*\][*+?]?|\([^)]*\)[*+?]?|\\[dswDSW][*+?]?|\.[*+?]*|.[*?]", "\0", re.sub(r"\\([^\w\s])", "\0", plain))
+    return "" if "|" in plain else max(re.split(r"[^\w/: -]", plain), key=len)
+
+
+def _occurs(low: Column, pattern: str) -> Column:
+    # texts are lower-cased, so a pattern tried without regard to case is one in lower case
+    need = required_text(pattern)
+    return low.contains(need) & low.rlike(pattern) if need else low.rlike(pattern)
+
+
+def _patterns(patterns: Sequence[str], ignore_case: bool) -> list[str]:
+    return [p.lower() if ignore_case else p for p in patterns]
+
+
+def hits(low: Column, catalog: Catalog, ignore_case: bool = False) -> Column:
+    """array<struct<label, pattern>>: each label whose pattern occurs, with the first pattern that does.
+
+    `low` is the text in lower case."""
 
     def first_pattern(patterns: Sequence[str]) -> Column:
-        out = F.when(text.rlike(flag + patterns[0]), F.lit(patterns[0]))
-        for p in patterns[1:]:
-            out = out.when(text.rlike(flag + p), F.lit(p))
+        out = None
+        for p in patterns:
+            cond = _occurs(low, p.lower() if ignore_case else p)
+            out = F.when(cond, F.lit(p)) if out is None else out.when(cond, F.lit(p))
         return out
 
     found = [F.struct(F.lit(name).alias("label"), first_pattern(patterns).alias("pattern")) for name, patterns in catalog]
     return F.filter(F.array(*found), lambda h: h["pattern"].isNotNull())
 
 
+def found_labels(low: Column, catalog: Catalog, ignore_case: bool = False) -> Column:
+    """array<string> of the labels of which any pattern occurs in `low`, the text in lower case."""
+
+    def any_of(patterns: Sequence[str]) -> Column:
+        return reduce(lambda a, b: a | b, [_occurs(low, p) for p in _patterns(patterns, ignore_case)])
+
+    return F.array_compact(F.array(*[F.when(any_of(patterns), F.lit(name)) for name, patterns in catalog]))
+
+
 def combinations(found: Column) -> Column:
     """Combination labels whose required labels are all there."""
     return F.array_compact(F.array(*[
@@ -40,41 +73,40 @@ def combinations(found: Column) -> Column:
     ]))
 
 
-def found_labels(text: Column, catalog: Catalog, ignore_case: bool = False) -> Column:
-    """array<string> of the labels of which any pattern occurs; a label's later patterns are tried only as needed."""
-    flag = "(?i)" if ignore_case else ""
-
-    def occurs(patterns: Sequence[str]) -> Column:
-        out = text.rlike(flag + patterns[0])
-        for p in patterns[1:]:
-            out = out | text.rlike(flag + p)
-        return out
-
-    return F.array_compact(F.array(*[F.when(occurs(patterns), F.lit(name)) for name, patterns in catalog]))
-
-
-def with_frameworks(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Add the framework labels of a text column, and the combination labels they make up."""
-    # two steps, so that the labels are found once and not again for each combination
-    return df.withColumn(out, found_labels(F.lower(text), L.FRAMEWORKS)).withColumn(out, F.concat(out, combinations(F.col(out))))
+def with_labels(df: DataFrame, text: str, kinds: Sequence[str]) -> DataFrame:
+    """Add one array of labels per kind: frameworks (with combinations), sources, ingestion, checks.
 
+    All kinds share one scan and one lower-cased copy of the text.
+    """
+    low = F.col("_low")
+    build = {
+        "frameworks": lambda: found_labels(low, L.FRAMEWORKS),
+        "sources": lambda: found_labels(low, L.SOURCES),
+        "ingestion": lambda: found_labels(low, L.INGESTION, ignore_case=True),
+        "checks": lambda: checks(F.col(text), low),
+    }
+    out = spread(df).withColumn("_low", F.lower(text)).withColumns({k: build[k]() for k in kinds}).drop("_low")
+    if "frameworks" in kinds:
+        # a second step, so that the labels are found once and not again for each combination
+        out = out.withColumn("frameworks", F.concat("frameworks", combinations(F.col("frameworks"))))
+    return out
 
-def sources(text: Column) -> Column:
-    return found_labels(F.lower(text), L.SOURCES)
 
+def spread(df: DataFrame) -> DataFrame:
+    """Split a scan that has fewer tasks than there are cores, for work that costs more than moving the rows.
 
-def ingestion(text: Column) -> Column:
-    return found_labels(F.lower(text), L.INGESTION, ignore_case=True)
+    A large table is scanned by many tasks as it is and is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def suite_label(text: Column) -> Column:
+def suite_label(low: Column) -> Column:
     """The suite label of the first suite pattern that hits, with the suite's name where the pattern gives one."""
-    low = F.lower(text)
     out = None
     for p in L.SUITE_PATTERNS:
-        label = F.concat(F.lit("Great Expectations Suite: "), F.regexp_extract(low, p, 1)) if "(" in p.replace(r"\(", "") else F.lit("Great Expectations")
-        cond = low.rlike(p)
-        out = F.when(cond, label) if out is None else out.when(cond, label)
+        named = "([^" in p
+        label = F.concat(F.lit("Great Expectations Suite: "), F.regexp_extract(low, p, 1)) if named else F.lit("Great Expectations")
+        out = F.when(_occurs(low, p), label) if out is None else out.when(_occurs(low, p), label)
     return out
 
 
@@ -87,12 +119,10 @@ def expectation_labels(types: Column) -> Column:
     return F.transform(types, lambda t: F.coalesce(F.element_at(known, t), F.concat(F.lit("GE: "), t)))
 
 
-def checks(text: Column) -> Column:
+def checks(text: Column, low: Column) -> Column:
     """Data-quality tools and checks a text mentions: suite, expectations, SQL checks, tools."""
-    low = F.lower(text)
-    suite = F.array_compact(F.array(suite_label(text)))
     return F.concat(
-        suite,
+        F.array_compact(F.array(suite_label(low))),
         expectation_labels(expectation_types(text)),
         found_labels(low, L.SQL_CHECKS, ignore_case=True),
         found_labels(low, L.CHECK_TOOLS, ignore_case=True),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from siltworks.operators.keyed import first_n_per_key, mark_orphans, mark_repeat
 
 HITS = "_dq_hits"
 INVALID = "_dq_invalid"
+WARNINGS = "_dq_warnings"
 _HIT_TYPE = "array<struct<rule_id:int,kind:string,rejects:boolean,sample:string>>"
 
 
@@ -30,7 +32,7 @@ def rules_from_catalog(dq_rules: DataFrame, dataset_id: str) -> list[Rule]:
 
 
 def flag(df: DataFrame, rules: Sequence[Rule], parents: Mapping[str, DataFrame] | None = None) -> DataFrame:
-    """`df` with its columns cast by the rules, plus `_dq_hits` (every rule a row breaks) and `_dq_invalid`.
+    """`df` with its columns cast by the rules, plus `_dq_invalid`, `_dq_warnings` and `_dq_hits` (every rule a row breaks).
 
     All row rules compile into one projection.  A UNIQUE or REFERENTIAL rule adds one aggregate of its key column
     and one join.  An incomplete rule (no severity, say) is not enforced.  A cast failure is recorded once per
@@ -51,79 +53,79 @@ def flag(df: DataFrame, rules: Sequence[Rule], parents: Mapping[str, DataFrame]
         current[rule.column] = cast
         sample = raw.cast("string")
         if rule.column in types and not isinstance(types[rule.column], type(ctype[rule.column])):
-            hits.append(_hit(raw.isNotNull() & cast.isNull(), rule_id, "CAST_FAIL", rule, sample))
+            hits.append((raw.isNotNull() & cast.isNull(), rule_id, rule.rejects, "CAST_FAIL", sample))
         if rule.rule == "UNIQUE":
             flag_col = f"_dq_u{rule_id}"
             relational.append((rule, cast, ctype[rule.column], flag_col))
-            hits.append(_hit(F.col(flag_col), rule_id, rule.rule, rule, sample))
+            hits.append((F.col(flag_col), rule_id, rule.rejects, rule.rule, sample))
         elif rule.rule == "REFERENTIAL":
             if parents and rule.value in parents:
                 flag_col = f"_dq_r{rule_id}"
                 relational.append((rule, cast, ctype[rule.column], flag_col))
-                hits.append(_hit(F.col(flag_col), rule_id, rule.rule, rule, sample))
+                hits.append((F.col(flag_col), rule_id, rule.rejects, rule.rule, sample))
         else:
             mask = row_mask(rule.rule, cast, ctype[rule.column], rule.value)
             if mask is not None:
-                hits.append(_hit(mask, rule_id, rule.rule, rule, sample))
+                hits.append((mask, rule_id, rule.rejects, rule.rule, sample))
     out = df
     for rule, key, dtype, flag_col in relational:
         if rule.rule == "UNIQUE":
             out = mark_repeated(out, key, flag_col, isinstance(dtype, T.StringType))
         else:
             out = mark_orphans(out, key, parents[rule.value], rule.value.rsplit(".", 1)[-1], flag_col)
-    hit_array = F.array_compact(F.array(*hits)) if hits else F.array()
-    out = out.select(*[current[c].alias(c) for c in current], hit_array.cast(_HIT_TYPE).alias(HITS))
-    return out.withColumn(INVALID, F.exists(HITS, lambda h: h["rejects"]))
-
-
-def _hit(mask, rule_id: int, kind: str, rule: Rule, sample):
-    return F.when(
-        mask,
-        F.struct(
-            F.lit(rule_id).alias("rule_id"),
-            F.lit(kind).alias("kind"),
-            F.lit(rule.rejects).alias("rejects"),
-            sample.alias("sample"),
-        ),
+    # all three come from the same masks; flat expressions keep them inside generated code
+    rejecting = [m for m, _, r, _, _ in hits if r]
+    invalid = reduce(lambda a, b: a | b, rejecting) if rejecting else F.lit(False)
+    warnings = sum((m.cast("int") for m, _, r, _, _ in hits if not r), F.lit(0))
+    empty = F.array().cast(_HIT_TYPE)
+    one_each = [F.when(m, F.array(_hit(i, k, r, s)).cast(_HIT_TYPE)).otherwise(empty) for m, i, r, k, s in hits]
+    hit_array = F.flatten(F.array(*one_each)) if hits else empty
+    return out.select(
+        *[current[c].alias(c) for c in current], hit_array.alias(HITS), invalid.alias(INVALID), warnings.cast("int").alias(WARNINGS)
+    )
+
+
+def _hit(rule_id: int, kind: str, rejects: bool, sample):
+    return F.struct(
+        F.lit(rule_id).alias("rule_id"), F.lit(kind).alias("kind"), F.lit(rejects).alias("rejects"), sample.alias("sample")
     )
 
 
 def valid_rows(flagged: DataFrame) -> DataFrame:
-    return flagged.where(~F.col(INVALID)).drop(HITS, INVALID)
+    return flagged.where(~F.col(INVALID)).drop(HITS, INVALID, WARNINGS)
 
 
 def rejected_rows(flagged: DataFrame) -> DataFrame:
     """Invalid rows whole, with the names of the rules that rejected them."""
     names = F.transform(F.filter(HITS, lambda h: h["rejects"]), lambda h: h["kind"])
-    return flagged.where(F.col(INVALID)).withColumn("_dq_failed", F.array_distinct(names)).drop(HITS, INVALID)
+    return flagged.where(F.col(INVALID)).withColumn("_dq_failed", F.array_distinct(names)).drop(HITS, INVALID, WARNINGS)
 
 
 def split_counts(flagged: DataFrame) -> DataFrame:
     """One row: rows_read, failed_rows, valid_rows, warnings."""
-    warnings = F.size(F.filter(HITS, lambda h: ~h["rejects"]))
     return flagged.agg(
         F.count(F.lit(1)).alias("rows_read"),
         F.count_if(F.col(INVALID)).alias("failed_rows"),
         F.count_if(~F.col(INVALID)).alias("valid_rows"),
-        F.coalesce(F.sum(warnings), F.lit(0)).cast("bigint").alias("warnings"),
+        F.coalesce(F.sum(WARNINGS), F.lit(0)).cast("bigint").alias("warnings"),
     )
 
 
 def details(flagged: DataFrame, rules: Sequence[Rule], samples: int = 5) -> DataFrame:
     """(bucket, rule_id, column, rule, expected, count, samples): what each rule caught.
 
-    Counts combine map-side; samples are the smallest offending texts, cut to `samples` per rule in every map
-    task before the shuffle, so a rule that fails on a third of the table moves no more rows than any other.
+    Equal offending texts are first counted together, map-side and then per text, so a rule that fails on a third of
+    the table with one value moves one row per task.  Counts and samples (the smallest texts) both come from that one
+    table, whose shuffle Spark runs once.
     """
-    long = flagged.select(F.explode(HITS).alias("h")).select("h.*")
-    keys = ["rule_id", "kind"]
-    counts = long.groupBy(*keys, "rejects").agg(F.count(F.lit(1)).alias("count"))
-    top = first_n_per_key(long.where("sample is not null"), keys, [F.asc("sample")], samples, "_rn")
-    picked = (
-        top.groupBy(*keys)
-        .agg(F.sort_array(F.collect_list(F.struct("_rn", "sample"))).alias("s"))
-        .select(*keys, F.transform("s", lambda x: x["sample"]).alias("samples"))
-    )
+    keys = ["rule_id", "kind", "rejects"]
+    # an inner explode would make Spark evaluate the hits a second time, to filter out the rows without any
+    long = flagged.select(F.explode_outer(HITS).alias("h")).select("h.*").where("rule_id is not null")
+    grouped = long.groupBy(*keys, "sample").agg(F.count(F.lit(1)).alias("n"))
+    counts = grouped.groupBy(*keys).agg(F.sum("n").alias("count"))
+    top = first_n_per_key(grouped, keys, [F.asc_nulls_last("sample")], samples, "_rn")
+    texts = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("_rn", "sample", "n"))), lambda x: F.array_repeat(x["sample"], F.least(x["n"], F.lit(samples)).cast("int"))))
+    picked = top.groupBy(*keys).agg(F.slice(F.filter(texts, lambda t: t.isNotNull()), 1, samples).alias("samples"))
     spark = flagged.sparkSession
     names = literal_table(
         spark, [(i, r.column, r.expected_type) for i, r in enumerate(rules)], "rule_id int, column string, expected string"

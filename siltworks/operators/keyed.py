@@ -27,22 +27,21 @@ def key_counts(df: DataFrame, key: Column) -> DataFrame:
     return df.select(key.alias("_k")).groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))
 
 
-def attach_marks(df: DataFrame, key: Column, marked: DataFrame, counts: DataFrame, out: str) -> DataFrame:
-    """Add boolean `out`: does the row's key appear in `marked` (_k, unique)?  Null keys match null.
+def attach_marks(df: DataFrame, key: Column, counts: DataFrame, out: str) -> DataFrame:
+    """Add boolean `out` to every row: the mark `_m` of its key in `counts` (_k unique, _n, _m).  Null keys match null.
 
     Hot keys are answered by a broadcast of at most ``HOT_SHARE`` rows, and their rows carry a null key plus a
-    salt (the task's partition number, stable when a task is retried) through the shuffle of the others.
+    salt (the task's partition number, stable when a task is retried) through the shuffle of the others.  Only
+    marked keys enter that shuffle; whether it becomes a broadcast is up to Spark's size check.
     """
     total = counts.agg(F.sum("_n")).scalar()
-    hot = counts.where(F.col("_n") * HOT_SHARE >= total).select(F.col("_k").alias("_hk"))
-    hot = hot.join(
-        marked.select(F.col("_k").alias("_mk"), F.lit(True).alias("_hm")), F.col("_hk").eqNullSafe(F.col("_mk")), "left"
-    ).select("_hk", F.coalesce("_hm", F.lit(False)).alias("_hm"))
-    cold = marked.select(F.col("_k").alias("_ck"), F.lit(0).alias("_cs"), F.lit(True).alias("_cm"))
+    hot = counts.where(F.col("_n") * HOT_SHARE >= total).select(F.col("_k").alias("_hk"), F.col("_m").alias("_hm"))
+    cold = counts.where("_m").select(F.col("_k").alias("_ck"), F.lit(0).alias("_cs"), F.lit(True).alias("_cm"))
     keyed = df.withColumn("_key", key).join(F.broadcast(hot), F.col("_key").eqNullSafe(F.col("_hk")), "left")
-    keyed = keyed.withColumn("_salt", F.when(F.col("_hm").isNotNull(), F.spark_partition_id() + 1).otherwise(0)).withColumn(
-        "_key", F.when(F.col("_hm").isNull(), F.col("_key"))
-    )
+    keyed = keyed.withColumns({
+        "_salt": F.when(F.col("_hm").isNotNull(), F.spark_partition_id() + 1).otherwise(0),
+        "_key": F.when(F.col("_hm").isNull(), F.col("_key")),
+    })
     joined = keyed.join(cold, F.col("_key").eqNullSafe(F.col("_ck")) & (F.col("_salt") == F.col("_cs")), "left")
     mark = F.coalesce("_hm", "_cm", F.lit(False))
     return joined.select(*[F.col(f"`{c}`") for c in df.columns], mark.alias(out))
@@ -51,16 +50,14 @@ def attach_marks(df: DataFrame, key: Column, marked: DataFrame, counts: DataFram
 def mark_repeated(df: DataFrame, key: Column, out: str, is_text: bool = False) -> DataFrame:
     """Boolean `out` on every member of a group of equal keys (two nulls are equal)."""
     key = compact_key(key, is_text)
-    counts = key_counts(df, key)
-    return attach_marks(df, key, counts.where("_n > 1").select("_k"), counts, out)
+    return attach_marks(df, key, key_counts(df, key).withColumn("_m", F.col("_n") > 1), out)
 
 
 def mark_orphans(df: DataFrame, key: Column, parents: DataFrame, parent_key: str, out: str) -> DataFrame:
     """Boolean `out` on rows whose non-null key has no row in `parents`."""
-    counts = key_counts(df, key)
-    known = parents.select(F.col(parent_key).alias("_k")).where("_k is not null").distinct()
-    missing = counts.where("_k is not null").join(known, "_k", "left_anti").select("_k")
-    return attach_marks(df, key, missing, counts, out)
+    known = parents.select(F.col(parent_key).alias("_pk")).where("_pk is not null").distinct()
+    counts = key_counts(df, key).join(known, F.col("_k") == F.col("_pk"), "left")
+    return attach_marks(df, key, counts.select("_k", "_n", (F.col("_k").isNotNull() & F.col("_pk").isNull()).alias("_m")), out)
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str | Column], order: Sequence[Column]) -> DataFrame:

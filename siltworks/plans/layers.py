@@ -178,10 +178,9 @@ def run_dataset(
     m["raw_rows"] = m["bronze_rows"] = landed["rows"]
     # the rules run once; silver, rejected, gold and the report read this table
     flagged = dq.flag(spark.read.schema(bronze.schema).parquet(paths["Bronze"]), rules, parents)
-    warned = F.size(F.filter(dq.HITS, lambda h: ~h["rejects"]))
     counts = write_counted(
         flagged, paths["Checked"],
-        F.count_if(F.col(dq.INVALID)).alias("failed"), F.coalesce(F.sum(warned), F.lit(0)).alias("warnings"),
+        F.count_if(F.col(dq.INVALID)).alias("failed"), F.coalesce(F.sum(dq.WARNINGS), F.lit(0)).alias("warnings"),
     )
     failed, m["dq_warnings"] = counts["failed"], counts["warnings"]
     checked = spark.read.schema(flagged.schema).parquet(paths["Checked"])

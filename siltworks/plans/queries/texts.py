@@ -70,8 +70,8 @@ _COMBO_SQL = ", ".join(
       case when array_to_string(fw, '|') = '' then 0.0 else 0.95 end as confidence from f""",
 )
 def labels_frameworks(spark, sf):
-    d = cl.with_frameworks(definitions(spark, sf), "body", "f")
-    return d.select("doc_id", _joined("f").alias("frameworks"), cl.confidence(F.col("f"), "frameworks").alias("confidence"))
+    d = cl.with_labels(definitions(spark, sf), "body", ["frameworks"])
+    return d.select("doc_id", _joined("frameworks").alias("frameworks"), cl.confidence(F.col("frameworks"), "frameworks").alias("confidence"))
 
 
 @query(
@@ -79,7 +79,7 @@ def labels_frameworks(spark, sf):
     sql=f"with {_DEFS_SQL} select doc_id, concat_ws('|', {_label_sql(L.SOURCES)}) as sources from defs",
 )
 def labels_sources(spark, sf):
-    return definitions(spark, sf).select("doc_id", _joined(cl.sources(F.col("body"))).alias("sources"))
+    return cl.with_labels(definitions(spark, sf), "body", ["sources"]).select("doc_id", _joined("sources").alias("sources"))
 
 
 @query(
@@ -87,7 +87,7 @@ def labels_sources(spark, sf):
     sql=f"with {_DEFS_SQL} select doc_id, concat_ws('|', {_label_sql(L.INGESTION, '(?i)')}) as ingestion from defs",
 )
 def labels_ingestion(spark, sf):
-    return definitions(spark, sf).select("doc_id", _joined(cl.ingestion(F.col("body"))).alias("ingestion"))
+    return cl.with_labels(definitions(spark, sf), "body", ["ingestion"]).select("doc_id", _joined("ingestion").alias("ingestion"))
 
 
 _SUITE_SQL = "case " + " ".join(
@@ -108,7 +108,7 @@ _EXP_SQL = "case t " + " ".join(f"when '{k}' then '{v}'" for k, v in L.EXPECTATI
     select doc_id, concat_ws('|', suite, nullif(exps, ''), nullif(sqls, ''), nullif(tools, '')) as checks from e""",
 )
 def labels_checks(spark, sf):
-    return definitions(spark, sf).select("doc_id", _joined(cl.checks(F.col("body"))).alias("checks"))
+    return cl.with_labels(definitions(spark, sf), "body", ["checks"]).select("doc_id", _joined("checks").alias("checks"))
 
 
 def _evidence_sql(catalog) -> str:
@@ -127,7 +127,8 @@ def _evidence_sql(catalog) -> str:
     select label, pattern, count(*) as n from e where pattern is not null group by all""",
 )
 def label_evidence(spark, sf):
-    found = definitions(spark, sf).select(F.explode(cl.hits(F.lower("body"), L.SOURCES)).alias("h")).select("h.*")
+    low = cl.spread(definitions(spark, sf)).select(F.lower("body").alias("low"))
+    found = low.select(F.explode(cl.hits(F.col("low"), L.SOURCES)).alias("h")).select("h.*")
     return found.groupBy("label", "pattern").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -145,7 +146,7 @@ _CATALOG_SQL = " union all ".join(
     select c.name, c.support_level, n.n is not null as detected, coalesce(n.n, 0) as n from c left join n on c.name = n.label""",
 )
 def source_support(spark, sf):
-    found = definitions(spark, sf).select(F.explode(cl.sources(F.col("body"))).alias("label"))
+    found = cl.with_labels(definitions(spark, sf), "body", ["sources"]).select(F.explode("sources").alias("label"))
     return cl.support_matrix(found, "label")
 
 
