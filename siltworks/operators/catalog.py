@@ -305,13 +305,13 @@ def validation_score(configs: DataFrame, key: str) -> DataFrame:
 
 
 def two_places(x: Column) -> Column:
-    """A score in [0, 1] as text with two places, rounded by the exact value of the double (half to even).
+    """A score from 0.1 to 1 as text with two places, rounded by the exact value of the double (half to even).
 
     Means of these scores often lie at a half in decimal, where Spark's own formats round the printed digits."""
-    unit = 1 << 53
-    n = (x * F.lit(float(unit))).cast("bigint") * 100  # exact: below 2^53 * 100
+    unit = 1 << 56
+    n = (x * F.lit(float(unit))).cast("bigint") * 100  # exact: no bits below 2^-56, and under 2^63
     r = n % F.lit(unit)
-    q = F.shiftright(n, 53)
+    q = F.shiftright(n, 56)
     up = (r > unit // 2) | ((r == unit // 2) & (q % 2 == 1))
     hundredths = q + up.cast("bigint")
     return F.format_string("%d.%02d", F.floor(hundredths / 100), hundredths % 100)
@@ -321,3 +321,15 @@ def missing_fields(configs: DataFrame, key: str, fields: Sequence[str]) -> DataF
     """(key, field) for every field of a configuration that has no value."""
     rows = F.array_compact(F.array(*[F.when(_filled(F.col(f).cast("string")).isNull(), F.lit(f)) for f in fields]))
     return configs.select(key, F.explode(rows).alias("field"))
+
+
+def export_csv(catalog: DataFrame, path: str) -> None:
+    """The catalog as comma-separated text with a header; every task writes its own file."""
+    catalog.write.mode("overwrite").csv(path, header=True, quote='"', escape='"', emptyValue="")
+
+
+def import_csv(spark, path: str) -> DataFrame:
+    """A catalog file, all columns as text, brought into catalog shape (see ``merge_catalog``)."""
+    from siltworks.sources.readers import read_delimited
+
+    return conform(read_delimited(spark, path), CATALOG_COLUMNS)

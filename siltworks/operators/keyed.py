@@ -36,7 +36,9 @@ def attach_marks(df: DataFrame, key: Column, counts: DataFrame, out: str) -> Dat
     """
     total = counts.agg(F.sum("_n")).scalar()
     hot = counts.where(F.col("_n") * HOT_SHARE >= total).select(F.col("_k").alias("_hk"), F.col("_m").alias("_hm"))
-    cold = counts.where("_m").select(F.col("_k").alias("_ck"), F.lit(0).alias("_cs"), F.lit(True).alias("_cm"))
+    # the zero is computed: a literal would be folded into the condition and the salt would be no join key any more
+    zero = F.pmod(F.hash("_k"), F.lit(1))
+    cold = counts.where("_m").select(F.col("_k").alias("_ck"), zero.alias("_cs"), F.lit(True).alias("_cm"))
     keyed = df.withColumn("_key", key).join(F.broadcast(hot), F.col("_key").eqNullSafe(F.col("_hk")), "left")
     keyed = keyed.withColumns({
         "_salt": F.when(F.col("_hm").isNotNull(), F.spark_partition_id() + 1).otherwise(0),

@@ -171,12 +171,11 @@ def execution_paths(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     while True:
         grown = frontier.join(step, [key, "_at"], "left").withColumn(
             "_new", F.col("_next").isNotNull() & ~F.array_contains("path", F.coalesce("_next", F.lit("")))
-        )
+        ).checkpoint()
         # a path is finished when none of its next nodes is new
-        tagged = grown.groupBy(key, "path").agg(F.bool_or("_new").alias("_grows"))
-        finished = tagged.where("not _grows").select(key, "path").checkpoint()
+        finished = grown.groupBy(key, "path").agg(F.bool_or("_new").alias("_grows")).where("not _grows").select(key, "path")
         done = finished if done is None else done.unionByName(finished)
-        frontier = grown.where("_new").select(key, F.concat("path", F.array("_next")).alias("path"), F.col("_next").alias("_at")).checkpoint()
+        frontier = grown.where("_new").select(key, F.concat("path", F.array("_next")).alias("path"), F.col("_next").alias("_at"))
         if frontier.isEmpty():
             break
     fails = F.exists("path", lambda n: F.lower(n).contains("fail"))

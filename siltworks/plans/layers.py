@@ -8,6 +8,7 @@ are one small directory per run and dataset, overwritten by a repeated run.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
@@ -115,25 +116,20 @@ class LayerStore:
         rows.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/Control/{name}/{run}")
 
     def current_version(self, dataset: Dataset, before_batch: str | None = None):
-        """(version, path) of the current snapshot; a repeated batch looks at the one before its own."""
+        """Row (version, path, schema_json) of the current snapshot, or None; a repeated batch looks at the one
+        before its own."""
         rows = self.versions().where(F.col("dataset_id") == dataset.dataset_id)
         if before_batch is not None:
             rows = rows.where(F.col("batch_id") != before_batch)
-        top = rows.agg(F.max(F.struct("version", "path")).alias("top")).first()["top"]
-        return (top["version"], top["path"]) if top else (0, None)
+        return rows.agg(F.max(F.struct("version", "path", "schema_json")).alias("top")).first()["top"]
 
-    def read_snapshot(self, path: str, dataset: Dataset, like: DataFrame | None = None) -> DataFrame:
-        """A silver snapshot; a partition column has its own type, not the one guessed from directory names."""
-        df = self.spark.read.parquet(path)
-        part = dataset.partition_column
-        if like is None or part not in like.columns or part not in df.columns:
-            return df
-        fields = [f if f.name != part else like.schema[part] for f in df.schema.fields]
-        return self.spark.read.schema(T.StructType(fields)).parquet(path)
+    def read_snapshot(self, path: str, schema: T.StructType) -> DataFrame:
+        """A silver snapshot with its own schema: types of partition columns are not guessed from directory names."""
+        return self.spark.read.schema(schema).parquet(path)
 
-    def silver(self, dataset: Dataset) -> DataFrame | None:
-        _, path = self.current_version(dataset)
-        return self.read_snapshot(path, dataset) if path else None
+    def silver(self, dataset: Dataset, before_batch: str | None = None) -> DataFrame | None:
+        top = self.current_version(dataset, before_batch)
+        return self.read_snapshot(top["path"], T.StructType.fromJson(json.loads(top["schema_json"]))) if top else None
 
 
 def write_counted(df: DataFrame, path: str, *metrics, partition_by: Sequence[str] = ()) -> dict:
@@ -193,20 +189,20 @@ def run_dataset(
     valid = dq.valid_rows(checked)
     has_valid = counts["rows"] > failed
     if has_valid:
-        version, current = store.current_version(dataset, before_batch=batch_id)
-        existing = store.read_snapshot(current, dataset, valid) if current and dataset.incremental else None
+        top = store.current_version(dataset, before_batch=batch_id)
+        existing = store.silver(dataset, before_batch=batch_id) if dataset.incremental else None
         silver = merge_silver(valid, dataset, existing)
         by = [dataset.partition_column] if dataset.partition_column in silver.columns else []
         m["silver_rows"] = write_counted(silver, paths["Silver"], partition_by=by)["rows"]
         m["silver_path"] = paths["Silver"]
-        row = (dataset.dataset_id, version + 1, batch_id, paths["Silver"])
+        row = (dataset.dataset_id, top["version"] + 1 if top else 1, batch_id, paths["Silver"], silver.schema.json())
         store.record("silver_versions", dataset, batch_id, literal_table(spark, [row], VERSIONS))
     if failed:
         write_counted(dq.rejected_rows(checked), paths["Rejected"])
         m["rejected_path"] = paths["Rejected"]
     if has_valid:
         try:
-            gold = store.read_snapshot(paths["Silver"], dataset, valid) if gold_from == "silver" else valid
+            gold = store.read_snapshot(paths["Silver"], silver.schema) if gold_from == "silver" else valid
             m["gold_rows"] = write_counted(gold, paths["Gold"])["rows"]
             m["gold_status"], m["gold_path"] = "PASSED", paths["Gold"]
         except Exception as e:  # a failed publish is a status of the run, not its end

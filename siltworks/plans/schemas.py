@@ -34,7 +34,7 @@ RUN_RESULT = (
 )
 RUN_HISTORY = f"run_id string, batch_id string, client_name string, started string, finished string, {RUN_RESULT}"
 
-VERSIONS = "dataset_id string, version bigint, batch_id string, path string"
+VERSIONS = "dataset_id string, version bigint, batch_id string, path string, schema_json string"
 WATERMARKS = "dataset_id string, batch_id string, watermark string"
 DQ_DETAILS = (
     "run_id string, dataset_id string, bucket string, rule_id int, column string, rule string, expected string, "
