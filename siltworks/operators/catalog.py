@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltworks.functions import lenient, paths
+from siltworks.operators.exploding import explode_map_once, explode_once
 from siltworks.operators.keyed import first_per_key
 from siltworks.operators.standardize import conform
 from siltworks.operators.upsert import first_by_marker
@@ -226,7 +227,7 @@ def supported_rules(texts: DataFrame, entity: str, text: str) -> DataFrame:
         F.when(t.contains("schema"), "schema_check"),
         F.when(t.contains("between") | t.contains("range"), "range_check"),
     ))
-    return texts.select(F.col(entity).alias("entity"), F.explode(found).alias("rule"))
+    return explode_once(texts, [F.col(entity).alias("entity")], found, "rule")
 
 
 def merge_records(primary: DataFrame, secondary: DataFrame, fields: Sequence[str] = ("name", "id", "label"), order: Sequence[str] = ("ord",)) -> DataFrame:
@@ -264,10 +265,10 @@ SERVICE_KEYS = ("warnings", "errors", "_scan_meta", "framework", "source", "inge
 
 def flatten_assets(df: DataFrame, payload: str, keep: Sequence[str] = ()) -> DataFrame:
     """(type, name, configuration): the assets under each group of a nested inventory, service keys left out."""
-    groups = df.select(*keep, F.explode(F.from_json(payload, "map<string,variant>")).alias("type", "_v"))
+    groups = explode_map_once(df, keep, F.from_json(payload, "map<string,variant>"), "type", "_v")
     groups = groups.where(~F.col("type").isin(*SERVICE_KEYS))
     as_list = F.coalesce(F.col("_v").try_cast("array<variant>"), F.array("_v"))
-    rows = groups.select(*keep, "type", F.explode(as_list).alias("_a"))
+    rows = explode_once(groups, [*keep, "type"], as_list, "_a")
     is_object = F.schema_of_variant("_a").startswith("OBJECT")
 
     def field(name: str) -> Column:
@@ -320,7 +321,7 @@ def two_places(x: Column) -> Column:
 def missing_fields(configs: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
     """(key, field) for every field of a configuration that has no value."""
     rows = F.array_compact(F.array(*[F.when(_filled(F.col(f).cast("string")).isNull(), F.lit(f)) for f in fields]))
-    return configs.select(key, F.explode(rows).alias("field"))
+    return explode_once(configs, [key], rows, "field")
 
 
 def export_csv(catalog: DataFrame, path: str) -> None:

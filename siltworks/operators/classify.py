@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from siltworks.functions import labels as L
 from siltworks.functions.text import contains_any, find_all, first_match
+from siltworks.operators.exploding import explode_once
 from siltworks.operators.literals import literal_table
+from siltworks.operators.scans import spread
 
 Catalog = Sequence[tuple[str, Sequence[str]]]
 
@@ -92,14 +94,6 @@ def with_labels(df: DataFrame, text: str, kinds: Sequence[str]) -> DataFrame:
     return out
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Split a scan that has fewer tasks than there are cores, for work that costs more than moving the rows.
-
-    A large table is scanned by many tasks as it is and is left alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def suite_label(low: Column) -> Column:
     """The suite label of the first suite pattern that hits, with the suite's name where the pattern gives one."""
     out = None
@@ -212,7 +206,7 @@ def capability_matrix(df: DataFrame, key: Sequence[str], text: str, node_types:
         "Notifications": yes_no(contains_any(ids, ("email", "alert", "notification"))),
     }
     rows = F.array(*[F.struct(F.lit(k).alias("capability"), v.alias("status")) for k, v in cells.items()])
-    return df.select(*key, F.explode(rows).alias("c")).select(*key, "c.*")
+    return explode_once(df, key, rows, "c").select(*key, "c.*")
 
 
 def capability_counts(matrix: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -249,7 +243,8 @@ def ingestion_evidence(activities: DataFrame, by: Sequence[str], order: str) ->
         note(copies & body.contains("lakehouse"), "Lakehouse"),
         note(copies & body.contains("warehouse"), "DataWarehouse"),
     ))
-    rows = activities.select(*by, F.explode(notes).alias("ingestion_type"), F.struct(F.col(order).alias("o"), F.col("name").alias("n")).alias("s"))
+    first = F.struct(F.col(order).alias("o"), F.col("name").alias("n")).alias("s")
+    rows = explode_once(activities, [*by, first], notes, "ingestion_type")
     return rows.groupBy(*by, "ingestion_type").agg(F.min("s")["n"].alias("activity"))
 
 
@@ -373,7 +368,7 @@ def ingestion_types(activities: DataFrame, by: Sequence[str], order: str) -> Dat
 
 def bucket_counts(df: DataFrame, text: str, by: Sequence[str]) -> DataFrame:
     """S3 paths named in texts and the buckets they are in, counted by a keyed aggregate."""
-    paths = df.select(*by, F.explode(find_all(F.col(text), r"""(?i)s3[an]?://[^\s"'>,]+""")).alias("path"))
+    paths = explode_once(df, by, find_all(F.col(text), r"""(?i)s3[an]?://[^\s"'>,]+"""), "path")
     return paths.groupBy(*by, first_match(F.col("path"), r"^(?i)s3[an]?://([^/]+)", 1).alias("bucket")).agg(
         F.count(F.lit(1)).alias("path_count")
     )

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from siltworks.functions.casts import coerce
 from siltworks.functions.rules import Rule, row_mask
+from siltworks.operators.exploding import explode_once
 from siltworks.operators.literals import literal_table
 from siltworks.operators.keyed import first_n_per_key, mark_orphans, mark_repeated
 
@@ -119,8 +120,7 @@ def details(flagged: DataFrame, rules: Sequence[Rule], samples: int = 5) -> Data
     table, whose shuffle Spark runs once.
     """
     keys = ["rule_id", "kind", "rejects"]
-    # an inner explode would make Spark evaluate the hits a second time, to filter out the rows without any
-    long = flagged.select(F.explode_outer(HITS).alias("h")).select("h.*").where("rule_id is not null")
+    long = explode_once(flagged, [], F.col(HITS), "h").select("h.*")
     grouped = long.groupBy(*keys, "sample").agg(F.count(F.lit(1)).alias("n"))
     counts = grouped.groupBy(*keys).agg(F.sum("n").alias("count"))
     top = first_n_per_key(grouped, keys, [F.asc_nulls_last("sample")], samples, "_rn")

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from siltworks.functions import labels as L
 from siltworks.functions import paths
 from siltworks.functions.text import contains_any, expression_references
+from siltworks.operators.exploding import explode_once, posexplode_once
 from siltworks.operators.keyed import first_per_key
+from siltworks.operators.scans import spread
 from siltworks.session import ensure_checkpoint_dir
 
 
@@ -118,19 +120,20 @@ def activity_rows(definitions: DataFrame, key: str, activities: str) -> DataFram
             yield pd.DataFrame(rows, columns=[key, *columns])
 
     kind = definitions.schema[key].dataType.simpleString()
-    return definitions.select(key, activities).mapInPandas(explode, f"{key} {kind}, pos int, {ACTIVITY_FIELDS}")
+    return spread(definitions.select(key, activities)).mapInPandas(explode, f"{key} {kind}, pos int, {ACTIVITY_FIELDS}")
 
 
 def activity_edges(activities: DataFrame, key: str, expressions: DataFrame | None = None) -> DataFrame:
     """(key, source, target, edge_type, condition): dependencies, containers and expression references."""
-    depends = activities.select(key, F.col("name").alias("target"), F.explode("depends_on").alias("d")).select(
-        key, F.col("d.activity").alias("source"), "target", F.lit("dependsOn").alias("edge_type"), F.col("d.dependencyConditions").alias("condition")
-    )
-    contains = activities.where("parent is not null").select(
-        key, F.col("parent").alias("source"), F.col("name").alias("target"), F.lit("container").alias("edge_type"),
-        F.array(F.coalesce("branch", F.lit("Nested"))).alias("condition"),
-    )
-    out = depends.unionByName(contains)
+
+    def edge(source: Column, kind: str, condition: Column) -> Column:
+        return F.struct(source.alias("source"), F.lit(kind).alias("edge_type"), condition.alias("condition"))
+
+    depends = F.transform("depends_on", lambda d: edge(d["activity"], "dependsOn", d["dependencyConditions"]))
+    inside = edge(F.col("parent"), "container", F.array(F.coalesce("branch", F.lit("Nested"))))
+    both = F.concat(depends, F.filter(F.array(inside), lambda e: e["source"].isNotNull()))
+    rows = explode_once(activities, [key, F.col("name").alias("target")], both, "e")
+    out = rows.select(key, "e.source", "target", "e.edge_type", "e.condition")
     if expressions is not None:
         refs = expression_references(F.col("expression"))
         e = expressions.select(
@@ -319,7 +322,7 @@ def stages(activities: DataFrame, by: str, order: str) -> DataFrame:
         entry(1, "TRANSFORMATION", kind.isin(*L.TRANSFORM_TYPES), F.col("name")),
         entry(1, "DESTINATION", contains_any(sink, L.DATABASE_DATASET_TOKENS), F.col("sink")),
     ))
-    rows = activities.select(by, F.col(order).alias("_o"), F.posexplode(entries).alias("_p", "e"))
+    rows = posexplode_once(activities, [by, F.col(order).alias("_o")], entries, "_p", "e")
     return rows.groupBy(by, F.col("e.stage").alias("stage"), F.col("e.label").alias("label")).agg(
         F.min(F.struct(F.col("e.rank").alias("r"), F.col("_o").alias("o"), F.col("_p").alias("p"))).alias("first")
     )

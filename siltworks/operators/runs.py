@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltworks.operators.exploding import explode_once
 from siltworks.operators.keyed import first_n_per_key
 from siltworks.plans.schemas import REPORT_COLUMNS
 
@@ -178,7 +179,7 @@ def run_observations(activity_runs: DataFrame) -> DataFrame:
              F.concat(F.lit("retryAttempt="), F.col("retryAttempt").cast("string"))),
         note(F.lower("status") == "failed", "Activity failure captured", F.get_json_object("error", "$.message")),
     ))
-    return activity_runs.select(F.col("activityName").alias("activity"), F.explode(notes).alias("n")).select("activity", "n.*")
+    return explode_once(activity_runs, [F.col("activityName").alias("activity")], notes, "n").select("activity", "n.*")
 
 
 def lookups(activity_runs: DataFrame) -> DataFrame:

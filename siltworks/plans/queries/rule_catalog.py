@@ -85,7 +85,7 @@ def rule_catalog_replace(spark, sf):
     "rule_catalog_seed",
     sql=f"""
     with {RULE_ROWS_SQL},
-    seen as (select distinct dataset_id, column_name from rules where dq_rule = 'UNIQUE'),
+    seen as (select distinct dataset_id, column_name from rules where dq_rule = 'UNIQUE' and dataset_id < 'src15'),
     prof as (select distinct source as dataset_id, lang as column_name from documents)
     select dataset_id, column_name, 'STRING' as expected_data_type, 'NOT_NULL' as dq_rule, 'WARN' as severity,
       true as is_active
@@ -101,7 +101,7 @@ def rule_catalog_seed(spark, sf):
         table(spark, sf, "documents").select(F.col("source").alias("dataset_id"), F.col("lang").alias("column_name"))
         .distinct().withColumn("data_type", F.lit("STRING"))
     )
-    some = rule_rows(spark, sf).where("dq_rule = 'UNIQUE'")
+    some = rule_rows(spark, sf).where("dq_rule = 'UNIQUE' and dataset_id < 'src15'")
     both = rc.seed_rules(profile, some).unionByName(rc.seed_rules(profile, some, active=False))
     return both.drop("rule_value")
 

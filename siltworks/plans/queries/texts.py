@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from siltworks.functions import labels as L
 from siltworks.functions import text as tx
 from siltworks.operators import classify as cl
+from siltworks.operators.exploding import explode_once
+from siltworks.operators.scans import spread
 from siltworks.plans.registry import query, table
 
 PASSAGES = (
@@ -127,8 +129,8 @@ def _evidence_sql(catalog) -> str:
     select label, pattern, count(*) as n from e where pattern is not null group by all""",
 )
 def label_evidence(spark, sf):
-    low = cl.spread(definitions(spark, sf)).select(F.lower("body").alias("low"))
-    found = low.select(F.explode(cl.hits(F.col("low"), L.SOURCES)).alias("h")).select("h.*")
+    low = spread(definitions(spark, sf)).select(F.lower("body").alias("low"))
+    found = explode_once(low, [], cl.hits(F.col("low"), L.SOURCES), "h").select("h.*")
     return found.groupBy("label", "pattern").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -146,7 +148,7 @@ _CATALOG_SQL = " union all ".join(
     select c.name, c.support_level, n.n is not null as detected, coalesce(n.n, 0) as n from c left join n on c.name = n.label""",
 )
 def source_support(spark, sf):
-    found = cl.with_labels(definitions(spark, sf), "body", ["sources"]).select(F.explode("sources").alias("label"))
+    found = explode_once(cl.with_labels(definitions(spark, sf), "body", ["sources"]), [], F.col("sources"), "label")
     return cl.support_matrix(found, "label")
 
 

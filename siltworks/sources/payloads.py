@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltworks.operators.exploding import explode_map_once, posexplode_once
+
 # Keys under which APIs wrap their records, in the order they are tried.
 ENVELOPE_KEYS = (
     "data", "results", "items", "records", "value", "articles", "sources", "breeds", "countries", "hits", "entries",
@@ -39,7 +41,7 @@ def records(payload: Column) -> Column:
 
 def explode_records(df: DataFrame, payload: str, keep: Sequence[str] = ()) -> DataFrame:
     """One row per record: the kept columns, `pos` and `record`."""
-    return df.select(*keep, F.posexplode(records(F.col(payload))).alias("pos", "record"))
+    return posexplode_once(df, keep, records(F.col(payload)), "pos", "record")
 
 
 def records_table(rows: DataFrame, record: str = "record", order: Sequence[str] = (), union_keys: bool = False) -> DataFrame:
@@ -72,7 +74,7 @@ def variant_type(v: Column) -> Column:
 
 def payload_schema(rows: DataFrame, record: str, order: Column, by: Sequence[str] = ()) -> DataFrame:
     """(column_name, data_type): the type each key has where it is first seen; suggested rules alongside."""
-    members = rows.select(*by, order.alias("_o"), F.explode(F.from_json(record, "map<string,variant>")).alias("column_name", "v"))
+    members = explode_map_once(rows, [*by, order.alias("_o")], F.from_json(record, "map<string,variant>"), "column_name", "v")
     typed = members.select(*by, "column_name", F.struct(F.col("_o").alias("o"), variant_type(F.col("v")).alias("t")).alias("s"))
     first = typed.groupBy(*by, "column_name").agg(F.min("s")["t"].alias("data_type"))
     rules = F.when(F.col("data_type") == "JSON", F.array(F.lit("NOT_NULL"), F.lit("VALID_JSON"))).otherwise(F.array(F.lit("NOT_NULL")))
