@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Split a scan that has fewer tasks than there are cores, for work that costs more than moving the rows.
+    """Split a scan that leaves more than half of the cores idle, for work that costs more than moving the rows.
 
     A large table is scanned by many tasks as it is and is left alone."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df

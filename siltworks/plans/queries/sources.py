@@ -383,7 +383,7 @@ def header_problems(spark, sf):
 def header_lines_of_files(spark, sf):
     path = scratch_path(spark, "headed")
     _customers(spark, sf).coalesce(1).write.csv(path, header=True)  # one file: a single header is checked
-    lines = checks.header_lines(spark, path)
+    lines = readers.header_lines(spark, path)
     return lines.select("header", F.array_join(checks.header_problems(F.col("header")), "|").alias("problems"))
 
 

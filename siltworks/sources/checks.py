@@ -47,17 +47,6 @@ def landing_summary(log: DataFrame) -> DataFrame:
     )
 
 
-def header_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(file_path, header): the first line of each text file, from the first block only."""
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file_path"),
-        F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_pos"),
-        "value",
-    )
-    return lines.where("_start = 0").groupBy("file_path").agg(F.min_by("value", "_pos").alias("header"))
-
-
 def header_problems(header: Column, sep: str = ",") -> Column:
     """array<string>: no columns, duplicate names, blank or `Unnamed` names in a raw header line.
 

@@ -59,6 +59,17 @@ def test_raw_source_prefers_the_explicit_path(spark, tmp_path):
         readers.read_raw(spark, None, files.where("false"))
 
 
+def test_raw_files_with_the_same_header_are_one_table(spark, tmp_path):
+    for i in range(4):
+        write(tmp_path, f"a{i}.csv", f"x,y\n{i},1\n")
+    write(tmp_path, "b.csv", "y,z\n5,6\n")
+    write(tmp_path, "c.json", '{"x": 7}\n')
+    write(tmp_path, "d.json", '[{"x": 8},\n{"x": 9}]')
+    files = inventory.describe(inventory.list_files(spark, str(tmp_path)), F.lit("c"), F.lit("LOCAL"))
+    frames = readers.read_raw(spark, None, files)
+    assert sorted((f.columns, f.count()) for f in frames) == [(["x"], 1), (["x"], 2), (["x", "y"], 4), (["y", "z"], 1)]
+
+
 def test_strategies():
     s = readers.reader_strategy
     assert s({"preview_strategy": "Spark_ORC "}) == "spark_orc"
