@@ -105,10 +105,12 @@ class LayerStore:
     def dq_details(self) -> DataFrame:
         return self._table("dq_details", DQ_DETAILS)
 
-    def watermark(self, dataset: Dataset) -> str | None:
-        """The highest watermark of the dataset's earlier runs, as text."""
+    def watermark(self, dataset: Dataset, dtype: T.DataType, before_batch: str | None = None):
+        """The highest watermark of the dataset's earlier runs; kept as text, compared in the column's own type."""
         rows = self._table("watermarks", WATERMARKS).where(F.col("dataset_id") == dataset.dataset_id)
-        return rows.agg(F.max("watermark")).first()[0]
+        if before_batch is not None:
+            rows = rows.where(F.col("batch_id") != before_batch)
+        return rows.agg(F.max(F.col("watermark").cast(dtype))).first()[0]
 
     def record(self, name: str, dataset: Dataset, batch_id: str, rows: DataFrame) -> None:
         """Control rows of one run; the same run again overwrites them."""
@@ -169,7 +171,7 @@ def run_dataset(
     wm = dataset.watermark_column
     has_wm = wm in bronze.columns
     if newer_only and has_wm:
-        bronze = newer_than(bronze, wm, store.watermark(dataset))
+        bronze = newer_than(bronze, wm, store.watermark(dataset, bronze.schema[wm].dataType, before_batch=batch_id))
     landed = write_counted(bronze, paths["Bronze"], *([F.max(wm).cast("string").alias("wm")] if has_wm else []))
     m["raw_rows"] = m["bronze_rows"] = landed["rows"]
     # the rules run once; silver, rejected, gold and the report read this table

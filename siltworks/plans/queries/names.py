@@ -191,7 +191,7 @@ def iso_timestamps(spark, sf):
         when 3 then date_format(ts, "yyyy-MM-dd'T'HH:mm:ss") else 'soon' end"""
     )
     out = table(spark, sf, "events").select("event_id", lenient.iso_timestamp(t).alias("p"))
-    return out.select("event_id", F.to_timestamp_ntz(F.date_format("p", "yyyy-MM-dd HH:mm:ss.SSSSSS")).alias("parsed"))
+    return out.select("event_id", F.expr("convert_timezone('UTC', cast(p as timestamp_ntz))").alias("parsed"))
 
 
 @query(
