@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltworks.llm import chat, mixing, warc
-from siltworks.llm.common import crc32_mod, table, text_of
+from siltworks.llm import chat, mixing, packing, rules, warc
+from siltworks.llm.common import stored, table
 from siltworks.plans.scratch import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +50,21 @@ def op1_warc(spark: SparkSession, sf: str) -> DataFrame:
     return back.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 
 
+# --- 4 -----------------------------------------------------------------------------------------------------------
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    pieces = packing.pack(packing.encode_texts(docs, "doc_id", "text"), tokens=1024)
+    return pieces.select(
+        F.col("key").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset",
+    )
+
+
+@query("op4_packing")
+def op4_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packed(table(spark, sf, "documents"))
+
+
 # --- 7 -----------------------------------------------------------------------------------------------------------
 
 
@@ -63,6 +78,19 @@ def op7_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixed(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+# --- 8 -----------------------------------------------------------------------------------------------------------
+
+
+@query("op8_rules")
+def op8_rules(spark: SparkSession, sf: str) -> DataFrame:
+    stats = stored(rules.statistics(table(spark, sf, "documents").select("doc_id", "text")), "text-statistics")
+    labels = table(spark, sf, "labels").groupBy("doc_id").agg(F.min("quality").alias("label"))
+    verdict = rules.learn(stats.join(labels, "doc_id")).keeps()
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    base = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return stats.select(*base, failed.alias("base_failed"), (~failed & verdict).alias("kept"))
+
+
 # --- 10 ----------------------------------------------------------------------------------------------------------
 
 CHAT_TEST = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
