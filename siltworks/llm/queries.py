@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltworks.llm import chat, mixing, packing, rules, warc
+from siltworks.llm import chat, mixing, packing, rules, secrets, warc
 from siltworks.llm.common import stored, table
 from siltworks.plans.scratch import scratch_path
 
@@ -50,6 +50,16 @@ def op1_warc(spark: SparkSession, sf: str) -> DataFrame:
     return back.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 
 
+# --- 3 -----------------------------------------------------------------------------------------------------------
+
+
+@query("op3_secrets")
+def op3_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf, "documents").select("doc_id", "text")).withColumn("_base", F.filter("secrets", lambda s: s["kind"] != "random"))
+    count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[count(kind) for kind, *_ in secrets.BASE], F.sha2(secrets.listing(F.col("_base")), 256).alias("base_sha256"), secrets.listing(F.col("secrets")).alias("spans"))
+
+
 # --- 4 -----------------------------------------------------------------------------------------------------------
 
 
