@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltworks.llm import chat, mixing, packing, rules, secrets, warc
-from siltworks.llm.common import stored, table
+from siltworks.llm import chat, mixing, packing, quality, rules, secrets, warc
+from siltworks.llm.common import crc32_mod, stored, table
 from siltworks.plans.scratch import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +50,18 @@ def op1_warc(spark: SparkSession, sf: str) -> DataFrame:
     return back.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 
 
+# --- 2 -----------------------------------------------------------------------------------------------------------
+
+QUALITY_THRESHOLD = 0.7
+
+
+@query("op2_quality")
+def op2_quality(spark: SparkSession, sf: str) -> DataFrame:
+    held_out = crc32_mod("doc_id", 4) == 2
+    scored, _ = quality.classify(table(spark, sf, "documents"), table(spark, sf, "labels").where(~held_out))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
+
+
 # --- 3 -----------------------------------------------------------------------------------------------------------
 
 
