@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltworks.llm import chat, mixing, packing, quality, rules, secrets, warc
+from siltworks.llm import chat, lm, mixing, packing, quality, rules, secrets, warc
 from siltworks.llm.common import crc32_mod, stored, table
 from siltworks.plans.scratch import scratch_path
 
@@ -113,6 +113,14 @@ def op8_rules(spark: SparkSession, sf: str) -> DataFrame:
     return stats.select(*base, failed.alias("base_failed"), (~failed & verdict).alias("kept"))
 
 
+# --- 9 -----------------------------------------------------------------------------------------------------------
+
+
+@query("op9_lm")
+def op9_lm(spark: SparkSession, sf: str) -> DataFrame:
+    return lm.score(table(spark, sf, "documents"), crc32_mod("doc_id", 7) == 2)
+
+
 # --- 10 ----------------------------------------------------------------------------------------------------------
 
 CHAT_TEST = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
