@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltworks.llm import chat, lm, mixing, packing, quality, rules, secrets, warc
+from siltworks.llm import chat, lm, mixing, ngram_join, packing, quality, rules, secrets, warc
 from siltworks.llm.common import crc32_mod, stored, table
 from siltworks.plans.scratch import scratch_path
 
@@ -87,6 +87,31 @@ def op4_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packed(table(spark, sf, "documents"))
 
 
+# --- 5 -----------------------------------------------------------------------------------------------------------
+
+
+@query("op5_ngram_join", r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w
+), g AS (SELECT doc_id, unnest(s) AS gram FROM s),
+shared AS (SELECT gram FROM g GROUP BY gram HAVING count(*) > 1),
+h AS (SELECT g.* FROM g JOIN shared USING (gram)),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM h a JOIN h b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM pairs JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 100 * n >= 80 * (len(x.s) + len(y.s) - n)
+), edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT doc_id AS node, doc_id AS seen FROM s UNION SELECT r.node, e.b FROM reach r JOIN edges e ON e.a = r.seen)
+SELECT s.doc_id, len(s.s) AS n_shingles, min(r.seen) AS component_id FROM s JOIN reach r ON r.node = s.doc_id GROUP BY 1, 2
+""")
+def op5_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram_join.near_copies(table(spark, sf, "documents"))
+
+
 # --- 7 -----------------------------------------------------------------------------------------------------------
 
 
