@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltworks.llm import chat, lm, mixing, ngram_join, packing, quality, rules, secrets, warc
+from siltworks.llm import chat, lm, mixing, ngram_join, nn_descent, packing, quality, rules, secrets, warc
 from siltworks.llm.common import crc32_mod, stored, table
 from siltworks.plans.scratch import scratch_path
 
@@ -112,6 +112,28 @@ def op5_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
     return ngram_join.near_copies(table(spark, sf, "documents"))
 
 
+# --- 6 -----------------------------------------------------------------------------------------------------------
+
+
+@query("op6_nn_descent", """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+), u AS (
+  SELECT vec_id, e FROM v
+  WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.95
+), reach AS (SELECT vec_id AS node, vec_id AS seen FROM v UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.seen),
+c AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY 1),
+n AS (SELECT a, count(*) AS n_links FROM links GROUP BY 1)
+SELECT v.vec_id, coalesce(n.n_links, 0)::BIGINT AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+FROM v JOIN c ON c.node = v.vec_id LEFT JOIN n ON n.a = v.vec_id
+""")
+def op6_nn_descent(spark: SparkSession, sf: str) -> DataFrame:
+    return nn_descent.near_vectors(table(spark, sf, "embeddings"))
+
+
 # --- 7 -----------------------------------------------------------------------------------------------------------
 
 
