@@ -28,6 +28,17 @@ def text_of(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+def whole_row(df: DataFrame, name: str = "_doc") -> Column:
+    """All columns in one struct, so that an operator's own columns cannot clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name)
+
+
+def row_back(df: DataFrame, results: tuple[str, ...] = (), name: str = "_doc") -> list[Column]:
+    """The columns of `df` out of that struct, but for those that results of an operator replace."""
+    replaced = {r.lower() for r in results}
+    return [F.col(name)[c].alias(c) for c in df.columns if c.lower() not in replaced]
+
+
 def crc32_mod(column: str | Column, n: int) -> Column:
     """crc32 of the value as text, modulo n; a null value counts as the empty text."""
     c = F.col(column) if isinstance(column, str) else column

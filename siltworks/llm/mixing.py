@@ -17,9 +17,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltworks.llm.common import WORD, stored
+from siltworks.llm.common import WORD, row_back, stored, whole_row
 
 BUCKETS = 4096
+RESULTS = ("copies", "taken", "for_source", "source_size", "target")
 
 
 def word_count(text: Column) -> Column:
@@ -119,16 +120,15 @@ def mix(docs: DataFrame, size: str, sources: str, seed: int = 17, most: int = 3,
     own named null, as is a null element.  weights: a function from the source names to their weights.
     share: the part of all words that the mix has.  The order in which documents of a pattern are taken is that of a
     seeded hash of `key`, then key and size, so equal input gives equal output; equal rows are interchangeable.
-    A document of size 0 takes nothing.  An empty table gives an empty table.
+    A document of size 0 takes nothing.  An empty table gives an empty table.  The results replace columns of their names.
     """
     spark = docs.sparkSession
     listed = F.when(F.coalesce(F.size(sources), F.lit(0)) > 0, F.array_sort(F.array_distinct(sources))).otherwise(F.array(F.lit(None).cast("string")))
     # to_json keeps a null element apart from the text "null"
-    base = docs.withColumns({
-        "_pattern": F.to_json(listed),
-        "_size": F.coalesce(F.col(size), F.lit(0)).cast("long"),
-        "_bucket": F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(BUCKETS)),
-    })
+    base = docs.select(
+        whole_row(docs), F.col(key).alias("_key"), F.to_json(listed).alias("_pattern"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("_size"),
+        F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(BUCKETS)).alias("_bucket"),
+    )
     sums = base.groupBy("_pattern", "_bucket").agg(F.sum("_size").alias("w"))
     sums = stored(sums, "mix-sums")
     capacity = {r["_pattern"]: r["w"] for r in sums.groupBy("_pattern").agg(F.sum("w").alias("w")).collect()}
@@ -159,7 +159,7 @@ def mix(docs: DataFrame, size: str, sources: str, seed: int = 17, most: int = 3,
     # one row per pattern, as many as the flow had
     placed = base.join(F.broadcast(plan), "_pattern").join(F.broadcast(edge), "_pattern", "left")
     at_edge = F.coalesce(F.col("_bucket") == F.col("_edge"), F.lit(False))
-    order = Window.partitionBy("_pattern").orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key), F.col("_size"))
+    order = Window.partitionBy("_pattern").orderBy(F.xxhash64("_key", F.lit(seed)), "_key", "_size")
     outside = placed.where(~at_edge).withColumn("_more", F.coalesce(F.col("_bucket") < F.col("_edge"), F.lit(False)).cast("int"))
     # of the bucket in which the quota ends, documents as long as more than half of them fits
     inside = placed.where(at_edge).withColumn("_cum", F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -168,11 +168,11 @@ def mix(docs: DataFrame, size: str, sources: str, seed: int = 17, most: int = 3,
     chosen = chosen.withColumn("copies", F.least(F.col("_whole") + F.col("_more"), F.lit(most)))
     # which of its sources a document serves: by the parts of the pattern's flow
     routed = spark.createDataFrame(routes, "_pattern string, for_source string, _lo double, _hi double, source_size long, target double")
-    point = F.pmod(F.xxhash64(F.col(key), F.lit(seed + 1)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    point = F.pmod(F.xxhash64("_key", F.lit(seed + 1)), F.lit(1 << 20)) / F.lit(float(1 << 20))
     single = F.array_sort(F.collect_list(F.struct("_hi", "for_source", "source_size", "target")))
     per = routed.where("_hi > _lo or _hi = 1").groupBy("_pattern").agg(single.alias("_routes"))
     chosen = chosen.join(F.broadcast(per), "_pattern", "left").withColumn("_at", F.filter("_routes", lambda r: r["_hi"] > point)[0])
     return chosen.select(
-        *[F.col(f"`{c}`") for c in docs.columns], "copies", (F.col("copies") * F.col("_size")).alias("taken"),
+        *row_back(docs, RESULTS), "copies", (F.col("copies") * F.col("_size")).alias("taken"),
         F.col("_at.for_source").alias("for_source"), F.col("_at.source_size").alias("source_size"), F.col("_at.target").alias("target"),
     )

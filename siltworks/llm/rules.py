@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltworks.llm.common import SPACE, WORD, crc32_mod, stored, text_of
+from siltworks.llm.common import WORD, crc32_mod, row_back, stored, text_of, whole_row
 
 # Fixed: the symbols that n_symbols counts.
 SYMBOLS = "[#*$%&|<>]"
@@ -23,14 +23,14 @@ RATIOS = ("symbol_share", "repeat_share", "dup_line_share", "upper_share", "mark
 
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the shares of `RATIOS`.
+    """`docs` without its text, with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the shares of `RATIOS`.
 
     A null text has no words; every share of an empty text is 0.  Whole texts are read, once.  Windows of three words
     are compared by 64-bit hashes within one text.  Statistics replace columns of the same name.
     """
-    kept = [c for c in docs.columns if c not in {*RATIOS, "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", text}]
+    results = (*RATIOS, "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", text)
     count = lambda pattern: F.regexp_count("_text", F.lit(pattern)).cast("long")
-    a = docs.withColumn("_text", text_of(text))
+    a = docs.select(whole_row(docs), text_of(text).alias("_text"))
     a = a.withColumns({
         "_words": F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)),
         "_lines": F.filter(F.split("_text", "\n", -1), lambda x: x.rlike(WORD)),
@@ -55,7 +55,7 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     a = a.withColumn("n_repeat_words", F.when(F.col("_sorted").isNull(), 0).otherwise(covered).cast("long"))
     share = lambda x, of: F.coalesce(F.col(x) / F.nullif(F.col(of), F.lit(0)), F.lit(0.0))
     return a.select(
-        *[F.col(f"`{c}`") for c in kept], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        *row_back(docs, results), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         share("n_symbols", "n_words").alias("symbol_share"), share("n_repeat_words", "n_words").alias("repeat_share"),
         share("n_dup_lines", "_n_lines").alias("dup_line_share"), share("_upper", "word_chars").alias("upper_share"),
         share("_marks", "n_words").alias("mark_share"), share("_digits", "word_chars").alias("digit_share"),

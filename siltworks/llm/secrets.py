@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltworks.llm.common import stored, text_of
+from siltworks.llm.common import row_back, stored, text_of, whole_row
 
 # Fixed: the base kinds, their patterns, the group whose length counts, and the least length.
 BASE = (
@@ -32,7 +32,7 @@ FAST = {"access": r"AKIA[A-Z0-9]{14,}", "hex": r"(?<![0-9a-f])[0-9a-f]{16,}"}
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}"
 # alphabet: (letters, share of equal pairs in structured text, share of class changes in structured text)
 ENCODINGS = {"hex": (16, 0.10, 0.25), "base32": (32, 0.06, 0.12), "base36": (36, 0.06, 0.18), "base64": (64, 0.06, 0.30)}
-STRUCTURED_CORRELATION = 0.5
+STRUCTURED_CORRELATION = 0.6
 STRATA = (24, 32, 48, 96)  # lengths at which a new stratum begins
 GRID = 50  # steps per unit of z
 
@@ -125,15 +125,16 @@ def scan(docs: DataFrame, text: str = "text", rate: float = 0.01) -> DataFrame:
 
     Offsets count code points, the end is exclusive.  Kinds are those of `BASE` and `random`, the tokens that the
     battery finds at the false-discovery rate `rate` and no base span covers exactly.  A null or empty text has no spans.
+    A column named secrets is replaced.
     The texts are read once; the stored table then has spans and candidates, and at most (strata x steps) counts of z
     reach the driver.
     """
-    found = docs.withColumn("_text", text_of(text)).withColumns(
+    found = docs.select(whole_row(docs), text_of(text).alias("_text")).withColumns(
         {f"_{kind}": _spans("_text", FAST.get(kind, pattern), group, least) for kind, pattern, group, least in BASE}
         | {"_candidates": _spans("_text", CANDIDATE, 0, 16)}
     )
     base = F.concat(*[_ranked(f"_{kind}", kind, i) for i, (kind, *_) in enumerate(BASE)])
-    found = found.select(*[F.col(f"`{c}`") for c in docs.columns], base.alias("_base"), _tested(F.col("_candidates")).alias("_tested"))
+    found = found.select("_doc", base.alias("_base"), _tested(F.col("_candidates")).alias("_tested"))
     found = stored(found, "secrets")
     cells = found.select(F.explode("_tested").alias("t")).groupBy("t.stratum", "t.step").count().collect()
     bounds = _bounds([tuple(c) for c in cells], rate)
@@ -142,7 +143,7 @@ def scan(docs: DataFrame, text: str = "text", rate: float = 0.01) -> DataFrame:
         is_random = (lambda rest, s, b: lambda t: rest(t) | ((t["stratum"] == s) & (t["step"] <= b)))(is_random, stratum, step)
     fresh = F.filter("_tested", lambda t: is_random(t) & ~F.exists("_base", lambda b: (b["start"] == t["start"]) & (b["end"] == t["end"])))
     added = F.transform(fresh, lambda t: F.struct(t["start"].alias("start"), F.lit(len(BASE)).alias("rank"), F.lit("random").alias("kind"), t["end"].alias("end")))
-    return found.select(*[F.col(f"`{c}`") for c in docs.columns], F.sort_array(F.concat("_base", added)).alias("secrets"))
+    return found.select(*row_back(docs, ("secrets",)), F.sort_array(F.concat("_base", added)).alias("secrets"))
 
 
 def _ranked(column: str, kind: str, rank: int) -> Column:
