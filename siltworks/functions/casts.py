@@ -10,7 +10,7 @@ EXPECTED_TYPES = ("STRING", "INTEGER", "FLOAT", "BOOLEAN", "DATE", "TIMESTAMP")
 
 _NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 _INFINITE = r"(?i)^\s*[+-]?inf(inity)?\s*$"
-_INTEGRAL = r"^\s*[+-]?[0-9]{1,18}\s*$"
+_INTEGRAL = r"^\s*[+-]?[0-9]+\s*$"
 
 
 def to_float(c: Column, source: T.DataType) -> Column:
@@ -32,7 +32,7 @@ def to_integer(c: Column, source: T.DataType) -> Column:
     d = to_float(c, source)
     from_double = F.when(d == F.floor(d), d.try_cast("bigint"))
     if isinstance(source, T.StringType):
-        # plain digits keep all 18 places, which a double would round
+        # plain digits are never read through a double, which would round them: what a bigint cannot hold is a failure
         return F.when(c.rlike(_INTEGRAL), F.trim(c).try_cast("bigint")).otherwise(from_double)
     return from_double
 

@@ -42,28 +42,25 @@ def drop_empty(values: Column) -> Column:
     return F.map_filter(values, lambda k, v: v.isNotNull() & (v != ""))
 
 
-# Longest path for which nested JSON is searched.
-MAX_DEPTH = 10
-
-
 def key_values(text: Column, key: str) -> Column:
-    """array<string>: JSON texts of all values of a key, whatever its case, at any depth down to ten.
+    """array<string>: JSON texts of all values of a key, whatever its case, at any depth.
 
-    The depth of the value is not known when the plan is made, so this one walks the document in an Arrow batch.
-    """
+    The depth of the value is not known when the plan is made, so this one walks the document in an Arrow batch, with a
+    stack of its own."""
     wanted = key.lower()
 
-    def walk(node, depth, out):
-        if depth > MAX_DEPTH:
-            return
-        if isinstance(node, dict):
-            for k, v in node.items():
-                if k.lower() == wanted:
-                    out.append(json.dumps(v, separators=(",", ":"), ensure_ascii=False))
-                walk(v, depth + 1, out)
-        elif isinstance(node, list):
-            for v in node:
-                walk(v, depth + 1, out)
+    def walk(document, out):
+        stack = [document]
+        while stack:
+            node = stack.pop()
+            if isinstance(node, tuple):  # a key with its value
+                if node[0].lower() == wanted:
+                    out.append(json.dumps(node[1], separators=(",", ":"), ensure_ascii=False))
+                node = node[1]
+            if isinstance(node, dict):
+                stack.extend(reversed(node.items()))
+            elif isinstance(node, list):
+                stack.extend(reversed(node))
 
     def values(s: str | None) -> list[str] | None:
         try:
@@ -71,7 +68,7 @@ def key_values(text: Column, key: str) -> Column:
         except (TypeError, ValueError):
             return None
         out: list[str] = []
-        walk(node, 0, out)
+        walk(node, out)
         return out
 
     @F.pandas_udf(T.ArrayType(T.StringType()))

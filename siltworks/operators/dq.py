@@ -35,8 +35,8 @@ def rules_from_catalog(dq_rules: DataFrame, dataset_id: str) -> list[Rule]:
 def flag(df: DataFrame, rules: Sequence[Rule], parents: Mapping[str, DataFrame] | None = None) -> DataFrame:
     """`df` with its columns cast by the rules, plus `_dq_invalid`, `_dq_warnings` and `_dq_hits` (every rule a row breaks).
 
-    All row rules compile into one projection.  A UNIQUE or REFERENTIAL rule adds one aggregate of its key column
-    and one join.  An incomplete rule (no severity, say) is not enforced.  A cast failure is recorded once per
+    All row rules compile into one projection.  A UNIQUE or REFERENTIAL rule adds one aggregate of its key column, taken
+    from the input whatever rules stand before it, and one join.  An incomplete rule (no severity, say) is not enforced.  A cast failure is recorded once per
     rule row, and a later rule on a column sees the value the earlier one left.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
@@ -71,9 +71,9 @@ def flag(df: DataFrame, rules: Sequence[Rule], parents: Mapping[str, DataFrame]
     out = df
     for rule, key, dtype, flag_col in relational:
         if rule.rule == "UNIQUE":
-            out = mark_repeated(out, key, flag_col, isinstance(dtype, T.StringType))
+            out = mark_repeated(out, key, flag_col, isinstance(dtype, T.StringType), source=df)
         else:
-            out = mark_orphans(out, key, parents[rule.value], rule.value.rsplit(".", 1)[-1], flag_col)
+            out = mark_orphans(out, key, parents[rule.value], rule.value.rsplit(".", 1)[-1], flag_col, source=df)
     # all three come from the same masks; flat expressions keep them inside generated code
     rejecting = [m for m, _, r, _, _ in hits if r]
     invalid = reduce(lambda a, b: a | b, rejecting) if rejecting else F.lit(False)

@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A key counts as hot when it holds at least 1/500 of all rows, so there are never more than 500 hot keys
-# and the list of them is safe to broadcast whatever the size of the table.
-HOT_SHARE = 500
+# The most frequent keys, answered by a broadcast: a key outside them holds less than 1/500 of all rows, and the list is
+# safe to broadcast whatever the size of the table.
+HOT_KEYS = 500
 
 
 def compact_key(key: Column, is_text: bool) -> Column:
@@ -30,12 +30,11 @@ def key_counts(df: DataFrame, key: Column) -> DataFrame:
 def attach_marks(df: DataFrame, key: Column, counts: DataFrame, out: str) -> DataFrame:
     """Add boolean `out` to every row: the mark `_m` of its key in `counts` (_k unique, _n, _m).  Null keys match null.
 
-    Hot keys are answered by a broadcast of at most ``HOT_SHARE`` rows, and their rows carry a null key plus a
-    salt (the task's partition number, stable when a task is retried) through the shuffle of the others.  Only
-    marked keys enter that shuffle; whether it becomes a broadcast is up to Spark's size check.
+    The `HOT_KEYS` most frequent keys are answered by a broadcast, and their rows carry a null key plus a salt (the task's
+    partition number, stable when a task is retried) through the shuffle of the others.  Only marked keys enter that
+    shuffle; whether it becomes a broadcast is up to Spark's size check.
     """
-    total = counts.agg(F.sum("_n")).scalar()
-    hot = counts.where(F.col("_n") * HOT_SHARE >= total).select(F.col("_k").alias("_hk"), F.col("_m").alias("_hm"))
+    hot = counts.orderBy(F.desc("_n"), "_k").limit(HOT_KEYS).select(F.col("_k").alias("_hk"), F.col("_m").alias("_hm"))
     # the zero is computed: a literal would be folded into the condition and the salt would be no join key any more
     zero = F.pmod(F.hash("_k"), F.lit(1))
     cold = counts.where("_m").select(F.col("_k").alias("_ck"), zero.alias("_cs"), F.lit(True).alias("_cm"))
@@ -49,16 +48,18 @@ def attach_marks(df: DataFrame, key: Column, counts: DataFrame, out: str) -> Dat
     return joined.select(*[F.col(f"`{c}`") for c in df.columns], mark.alias(out))
 
 
-def mark_repeated(df: DataFrame, key: Column, out: str, is_text: bool = False) -> DataFrame:
-    """Boolean `out` on every member of a group of equal keys (two nulls are equal)."""
+def mark_repeated(df: DataFrame, key: Column, out: str, is_text: bool = False, source: DataFrame | None = None) -> DataFrame:
+    """Boolean `out` on every member of a group of equal keys (two nulls are equal).
+
+    The keys are counted on `source` (by default `df`): the table that `df` only adds columns to."""
     key = compact_key(key, is_text)
-    return attach_marks(df, key, key_counts(df, key).withColumn("_m", F.col("_n") > 1), out)
+    return attach_marks(df, key, key_counts(df if source is None else source, key).withColumn("_m", F.col("_n") > 1), out)
 
 
-def mark_orphans(df: DataFrame, key: Column, parents: DataFrame, parent_key: str, out: str) -> DataFrame:
-    """Boolean `out` on rows whose non-null key has no row in `parents`."""
+def mark_orphans(df: DataFrame, key: Column, parents: DataFrame, parent_key: str, out: str, source: DataFrame | None = None) -> DataFrame:
+    """Boolean `out` on rows whose non-null key has no row in `parents`; `source` as in `mark_repeated`."""
     known = parents.select(F.col(parent_key).alias("_pk")).where("_pk is not null").distinct()
-    counts = key_counts(df, key).join(known, F.col("_k") == F.col("_pk"), "left")
+    counts = key_counts(df if source is None else source, key).join(known, F.col("_k") == F.col("_pk"), "left")
     return attach_marks(df, key, counts.select("_k", "_n", (F.col("_k").isNotNull() & F.col("_pk").isNull()).alias("_m")), out)
 
 

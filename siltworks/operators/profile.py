@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltworks.functions.lenient import iso_timestamp
-from siltworks.operators.keyed import compact_key, key_counts
+from siltworks.operators.keyed import compact_key
 from siltworks.operators.literals import literal_table
 from siltworks.operators.rule_catalog import is_timestamp_column
 
@@ -37,35 +37,33 @@ def type_name(t: T.DataType) -> str:
 
 
 def profile(df: DataFrame, dataset_id: str, keys: bool = True) -> DataFrame:
-    """Schema rows with gaps and key candidates.
+    """Schema rows with gaps and key candidates, as one lazy pass over the table.
 
-    Gaps and a sketch of the distinct values of key-like columns come from one pass.  Only a column that the sketch
-    puts within a fifth of the row count (ten standard errors) is then counted exactly, by one aggregate per column.
+    Every row is unfolded into its columns, each as whether it is null and, for key-like columns, its value (long texts
+    by digest); equal cells are counted together map-side, and the largest count of a column tells whether it is a key.
     """
-    named = [f.name for f in df.schema.fields if keys and any(t in f.name.lower() for t in KEY_TOKENS)]
     fields = df.schema.fields
-    seen = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.count_if(F.col(f"`{f.name}`").isNull()).alias(f"n{i}") for i, f in enumerate(fields)],
-        *[F.approx_count_distinct(F.col(f"`{c}`"), 0.02).alias(f"d{i}") for i, c in enumerate(named)],
-    ).first()
-    rows = seen["n"]
-    nulls = {f.name: seen[f"n{i}"] for i, f in enumerate(fields)}
-    unique = {c for i, c in enumerate(named) if rows and not nulls[c] and seen[f"d{i}"] >= rows * 0.8 and _is_unique(df, c)}
-    out = [
-        (dataset_id, f.name, type_name(f.dataType), nulls[f.name] > 0, i + 1, rows, nulls[f.name], f.name in unique)
-        for i, f in enumerate(fields)
-    ]
-    return literal_table(df.sparkSession, out, PROFILE)
-
-
-def _is_unique(df: DataFrame, c: str) -> bool:
-    text = isinstance(df.schema[c].dataType, T.StringType)
-    return key_counts(df, compact_key(F.col(f"`{c}`"), text)).agg(F.max("_n")).first()[0] == 1
+    cells, rows = [], []
+    for i, f in enumerate(fields):
+        c, named = F.col(f"`{f.name}`"), keys and any(t in f.name.lower() for t in KEY_TOKENS)
+        value = compact_key(c.cast("string"), True) if named else F.lit("")
+        cells.append(F.struct(F.lit(i).alias("i"), c.isNull().alias("gap"), F.when(c.isNotNull(), value).alias("value")))
+        rows.append((dataset_id, f.name, type_name(f.dataType), i, named))
+    counted = df.select(F.inline(F.array(*cells))).groupBy("i", "gap", "value").agg(F.count(F.lit(1)).alias("n"))
+    per = counted.groupBy("i").agg(
+        F.sum("n").alias("row_count"), F.coalesce(F.sum(F.when(F.col("gap"), F.col("n"))), F.lit(0)).alias("null_count"), F.max("n").alias("most")
+    )
+    names = literal_table(df.sparkSession, rows, "dataset_id string, column_name string, data_type string, i int, named boolean")
+    zero = F.lit(0).cast("bigint")
+    return names.join(F.broadcast(per), "i", "left").select(  # one row per column
+        "dataset_id", "column_name", "data_type", (F.coalesce("null_count", zero) > 0).alias("nullable"), (F.col("i") + 1).alias("ordinal"),
+        F.coalesce("row_count", zero).alias("row_count"), F.coalesce("null_count", zero).alias("null_count"),
+        F.coalesce(F.col("named") & (F.col("null_count") == 0) & (F.col("most") == 1), F.lit(False)).alias("key_candidate"),
+    )
 
 
 def value_type(text: Column) -> Column:
-    """What a text value looks like: INTEGER, DOUBLE, TIMESTAMP, JSON, BOOLEAN or STRING."""
+    """What a text value looks like: INTEGER, DOUBLE, TIMESTAMP, JSON or STRING."""
     t = F.trim(text)
     return (
         F.when(t.rlike(r"^-?[0-9]+$"), "INTEGER")

@@ -34,8 +34,11 @@ def upsert(
 
 
 def newer_than(df: DataFrame, watermark: str, last) -> DataFrame:
-    """Incremental load: rows past the stored watermark, all rows where none is stored."""
-    return df if last is None else df.where(F.col(watermark) > F.lit(last))
+    """Incremental load: rows at or past the stored watermark, all rows where none is stored.
+
+    Late rows of the stored watermark itself come again, which a keyed merge takes without a change, and a row without a
+    watermark is always new, as `upsert` counts it as the latest."""
+    return df if last is None else df.where((F.col(watermark) >= F.lit(last)) | F.col(watermark).isNull())
 
 
 def absent_from(df: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -208,7 +208,7 @@ def run_dataset(
             m["gold_rows"] = write_counted(gold, paths["Gold"])["rows"]
             m["gold_status"], m["gold_path"] = "PASSED", paths["Gold"]
         except Exception as e:  # a failed publish is a status of the run, not its end
-            m["gold_status"], m["reason"] = "FAILED", str(e)[:500]
+            m["gold_status"], m["reason"] = "FAILED", str(e)
     else:
         m["gold_status"], m["reason"] = "SKIPPED", "no clean rows"
     _record(store, dataset, batch_id, ingest_ts, m)
@@ -219,7 +219,7 @@ def run_dataset(
 
 def record_failure(store: LayerStore, dataset: Dataset, batch_id: str, ingest_ts: str, reason: str) -> None:
     _record(store, dataset, batch_id, ingest_ts, {
-        "dataset_id": dataset.dataset_id, "dataset_name": dataset.name, "status": "FAILURE", "reason": reason[:500],
+        "dataset_id": dataset.dataset_id, "dataset_name": dataset.name, "status": "FAILURE", "reason": reason,
     })
 
 
@@ -237,5 +237,5 @@ def run_batch(store: LayerStore, jobs: Sequence[dict], batch_id: str, ingest_ts:
             out.append(run_dataset(store, batch_id=batch_id, ingest_ts=ingest_ts, **job))
         except Exception as e:
             record_failure(store, job["dataset"], batch_id, ingest_ts, str(e))
-            out.append({"dataset_id": job["dataset"].dataset_id, "status": "FAILURE", "reason": str(e)[:500]})
+            out.append({"dataset_id": job["dataset"].dataset_id, "status": "FAILURE", "reason": str(e)})
     return out

@@ -62,7 +62,7 @@ def silver_upsert_composite(spark, sf):
     "silver_incremental",
     sql="""
     select o_orderstatus, count(*) as n, cast(max(o_orderkey) as bigint) as last_key from orders
-    where o_orderdate > timestamp '1998-01-01 00:00:00' group by o_orderstatus""",
+    where o_orderdate >= timestamp '1998-01-01 00:00:00' group by o_orderstatus""",
 )
 def silver_incremental(spark, sf):
     new = newer_than(table(spark, sf, "orders"), "o_orderdate", "1998-01-01 00:00:00")
@@ -193,6 +193,27 @@ def silver_partition_counts(spark, sf):
     )
 
 
-@query("preview_rows")
+@query(
+    "silver_incremental_null_watermark",
+    sql="""
+    select o_orderstatus, count(*) as n from orders
+    where o_orderkey % 5 = 0 or o_orderdate >= (select max(o_orderdate) from orders where o_orderkey % 5 <> 0) group by o_orderstatus""",
+)
+def silver_incremental_null_watermark(spark, sf):
+    """Every fifth order has no watermark; the stored one is the highest of the others, whose rows come again."""
+    o = table(spark, sf, "orders").withColumn("wm", F.expr("case when o_orderkey % 5 <> 0 then o_orderdate end"))
+    last = o.agg(F.max("wm")).first()[0]
+    return newer_than(o, "wm", last).where("o_orderkey % 5 = 0 or wm is not null").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "preview_rows",
+    sql="""
+    select coalesce(cast(o_orderkey as varchar), '') as o_orderkey, coalesce(cast(o_custkey as varchar), '') as o_custkey,
+      coalesce(o_orderstatus, '') as o_orderstatus, coalesce(o_orderpriority, '') as o_orderpriority
+    from orders order by orders.o_orderkey limit 100""",
+)
 def preview_rows(spark, sf):
-    return preview(table(spark, sf, "orders"), 100)
+    """The hundred smallest order keys: the preview's own limit, under a fixed order."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    return preview(o.orderBy("o_orderkey"), 100)

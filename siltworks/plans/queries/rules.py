@@ -337,3 +337,65 @@ def dq_segment_summary(spark, sf):
 )
 def dq_no_rules(spark, sf):
     return flagged_counts(dq.flag(table(spark, sf, "part"), []))
+
+
+# Nineteen- and twenty-digit texts: the last two digits are lost by a double.
+_LONG_IDS = [
+    "o_orderkey",
+    "case o_orderkey % 4 when 0 then '99999999999999999999' when 1 then '12345678901234' || lpad(cast(o_orderkey as varchar(20)), 5, '0') "
+    "when 2 then '922337203685477' || lpad(cast(o_orderkey % 5808 as varchar(20)), 4, '0') else cast(o_orderkey as varchar(20)) end as id_text",
+]
+_LONG_IDS_SQL = f"ids as (select {', '.join(_LONG_IDS)} from orders)"
+
+
+def long_ids(spark, sf):
+    return table(spark, sf, "orders").selectExpr(*_LONG_IDS)
+
+
+@query(
+    "cast_long_integers",
+    sql=f"with {_LONG_IDS_SQL} select o_orderkey, try_cast(id_text as bigint) as id, try_cast(id_text as bigint) is null as failed from ids",
+)
+def cast_long_integers(spark, sf):
+    from pyspark.sql import types as T
+
+    from siltworks.functions.casts import to_integer
+
+    value = to_integer(F.col("id_text"), T.StringType())
+    return long_ids(spark, sf).select("o_orderkey", value.alias("id"), value.isNull().alias("failed"))
+
+
+@query(
+    "dq_unique_long_integers",
+    sql=f"""
+    with {_LONG_IDS_SQL}, n as (select try_cast(id_text as bigint) as id, count(*) as n from ids group by 1)
+    select i.o_orderkey from ids i left join n on n.id = try_cast(i.id_text as bigint)
+    where try_cast(i.id_text as bigint) is null or n.n > 1""",
+)
+def dq_unique_long_integers(spark, sf):
+    """Ids that a bigint cannot hold are cast failures; of the others only equal ones repeat."""
+    rules = [Rule("id_text", "INTEGER", "UNIQUE", "ERROR")]
+    return dq.rejected_rows(dq.flag(long_ids(spark, sf), rules)).select("o_orderkey")
+
+
+@query(
+    "dq_many_keys",
+    sql="""
+    with k as (
+      select l_orderkey, l_linenumber,
+        count(*) over (partition by l_orderkey) > 1 as a, count(*) over (partition by l_partkey) > 1 as b, count(*) over (partition by l_suppkey) > 1 as c,
+        count(*) over (partition by l_comment_key) > 1 as d, l_partkey not in (select p_partkey from part where p_partkey % 7 <> 0) as e
+      from (select *, l_orderkey * 7 + l_linenumber as l_comment_key from lineitem))
+    select count(*) as rows_read, count(*) filter (where a or d) as failed_rows, count(*) filter (where not (a or d)) as valid_rows,
+      cast(sum(case when b then 1 else 0 end + case when c then 1 else 0 end + case when e then 1 else 0 end) as bigint) as warnings from k""",
+)
+def dq_many_keys(spark, sf):
+    """Four UNIQUE rules and one REFERENTIAL rule on one table."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    li = li.withColumn("l_comment_key", F.col("l_orderkey") * 7 + F.col("l_linenumber"))
+    parts = table(spark, sf, "part").where("p_partkey % 7 <> 0")
+    rules = [
+        Rule("l_orderkey", "INTEGER", "UNIQUE", "ERROR"), Rule("l_partkey", "INTEGER", "UNIQUE", "WARN"), Rule("l_suppkey", "INTEGER", "UNIQUE", "WARN"),
+        Rule("l_comment_key", "INTEGER", "UNIQUE", "BLOCK"), Rule("l_partkey", "INTEGER", "REFERENTIAL", "WARN", "part.p_partkey"),
+    ]
+    return flagged_counts(dq.flag(li, rules, {"part.p_partkey": parts}))

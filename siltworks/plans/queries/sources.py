@@ -75,6 +75,49 @@ def read_json_documents(spark, sf):
     return readers.read_json(spark, path, "document").select("doc_id", "quality", "toxic")
 
 
+@query(
+    "read_csv_long_integers",
+    sql="""
+    select o_orderkey, cast('12345678901234' || lpad(cast(o_orderkey as varchar), 5, '0') as bigint) as id,
+      '99999999999999' || lpad(cast(o_orderkey as varchar), 8, '0') as longer from orders where o_orderkey < 100000""",
+)
+def read_csv_long_integers(spark, sf):
+    """Nineteen digits are a bigint, twenty-two a decimal."""
+    path = f"{scratch_path(spark, 'ids')}.csv"
+    ids = table(spark, sf, "orders").where("o_orderkey < 100000").selectExpr(
+        "o_orderkey", "'12345678901234' || lpad(o_orderkey, 5, '0') as id", "'99999999999999' || lpad(o_orderkey, 8, '0') as longer"
+    )
+    ids.write.csv(path, header=True)
+    back = readers.read_file(spark, path, infer=True)
+    if back.schema["longer"].dataType.simpleString() != "decimal(38,0)":
+        raise TypeError("the longer ids are not decimals")
+    return back.select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"), "id", F.col("longer").cast("string").alias("longer"))
+
+
+@query("read_json_mixed_folder", sql="select doc_id, quality, toxic from labels")
+def read_json_mixed_folder(spark, sf):
+    """One folder with lines, array documents and pretty-printed arrays; every label comes back."""
+    path = scratch_path(spark, "mixed")
+    labels = table(spark, sf, "labels").select("doc_id", "quality", "toxic")
+    one = F.to_json(F.struct("doc_id", "quality", "toxic"))
+    labels.where("doc_id % 3 = 0").select(one.alias("value")).write.text(f"{path}/lines")
+    for k, gap in ((1, ","), (2, ",\n  ")):
+        docs = labels.where(f"doc_id % 3 = {k}").groupBy(F.expr("doc_id div 1000").alias("part"))
+        body = F.concat(F.lit("[" if k == 1 else "[\n  "), F.array_join(F.collect_list(one), gap), F.lit("]" if k == 1 else "\n]"))
+        docs.agg(body.alias("value")).write.partitionBy("part").text(f"{path}/docs{k}")
+    everything = [f"{path}/lines", *[f"{path}/docs{k}/part=*" for k in (1, 2)]]
+    return readers.read_json(spark, everything).select("doc_id", "quality", "toxic")
+
+
+@query("read_json_pretty", sql="select n_nationkey, n_name from nation")
+def read_json_pretty(spark, sf):
+    """One pretty-printed object per file."""
+    path = scratch_path(spark, "pretty")
+    value = F.concat(F.lit('{\n  "n_nationkey": '), F.col("n_nationkey").cast("string"), F.lit(',\n  "n_name": "'), F.col("n_name"), F.lit('"\n}'))
+    table(spark, sf, "nation").select(value.alias("value"), F.col("n_nationkey").alias("part")).write.partitionBy("part").text(path)
+    return readers.read_json(spark, f"{path}/part=*").select("n_nationkey", "n_name")
+
+
 @query(
     "read_bad_lines",
     sql="""

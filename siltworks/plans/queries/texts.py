@@ -465,6 +465,16 @@ def nested_key_values(spark, sf):
     return table(spark, sf, "events").select("event_id", _joined(tx.key_values(doc, "k")).alias("ks"))
 
 
+@query(
+    "nested_key_values_deep",
+    sql="select event_id, regexp_extract(props, '[0-9]+') as ks from events",
+)
+def nested_key_values_deep(spark, sf):
+    """The value stands fifteen levels down."""
+    doc = F.concat(F.lit('{"a":[' * 7), F.col("props"), F.lit("]}" * 7))
+    return table(spark, sf, "events").select("event_id", _joined(tx.key_values(doc, "K")).alias("ks"))
+
+
 @query(
     "flattened_structs",
     sql="select event_id, event_type as \"a.kind\", value as \"a.v.amount\", user_id as \"a.v.who\" from events",

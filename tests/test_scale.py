@@ -165,3 +165,19 @@ def test_score_rounding(spark):
     df = spark.createDataFrame([(v,) for v in values], "x double")
     for r in df.select("x", two_places(F.col("x")).alias("t")).collect():
         assert r["t"] == f"{r['x']:.2f}"
+
+
+def test_keyed_rules_count_on_the_input(spark):
+    """k keyed rules plan one scan of the table, two of its counted keys each, and one of each parent table."""
+    li = table(spark, SF, "lineitem")
+    keys = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+    for k in range(1, 5):
+        p = plan(dq.flag(li, [Rule(c, "INTEGER", "UNIQUE", "ERROR") for c in keys[:k]]))
+        assert p.split("== Initial Plan ==")[-1].count("FileScan parquet") <= 2 * k + 1
+
+
+def test_profiles_are_one_lazy_pass(spark):
+    from siltworks.operators.profile import profile
+
+    p = plan(profile(table(spark, SF, "lineitem"), "lineitem"))
+    assert p.split("== Initial Plan ==")[-1].count("FileScan parquet") == 1
