@@ -115,17 +115,15 @@ def split_counts(flagged: DataFrame) -> DataFrame:
 def details(flagged: DataFrame, rules: Sequence[Rule], samples: int = 5) -> DataFrame:
     """(bucket, rule_id, column, rule, expected, count, samples): what each rule caught.
 
-    Equal offending texts are first counted together, map-side and then per text, so a rule that fails on a third of
-    the table with one value moves one row per task.  Counts and samples (the smallest texts) both come from that one
-    table, whose shuffle Spark runs once.
+    Counts are plain sums per rule; no text crosses a shuffle for them.  The samples are the smallest texts, of which
+    every task keeps as many as are wanted before anything moves.
     """
     keys = ["rule_id", "kind", "rejects"]
     long = explode_once(flagged, [], F.col(HITS), "h").select("h.*")
-    grouped = long.groupBy(*keys, "sample").agg(F.count(F.lit(1)).alias("n"))
-    counts = grouped.groupBy(*keys).agg(F.sum("n").alias("count"))
-    top = first_n_per_key(grouped, keys, [F.asc_nulls_last("sample")], samples, "_rn")
-    texts = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("_rn", "sample", "n"))), lambda x: F.array_repeat(x["sample"], F.least(x["n"], F.lit(samples)).cast("int"))))
-    picked = top.groupBy(*keys).agg(F.slice(F.filter(texts, lambda t: t.isNotNull()), 1, samples).alias("samples"))
+    counts = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"))
+    top = first_n_per_key(long, keys, [F.asc_nulls_last("sample")], samples, "_rn")
+    texts = F.transform(F.sort_array(F.collect_list(F.struct("_rn", "sample"))), lambda x: x["sample"])
+    picked = top.groupBy(*keys).agg(F.filter(texts, lambda t: t.isNotNull()).alias("samples"))
     spark = flagged.sparkSession
     names = literal_table(
         spark, [(i, r.column, r.expected_type) for i, r in enumerate(rules)], "rule_id int, column string, expected string"
