@@ -1,8 +1,9 @@
 """The layered run of one dataset: raw -> bronze -> checked -> silver, rejected and gold.
 
-Every layer is a directory per batch that the batch overwrites, so a run repeated after a failure leaves the same
-files.  Silver is versioned: a run writes a new snapshot and then one row of the version table, so nothing is
-overwritten while it is being read and a reader never sees half a merge.  Control rows (versions, history, reports)
+Every layer but silver is a directory per batch that the batch overwrites, so a run repeated after a failure leaves the
+same files.  Silver is versioned: every attempt of a run writes a snapshot of its own and then one row of the version
+table, so nothing is overwritten while it is being read and a reader never sees half a merge.  A batch that runs again
+after later ones is merged below them: their rows win.  Control rows (versions, history, reports)
 are one small directory per run and dataset, overwritten by a repeated run.
 """
 
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -125,6 +127,11 @@ class LayerStore:
             rows = rows.where(F.col("batch_id") != before_batch)
         return rows.agg(F.max(F.struct("version", "path", "schema_json")).alias("top")).first()["top"]
 
+    def version_of(self, dataset: Dataset, batch_id: str) -> int | None:
+        """The version that a batch has made, if it has run before."""
+        rows = self.versions().where((F.col("dataset_id") == dataset.dataset_id) & (F.col("batch_id") == batch_id))
+        return rows.agg(F.max("version")).first()[0]
+
     def read_snapshot(self, path: str, schema: T.StructType) -> DataFrame:
         """A silver snapshot with its own schema: types of partition columns are not guessed from directory names."""
         return self.spark.read.schema(schema).parquet(path)
@@ -193,7 +200,10 @@ def run_dataset(
     if has_valid:
         top = store.current_version(dataset, before_batch=batch_id)
         existing = store.silver(dataset, before_batch=batch_id) if dataset.incremental else None
-        silver = merge_silver(valid, dataset, existing)
+        own = store.version_of(dataset, batch_id)
+        late = existing is not None and own is not None and own < top["version"]
+        silver = merge_silver(existing, dataset, valid) if late else merge_silver(valid, dataset, existing)
+        paths["Silver"] += f"/attempt={uuid.uuid4().hex}"
         by = [dataset.partition_column] if dataset.partition_column in silver.columns else []
         m["silver_rows"] = write_counted(silver, paths["Silver"], partition_by=by)["rows"]
         m["silver_path"] = paths["Silver"]
