@@ -216,15 +216,39 @@ def file_inventory_known_formats(spark, sf):
     return inventory.with_formats(inventory.describe(files, F.lit("acme"), F.lit("LOCAL"))).select("file_name")
 
 
-@query("table_files")
+def source_files(spark, sf) -> str:
+    """A folder with one file for each source of the documents: their ids in order."""
+    path = scratch_path(spark, "by_source")
+    ids = table(spark, sf, "documents").select("doc_id", "source")
+    ids.repartition("source").sortWithinPartitions("source", "doc_id").write.partitionBy("source").csv(path)
+    return path
+
+
+_SOURCE = r"/source=([^/]*)/"
+
+
+@query(
+    "table_files",
+    sql="""
+    select source, 'CSV' as file_format, cast(sum(length(cast(doc_id as varchar)) + 1) as bigint) as file_size, 'LOCAL' as source_type, 'acme' as client_name
+    from documents group by source""",
+)
 def table_files(spark, sf):
-    """The table files themselves, by a listing that opens none of them."""
-    return inventory.describe(inventory.list_files(spark, sf, "*.parquet"), F.lit("acme"), F.lit("LOCAL")).drop("file_path")
+    """Written files, by a listing that opens none of them."""
+    files = inventory.list_files(spark, source_files(spark, sf), "*.csv")
+    rows = inventory.describe(files, F.lit("acme"), F.lit("LOCAL"))
+    return rows.select(F.regexp_extract("file_path", _SOURCE, 1).alias("source"), "file_format", "file_size", "source_type", "client_name")
 
 
-@query("landing_manifest")
+@query(
+    "landing_manifest",
+    sql="""
+    select source, cast(sum(length(cast(doc_id as varchar)) + 1) as bigint) as length,
+      sha256(string_agg(cast(doc_id as varchar) || chr(10), '' order by doc_id)) as sha256 from documents group by source""",
+)
 def landing_manifest(spark, sf):
-    return inventory.manifest(spark, sf, "acme", "B1").drop("source_path", "dataset_id")
+    rows = inventory.manifest(spark, source_files(spark, sf), "acme", "B1").where("raw_path like 'Raw/acme/B1/%.csv'")
+    return rows.select(F.regexp_extract("source_path", _SOURCE, 1).alias("source"), "length", "sha256")
 
 
 @query(

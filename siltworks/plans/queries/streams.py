@@ -34,12 +34,18 @@ def stream_ingest(spark, sf):
     return store.silver(EVENTS).select("user_id", "event_id", "event_type")
 
 
-@query("stream_arrival_log")
+@query(
+    "stream_arrival_log",
+    sql="select source, 'PASS' as validation_status, 'B000000' as batch_id, count(*) as files from (select distinct source from documents) group by source",
+)
 def stream_arrival_log(spark, sf):
-    """Landing checks of the table files as they arrive."""
+    """Landing checks of files as they arrive, one file for each source of the documents."""
+    from siltworks.plans.queries.sources import source_files
+
     root = scratch_path(spark, "arrivals")
-    log_arrivals(spark, sf, f"{root}/log", "web", "B", "2024-01-02T03:04:05", f"{root}/checkpoint", "*.parquet").awaitTermination()
-    return spark.read.parquet(f"{root}/log").select("source_object", "validation_status", "batch_id")
+    log_arrivals(spark, source_files(spark, sf), f"{root}/log", "web", "B", "2024-01-02T03:04:05", f"{root}/checkpoint", "*.csv").awaitTermination()
+    log = spark.read.parquet(f"{root}/log").withColumn("source", F.regexp_extract("source_path", "/source=([^/]*)/", 1))
+    return log.groupBy("source", "validation_status", "batch_id").agg(F.count(F.lit(1)).alias("files"))
 
 
 @query(

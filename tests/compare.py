@@ -58,7 +58,7 @@ def compare(spark, con, name, fn, sql, sf_dir):
     if not got:
         return "no rows"
     if sql is None:
-        return None
+        return "no SQL to compare with"
     cur = con.execute(sql)
     cols = [d[0] for d in cur.description]
     if sorted(cols) != sorted(df.columns):
