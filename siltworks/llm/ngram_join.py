@@ -8,11 +8,15 @@ What is compared is narrowed without losing a pair.  A pair over the threshold t
 1. Documents with equal sets are one node.
 2. Peeling: of a node's n-grams in the first part of the order, all but (1 - t) of its whole set must occur in another node.
    Blocks of documents send each distinct n-gram once to its key range, which answers how many are shared.
-3. Of the nodes left, frequencies are counted; a pair must share one of the rarest (1 - t) n-grams of each, its prefix.
-4. The nodes that share a prefix n-gram form a list.  A list is not expanded into pairs: its members are compared with a
-   leader, and lists whose members have come into one component are closed.  Only pairs of a list that are still in
-   different components after some rounds are compared one by one.  So every link either is found or joins two nodes
-   that are already connected.
+3. Of the nodes left, n-grams that no other has are set aside; each counts against its node.  What a pair over the
+   threshold may differ in is then a small number B.  The order is cut into 1, 2, 4, ... fragments; once a node has more
+   than B fragments with n-grams in them, one of these must be equal in both.  So nodes are listed by their whole
+   fragments, at every cut up to the one that is fine enough for them, and a pair is taken from the coarsest cut that is
+   fine enough for it.  A passage or a word that many documents share makes no list: all of a fragment must agree.
+4. A list is not expanded into pairs: its members are compared with a leader, the one with the fewest n-grams of its own,
+   and lists whose members have come into one component are closed.  Only pairs of a list that are still in different
+   components after some rounds are compared one by one.  So every link either is found or joins two nodes that are
+   already connected.
 
 N-grams are known by 48-bit hashes, sets by 64-bit hashes.
 """
@@ -24,13 +28,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltworks.llm.common import components, stored
 
 PROBED = 0.3  # the first part of the order, by which nodes are peeled; must be over 1 - threshold
-BLOCK = 1_500_000  # n-grams a block sends
+BLOCK = 1_500_000  # n-grams a block of documents sends
+SPAN = 2_000_000  # n-grams a key range gets, about
+SIEVE_BITS = 1 << 25
+STRIPS = 256
 FRAGMENTS = 4
 ROUNDS = 2
 _TOP = 1 << 48
@@ -40,8 +48,9 @@ def grams(words: list[bytes], width: int, hashes: dict[bytes, int]) -> np.ndarra
     """The sorted distinct 48-bit hashes of the n-grams; of a shorter text the whole sequence is one; none without words."""
     if not words:
         return np.zeros(0, dtype=np.int64)
-    for w in set(words) - hashes.keys():
-        hashes[w] = xxhash.xxh64_intdigest(w)
+    for w in set(words):
+        if w not in hashes:
+            hashes[w] = xxhash.xxh64_intdigest(w)
     h = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
     n = min(width, len(h))
     total = np.full(len(h) - n + 1, n, dtype=np.uint64)
@@ -87,101 +96,203 @@ def _sets(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     return docs.select(F.col(key).cast("long"), text).mapInArrow(run, "doc_id long, node long, n long, probe binary")
 
 
-def _shared(sets: DataFrame, spans: int) -> DataFrame:
-    """(node, k): in how many of the probed n-grams of a node another node has a part (never too few)."""
-
-    def block(nodes: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        names = np.fromiter(nodes, dtype=np.int64, count=len(nodes))
-        owner = np.repeat(np.arange(len(names)), [len(g) for g in nodes.values()])
-        keys = np.concatenate(list(nodes.values()))
-        order = np.argsort(keys, kind="stable")
-        keys, owner = keys[order], owner[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        count = np.diff(np.concatenate([first, [len(keys)]]))
-        inside = np.repeat(count > 1, count)
-        credit = np.bincount(owner[inside], minlength=len(names))
-        some = credit > 0
-        # a key that several nodes of the block have is sent without an owner
-        sent, who = keys[first], np.where(count > 1, 0, names[owner[first]])
-        edges = np.searchsorted(sent * spans >> 48, np.arange(spans + 1)) if spans < 32768 else np.searchsorted((sent >> 16) * spans >> 32, np.arange(spans + 1))
-        rows = [(None, int(n), int(k), None, None) for n, k in zip(names[some], credit[some], strict=True)]
-        rows += [(s, None, None, _six(sent[edges[s] : edges[s + 1]]), who[edges[s] : edges[s + 1]].tobytes()) for s in np.flatnonzero(np.diff(edges)).tolist()]
-        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["span", "node", "k", "keys", "owners"])
+def _block(nodes: dict[int, np.ndarray], spans: int, which: bool) -> pa.RecordBatch:
+    """What a block of nodes knows by itself (credits) and asks the key ranges."""
+    names = np.fromiter(nodes, dtype=np.int64, count=len(nodes))
+    owner = np.repeat(np.arange(len(names)), [len(g) for g in nodes.values()])
+    keys = np.concatenate(list(nodes.values()))
+    order = np.argsort(keys, kind="stable")
+    keys, owner = keys[order], owner[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    count = np.diff(np.append(first, len(keys)))
+    inside = np.repeat(count > 1, count)
+    rows = [(n % spans, n, k, raw, None, None, None) for n, k, raw in _credits(names[owner[inside]], keys[inside], which)]
+    # a key that several nodes of the block have is sent without an owner
+    sent, who = keys[first], np.where(count > 1, -1, owner[first])
+    edges = np.searchsorted((sent >> 16) * spans >> 32, np.arange(spans + 1))
+    for s in np.flatnonzero(np.diff(edges)).tolist():
+        own, place = np.unique(who[edges[s] : edges[s + 1]], return_inverse=True)
+        ids = np.where(own < 0, 0, names[own])
+        rows.append((s, None, None, None, _six(sent[edges[s] : edges[s + 1]]), _planes(place), np.append(own < 0, ids).astype(np.int64).tobytes()))
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+    names_ = ["span", "node", "k", "grams", "keys", "owners", "names"]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names_)
+
+
+def _credits(node: np.ndarray, keys: np.ndarray, which: bool) -> Iterator[tuple[int, int, bytes | None]]:
+    if not len(node):
+        return
+    order = np.argsort(node, kind="stable")
+    node, keys = node[order], keys[order]
+    starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+    for a, b in zip(starts, np.append(starts[1:], len(node)), strict=True):
+        yield int(node[a]), int(b - a), _six(keys[a:b]) if which else None
+
+
+def _planes(numbers: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def _from_planes(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def _shared(table: DataFrame, spans: int, which: bool) -> DataFrame:
+    """(node, k) or, with `which`, (node, grams): how many or which of a node's n-grams another node has as well.
+
+    table: node and keys, six-byte binary or array<long>.  Equal nodes count as one; k may be too large where a node has
+    rows in several blocks, never too small.
+    """
+    kind = "node long, k long, grams binary"
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes: dict[int, np.ndarray] = {}
         size = 0
         for batch in batches:
-            for node, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if raw and node not in nodes:
-                    nodes[node] = _from_six(raw)
-                    size += len(nodes[node])
-                    if size >= BLOCK:
-                        yield from block(nodes)
-                        nodes, size = {}, 0
+            for node, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                keys = _from_six(raw.as_py()) if isinstance(raw, pa.BinaryScalar) else raw.values.to_numpy()
+                if not len(keys):
+                    continue
+                if node in nodes and which:  # another fragment of it
+                    nodes[node] = np.concatenate([nodes[node], keys])
+                elif node not in nodes:
+                    nodes[node] = keys
+                else:
+                    continue
+                size += len(keys)
+                if size >= BLOCK and (not which or len(nodes) > 1):
+                    last = {node: nodes.pop(node)} if which else {}  # its other fragments may follow
+                    yield _block(nodes, spans, which)
+                    nodes, size = last, sum(map(len, last.values()))
         if nodes:
-            yield from block(nodes)
+            yield _block(nodes, spans, which)
 
     def answer(asked: pa.Table) -> pa.Table:
-        keys = np.concatenate([_from_six(r) for r in asked.column("keys").to_pylist()] or [np.zeros(0, np.int64)])
-        owners = np.concatenate([np.frombuffer(r, np.int64) for r in asked.column("owners").to_pylist()] or [np.zeros(0, np.int64)])
-        order = np.lexsort((owners, keys))
-        keys, owners = keys[order], owners[order]
-        first = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
-        group = np.cumsum(first) - 1
-        starts = np.flatnonzero(first)
-        ends = np.concatenate([starts[1:], [len(keys)]]) - 1 if len(keys) else starts
-        shared = (owners[starts] != owners[ends]) if len(keys) else np.zeros(0, bool)
-        node, k = np.unique(owners[shared[group] & (owners != 0)], return_counts=True) if len(keys) else (owners, owners)
-        return pa.table({"node": pa.array(node, pa.int64()), "k": pa.array(k, pa.int64())})
-
-    asked = sets.where("n > 0").select("node", "probe").mapInArrow(ask, "span int, node long, k long, keys binary, owners binary")
-    asked = stored(asked, "gram-blocks")
-    near = asked.where("span is null").select("node", "k")
-    far = asked.where("span is not null").groupBy("span").applyInArrow(answer, "node long, k long")
-    return near.unionByName(far).groupBy("node").agg(F.sum("k").alias("k"))
-
-
-def _fragments(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """(node, n, fragment, grams): the sets of documents, cut along the order of n-grams."""
+        rows = asked.to_pylist()
+        out = [(r["node"], r["k"], r["grams"]) for r in rows if r["keys"] is None]
+        rows = [r for r in rows if r["keys"] is not None]
+        if rows:
+            keys, owners, open_ = [], [], []
+            for r in rows:
+                names = np.frombuffer(r["names"], np.int64)
+                own, ids = names[: len(names) // 2].astype(bool), names[len(names) // 2 :]
+                place = _from_planes(r["owners"])
+                keys.append(_from_six(r["keys"]))
+                owners.append(ids[place])
+                open_.append(own[place])
+            keys, owners, open_ = np.concatenate(keys), np.concatenate(owners), np.concatenate(open_)
+            order = np.lexsort((owners, keys))
+            keys, owners, open_ = keys[order], owners[order], open_[order]
+            starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            count = np.diff(np.append(starts, len(keys)))
+            several = np.logical_or.reduceat(open_, starts) | (owners[starts] != owners[starts + count - 1])
+            asks = np.repeat(several, count) & ~open_
+            # rows of one node in several blocks ask for a key more than once
+            asks &= np.concatenate([[True], (keys[1:] != keys[:-1]) | (owners[1:] != owners[:-1]) | open_[:-1]])
+            out += list(_credits(owners[asks], keys[asks], which))
+        return pa.table({"node": pa.array([r[0] for r in out], pa.int64()), "k": pa.array([r[1] for r in out], pa.int64()), "grams": pa.array([r[2] for r in out], pa.binary())})
+
+    asked = table.mapInArrow(ask, "span int, node long, k long, grams binary, keys binary, owners binary, names binary")
+    answered = asked.groupBy("span").applyInArrow(answer, kind)
+    if which:
+        return answered.groupBy("node").agg(F.collect_list("grams").alias("grams"))
+    return answered.groupBy("node").agg(F.sum("k").alias("k"))
+
+
+def _sieve(ids: DataFrame) -> np.ndarray:
+    """A bitmap of hashed ids, of a fixed size whatever their number: it lets all of them pass, and few others."""
+    h = F.pmod(F.xxhash64(F.col(ids.columns[0])), F.lit(SIEVE_BITS))
+    words = ids.select(h.alias("h")).selectExpr("shiftright(h, 5) as w", "shiftleft(1L, cast(h & 31 as int)) as bit")
+    got = words.groupBy("w").agg(F.bit_or("bit").alias("bits")).toPandas()
+    sieve = np.zeros(SIEVE_BITS // 32, dtype=np.uint32)
+    sieve[got["w"].to_numpy(dtype=np.int64)] = got["bits"].to_numpy(dtype=np.int64).astype(np.uint32)
+    return sieve
+
+
+def _fragments(docs: DataFrame, key: str, text: str, width: int, sieve: np.ndarray) -> DataFrame:
+    """(doc_id, node, n, fragment, grams, sizes): the sets of the documents that pass the sieve, cut along the order of
+    n-grams; sizes, at the first fragment: how many n-grams each of `STRIPS` strips of the order has."""
     edges = np.array([_TOP * k // FRAGMENTS for k in range(1, FRAGMENTS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes: dict[bytes, int] = {}
         for batch in batches:
+            h = batch.column("h").to_numpy()
+            batch = batch.filter(pa.array((sieve[h >> 5] >> (h & 31).astype(np.uint32) & 1).astype(bool)))
             for at in range(0, batch.num_rows, 256):
-                node, n, fragment, parts = [], [], [], []
-                for t in batch.slice(at, 256).column(0).to_pylist():
+                part = batch.slice(at, 256)
+                doc, node, n, fragment, parts, sizes = [], [], [], [], [], []
+                for i, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
                     g = grams((t or "").encode().lower().split(), width, hashes)
-                    for f, part in enumerate(np.split(g, np.searchsorted(g, edges))):
-                        node.append(np.uint64(xxhash.xxh64_intdigest(g.tobytes())).astype(np.int64))
-                        n.append(len(g))
-                        fragment.append(f)
-                        parts.append(part)
+                    for f, piece in enumerate(np.split(g, np.searchsorted(g, edges))):
+                        for column, v in ((doc, i), (node, np.uint64(xxhash.xxh64_intdigest(g.tobytes())).astype(np.int64)), (n, len(g)), (fragment, f), (parts, piece)):
+                            column.append(v)
+                        sizes.append(None if f else np.bincount(g // (_TOP // STRIPS), minlength=STRIPS))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(fragment, pa.int32()), pa.array(parts, pa.list_(pa.int64()))], names=["node", "n", "fragment", "grams"]
+                    [pa.array(doc, pa.int64()), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(fragment, pa.int32()), pa.array(parts, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))],
+                    names=["doc_id", "node", "n", "fragment", "grams", "sizes"],
                 )
                 hashes = {} if len(hashes) > 1_000_000 else hashes
 
-    return docs.select(text).mapInArrow(run, "node long, n long, fragment int, grams array<long>")
-
-
-def _prefixes(fragments: DataFrame, percent: int) -> DataFrame:
-    """(gram, node, n): the shared n-grams among the rarest of each node of which a partner must have one.
-
-    An n-gram of no other node stands first in the order and is counted, but never listed."""
-    rows = fragments.select("node", "n", F.explode("grams").alias("gram"))
-    counts = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    rows = rows.join(counts, "gram")
-    order = Window.partitionBy("node").orderBy("df", "gram")
-    placed = rows.withColumns({"place": F.row_number().over(order), "listed": F.count(F.lit(1)).over(Window.partitionBy("node"))})
-    most = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100.0) - 1e-9).cast("long") + 1
-    return placed.where(F.col("n") - F.col("listed") + F.col("place") <= most).select("gram", "node", "n")
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(SIEVE_BITS)).alias("h"), F.col(text).alias("text"))
+    return rows.where("doc_id is not null").mapInArrow(run, "doc_id long, node long, n long, fragment int, grams array<long>, sizes array<int>")
+
+
+def _signatures(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Each node's fragments at every cut it needs, as hashes; before: its fragments at the cut before."""
+    for batch in batches:
+        out: list[list] = [[], [], [], [], []]
+        for node, n, raw in zip(*(batch.column(c).to_pylist() for c in ("node", "n", "grams")), strict=True):
+            g = np.sort(_from_six(b"".join(raw)))
+            own = n - len(g)
+            # the best a partner could be: as large as the threshold allows, with no n-gram of its own
+            spare = (n + n * 100 // percent) * (100 - percent) // (100 + percent) - own
+            if spare < 0:
+                continue
+            mixed = g.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            mixed ^= mixed >> np.uint64(32)
+            before, level = -1, 0
+            while before <= spare and level <= 48:
+                fragment = g >> (48 - level)
+                starts = np.flatnonzero(np.concatenate([[True], fragment[1:] != fragment[:-1]]))
+                salt = (fragment[starts].astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(level)
+                key = np.add.reduceat(mixed, starts) ^ salt
+                key = (key ^ (key >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+                out[0].append((key ^ (key >> np.uint64(32))).astype(np.int64))
+                for column, v in zip(out[1:], (node, n, own, before), strict=True):
+                    column.append(np.full(len(starts), v, dtype=np.int64))
+                before, level = len(starts), level + 1
+        columns = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in out]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "node", "n", "own", "before"])
+
+
+def _budget(n, m, own, other_own, percent: int):
+    """How many shared n-grams two nodes may differ in, of those that other nodes have; below 0 they cannot link."""
+    return F.floor((n + m) * (100 - percent) / F.lit(100.0 + percent) + 1e-9).cast("long") - own - other_own
+
+
+def _lists(fragments: DataFrame, percent: int) -> DataFrame:
+    """(gram, node, n, own, before): the lists of nodes with an equal fragment, those with two members that might link."""
+    total = fragments.agg(F.sum(F.size("grams"))).first()[0] or 0
+    shared = _shared(fragments.select("node", "grams"), max(1, total // SPAN), True)
+    sizes = fragments.where("fragment = 0").select("node", "n")
+    shared = shared.join(sizes, "node").select("node", "n", "grams")
+    rows = shared.mapInArrow(lambda it: _signatures(it, percent), "gram long, node long, n long, own long, before long")
+    rows = stored(rows, "gram-signatures")
+    best = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("_k"), F.max("n").alias("_n"), F.min("own").alias("_own")).where("_k > 1")
+    kept = rows.join(best, "gram").where(F.col("before") <= _budget(F.col("n"), F.col("_n"), F.col("own"), F.col("_own"), percent))
+    return kept.select("gram", "node", "n", "own", "before")
 
 
 def _linked(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of the pairs over the threshold: overlaps counted per fragment, then summed."""
+    """(a, b) of the pairs over the threshold: overlaps counted per fragment, then summed.
+
+    Sets that are close have strips of close sizes: the differences of the sizes add up to no more than the sets differ in.
+    Only pairs for which that leaves room are counted."""
+    strips = lambda x: fragments.where("fragment = 0").select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sizes").alias(f"sizes_{x}"))
+    apart = F.aggregate(F.zip_with("sizes_a", "sizes_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda t, d: t + d)
+    pairs = pairs.join(strips("a"), "a").join(strips("b"), "b").where((100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
     side = lambda x: fragments.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), "fragment", F.col("grams").alias(f"grams_{x}"))
     partial = pairs.join(side("a"), "a").join(side("b"), ["b", "fragment"])
     partial = partial.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("grams_a", "grams_b")).cast("long").alias("common"))
@@ -190,15 +301,22 @@ def _linked(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
 
 
 def _pairs(left: DataFrame, right: DataFrame, percent: int, tested: DataFrame | None) -> DataFrame:
-    """Untested pairs of nodes of one list and different components whose sizes allow a link."""
+    """Untested pairs of nodes of one list and different components that may link and have no coarser list to be found in."""
     both = left.join(right, "gram").where("label <> other_label and node <> other")
-    both = both.where(100 * F.least("n", "other_n") >= percent * F.greatest("n", "other_n"))
+    budget = _budget(F.col("n"), F.col("other_n"), F.col("own"), F.col("other_own"), percent)
+    # no overlap can be larger than what either has in common with any other node
+    common = F.least(F.col("n") - F.col("own"), F.col("other_n") - F.col("other_own"))
+    enough = (100 + percent) * common >= percent * (F.col("n") + F.col("other_n"))
+    both = both.where((100 * F.least("n", "other_n") >= percent * F.greatest("n", "other_n")) & enough & (F.greatest("before", "other_before") <= budget))
     both = both.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
     return both if tested is None else both.join(tested, ["a", "b"], "left_anti")
 
 
-def _other(df: DataFrame) -> DataFrame:
-    return df.select("gram", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("label").alias("other_label"))
+MEMBER = ("node", "n", "own", "before", "label")
+
+
+def _as_other(name: str | None = None) -> list:
+    return [F.col(f"{name}.{c}" if name else c).alias("other" if c == "node" else f"other_{c}") for c in MEMBER]
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -216,14 +334,15 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
         F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("rows"), F.max("n").alias("n"), F.max(F.octet_length("probe") / 6).cast("long").alias("probed")
     )
     nodes = stored(nodes, "gram-nodes")
-    spans = max(1, (sets.agg(F.sum(F.octet_length("probe"))).first()[0] or 0) // (6 * BLOCK // 2))
+    spans = max(1, (sets.agg(F.sum(F.octet_length("probe"))).first()[0] or 0) // int(6 * SPAN * PROBED))
     need = F.col("probed") - (F.col("n") - F.ceil(F.col("n") * percent / F.lit(100.0) - 1e-9).cast("long"))
-    left = nodes.join(_shared(sets, spans), "node", "left").where(F.coalesce("k", F.lit(0)) >= need).where("first_id is not null")
-    ids = left.select(F.col("first_id").alias("_id"))
-    whole = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"))
-    fragments = _fragments(whole.join(ids, "_id", "left_semi"), "_id", "_text", width).where("n > 0")
-    fragments = stored(fragments.dropDuplicates(["node", "fragment"]), "gram-fragments")
-    lists = stored(_prefixes(fragments, percent), "gram-lists")
+    known = _shared(sets.where("n > 0").select("node", F.col("probe").alias("keys")), spans, False)
+    left = nodes.join(known, "node", "left").where(F.coalesce("k", F.lit(0)) >= need).where("first_id is not null")
+    left = stored(left.select("node", F.col("first_id").alias("doc_id")), "gram-left")
+    # texts are read again where they lie; only the sets of nodes that are left move
+    fragments = _fragments(docs, key, text, width, _sieve(left.select("doc_id")))
+    fragments = stored(fragments.join(left, ["node", "doc_id"], "left_semi").dropDuplicates(["node", "fragment"]).drop("doc_id"), "gram-fragments")
+    lists = stored(_lists(fragments, percent), "gram-lists")
 
     tested = links = labels = None
     for turn in range(ROUNDS + 1):
@@ -233,16 +352,13 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
             known = labels.select("node", F.col("component").alias("_c"))
             labelled = lists.join(known, "node", "left").withColumn("label", F.coalesce("_c", "node")).drop("_c")
         apart = labelled.groupBy("gram").agg(
-            F.min("label").alias("_lo"), F.max("label").alias("_hi"),
-            F.min_by(F.struct("node", "n", "label"), F.xxhash64("node", F.lit(turn))).alias("_lead"),
+            F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.min_by(F.struct(*MEMBER), F.struct("own", F.xxhash64("node", F.lit(turn)))).alias("_lead"),
         ).where("_lo < _hi")
         if turn < ROUNDS:
-            right = apart.select("gram", F.col("_lead.node").alias("other"), F.col("_lead.n").alias("other_n"), F.col("_lead.label").alias("other_label"))
-            left_side = labelled
-        else:  # what is still apart is compared in full, members outside the list's first component with all
+            left_side, right = labelled, apart.select("gram", *_as_other("_lead"))
+        else:  # what is still apart is compared in full, members outside the leader's component with all
             open_ = stored(labelled.join(apart.select("gram", F.col("_lead.label").alias("_top")), "gram"), "gram-open")
-            left_side = open_.where("label <> _top").drop("_top")
-            right = _other(open_)
+            left_side, right = open_.where("label <> _top").drop("_top"), open_.select("gram", *_as_other())
         pairs = stored(_pairs(left_side, right, percent, tested), "gram-pairs")
         found = stored(_linked(pairs, fragments, percent), "gram-links")
         tested = pairs if tested is None else tested.unionByName(pairs)
