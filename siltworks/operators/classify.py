@@ -25,7 +25,10 @@ Catalog = Sequence[tuple[str, Sequence[str]]]
 def required_text(pattern: str) -> str:
     """The longest literal that every match of a pattern contains, empty if none is certain.
 
-    A plain substring search is far cheaper than a pattern, and most texts contain few of the words."""
+    A plain substring search is far cheaper than a pattern, and most texts contain few of the words.  Nothing is taken as
+    certain in a pattern with counted repetitions or with groups inside groups."""
+    if re.search(r"(?<!\\)\{|\([^()]*\(", pattern):
+        return ""
     # classes, groups and escapes end a run of literal characters; an optional character is no part of it
     plain = re.sub(r"\\b", "\0", pattern)
     plain = re.sub(r"\[[^\]]*\][*+?]?|\([^)]*\)[*+?]?|\\[dswDSW][*+?]?|\.[*+?]*|.[*?]", "\0", re.sub(r"\\([^\w\s])", "\0", plain))
@@ -38,8 +41,13 @@ def _occurs(low: Column, pattern: str) -> Column:
     return low.contains(need) & low.rlike(pattern) if need else low.rlike(pattern)
 
 
+def _lowered(pattern: str) -> str:
+    """The pattern in lower case but for its escapes: `\\S` and `\\s` are opposites."""
+    return re.sub(r"(\\.)|([A-Z])", lambda m: m[1] or m[2].lower(), pattern)
+
+
 def _patterns(patterns: Sequence[str], ignore_case: bool) -> list[str]:
-    return [p.lower() if ignore_case else p for p in patterns]
+    return [_lowered(p) if ignore_case else p for p in patterns]
 
 
 def hits(low: Column, catalog: Catalog, ignore_case: bool = False) -> Column:
@@ -50,7 +58,7 @@ def hits(low: Column, catalog: Catalog, ignore_case: bool = False) -> Column:
     def first_pattern(patterns: Sequence[str]) -> Column:
         out = None
         for p in patterns:
-            cond = _occurs(low, p.lower() if ignore_case else p)
+            cond = _occurs(low, _lowered(p) if ignore_case else p)
             out = F.when(cond, F.lit(p)) if out is None else out.when(cond, F.lit(p))
         return out
 

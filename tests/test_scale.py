@@ -181,3 +181,9 @@ def test_profiles_are_one_lazy_pass(spark):
 
     p = plan(profile(table(spark, SF, "lineitem"), "lineitem"))
     assert p.split("== Initial Plan ==")[-1].count("FileScan parquet") == 1
+
+
+def test_no_word_is_required_of_uncertain_patterns():
+    assert classify.required_text("ab{0,2}c") == classify.required_text("x(a(bc)?)?y") == ""
+    assert classify.required_text("abc") == "abc"
+    assert classify._lowered(r"A\S+B\D") == r"a\S+b\D"
