@@ -35,10 +35,11 @@ from pyspark.sql import functions as F
 from siltworks.llm.common import components, stored
 
 PROBED = 0.3  # the first part of the order, by which nodes are peeled; must be over 1 - threshold
-BLOCK = 1_500_000  # n-grams a block of documents sends
-SPAN = 2_000_000  # n-grams a key range gets, about
+BLOCK = 700_000  # n-grams a block of documents sends
+SPAN = 1_000_000  # n-grams a key range gets, about
 SIEVE_BITS = 1 << 25
 STRIPS = 256
+MEMO = 200_000  # hashes of words a task remembers
 FRAGMENTS = 4
 ROUNDS = 2
 _TOP = 1 << 48
@@ -90,7 +91,7 @@ def _sets(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
                     [part.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())],
                     names=["doc_id", "node", "n", "probe"],
                 )
-                if len(hashes) > 1_000_000:  # a memo, not a vocabulary
+                if len(hashes) > MEMO:
                     hashes = {}
 
     return docs.select(F.col(key).cast("long"), text).mapInArrow(run, "doc_id long, node long, n long, probe binary")
@@ -232,7 +233,7 @@ def _fragments(docs: DataFrame, key: str, text: str, width: int, sieve: np.ndarr
                     [pa.array(doc, pa.int64()), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(fragment, pa.int32()), pa.array(parts, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))],
                     names=["doc_id", "node", "n", "fragment", "grams", "sizes"],
                 )
-                hashes = {} if len(hashes) > 1_000_000 else hashes
+                hashes = {} if len(hashes) > MEMO else hashes
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(SIEVE_BITS)).alias("h"), F.col(text).alias("text"))
     return rows.where("doc_id is not null").mapInArrow(run, "doc_id long, node long, n long, fragment int, grams array<long>, sizes array<int>")
@@ -240,7 +241,7 @@ def _fragments(docs: DataFrame, key: str, text: str, width: int, sieve: np.ndarr
 
 def _signatures(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Each node's fragments at every cut it needs, as hashes; before: its fragments at the cut before."""
-    for batch in batches:
+    for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
         out: list[list] = [[], [], [], [], []]
         for node, n, raw in zip(*(batch.column(c).to_pylist() for c in ("node", "n", "grams")), strict=True):
             g = np.sort(_from_six(b"".join(raw)))
