@@ -38,11 +38,7 @@ class Encoder:
 
     def __init__(self, path: str, ranks: str | None) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True  # a control string in a text is ordinary text
-        self.fast = None
+        self.path, self._slow, self.fast = path, None, None
         if ranks is not None:
             import tiktoken
 
@@ -50,6 +46,16 @@ class Encoder:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.fast = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
+    @property
+    def slow(self):
+        """Loaded by the first text that needs it."""
+        if self._slow is None:
+            from tokenizers import Tokenizer
+
+            self._slow = Tokenizer.from_file(self.path)
+            self._slow.encode_special_tokens = True  # a control string in a text is ordinary text
+        return self._slow
+
     def ids(self, text: str) -> np.ndarray:
         if self.fast is not None and _PLAIN.fullmatch(text):
             return np.array(self.fast.encode_ordinary(text), dtype="<u4")
@@ -68,8 +74,8 @@ def encode_texts(docs: DataFrame, key: str, text: str, path: str | None = None,
         encoder = Encoder(path, ranks)
         end = np.asarray([end_id], dtype="<u4")
         for batch in batches:
-            for k in range(0, batch.num_rows, 1024):  # what is held at a time
-                part = batch.slice(k, 1024)
+            for k in range(0, batch.num_rows, 128):  # what is held at a time
+                part = batch.slice(k, 128)
                 ids = [np.concatenate([encoder.ids(t or ""), end]) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("key"), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.nulls(len(ids), pa.binary())],
@@ -93,7 +99,7 @@ def _head(mask: bytes | None, length: int, tokens: int, loss: int) -> int:
 
 def _cut(batches, limits: tuple[int, int, int]) -> Iterator[pa.RecordBatch]:
     tokens, _, loss = limits
-    for batch in batches:
+    for batch in (b.slice(k, 128) for b in batches for k in range(0, b.num_rows, 128)):
         rows: list[tuple] = []
         for key, total, ids, mask in zip(*(batch.column(c).to_pylist() for c in ("key", "doc_tokens", "ids", "mask")), strict=True):
             at, n = 0, len(ids) // 4
