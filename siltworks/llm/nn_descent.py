@@ -76,8 +76,10 @@ def _partitioned(nodes: DataFrame, total: int, seed: int) -> DataFrame:
     kind = dict(nodes.dtypes)["v"]
     coded = nodes.select("node", "dim", "v").mapInArrow(codes, f"node long, dim int, v {kind}, tree int, code long")
     sizes = coded.groupBy("tree", "dim", "code").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("parts"))
-    dealt = coded.join(sizes, ["tree", "dim", "code"]).withColumn("part", F.pmod(F.xxhash64("node", "tree"), F.col("parts")))
-    return dealt.groupBy("tree", "dim", "code", "part").applyInArrow(_best_of_cell, EDGES)
+    # one key of its own for each part, or the parts of a large cell would stay in the task that the join left them in
+    part = F.xxhash64("tree", "code", F.pmod(F.xxhash64("node", "tree"), F.col("parts")))
+    dealt = coded.join(sizes, ["tree", "dim", "code"]).withColumn("part", part)
+    return dealt.groupBy("dim", "part").applyInArrow(_best_of_cell, EDGES)
 
 
 def _join_lists(group: pa.Table) -> pa.Table:
