@@ -144,6 +144,38 @@ def test_vectors_against_brute_force(spark):
     assert nn_descent.near_vectors(df.limit(0)).count() == 0
 
 
+def test_audit_sees_small_groups_beside_a_dense_one(spark, monkeypatch):
+    """Seeds that only see the dense group: the pairs are a small part of all links, and only a full comparison finds them."""
+    rng = np.random.default_rng(12)
+    center = rng.standard_normal(16)
+    rows = [(i, (center + 0.02 * rng.standard_normal(16)).tolist()) for i in range(600)]
+    for _ in range(200):
+        pair = rng.standard_normal(16)
+        rows += [(len(rows) + k, (pair + 0.03 * rng.standard_normal(16)).tolist()) for k in range(2)]
+    whole = nn_descent._partitioned
+    monkeypatch.setattr(nn_descent, "_partitioned", lambda nodes, *rest: whole(nodes.where("first_key < 600"), *rest))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(6)
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in nn_descent.near_vectors(df).collect())
+    assert got == brute_vectors(rows)
+
+
+def test_vectors_with_too_few_links_to_audit_are_compared_in_full(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    rows = [(i, rng.standard_normal(24).tolist()) for i in range(800)]
+    rows += [(800 + i, [*rows[i][1][:-1], rows[i][1][-1] + 0.01]) for i in range(2)]
+    whole = nn_descent._partitioned
+    monkeypatch.setattr(nn_descent, "_partitioned", lambda nodes, *rest: whole(nodes.limit(0), *rest))
+    monkeypatch.setattr(nn_descent, "MOST_AUDITED", nn_descent.AUDITED, raising=False)
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in nn_descent.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == brute_vectors(rows)
+
+
+def test_partitions_grow_with_their_bits():
+    for bits in (0, 4, 12, 20):
+        meets = (1 - np.arccos(0.95) / np.pi) ** bits
+        assert 1 - (1 - meets) ** nn_descent._trees(bits, 0.95) >= nn_descent.RECALL
+
+
 def test_targets_share_the_excess():
     got = mixing.capped_targets({"a": 10, "b": 100, "c": 0}, {"a": 5, "b": 1, "c": 2}, 110, 3)
     assert got == {"a": 30.0, "b": 80.0, "c": 0.0}
