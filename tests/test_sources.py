@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from siltworks.plans.queries import sources
 from siltworks.plans.scratch import scratch_path
 from siltworks.sources import checks, inventory, payloads, readers
 
@@ -164,3 +165,11 @@ def test_catalog_csv_round_trip(spark):
     got = back.first()
     assert got["source_object"] == 'o,"x".csv' and got["is_active"] == "true" and got["load_type"] is None
     assert cat.missing_columns(back.drop("client_name")) == ["client_name"]
+
+
+def test_long_integers_of_keys_past_five_digits(spark, tmp_path):
+    keys = [7, 99_999, 100_000, 1_234_567, 123_456_789]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    got = sorted(tuple(r) for r in sources.read_csv_long_integers_all(spark, str(tmp_path)).collect())
+    assert got == [(k, int(f"12345678901234{k % 10**5:05}"), f"99999999999999{k % 10**8:08}") for k in keys]
+    assert sorted(r.o_orderkey for r in sources.read_csv_long_integers(spark, str(tmp_path)).collect()) == keys[:2]
