@@ -1,6 +1,7 @@
 """Secret scans in DataFrame functions: fixed patterns, and a battery of randomness tests for what they miss.
 
-Candidates are runs of 16 or more characters of encoded data whose encoding can be told (hex, base32, base36, base64).
+Candidates are runs of 16 or more characters of encoded data whose encoding can be told (hex, base32, base36, base64), and
+the parts of such runs between - and _, as in a key with a prefix; a part inside a found token is not listed again.
 The null hypothesis of each test is structure: a token that is made of words, numbers or repetitions.
 
 * alphabet uniformity: the chi-squared sum, as its count of equal pairs, against what structured text has;
@@ -30,6 +31,7 @@ BASE = (
 # The same spans, found faster: shorter runs need not be listed to be dropped.
 FAST = {"access": r"AKIA[A-Z0-9]{14,}", "hex": r"(?<![0-9a-f])[0-9a-f]{16,}"}
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}"
+PART = r"[A-Za-z0-9+/]{16,}={0,2}"
 # alphabet: (letters, share of equal pairs in structured text, share of class changes in structured text)
 ENCODINGS = {"hex": (16, 0.10, 0.25), "base32": (32, 0.06, 0.12), "base36": (36, 0.06, 0.18), "base64": (64, 0.06, 0.30)}
 STRUCTURED_CORRELATION = 0.6
@@ -131,7 +133,7 @@ def scan(docs: DataFrame, text: str = "text", rate: float = 0.01) -> DataFrame:
     """
     found = docs.select(whole_row(docs), text_of(text).alias("_text")).withColumns(
         {f"_{kind}": _spans("_text", FAST.get(kind, pattern), group, least) for kind, pattern, group, least in BASE}
-        | {"_candidates": _spans("_text", CANDIDATE, 0, 16)}
+        | {"_candidates": F.array_union(_spans("_text", CANDIDATE, 0, 16), _spans("_text", PART, 0, 16))}
     )
     base = F.concat(*[_ranked(f"_{kind}", kind, i) for i, (kind, *_) in enumerate(BASE)])
     found = found.select("_doc", base.alias("_base"), _tested(F.col("_candidates")).alias("_tested"))
@@ -141,7 +143,9 @@ def scan(docs: DataFrame, text: str = "text", rate: float = 0.01) -> DataFrame:
     is_random = lambda t: F.lit(False)
     for stratum, step in sorted(bounds.items()):
         is_random = (lambda rest, s, b: lambda t: rest(t) | ((t["stratum"] == s) & (t["step"] <= b)))(is_random, stratum, step)
-    fresh = F.filter("_tested", lambda t: is_random(t) & ~F.exists("_base", lambda b: (b["start"] == t["start"]) & (b["end"] == t["end"])))
+    found = found.withColumn("_random", F.filter("_tested", is_random))
+    inside = lambda t, w: (w["start"] <= t["start"]) & (t["end"] <= w["end"]) & ((w["start"] < t["start"]) | (t["end"] < w["end"]))
+    fresh = F.filter("_random", lambda t: ~F.exists("_random", lambda w: inside(t, w)) & ~F.exists("_base", lambda b: (b["start"] == t["start"]) & (b["end"] == t["end"])))
     added = F.transform(fresh, lambda t: F.struct(t["start"].alias("start"), F.lit(len(BASE)).alias("rank"), F.lit("random").alias("kind"), t["end"].alias("end")))
     return found.select(*row_back(docs, ("secrets",)), F.sort_array(F.concat("_base", added)).alias("secrets"))
 

@@ -62,6 +62,14 @@ def test_battery_finds_random_tokens_and_leaves_words(spark):
     assert secrets.scan(docs(spark, [])).count() == 0
 
 
+def test_battery_finds_parts_behind_prefixes(spark):
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    planted = [f"use tok{rng.choice('-_')}" + "".join(rng.choice(letters) for _ in range(60)) + " end" for _ in range(60)]
+    found = [[(s.start, s.end) for s in r.secrets if s.kind == "random"] for r in secrets.scan(docs(spark, planted)).collect()]
+    assert sum(f == [(8, 68)] for f in found) >= 40 and all(f in ([], [(8, 68)]) for f in found)
+
+
 def brute_statistics(t):
     word = re.compile(r"[^\x20\x09-\x0D]+")
     w = word.findall(t or "")
