@@ -182,7 +182,7 @@ def fit_on(table: DataFrame, labels: DataFrame, key: str = "doc_id", label: str
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.min(label).cast("double").alias("_y"))
     rows = table.join(known, key).withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)))
     # a cut of the hash leaves somewhat more than the sample, so that no task sends a whole sample of its own
-    part = min(1.0, 1.2 * sample / max(1, known.count()))
+    part = min(1.0, 1.2 * sample / max(1, known.join(table.select(key), key, "left_semi").count()))
     rows = rows.where(F.pmod("_h", F.lit(1 << 30)) <= int(part * (1 << 30))).orderBy(F.pmod("_h", F.lit(1 << 30)), key).limit(sample).select("features", "_y").toPandas()
     return fit(np.stack(rows["features"].to_list()) if len(rows) else np.zeros((0, len(FEATURES))), rows["_y"].to_numpy())
 

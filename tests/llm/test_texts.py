@@ -130,6 +130,19 @@ def test_quality_on_held_out_rows(spark):
     assert odd.count() == len(ODD) and not model.fitted
 
 
+def test_the_sample_is_full_where_most_labels_have_no_document(spark):
+    table = spark.range(300).select(F.col("id").alias("doc_id"), F.array(*[F.lit(0.0).cast("float")] * len(quality.FEATURES)).alias("features"))
+    labels = spark.range(200_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    fitted = []
+    real = quality.fit
+    quality.fit = lambda x, y: fitted.append(len(y)) or real(x, y)
+    try:
+        quality.fit_on(table, labels, sample=100)
+    finally:
+        quality.fit = real
+    assert fitted == [100]
+
+
 def test_scores_against_brute_force(spark, monkeypatch):
     rng = random.Random(8)
     texts = [None, "", "A a\x0bB"] + [" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(30))) for _ in range(150)]
