@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltworks.llm import chat, lm, mixing, ngram_join, nn_descent, packing, quality, rules, secrets, warc
+from siltworks.llm import chat, collocations, divergence, genetic_packing, lm, mixing, ngram_join, nn_descent, packing, quality, rules, secrets, warc
 from siltworks.llm.common import crc32_mod, stored, table
 from siltworks.plans.scratch import scratch_path
 
@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-# --- 1 -----------------------------------------------------------------------------------------------------------
+# operator 1
 
 _BASE32 = " || ".join(
     f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, {k + 1}, 5))::INTEGER >> {s}) & 31), 1)"
@@ -50,7 +50,7 @@ def op1_warc(spark: SparkSession, sf: str) -> DataFrame:
     return back.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 
 
-# --- 2 -----------------------------------------------------------------------------------------------------------
+# operator 2
 
 QUALITY_THRESHOLD = 0.7
 
@@ -62,7 +62,7 @@ def op2_quality(spark: SparkSession, sf: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
 
 
-# --- 3 -----------------------------------------------------------------------------------------------------------
+# operator 3
 
 
 @query("op3_secrets")
@@ -72,7 +72,7 @@ def op3_secrets(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", *[count(kind) for kind, *_ in secrets.BASE], F.sha2(secrets.listing(F.col("_base")), 256).alias("base_sha256"), secrets.listing(F.col("secrets")).alias("spans"))
 
 
-# --- 4 -----------------------------------------------------------------------------------------------------------
+# operator 4
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -87,7 +87,7 @@ def op4_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packed(table(spark, sf, "documents"))
 
 
-# --- 5 -----------------------------------------------------------------------------------------------------------
+# operator 5
 
 
 @query("op5_ngram_join", r"""
@@ -112,7 +112,7 @@ def op5_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
     return ngram_join.near_copies(table(spark, sf, "documents"))
 
 
-# --- 6 -----------------------------------------------------------------------------------------------------------
+# operator 6
 
 
 @query("op6_nn_descent", """
@@ -134,7 +134,7 @@ def op6_nn_descent(spark: SparkSession, sf: str) -> DataFrame:
     return nn_descent.near_vectors(table(spark, sf, "embeddings"))
 
 
-# --- 7 -----------------------------------------------------------------------------------------------------------
+# operator 7
 
 
 def mixed(docs: DataFrame) -> DataFrame:
@@ -147,7 +147,7 @@ def op7_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixed(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-# --- 8 -----------------------------------------------------------------------------------------------------------
+# operator 8
 
 
 @query("op8_rules")
@@ -160,7 +160,7 @@ def op8_rules(spark: SparkSession, sf: str) -> DataFrame:
     return stats.select(*base, failed.alias("base_failed"), (~failed & verdict).alias("kept"))
 
 
-# --- 9 -----------------------------------------------------------------------------------------------------------
+# operator 9
 
 
 @query("op9_lm")
@@ -168,7 +168,7 @@ def op9_lm(spark: SparkSession, sf: str) -> DataFrame:
     return lm.score(table(spark, sf, "documents"), crc32_mod("doc_id", 7) == 2)
 
 
-# --- 10 ----------------------------------------------------------------------------------------------------------
+# operator 10
 
 CHAT_TEST = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
 
@@ -190,3 +190,70 @@ def op10_chat(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     rows = rows.unionByName(spark.createDataFrame(CHAT_TEST, "conv_id long, turn long, role string, text string"))
     return chat.read_back(chat.format_conversations(rows)).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
+# operator 11
+
+
+@query("op11_divergence", r"""
+WITH d AS (SELECT row_number() OVER () AS i, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+o AS (
+  SELECT i, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), kept AS (SELECT lang, term, count(*) AS total FROM o GROUP BY lang, term HAVING count(DISTINCT i) >= 10),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT o.lang, source, term, count(*) AS n FROM o JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+v AS (SELECT lang, count(*) AS v, sum(total)::HUGEINT AS n FROM kept GROUP BY 1),
+s AS (SELECT lang, source, sum(n)::HUGEINT AS n FROM c GROUP BY 1, 2),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, (1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (coalesce(s.n, 0) + 2 * v.v))::BIGINT AS p,
+         (1 + (1000000000::HUGEINT * (k.total + 2)) // (v.n + 2 * v.v))::BIGINT AS q
+  FROM g JOIN kept k ON k.lang = g.lang JOIN v ON v.lang = g.lang LEFT JOIN s ON s.lang = g.lang AND s.source = g.source
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), f AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p))::BIGINT AS value
+  FROM p a JOIN p b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY 1, 2, 3
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+), terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // (p + q) AS value FROM p WHERE n > 0 AND p > q),
+every AS (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+FROM every QUALIFY part = 'pair' OR rank <= 10
+""")
+def op11_divergence(spark: SparkSession, sf: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf, "documents"))
+
+
+# operator 12
+
+
+@query("op12_collocations", r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY 1),
+o AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, range(1, 6) t(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS parts, count(*) AS f FROM o GROUP BY lang, k, phrase HAVING count(*) >= 100),
+s AS (SELECT DISTINCT lang, f, unnest([array_to_string(parts[1:k - 1], ' '), array_to_string(parts[2:k], ' ')]) AS phrase FROM f WHERE k > 2),
+c AS (SELECT * FROM f WHERE k > 1 AND NOT EXISTS (SELECT 1 FROM s WHERE s.lang = f.lang AND s.phrase = f.phrase AND s.f = f.f)),
+x AS (
+  SELECT c.lang, c.phrase, c.f AS a, l.f AS l, r.f AS r, n.n, (1000::HUGEINT * c.f * n.n) // (l.f::HUGEINT * r.f) AS score, g.cut
+  FROM c JOIN range(1, 5) g(cut) ON g.cut < c.k JOIN n ON n.lang = c.lang
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.parts[1:g.cut], ' ')
+  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.parts[g.cut + 1:c.k], ' ')
+), b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM b QUALIFY rank <= 2000
+""")
+def op12_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf, "documents"))
+
+
+# operator 13
+
+
+@query("op13_genetic_packing")
+def op13_genetic_packing(spark: SparkSession, sf: str) -> DataFrame:
+    packed = genetic_packing.pack(table(spark, sf, "documents"))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
