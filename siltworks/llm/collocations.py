@@ -1,22 +1,23 @@
 """Phrases that many texts repeat, scored as collocations, by SON partitioning.
 
-Texts are coded once into chunks, each with a dictionary of its own words, and written.  Chunks are dealt into shards of about
-`SHARD_WORDS` words, whatever the input's partitions are.
-
-1. Each shard is mined completely, level by level, at a local support lowered to its share of the language's words: with
-   f occurrences in all and a share n_s / n, a phrase that has fewer than support * n_s / n in every shard has fewer than
-   `support` in all.  So every phrase that is frequent at all is frequent in some shard, its parts too.
-2. The union of what shards found makes the candidates.
-3. Every shard counts all candidates exactly.  A bitmap of a fixed size, into which the candidates' hashes are dealt, tells a
-   shard what need not be sent; what passes by chance is dropped when counts and candidates meet.
-
-With more shards than `support` the local support is one and the first step prunes nothing; counts stay exact and the work
-stays in proportion to the input.  Phrases are known by 64-bit hashes of language and words.
+Texts are coded once into chunks of one language, each with a dictionary of its own words, and written.  A language's chunks are
+dealt into shards of about `SHARD_WORDS` words, whatever the input's partitions are.
+
+1. Each shard is mined completely, level by level, at a local support lowered to its share of the language's words: a phrase
+   that has fewer than support * n_s / n in every shard has fewer than `support` in all.  So every phrase that is frequent at
+   all is frequent in some shard, its parts too.
+2. The union of what shards found makes the candidates: a bitmap of a fixed size, into which their hashes are dealt.
+3. Every shard counts what is in the union exactly; counts meet by hash ranges, which keep what has the support.  What is
+   in the bitmap by chance alone cannot have it.
+
+A phrase's words are read once, out of a chunk that has it, when it is known to be frequent.  With more shards of a
+language than `support` the local support is one and the first step prunes nothing; counts stay exact, and the work is in
+proportion to the input.  Phrases are known by 64-bit hashes of language and words.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,27 +30,40 @@ from pyspark.sql import functions as F
 from siltworks.llm.common import stored
 
 CHUNK_WORDS = 400_000  # a text goes on in the next chunk at the end of a piece
-SHARD_WORDS = 4_000_000
-SIEVE_BITS = 1 << 25
+SHARD_WORDS = 8_000_000
+RANGE_WORDS = 4_000_000  # words of the input a hash range is made for, at least
+SORTED = 1_000_000  # phrases a shard sorts at a time, about
+SIEVE = 25  # bits of a hash that the bitmap tells apart
 UNKNOWN = "und"
 
-CHUNKS = "chunk long, n long, langs array<string>, tokens_of array<long>, words_of array<long>, tokens binary, words binary"
-FOUND = "hash long, k int, lang string, phrase string"
-COUNTED = "hash long, f long"
+CHUNKS = "chunk long, lang string, tokens_of long, words_of long, tokens binary, words binary"
+FOUND = "range int, hashes binary"
+COUNTED = "range int, hashes binary, k binary, n binary, piece binary, at binary, chunks array<long>"
+FREQUENT = "hash long, k int, f long, chunk long, at long"
+PHRASES = "lang string, phrase string, k int, f long"
 
 # Fixed by the contract: what ends a piece, and white space inside one; all else makes words.
 _ENDS, _BLANKS = b".,;:!?\n\x0b\x0c\r", b"\t"
 _TABLE = bytes.maketrans(_ENDS + _BLANKS, b"." * len(_ENDS) + b" " * len(_BLANKS))
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string(), "array<long>": pa.list_(pa.int64())}
 
 
 class _Places(dict):
-    """A number for every distinct word, in the order of their coming."""
+    """A number for every distinct word, in the order of their coming; 0 ends a piece, for a full stop is never part of a word."""
+
+    def __init__(self) -> None:
+        super().__init__({b".": 0})
 
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
         return n
 
 
+def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], _KINDS[t]) for i, (_, t) in enumerate(fields)], names=[n for n, _ in fields])
+
+
 def _pressed(numbers: np.ndarray) -> bytes:
     planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
     return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
@@ -60,43 +74,50 @@ def _unpressed(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-def _chunk(name: int, parts: dict[str, list[np.ndarray]], places: _Places) -> pa.RecordBatch:
-    langs = list(parts)
-    runs = [np.concatenate(parts[x]) for x in langs]
-    row = (
-        name, sum(map(len, runs)), langs, [len(r) for r in runs], [int(np.count_nonzero(r)) for r in runs], _pressed(np.concatenate(runs)),
-        zstandard.ZstdCompressor(level=1).compress(b" ".join(places)),
-    )
-    kinds = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names=[x.split()[0] for x in CHUNKS.split(", ")])
+class _Chunk:
+    """Coded texts of one language since the last chunk."""
+
+    def __init__(self) -> None:
+        self.places, self.parts, self.size = _Places(), [], 0
+
+    def add(self, words: list[bytes]) -> None:
+        ids = np.fromiter(map(self.places.__getitem__, words), dtype=np.uint32, count=len(words))
+        # pieces without words say nothing
+        self.parts.append(ids[(ids > 0) | np.concatenate([[True], ids[:-1] > 0])])
+        self.size += len(words)
+
+    def row(self, number: int, lang: str) -> tuple:
+        tokens = np.concatenate(self.parts)
+        words = zstandard.ZstdCompressor(level=1).compress(b" ".join(self.places))
+        return number, lang, len(tokens), int(np.count_nonzero(tokens)), _pressed(tokens), words
 
 
 def code(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """The texts as written chunks: word numbers by language, 0 after every piece, and the chunk's dictionary."""
+    """The texts as written chunks: numbers of words, 0 after every piece, and the chunk's dictionary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = TaskContext.get().partitionId() << 32
-        # the number 0 is the end of a piece; a full stop is never part of a word
-        places, parts, size = _Places({b".": 0}), {}, 0
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                for t, x in zip(*(c.to_pylist() for c in batch.slice(k, 256).columns), strict=True):
-                    words = (t or "").encode().lower().translate(_TABLE).replace(b".", b" . ").split()
-                    words.append(b".")
-                    at = 0
-                    while at < len(words):
-                        end = len(words)
-                        if end - at > CHUNK_WORDS:
-                            end = words.index(b".", at + CHUNK_WORDS) + 1
-                        ids = np.fromiter(map(places.__getitem__, words[at:end]), dtype=np.uint32, count=end - at)
-                        # pieces without words say nothing
-                        parts.setdefault(x, []).append(ids[(ids > 0) | np.concatenate([[True], ids[:-1] > 0])])
-                        size, at = size + end - at, end
-                        if size >= CHUNK_WORDS:
-                            yield _chunk(made, parts, places)
-                            made, places, parts, size = made + 1, _Places({b".": 0}), {}, 0
-        if parts:
-            yield _chunk(made, parts, places)
+        number, held = TaskContext.get().partitionId() << 32, {}
+        for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
+            for t, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = (t or "").encode().lower().translate(_TABLE).replace(b".", b" . ").split()
+                words.append(b".")
+                at = 0
+                while at < len(words):
+                    end = len(words) if len(words) - at <= CHUNK_WORDS else words.index(b".", at + CHUNK_WORDS) + 1
+                    chunk = held.setdefault(x, _Chunk())
+                    chunk.add(words[at:end])
+                    at = end
+                    if chunk.size >= CHUNK_WORDS:
+                        yield _rows([held.pop(x).row(number, x)], CHUNKS)
+                        number += 1
+            if sum(c.size for c in held.values()) >= 4 * CHUNK_WORDS:  # many languages
+                for x, chunk in held.items():
+                    yield _rows([chunk.row(number, x)], CHUNKS)
+                    number += 1
+                held = {}
+        for x, chunk in held.items():
+            yield _rows([chunk.row(number, x)], CHUNKS)
+            number += 1
 
     return stored(docs.select(F.col(text), F.coalesce(lang, F.lit(UNKNOWN))).mapInArrow(run, CHUNKS), "phrase-chunks")
 
@@ -109,95 +130,135 @@ def _mix(h: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 class _Shard:
-    """The chunks of a shard end to end: each token's word hash, and what language it is in."""
+    """The chunks of a shard end to end, words numbered alike in all of them."""
 
     def __init__(self, rows: list[dict]) -> None:
-        self.words = [zstandard.ZstdDecompressor().decompress(r["words"]).split(b" ") for r in rows]
-        self.tokens = [_unpressed(r["tokens"]) for r in rows]
-        self.starts = np.cumsum([0] + [len(t) for t in self.tokens])
-        hashes = [np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words)) for words in self.words]
-        self.word = np.concatenate([h[t] for h, t in zip(hashes, self.tokens, strict=True)])
-        self.inside = np.concatenate([t > 0 for t in self.tokens])
-        self.langs = sorted({x for r in rows for x in r["langs"]})
-        place = {x: i for i, x in enumerate(self.langs)}
-        self.lang = np.concatenate([np.repeat(np.array([place[x] for x in r["langs"]], dtype=np.int32), r["tokens_of"]) for r in rows])
-        seeds = np.array([xxhash.xxh64_intdigest(x.encode(), 1) for x in self.langs], dtype=np.uint64)
-        self.first = _mix(seeds[self.lang], self.word)
-
-    def levels(self, longest: int, passes) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(k, hashes, counts, a place of each, all places that pass) of the phrases of 1 to `longest` words.
-
-        passes(hashes at places, places) chooses places before they are counted or, given counts, phrases after it; a phrase
-        is only looked at where both its parts, without the first and without the last word, passed."""
-        alive, h = self.inside, self.first
+        tokens = [_unpressed(r["tokens"]) for r in rows]
+        hashes = [np.array([xxhash.xxh64_intdigest(w) for w in zstandard.ZstdDecompressor().decompress(r["words"]).split(b" ")], dtype=np.uint64) for r in rows]
+        self.keys, number = np.unique(np.concatenate(hashes), return_inverse=True)
+        first = np.cumsum([0] + [len(h) for h in hashes])
+        self.tokens = np.concatenate([number[a + t].astype(np.uint32) for a, t in zip(first[:-1].tolist(), tokens, strict=True)])
+        self.end = int(number[0])
+        self.starts = np.cumsum([0] + [len(t) for t in tokens])
+        self.chunks = [r["chunk"] for r in rows]
+        self.seed = np.uint64(xxhash.xxh64_intdigest(rows[0]["lang"].encode(), 1))
+
+    def levels(self, longest: int, looked_at: Callable[[np.ndarray], np.ndarray] | None, least: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """(hashes, k, counts, a place of each) of the phrases of 1, 2, ... words, each level in the order of hashes.
+
+        A phrase is only looked at where both its parts, without the first and without the last word, passed: where
+        `looked_at` of its hash holds, and it has `least` occurrences here."""
+        n = len(self.tokens)
+        alive, h = self.tokens != self.end, np.full(n, self.seed)
         for k in range(1, longest + 1):
+            n = len(self.tokens) - k + 1
+            if n < 1:
+                return
+            h = h[:n]
+            for a in range(0, n, SORTED):  # in place
+                z = min(a + SORTED, n)
+                h[a:z] = _mix(h[a:z], self.keys[self.tokens[a + k - 1 : z + k - 1]])
             if k > 1:
-                h = _mix(h[:-1], self.word[k - 1 :])
                 alive = alive[:-1] & alive[1:]
-            at = np.flatnonzero(alive)
-            at = at[passes(h[at], at, None)]
-            order = np.argsort(h[at], kind="stable")
-            at = at[order]
-            keys = h[at]
-            edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-            count = np.diff(np.append(edge, len(keys)))
-            keep = passes(keys[edge], at[edge], count)
-            alive = np.zeros(len(h), dtype=bool)
-            alive[at[np.repeat(keep, count)]] = True
-            yield k, keys[edge][keep], count[keep], at[edge][keep]
-
-    def phrase(self, at: int, k: int) -> bytes:
-        c = int(np.searchsorted(self.starts, at, side="right")) - 1
-        words, begin = self.words[c], at - int(self.starts[c])
-        return b" ".join(words[i] for i in self.tokens[c][begin : begin + k].tolist())
-
-
-def _mine(rows: list[dict], support: int, longest: int) -> Iterator[pa.RecordBatch]:
+            bits = max(0, int(np.count_nonzero(alive)) // SORTED).bit_length()
+            bucket = (h >> np.uint64(56)).astype(np.uint8) >> np.uint8(8 - bits) if 0 < bits <= 8 else np.zeros(n, np.uint8)
+            passed, out = np.zeros(n, dtype=bool), []
+            for b in range(1 << min(bits, 8) if bits else 1):
+                at = np.flatnonzero(alive & (bucket == b))
+                keys = h[at]
+                if looked_at is not None:
+                    some = looked_at(keys)
+                    at, keys = at[some], keys[some]
+                order = np.argsort(keys)
+                at, keys = at[order], keys[order]
+                edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+                count = np.diff(np.append(edge, len(keys)))
+                keep = count >= least
+                passed[at[np.repeat(keep, count)]] = True
+                out.append((keys[edge][keep], count[keep], at[edge][keep]))
+            alive = passed
+            keys, count, at = (np.concatenate(c) for c in zip(*out, strict=True))
+            yield keys, np.full(len(keys), k), count, at
+
+
+def _sorted(levels: Iterator[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
+    columns = [np.concatenate(c) for c in zip(*levels, strict=True)]
+    order = np.argsort(columns[0], kind="stable")
+    return [c[order] for c in columns]
+
+
+def _cuts(keys: np.ndarray, ranges: int) -> Iterator[tuple[int, int, int]]:
+    """(range, from, to) of sorted hashes."""
+    bits = keys >> np.uint64(64 - SIEVE)
+    edges = np.searchsorted(bits * np.uint64(ranges) >> np.uint64(SIEVE), np.arange(ranges + 1))
+    for r in np.flatnonzero(np.diff(edges)).tolist():
+        yield r, int(edges[r]), int(edges[r + 1])
+
+
+def _mine(rows: list[dict], support: int, longest: int, ranges: int) -> Iterator[tuple]:
+    # the least whole number that is no less than the shard's share of the support
+    least = -(-support * sum(r["words_of"] for r in rows) // rows[0]["total"])
+    keys = _sorted(_Shard(rows).levels(longest, None, max(1, least)))[0]
+    for r, a, z in _cuts(keys, ranges):
+        yield r, keys[a:z].tobytes()
+
+
+def _first_bit(r: int, ranges: int) -> int:
+    return -(-(r << SIEVE) // ranges)
+
+
+def _bitmap(rows: list[dict], ranges: int) -> Iterator[tuple]:
+    r = rows[0]["range"]
+    low = _first_bit(r, ranges)
+    bits = np.zeros(_first_bit(r + 1, ranges) - low, dtype=bool)
+    for row in rows:
+        bits[(np.frombuffer(row["hashes"], np.uint64) >> np.uint64(64 - SIEVE)).astype(np.int64) - low] = True
+    yield r, np.packbits(bits).tobytes()
+
+
+def _tally(rows: list[dict], longest: int, sieve: np.ndarray, ranges: int) -> Iterator[tuple]:
     shard = _Shard(rows)
-    own, total = dict.fromkeys(shard.langs, 0), {}
-    for r in rows:
-        for x, n, all_ in zip(r["langs"], r["words_of"], r["totals"], strict=True):
-            own[x] += n
-            total[x] = all_
-    # exact: the least whole number that is no less than the shard's share of the support
-    least = np.array([max(1, -(-support * own[x] // max(total[x], 1))) for x in shard.langs])
-    passes = lambda h, at, count: np.ones(len(h), bool) if count is None else count >= least[shard.lang[at]]
-    for k, keys, _, at in shard.levels(longest, passes):
-        for a in range(0, len(keys), 50_000):
-            places = at[a : a + 50_000]
-            phrases = [shard.phrase(p, k) for p in places.tolist()]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(keys[a : a + 50_000].astype(np.int64)), pa.array(np.full(len(places), k, np.int32)),
-                pa.array([shard.langs[i] for i in shard.lang[places].tolist()], pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()),
-            ], names=["hash", "k", "lang", "phrase"])
-
-
-def _count(rows: list[dict], longest: int, sieve: np.ndarray) -> Iterator[pa.RecordBatch]:
-    shard, mask = _Shard(rows), np.uint64(SIEVE_BITS - 1)
-
-    def passes(h: np.ndarray, at: np.ndarray, count: np.ndarray | None) -> np.ndarray:
-        bit = h & mask
-        return (sieve[bit >> np.uint64(5)] >> (bit & np.uint64(31)).astype(np.uint32) & 1).astype(bool)
-
-    for _, keys, count, _ in shard.levels(longest, passes):
-        yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(count.astype(np.int64))], names=["hash", "f"])
-
-
-def _grouped(run, names: list[str], kinds: list[pa.DataType]):
+
+    def looked_at(h: np.ndarray) -> np.ndarray:
+        bit = h >> np.uint64(64 - SIEVE)
+        return (sieve[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+    keys, k, n, at = _sorted(shard.levels(longest, looked_at, 1))
+    piece = np.searchsorted(shard.starts, at, side="right") - 1
+    for r, a, z in _cuts(keys, ranges):
+        numbers = [_pressed(c[a:z]) for c in (k, n, piece, at - shard.starts[piece])]
+        yield r, keys[a:z].tobytes(), *numbers, shard.chunks
+
+
+def _sum(rows: list[dict], support: int) -> Iterator[tuple]:
+    """The phrases of a range that have the support, each with a place to read it from."""
+    keys = np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in rows])
+    n = np.concatenate([_unpressed(r["n"]) for r in rows]).astype(np.int64)
+    order = np.argsort(keys, kind="stable")
+    edge = np.flatnonzero(np.concatenate([[True], np.diff(keys[order]) != 0]))
+    f = np.add.reduceat(n[order], edge)
+    often = f >= support
+    first = order[edge[often]]
+    k, at = (np.concatenate([_unpressed(r[c]) for r in rows])[first] for c in ("k", "at"))
+    chunk = np.concatenate([np.asarray(r["chunks"], dtype=np.int64)[_unpressed(r["piece"])] for r in rows])[first]
+    yield from zip(*(c.tolist() for c in (keys[first].astype(np.int64), k, f[often], chunk, at)), strict=True)
+
+
+def _grouped(run, schema: str):
     def apply(t: pa.Table) -> pa.Table:
-        batches = list(run(t.to_pylist()))
-        return pa.Table.from_batches(batches, schema=pa.schema(list(zip(names, kinds, strict=True))))
+        return pa.Table.from_batches([_rows(list(run(t.to_pylist())), schema)])
 
     return apply
 
 
-def _sieve(found: DataFrame) -> np.ndarray:
-    """A bitmap of the candidates' hashes: of a fixed size, however many there are."""
-    bits = found.select((F.col("hash").bitwiseAND(SIEVE_BITS - 1)).alias("h")).selectExpr("shiftright(h, 5) as w", "shiftleft(1L, cast(h & 31 as int)) as bit")
-    got = bits.groupBy("w").agg(F.bit_or("bit").alias("bits")).toPandas()
-    sieve = np.zeros(SIEVE_BITS // 32, dtype=np.uint32)
-    sieve[got["w"].to_numpy(dtype=np.int64)] = got["bits"].to_numpy(dtype=np.int64).astype(np.uint32)
-    return sieve
+def _read(chunk: pa.Table, places: pa.Table) -> pa.Table:
+    out = []
+    wanted = places.to_pylist()
+    for row in chunk.to_pylist() if wanted else []:
+        words, tokens = zstandard.ZstdDecompressor().decompress(row["words"]).split(b" "), _unpressed(row["tokens"])
+        for p in wanted:
+            out.append((row["lang"], b" ".join(words[i] for i in tokens[p["at"] : p["at"] + p["k"]].tolist()).decode(), p["k"], p["f"]))
+    return pa.Table.from_batches([_rows(out, PHRASES)])
 
 
 def frequent_phrases(docs: DataFrame, support: int = 100, longest: int = 5, text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame]:
@@ -207,22 +268,27 @@ def frequent_phrases(docs: DataFrame, support: int = 100, longest: int = 5, text
     may overlap.  A null text is empty, a null language is `und`.  Repeated rows count as often as they occur.  Empty tables
     give empty tables.  A text longer than a chunk goes on in the next one; a single piece is never cut.
     """
+    spark = docs.sparkSession
     chunks = code(docs, text, lang)
-    each = chunks.select("chunk", F.explode(F.arrays_zip("langs", "words_of")).alias("x")).select("chunk", F.col("x.langs").alias("lang"), F.col("x.words_of").alias("n"))
-    totals = stored(each.groupBy("lang").agg(F.sum("n").alias("n")).where("n > 0"), "phrase-totals")
+    totals = stored(chunks.groupBy("lang").agg(F.sum("words_of").alias("n")).where("n > 0"), "phrase-totals")
     words = totals.agg(F.sum("n")).first()[0] or 0
-    shards = max(1, -(-words // SHARD_WORDS))
-    known = each.join(totals.withColumnRenamed("n", "total"), "lang").groupBy("chunk").agg(F.map_from_entries(F.collect_list(F.struct("lang", "total"))).alias("total"))
-    # only languages with words are looked up
-    with_totals = chunks.join(known, "chunk").withColumn("totals", F.transform("langs", lambda x: F.coalesce(F.col("total")[x], F.lit(0)))).drop("total")
-    dealt = lambda df: df.withColumn("shard", F.pmod(F.monotonically_increasing_id() % (1 << 33) + F.spark_partition_id(), F.lit(shards)))
-    mine = _grouped(lambda rows: _mine(rows, support, longest), ["hash", "k", "lang", "phrase"], [pa.int64(), pa.int32(), pa.string(), pa.string()])
-    found = stored(dealt(with_totals).groupBy("shard").applyInArrow(mine, FOUND), "phrase-candidates")
-    sieve = _sieve(found)
-    tally = _grouped(lambda rows: _count(rows, longest, sieve), ["hash", "f"], [pa.int64(), pa.int64()])
-    counted = dealt(chunks).groupBy("shard").applyInArrow(tally, COUNTED)
-    counts = stored(counted.groupBy("hash").agg(F.sum("f").alias("f")).where(F.col("f") >= support), "phrase-counts")
-    phrases = found.join(counts, "hash").dropDuplicates(["hash"]).select("lang", "phrase", "k", "f")
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), words // RANGE_WORDS)
+    # places in the written table, dealt in turn; a small table of languages is broadcast, and Spark sees its size
+    turn = F.monotonically_increasing_id() % (1 << 33) + F.spark_partition_id()
+    dealt = chunks.withColumn("_turn", turn).join(totals.withColumnRenamed("n", "total"), "lang")
+    dealt = dealt.withColumn("shard", F.pmod("_turn", F.ceil(F.col("total") / SHARD_WORDS))).drop("_turn").groupBy("lang", "shard")
+
+    found = dealt.applyInArrow(_grouped(lambda rows: _mine(rows, support, longest, ranges), FOUND), FOUND)
+    union = found.groupBy("range").applyInArrow(_grouped(lambda rows: _bitmap(rows, ranges), FOUND), FOUND)
+    sieve = np.zeros(1 << SIEVE, dtype=bool)
+    for r, bits in union.collect():  # 2^SIEVE bits in all, however large the input is
+        low, high = _first_bit(r, ranges), _first_bit(r + 1, ranges)
+        sieve[low:high] = np.unpackbits(np.frombuffer(bits, np.uint8), count=high - low).astype(bool)
+    sieve = np.packbits(sieve, bitorder="little")
+
+    counted = dealt.applyInArrow(_grouped(lambda rows: _tally(rows, longest, sieve, ranges), COUNTED), COUNTED)
+    frequent = stored(counted.groupBy("range").applyInArrow(_grouped(lambda rows: _sum(rows, support), FREQUENT), FREQUENT), "phrase-counts")
+    phrases = chunks.groupBy("chunk").cogroup(frequent.groupBy("chunk")).applyInArrow(_read, PHRASES)
     return stored(phrases, "phrases"), totals
 
 
