@@ -17,6 +17,8 @@ Only lengths go through the islands; the ids of the pieces are written once and
 from __future__ import annotations
 
 import os
+import re
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from zlib import crc32
@@ -42,27 +44,49 @@ STATE = "group long, island int, pieces binary, lengths binary, members binary,
 PLACED = "piece_id long, sequence_id long, offset long"
 
 
-class WordEncoder:
-    """Ids of a tokenizer that drops white space and never looks across it: each word is encoded once and remembered."""
+# Fixed by the vocabulary file: how it parts lower-cased words without white space, read for the letters of Latin-1, which its
+# normal form leaves as they are; and the signs by which it writes the bytes of a part.
+_LATIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SIGNS = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _SHOWN)}
+
+
+class WordEncoder(dict):
+    """Ids of a tokenizer that drops white space and never looks across it: each word, and each part of one that the
+    tokenizer merges by itself, is encoded once and remembered."""
 
     def __init__(self, path: str, memo: int = MEMO) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # a control string in a text is ordinary text
-        self.memo, self.known = memo, {}
+        super().__init__()
+        tokenizer = Tokenizer.from_file(path)
+        self.normalize, self.split, self.merge = tokenizer.normalizer.normalize_str, tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model.tokenize
+        self.memo, self.parts = memo, {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        # a control string in a text is ordinary text: no special token is looked for
+        text, known = word.decode(), self.parts
+        if _LATIN.fullmatch(text):
+            parts = _PARTS.findall(text.lower())
+            if not word.isascii():
+                parts = [p if p.isascii() else p.encode().decode("latin-1").translate(_SIGNS) for p in parts]
+        else:
+            parts = [p for p, _ in self.split(self.normalize(text))]
+        for p in parts:
+            if p not in known:
+                known[p] = array("I", [t.id for t in self.merge(p)]).tobytes()
+        self[word] = out = known[parts[0]] if len(parts) == 1 else b"".join(map(known.__getitem__, parts))
+        return out
 
     def ids(self, text: str) -> bytes:
         """Little-endian 32-bit ids."""
-        words = text.encode().split()  # ASCII white space; any other is dropped by the tokenizer itself
-        known = self.known
-        for w in set(words):
-            if w not in known:
-                known[w] = np.asarray(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
-        out = b"".join(map(known.__getitem__, words))
-        if len(known) > self.memo:
-            self.known = {}
+        # words are parted by ASCII white space; any other is dropped by the tokenizer itself
+        out = b"".join(map(self.__getitem__, text.encode().lower().split()))
+        if len(self) > self.memo:
+            self.clear()
+            self.parts.clear()
         return out
 
 
@@ -205,7 +229,8 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def place(rest: DataFrame, limit: int, group: int = GROUP, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
     """(piece_id, sequence_id, offset) of the pieces (piece_id, length) in sequences of at most `limit`; sequence ids are odd."""
     groups = max(1, round(rest.count() / group))
-    dealt = rest.select(F.pmod(F.xxhash64("piece_id"), F.lit(groups)).alias("group"), "piece_id", "length")
+    tasks = int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small rows, much work: not to be put together
+    dealt = rest.select(F.pmod(F.xxhash64("piece_id"), F.lit(groups)).alias("group"), "piece_id", "length").repartition(min(tasks, groups), "group")
 
     def begin(key: tuple, t: pa.Table) -> pa.Table:
         # in a fixed order, so that a task that runs again makes the same bins
@@ -242,6 +267,7 @@ def place(rest: DataFrame, limit: int, group: int = GROUP, islands: int = ISLAND
             "pieces": F.lit(None).cast("binary"), "lengths": F.lit(None).cast("binary"),
         })
         arriving = going if number == 0 or islands == 1 else going.unionByName(elite)
+        arriving = arriving.repartition(min(tasks, groups * islands), "group", "island")
         state = stored(arriving.groupBy("group", "island").applyInArrow(epoch(number), STATE), "genetic-state")
     for more in ended:
         state = more if state is None else state.unionByName(more)
