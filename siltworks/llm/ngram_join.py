@@ -7,16 +7,16 @@ What is compared is narrowed without losing a pair.  A pair over the threshold t
 
 1. Documents with equal sets are one node.
 2. Peeling: of a node's n-grams in the first part of the order, all but (1 - t) of its whole set must occur in another node.
-   Blocks of documents send each distinct n-gram once to its key range, which answers how many are shared.
+   Blocks of documents send each distinct n-gram once to its key range, which answers by a bit: another node has it.
 3. Of the nodes left, n-grams that no other has are set aside; each counts against its node.  What a pair over the
    threshold may differ in is then a small number B.  The order is cut into 1, 2, 4, ... fragments; once a node has more
    than B fragments with n-grams in them, one of these must be equal in both.  So nodes are listed by their whole
    fragments, at every cut up to the one that is fine enough for them, and a pair is taken from the coarsest cut that is
    fine enough for it.  A passage or a word that many documents share makes no list: all of a fragment must agree.
-4. A list is not expanded into pairs: its members are compared with a leader, the one with the fewest n-grams of its own,
-   and lists whose members have come into one component are closed.  Only pairs of a list that are still in different
-   components after some rounds are compared one by one.  So every link either is found or joins two nodes that are
-   already connected.
+4. A list is not expanded into pairs: its members are compared with a few leaders, those with the fewest n-grams of their
+   own, and lists whose members have come into one component are closed.  Rounds go on until the members outside the
+   largest component of their list make no more pairs than the lists have members, `ROUNDS` at most; these pairs are then
+   compared one by one, a long list block by block.  So every link either is found or joins two nodes that are already connected.
 
 N-grams are known by 48-bit hashes, sets by 64-bit hashes.
 """
@@ -28,20 +28,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltworks.llm.common import components, stored
+from siltworks.llm.exchange import FAN, SEVERAL, answers_of, cuts, exchange, merged
 
 PROBED = 0.3  # the first part of the order, by which nodes are peeled; must be over 1 - threshold
-BLOCK = 700_000  # n-grams a block of documents sends
-SPAN = 1_000_000  # n-grams a key range gets, about
+BLOCK, BLOCK_DOCS = 300_000, 20_000  # n-grams and documents a block has
+SPAN = 500_000  # n-grams a key range gets, about
 SIEVE_BITS = 1 << 25
 STRIPS = 256
-MEMO = 200_000  # hashes of words a task remembers
+MEMO = 100_000  # hashes of words a task remembers
 FRAGMENTS = 4
-ROUNDS = 2
+ROUNDS, LEADERS = 6, 4  # rounds of comparison with leaders, at most, and leaders of a list in each
+LIST = 256  # members of a list that meet at a time
 _TOP = 1 << 48
 
 
@@ -74,130 +76,104 @@ def _from_six(raw: bytes) -> np.ndarray:
     return wide.view(np.int64).ravel()
 
 
+SETS = "block long, doc_ids array<long>, texts array<long>, nodes array<long>, sizes array<long>, lengths array<long>, keys binary"
+BLOCKS = "block long, nodes array<long>, lengths array<long>, keys binary"
+
+
 def _sets(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """(doc_id, node, n, probe): the hash and the size of every document's set, and the first part of it."""
+    """Blocks of documents: doc_id, hash of the text, node (the hash of the set) and size of each, and the first part of its
+    set, `lengths` long."""
     limit = int(PROBED * _TOP)
+    names = [x.split()[0] for x in SETS.split(", ")]
+
+    def block(number: int, rows: list[tuple]) -> pa.RecordBatch:
+        *columns, parts = zip(*rows, strict=True)
+        values = [[number], *([c] for c in columns), [[len(x) // 6 for x in parts]]]
+        arrays = [pa.array(v, pa.list_(pa.int64()) if i else pa.int64()) for i, v in enumerate(values)]
+        return pa.RecordBatch.from_arrays([*arrays, pa.array([b"".join(parts)], pa.binary())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes: dict[bytes, int] = {}
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                rows = []
-                for t in part.column(1).to_pylist():
-                    g = grams((t or "").encode().lower().split(), width, hashes)
-                    rows.append((np.uint64(xxhash.xxh64_intdigest(g.tobytes())).astype(np.int64), len(g), _six(g[: np.searchsorted(g, limit)])))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())],
-                    names=["doc_id", "node", "n", "probe"],
-                )
-                if len(hashes) > MEMO:
-                    hashes = {}
-
-    return docs.select(F.col(key).cast("long"), text).mapInArrow(run, "doc_id long, node long, n long, probe binary")
-
-
-def _block(nodes: dict[int, np.ndarray], spans: int, which: bool) -> pa.RecordBatch:
-    """What a block of nodes knows by itself (credits) and asks the key ranges."""
-    names = np.fromiter(nodes, dtype=np.int64, count=len(nodes))
-    owner = np.repeat(np.arange(len(names)), [len(g) for g in nodes.values()])
-    keys = np.concatenate(list(nodes.values()))
-    order = np.argsort(keys, kind="stable")
-    keys, owner = keys[order], owner[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    count = np.diff(np.append(first, len(keys)))
-    inside = np.repeat(count > 1, count)
-    rows = [(n % spans, n, k, raw, None, None, None) for n, k, raw in _credits(names[owner[inside]], keys[inside], which)]
-    # a key that several nodes of the block have is sent without an owner
-    sent, who = keys[first], np.where(count > 1, -1, owner[first])
-    edges = np.searchsorted((sent >> 16) * spans >> 32, np.arange(spans + 1))
-    for s in np.flatnonzero(np.diff(edges)).tolist():
-        own, place = np.unique(who[edges[s] : edges[s + 1]], return_inverse=True)
-        ids = np.where(own < 0, 0, names[own])
-        rows.append((s, None, None, None, _six(sent[edges[s] : edges[s + 1]]), _planes(place), np.append(own < 0, ids).astype(np.int64).tobytes()))
-    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-    names_ = ["span", "node", "k", "grams", "keys", "owners", "names"]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names_)
-
-
-def _credits(node: np.ndarray, keys: np.ndarray, which: bool) -> Iterator[tuple[int, int, bytes | None]]:
-    if not len(node):
-        return
-    order = np.argsort(node, kind="stable")
-    node, keys = node[order], keys[order]
-    starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
-    for a, b in zip(starts, np.append(starts[1:], len(node)), strict=True):
-        yield int(node[a]), int(b - a), _six(keys[a:b]) if which else None
-
-
-def _planes(numbers: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
-
-
-def _from_planes(blob: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(4, -1).T).view("<u4").ravel()
-
-
-def _shared(table: DataFrame, spans: int, which: bool) -> DataFrame:
-    """(node, k) or, with `which`, (node, grams): how many or which of a node's n-grams another node has as well.
+        number, rows, held = TaskContext.get().partitionId() << 32, [], 0
+        for part in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
+            for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                raw = (t or "").encode()
+                g = grams(raw.lower().split(), width, hashes)
+                first = _six(g[: np.searchsorted(g, limit)])
+                names_ = (int(np.uint64(x).astype(np.int64)) for x in (xxhash.xxh64_intdigest(raw, 42), xxhash.xxh64_intdigest(g.tobytes())))
+                rows.append((i, *names_, len(g), first))
+                held += len(first) // 6
+                if held >= BLOCK or len(rows) >= BLOCK_DOCS:
+                    yield block(number, rows)
+                    number, rows, held = number + 1, [], 0
+            if len(hashes) > MEMO:
+                hashes = {}
+        if rows:
+            yield block(number, rows)
 
-    table: node and keys, six-byte binary or array<long>.  Equal nodes count as one; k may be too large where a node has
-    rows in several blocks, never too small.
-    """
-    kind = "node long, k long, grams binary"
+    return docs.select(F.col(key).cast("long"), text).mapInArrow(run, SETS)
+
+
+def _blocks(fragments: DataFrame) -> DataFrame:
+    """The fragments' n-grams as blocks; a node may be in several, with other n-grams in each."""
+
+    def block(number: int, nodes: list[int], keys: list[np.ndarray]) -> pa.RecordBatch:
+        lists = [pa.array([v], pa.list_(pa.int64())) for v in (nodes, [len(k) for k in keys])]
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *lists, pa.array([_six(np.concatenate(keys))], pa.binary())], names=[x.split()[0] for x in BLOCKS.split(", ")])
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nodes: dict[int, np.ndarray] = {}
-        size = 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, nodes, keys, held = TaskContext.get().partitionId() << 32, [], [], 0
         for batch in batches:
             for node, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                keys = _from_six(raw.as_py()) if isinstance(raw, pa.BinaryScalar) else raw.values.to_numpy()
-                if not len(keys):
-                    continue
-                if node in nodes and which:  # another fragment of it
-                    nodes[node] = np.concatenate([nodes[node], keys])
-                elif node not in nodes:
-                    nodes[node] = keys
-                else:
-                    continue
-                size += len(keys)
-                if size >= BLOCK and (not which or len(nodes) > 1):
-                    last = {node: nodes.pop(node)} if which else {}  # its other fragments may follow
-                    yield _block(nodes, spans, which)
-                    nodes, size = last, sum(map(len, last.values()))
+                if len(raw.values):
+                    nodes.append(node)
+                    keys.append(raw.values.to_numpy())
+                    held += len(keys[-1])
+                if held >= BLOCK:
+                    yield block(number, nodes, keys)
+                    number, nodes, keys, held = number + 1, [], [], 0
         if nodes:
-            yield _block(nodes, spans, which)
+            yield block(number, nodes, keys)
 
-    def answer(asked: pa.Table) -> pa.Table:
-        rows = asked.to_pylist()
-        out = [(r["node"], r["k"], r["grams"]) for r in rows if r["keys"] is None]
-        rows = [r for r in rows if r["keys"] is not None]
-        if rows:
-            keys, owners, open_ = [], [], []
-            for r in rows:
-                names = np.frombuffer(r["names"], np.int64)
-                own, ids = names[: len(names) // 2].astype(bool), names[len(names) // 2 :]
-                place = _from_planes(r["owners"])
-                keys.append(_from_six(r["keys"]))
-                owners.append(ids[place])
-                open_.append(own[place])
-            keys, owners, open_ = np.concatenate(keys), np.concatenate(owners), np.concatenate(open_)
-            order = np.lexsort((owners, keys))
-            keys, owners, open_ = keys[order], owners[order], open_[order]
-            starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            count = np.diff(np.append(starts, len(keys)))
-            several = np.logical_or.reduceat(open_, starts) | (owners[starts] != owners[starts + count - 1])
-            asks = np.repeat(several, count) & ~open_
-            # rows of one node in several blocks ask for a key more than once
-            asks &= np.concatenate([[True], (keys[1:] != keys[:-1]) | (owners[1:] != owners[:-1]) | open_[:-1]])
-            out += list(_credits(owners[asks], keys[asks], which))
-        return pa.table({"node": pa.array([r[0] for r in out], pa.int64()), "k": pa.array([r[1] for r in out], pa.int64()), "grams": pa.array([r[2] for r in out], pa.binary())})
-
-    asked = table.mapInArrow(ask, "span int, node long, k long, grams binary, keys binary, owners binary, names binary")
-    answered = asked.groupBy("span").applyInArrow(answer, kind)
-    if which:
-        return answered.groupBy("node").agg(F.collect_list("grams").alias("grams"))
-    return answered.groupBy("node").agg(F.sum("k").alias("k"))
+    return stored(fragments.select("node", "grams").mapInArrow(run, BLOCKS), "gram-blocks")
+
+
+def _wide(raw: bytes) -> np.ndarray:
+    """Keys of the exchange: the 48 bits on top."""
+    return _from_six(raw).view(np.uint64) << np.uint64(16)
+
+
+def _asks(row: dict) -> tuple[int, np.ndarray, np.ndarray]:
+    owners = np.repeat(np.asarray(row["nodes"], dtype=np.int64), row["lengths"])
+    return row["block"], *merged(_wide(row["keys"]), owners[:, None], SEVERAL)
+
+
+def _shared(blocks: DataFrame, total: int, which: bool) -> DataFrame:
+    """(node, k) or, with `which`, (node, grams): how many or which of a node's n-grams another node has as well.
+
+    A row for every row of a block that has n-grams; `total`: how many n-grams there are in all."""
+    spans = max(1, total // SPAN)
+    answers = exchange(blocks, _asks, SEVERAL, spans, FAN)
+    ranges = cuts(spans, FAN)
+
+    def finish(asked: pa.Table, answered: pa.Table) -> pa.Table:
+        nodes, counts, found = [], [], []
+        replies = answered.to_pylist()
+        for row in asked.to_pylist():
+            keys = _wide(row["keys"])
+            if len(keys):
+                distinct = np.unique(keys)
+                shared = answers_of(distinct, replies, SEVERAL, ranges)[np.searchsorted(distinct, keys)]
+                for node, n, part, mine in zip(row["nodes"], row["lengths"], *(np.split(x, np.cumsum(row["lengths"])[:-1]) for x in (keys, shared)), strict=True):
+                    if n:
+                        nodes.append(node)
+                        counts.append(int(np.count_nonzero(mine)))
+                        found.append(_six((part[mine] >> np.uint64(16)).astype(np.int64)) if which else None)
+        second = pa.array(found, pa.binary()) if which else pa.array(counts, pa.int64())
+        return pa.table([pa.array(nodes, pa.int64()), second], names=["node", "grams" if which else "k"])
+
+    kind = "node long, grams binary" if which else "node long, k long"
+    return blocks.select("block", "nodes", "lengths", "keys").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, kind)
 
 
 def _sieve(ids: DataFrame) -> np.ndarray:
@@ -276,7 +252,9 @@ def _budget(n, m, own, other_own, percent: int):
 def _lists(fragments: DataFrame, percent: int) -> DataFrame:
     """(gram, node, n, own, before): the lists of nodes with an equal fragment, those with two members that might link."""
     total = fragments.agg(F.sum(F.size("grams"))).first()[0] or 0
-    shared = _shared(fragments.select("node", "grams"), max(1, total // SPAN), True)
+    shared = _shared(_blocks(fragments), total, True)
+    # a node has its n-grams in FRAGMENTS rows at most
+    shared = shared.groupBy("node").agg(F.collect_list("grams").alias("grams"))
     sizes = fragments.where("fragment = 0").select("node", "n")
     shared = shared.join(sizes, "node").select("node", "n", "grams")
     rows = shared.mapInArrow(lambda it: _signatures(it, percent), "gram long, node long, n long, own long, before long")
@@ -303,7 +281,7 @@ def _linked(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
 
 def _pairs(left: DataFrame, right: DataFrame, percent: int, tested: DataFrame | None) -> DataFrame:
     """Untested pairs of nodes of one list and different components that may link and have no coarser list to be found in."""
-    both = left.join(right, "gram").where("label <> other_label and node <> other")
+    both = left.join(right, [c for c in left.columns if c in right.columns]).where("label <> other_label and node <> other")
     budget = _budget(F.col("n"), F.col("other_n"), F.col("own"), F.col("other_own"), percent)
     # no overlap can be larger than what either has in common with any other node
     common = F.least(F.col("n") - F.col("own"), F.col("other_n") - F.col("other_own"))
@@ -313,6 +291,15 @@ def _pairs(left: DataFrame, right: DataFrame, percent: int, tested: DataFrame |
     return both if tested is None else both.join(tested, ["a", "b"], "left_anti")
 
 
+def _dealt(open_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The members outside the leader's component and all members of each list, for a join that deals a long list into
+    blocks of about `LIST` rows and meets them block by block, so that no key has more than two blocks."""
+    salted = open_.withColumn("_blocks", F.ceil(F.col("_all") / LIST).cast("int")).withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    left = salted.where("label <> _top").select("gram", F.col("_own").alias("_a"), every.alias("_b"), *MEMBER)
+    return left, salted.select("gram", every.alias("_a"), F.col("_own").alias("_b"), *_as_other())
+
+
 MEMBER = ("node", "n", "own", "before", "label")
 
 
@@ -321,7 +308,7 @@ def _as_other(name: str | None = None) -> list:
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id): one row per row of `docs`.
+    """(doc_id, n_shingles, component_id, text_hash): one row per row of `docs`; text_hash is xxhash64 of the text, as Spark has it.
 
     Words are separated by ASCII white space and lower-cased in A-Z.  Documents link when their sets' intersection is at
     least `percent` per cent of the union; component_id is the smallest doc_id reachable.  A text without words (null, empty)
@@ -330,14 +317,15 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     """
     if 100 * (1 - PROBED) >= percent:
         raise ValueError(f"percent must be over {100 * (1 - PROBED)}")
-    sets = stored(_sets(docs, key, text, width), "gram-sets")
-    nodes = sets.where("n > 0").groupBy("node").agg(
-        F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("rows"), F.max("n").alias("n"), F.max(F.octet_length("probe") / 6).cast("long").alias("probed")
-    )
+    blocks = stored(_sets(docs, key, text, width), "gram-sets")
+    each = F.explode(F.arrays_zip("doc_ids", "texts", "nodes", "sizes", "lengths")).alias("x")
+    sets = blocks.select(each).select(F.col("x.doc_ids").alias("doc_id"), F.col("x.texts").alias("text_hash"), F.col("x.nodes").alias("node"), F.col("x.sizes").alias("n"), F.col("x.lengths").alias("probed"))
+    nodes = sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("rows"), F.max("n").alias("n"), F.max("probed").alias("probed"))
     nodes = stored(nodes, "gram-nodes")
-    spans = max(1, (sets.agg(F.sum(F.octet_length("probe"))).first()[0] or 0) // int(6 * SPAN * PROBED))
+    total = sets.agg(F.sum("probed")).first()[0] or 0
     need = F.col("probed") - (F.col("n") - F.ceil(F.col("n") * percent / F.lit(100.0) - 1e-9).cast("long"))
-    known = _shared(sets.where("n > 0").select("node", F.col("probe").alias("keys")), spans, False)
+    # the rows of copies all say the same
+    known = _shared(blocks, total, False).groupBy("node").agg(F.max("k").alias("k"))
     left = nodes.join(known, "node", "left").where(F.coalesce("k", F.lit(0)) >= need).where("first_id is not null")
     left = stored(left.select("node", F.col("first_id").alias("doc_id")), "gram-left")
     # texts are read again where they lie; only the sets of nodes that are left move
@@ -345,32 +333,37 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     fragments = stored(fragments.join(left, ["node", "doc_id"], "left_semi").dropDuplicates(["node", "fragment"]).drop("doc_id"), "gram-fragments")
     lists = stored(_lists(fragments, percent), "gram-lists")
 
-    tested = links = labels = None
+    listed = lists.count()
+    tested = links = None
+    labelled = stored(lists.withColumn("label", F.col("node")), "gram-labelled")
     for turn in range(ROUNDS + 1):
-        if labels is None:
-            labelled = lists.withColumn("label", F.col("node"))
-        else:
-            known = labels.select("node", F.col("component").alias("_c"))
-            labelled = lists.join(known, "node", "left").withColumn("label", F.coalesce("_c", "node")).drop("_c")
-        apart = labelled.groupBy("gram").agg(
-            F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.min_by(F.struct(*MEMBER), F.struct("own", F.xxhash64("node", F.lit(turn)))).alias("_lead"),
-        ).where("_lo < _hi")
-        if turn < ROUNDS:
-            left_side, right = labelled, apart.select("gram", *_as_other("_lead"))
-        else:  # what is still apart is compared in full, members outside the leader's component with all
-            open_ = stored(labelled.join(apart.select("gram", F.col("_lead.label").alias("_top")), "gram"), "gram-open")
-            left_side, right = open_.where("label <> _top").drop("_top"), open_.select("gram", *_as_other())
+        # of each list: its members, and the component that has most of them
+        counts = labelled.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("_k"))
+        apart = counts.groupBy("gram").agg(F.sum("_k").alias("_all"), F.max(F.struct("_k", "label")).alias("_most")).where("_all > _most._k")
+        apart = stored(apart.select("gram", "_all", F.col("_most.label").alias("_top"), (F.col("_all") - F.col("_most._k")).alias("_out")), "gram-apart")
+        left_over = apart.agg(F.sum(F.col("_out") * F.col("_all"))).first()[0] or 0
+        last = turn == ROUNDS or left_over <= listed
+        open_ = labelled.join(apart.select("gram", "_all", "_top"), "gram")
+        if last:  # what is still apart is compared in full, members outside the largest component with all
+            left_side, right = _dealt(open_)
+        else:  # all members with a leader of each of some groups of components
+            bucket = F.pmod(F.xxhash64("label", F.lit(turn)), F.lit(LEADERS))
+            lead = F.min_by(F.struct(*MEMBER), F.struct("own", F.xxhash64("node", F.lit(turn)))).alias("_lead")
+            left_side, right = open_.drop("_all", "_top"), open_.groupBy("gram", bucket.alias("_bucket")).agg(lead).select("gram", *_as_other("_lead"))
         pairs = stored(_pairs(left_side, right, percent, tested), "gram-pairs")
         found = stored(_linked(pairs, fragments, percent), "gram-links")
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         labels = components(links)
+        if last:
+            break
+        known = labels.select("node", F.col("component").alias("_c"))
+        labelled = stored(lists.join(known, "node", "left").withColumn("label", F.coalesce("_c", "node")).drop("_c"), "gram-labelled")
     reached = nodes.select("node", "first_id", "rows").join(labels, "node", "left").withColumn("_label", F.coalesce("component", "node"))
     smallest = reached.groupBy("_label").agg(F.min("first_id").alias("component_id"))
     joined = reached.where("component is not null").join(smallest, "_label").select("node", "component_id")
     # nodes of one document and no link need no look-up
     alone = reached.where("component is null and rows > 1").select("node", F.col("first_id").alias("component_id"))
     found = joined.unionByName(alone)
-    return sets.select("doc_id", "n", "node").join(found, "node", "left").select(
-        F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")
-    )
+    component = F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")
+    return sets.select("doc_id", "text_hash", "n", "node").join(found, "node", "left").select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), component, "text_hash")

@@ -109,7 +109,7 @@ reach AS (SELECT doc_id AS node, doc_id AS seen FROM s UNION SELECT r.node, e.b
 SELECT s.doc_id, len(s.s) AS n_shingles, min(r.seen) AS component_id FROM s JOIN reach r ON r.node = s.doc_id GROUP BY 1, 2
 """)
 def op5_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
-    return ngram_join.near_copies(table(spark, sf, "documents"))
+    return ngram_join.near_copies(table(spark, sf, "documents")).drop("text_hash")
 
 
 # operator 6
