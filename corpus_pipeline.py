@@ -35,12 +35,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: that of the smallest doc_id.
 
-    Of equal texts under one doc_id one row stays; different texts under one id stay as they are.  Rows without an id
-    only leave for an equal text without an id."""
+    Of equal texts under one doc_id one row stays.  Of different texts under one id each leaves or stays by itself, and near
+    copies under one id stay.  Rows without an id only leave for an equal text without an id."""
     own = docs.select(*COLUMNS)
-    leaving = ngram_join.near_copies(own).where("doc_id <> component_id").select("doc_id").distinct()
-    kept = own.join(leaving, "doc_id", "left_anti").withColumn("_text", F.sha2("text", 256))
-    return kept.dropDuplicates(["doc_id", "_text"]).select(*COLUMNS)
+    leaving = ngram_join.near_copies(own).where("doc_id <> component_id").select("doc_id", F.col("text_hash").alias("_text")).distinct()
+    kept = own.withColumn("_text", F.xxhash64("text")).join(leaving, ["doc_id", "_text"], "left_anti")
+    return kept.withColumn("_text", F.sha2("text", 256)).dropDuplicates(["doc_id", "_text"]).select(*COLUMNS)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
