@@ -9,8 +9,10 @@ from siltworks.functions.rules import Rule
 from siltworks.operators import dq
 from siltworks.operators.standardize import conform, known_first, preview, standardize, union_all
 from siltworks.operators.upsert import newer_than, upsert
+from siltworks.plans.file_silver import FileSilver
 from siltworks.plans.layers import Dataset, plan_layers
 from siltworks.plans.registry import query, table
+from siltworks.plans.scratch import scratch_path
 
 BATCH, TS = "20240102030405", "2024-01-02T03:04:05"
 
@@ -217,3 +219,49 @@ def preview_rows(spark, sf):
     """The hundred smallest order keys: the preview's own limit, under a fixed order."""
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
     return preview(o.orderBy("o_orderkey"), 100)
+
+
+# A batch of the newest thousandth of the keys: half of its rows replace orders, half have keys that are new.
+_NEWEST_SQL = """
+    newest as (select o_orderkey + n.shift as o_orderkey, o_custkey, o_orderstatus, o_totalprice + 1 as o_totalprice
+      from orders, (values (0), (1000000000)) n(shift) where o_orderkey > (select max(o_orderkey) - max(o_orderkey) // 1000 from orders))"""
+
+
+def _silver_by_files(spark, sf):
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    # about a hundred files at any size
+    silver = FileSilver(spark, scratch_path(spark, "file_silver"), ["o_orderkey"], rows_a_file=max(1, orders.count() // 100))
+    silver.merge(orders, "first")
+    top = orders.agg((F.max("o_orderkey") - F.expr("max(o_orderkey) div 1000")).alias("_from"))
+    newest = orders.join(F.broadcast(top), F.col("o_orderkey") > F.col("_from")).drop("_from")  # one row
+    newest = newest.withColumn("o_totalprice", F.col("o_totalprice") + 1)
+    silver.merge(newest.unionByName(newest.withColumn("o_orderkey", F.col("o_orderkey") + 1_000_000_000)), "second")
+    return silver
+
+
+@query(
+    "silver_file_merge",
+    sql=f"""
+    with {_NEWEST_SQL}
+    select * from newest union all select o_orderkey, o_custkey, o_orderstatus, o_totalprice from orders where o_orderkey not in (select o_orderkey from newest)""",
+)
+def silver_file_merge(spark, sf):
+    """All orders, and a batch of the newest merged into the files that hold its keys."""
+    return _silver_by_files(spark, sf).read()
+
+
+@query(
+    "silver_file_snapshots",
+    sql=f"""
+    with {_NEWEST_SQL}
+    select 'first' as batch_id, count(*) as n_rows, cast(round(sum(o_totalprice)) as bigint) as worth, true as shares from orders
+    union all select 'second', (select count(*) from orders) + count(*) filter (where o_orderkey > 1000000000),
+      cast(round((select sum(o_totalprice) from orders) + count(*) filter (where o_orderkey < 1000000000) + sum(case when o_orderkey > 1000000000 then o_totalprice else 0 end)) as bigint), true from newest""",
+)
+def silver_file_snapshots(spark, sf):
+    """Both snapshots as they can still be read; `shares`: no more than 5 per cent of the second one's files are its own."""
+    silver = _silver_by_files(spark, sf)
+    kept = silver.versions().select("version", "batch_id", ((F.col("version") == 1) | (F.col("written") * 20 <= F.col("files"))).alias("shares"))
+    both = silver.read(1).withColumn("version", F.lit(1).cast("bigint")).unionByName(silver.read(2).withColumn("version", F.lit(2).cast("bigint")))
+    sums = both.groupBy("version").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("o_totalprice")).cast("bigint").alias("worth"))
+    return sums.join(kept, "version").select("batch_id", "n_rows", "worth", "shares")

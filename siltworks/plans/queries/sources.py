@@ -75,17 +75,6 @@ def read_json_documents(spark, sf):
     return readers.read_json(spark, path, "document").select("doc_id", "quality", "toxic")
 
 
-@query(
-    "read_csv_long_integers",
-    sql="""
-    select o_orderkey, cast('12345678901234' || lpad(cast(o_orderkey as varchar), 5, '0') as bigint) as id,
-      '99999999999999' || lpad(cast(o_orderkey as varchar), 8, '0') as longer from orders where o_orderkey < 100000""",
-)
-def read_csv_long_integers(spark, sf):
-    """Nineteen digits are a bigint, twenty-two a decimal.  All orders go through the file; the query lists the first keys."""
-    return _long_integers(spark, sf).where("o_orderkey < 100000")
-
-
 @query(
     "read_csv_long_integers_all",
     sql="""
@@ -93,10 +82,7 @@ def read_csv_long_integers(spark, sf):
       '99999999999999' || lpad(cast(o_orderkey % 100000000 as varchar), 8, '0') as longer from orders""",
 )
 def read_csv_long_integers_all(spark, sf):
-    return _long_integers(spark, sf)
-
-
-def _long_integers(spark, sf):
+    """Nineteen digits are a bigint, twenty-two a decimal."""
     path = f"{scratch_path(spark, 'ids')}.csv"
     ids = table(spark, sf, "orders").selectExpr(
         "o_orderkey", "'12345678901234' || lpad(o_orderkey % 100000, 5, '0') as id", "'99999999999999' || lpad(o_orderkey % 100000000, 8, '0') as longer"
@@ -231,38 +217,44 @@ def file_inventory_known_formats(spark, sf):
 
 
 def source_files(spark, sf) -> str:
-    """A folder with one file for each source of the documents: their ids in order."""
+    """A folder with files of each source of the documents: ids of a block of `IDS_A_FILE` each, in order."""
     path = scratch_path(spark, "by_source")
-    ids = table(spark, sf, "documents").select("doc_id", "source")
-    ids.repartition("source").sortWithinPartitions("source", "doc_id").write.partitionBy("source").csv(path)
+    ids = table(spark, sf, "documents").select("doc_id", "source", F.expr(f"doc_id div {IDS_A_FILE}").alias("block"))
+    ids.repartition("source", "block").sortWithinPartitions("source", "block", "doc_id").write.partitionBy("source", "block").csv(path)
     return path
 
 
-_SOURCE = r"/source=([^/]*)/"
+IDS_A_FILE = 10_000
+_SOURCE, _BLOCK = r"/source=([^/]*)/", r"/block=([^/]*)/"
+
+
+def _named_by(path: str) -> list:
+    return [F.regexp_extract(path, _SOURCE, 1).alias("source"), F.regexp_extract(path, _BLOCK, 1).cast("bigint").alias("block")]
+
 
 
 @query(
     "table_files",
-    sql="""
-    select source, 'CSV' as file_format, cast(sum(length(cast(doc_id as varchar)) + 1) as bigint) as file_size, 'LOCAL' as source_type, 'acme' as client_name
-    from documents group by source""",
+    sql=f"""
+    select source, doc_id // {IDS_A_FILE} as block, 'CSV' as file_format, cast(sum(length(cast(doc_id as varchar)) + 1) as bigint) as file_size,
+      'LOCAL' as source_type, 'acme' as client_name from documents group by source, block""",
 )
 def table_files(spark, sf):
     """Written files, by a listing that opens none of them."""
     files = inventory.list_files(spark, source_files(spark, sf), "*.csv")
     rows = inventory.describe(files, F.lit("acme"), F.lit("LOCAL"))
-    return rows.select(F.regexp_extract("file_path", _SOURCE, 1).alias("source"), "file_format", "file_size", "source_type", "client_name")
+    return rows.select(*_named_by("file_path"), "file_format", "file_size", "source_type", "client_name")
 
 
 @query(
     "landing_manifest",
-    sql="""
-    select source, cast(sum(length(cast(doc_id as varchar)) + 1) as bigint) as length,
-      sha256(string_agg(cast(doc_id as varchar) || chr(10), '' order by doc_id)) as sha256 from documents group by source""",
+    sql=f"""
+    select source, doc_id // {IDS_A_FILE} as block, cast(sum(length(cast(doc_id as varchar)) + 1) as bigint) as length,
+      sha256(string_agg(cast(doc_id as varchar) || chr(10), '' order by doc_id)) as sha256 from documents group by source, block""",
 )
 def landing_manifest(spark, sf):
     rows = inventory.manifest(spark, source_files(spark, sf), "acme", "B1").where("raw_path like 'Raw/acme/B1/%.csv'")
-    return rows.select(F.regexp_extract("source_path", _SOURCE, 1).alias("source"), "length", "sha256")
+    return rows.select(*_named_by("source_path"), "length", "sha256")
 
 
 @query(
@@ -463,8 +455,8 @@ def header_problems(spark, sf):
 @query("header_lines_of_files", sql="select 'c_custkey,c_name,segment,c_acctbal' as header, '' as problems")
 def header_lines_of_files(spark, sf):
     path = scratch_path(spark, "headed")
-    _customers(spark, sf).coalesce(1).write.csv(path, header=True)  # one file: a single header is checked
-    lines = readers.header_lines(spark, path)
+    _customers(spark, sf).write.csv(path, header=True)
+    lines = readers.header_lines(spark, path).select("header").distinct()  # what the files, as many as there are, begin with
     return lines.select("header", F.array_join(checks.header_problems(F.col("header")), "|").alias("problems"))
 
 

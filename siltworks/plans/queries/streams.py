@@ -36,10 +36,11 @@ def stream_ingest(spark, sf):
 
 @query(
     "stream_arrival_log",
-    sql="select source, 'PASS' as validation_status, 'B000000' as batch_id, count(*) as files from (select distinct source from documents) group by source",
+    sql="""
+    select source, 'PASS' as validation_status, 'B000000' as batch_id, count(distinct doc_id // 10000) as files from documents group by source""",
 )
 def stream_arrival_log(spark, sf):
-    """Landing checks of files as they arrive, one file for each source of the documents."""
+    """Landing checks of files as they arrive, one file for each source and block of the documents."""
     from siltworks.plans.queries.sources import source_files
 
     root = scratch_path(spark, "arrivals")
