@@ -185,6 +185,65 @@ def execution_paths(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     return done.distinct().withColumn("fails", fails)
 
 
+def condensed(edges: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(key, name, part) of the nodes on cycles, part being the least name of its cycle's nodes, and the edges between parts.
+
+    Nodes that no cycle can hold are peeled off first: those that nothing still leads to, or that lead to nothing.  Only
+    what stays is closed under reachability, by doubling, one checkpoint a round."""
+    ensure_checkpoint_dir(edges.sparkSession)
+    plain = edges.select(key, "source", "target").distinct().checkpoint()
+    core = plain.where("source <> target").checkpoint()
+    while True:
+        inner = core.join(core.select(key, F.col("target").alias("source")).distinct(), [key, "source"], "left_semi")
+        inner = inner.join(core.select(key, F.col("source").alias("target")).distinct(), [key, "target"], "left_semi").checkpoint()
+        shrunk = inner.count() < core.count()
+        core = inner.select(key, "source", "target")
+        if not shrunk:
+            break
+    reach = core.checkpoint()
+    while True:
+        further = reach.withColumnRenamed("target", "_mid").join(reach.select(key, F.col("source").alias("_mid"), "target"), [key, "_mid"]).select(key, "source", "target")
+        wider = reach.unionByName(further).distinct().checkpoint()
+        if wider.count() == reach.count():
+            break
+        reach = wider
+    back = reach.select(key, F.col("target").alias("source"), F.col("source").alias("target"))
+    mutual = reach.join(back, [key, "source", "target"], "left_semi")
+    parts = mutual.groupBy(key, F.col("source").alias("name")).agg(F.least(F.min("target"), F.col("source")).alias("part")).checkpoint()
+
+    def renamed(df: DataFrame, column: str) -> DataFrame:
+        own = parts.select(key, F.col("name").alias(column), F.col("part").alias("_part"))
+        return df.join(own, [key, column], "left").withColumn(column, F.coalesce("_part", column)).drop("_part")
+
+    between = renamed(renamed(plain, "source"), "target").where("source <> target").select(key, "source", "target").distinct()
+    return parts, between.checkpoint()
+
+
+def path_counts(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
+    """(key, root, end, fails, paths): how many ways lead from each root to each end, without listing one of them.
+
+    A cycle counts as one node, under the least name in it; a way fails when the name of a node on it says so.  Step by step
+    the number of ways that have come to a node is one row, added up over the nodes before it, so the work is that of
+    the roots, nodes and steps, not of the ways.  Up to 38 digits.  In a graph without cycles these are the
+    numbers of the ways that `execution_paths` lists."""
+    parts, step = condensed(edges, key)
+    named = nodes.select(key, "name").distinct().join(parts, [key, "name"], "left")
+    fails = F.bool_or(F.lower("name").contains("fail"))
+    merged = named.groupBy(key, F.coalesce("part", "name").alias("_at")).agg(fails.alias("_bad")).checkpoint()
+    begins = merged.join(step.select(key, F.col("target").alias("_at")).distinct(), [key, "_at"], "left_anti")
+    frontier = begins.select(key, F.col("_at").alias("root"), "_at", F.col("_bad").alias("fails"), F.lit(1).cast("decimal(38,0)").alias("paths")).checkpoint()
+    going = step.join(merged.select(key, F.col("_at").alias("target"), "_bad"), [key, "target"]).select(key, F.col("source").alias("_at"), F.col("target").alias("_next"), "_bad").checkpoint()
+    done = None
+    while not frontier.isEmpty():
+        ended = frontier.join(going.select(key, "_at").distinct(), [key, "_at"], "left_anti").select(key, "root", F.col("_at").alias("end"), "fails", "paths")
+        done = ended if done is None else done.unionByName(ended)
+        onward = frontier.join(going, [key, "_at"]).groupBy(key, "root", "_next", (F.col("fails") | F.col("_bad")).alias("fails"))
+        frontier = onward.agg(F.sum("paths").cast("decimal(38,0)").alias("paths")).withColumnRenamed("_next", "_at").checkpoint()
+    if done is None:
+        done = frontier.select(key, "root", F.col("_at").alias("end"), "fails", "paths")
+    return done.groupBy(key, "root", "end", "fails").agg(F.sum("paths").cast("decimal(38,0)").alias("paths"))
+
+
 def dependency_order(nodes: DataFrame, edges: DataFrame, key: str, order: str) -> DataFrame:
     """(key, name, level, sort_key, cyclic): the order in which activities can run.
 

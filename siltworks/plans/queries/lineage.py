@@ -128,6 +128,22 @@ def flow_paths(spark, sf):
     return lin.execution_paths(activities(spark, sf), edges(spark, sf), "conv_id").withColumn("path", F.array_join("path", ">"))
 
 
+@query(
+    "flow_path_counts",
+    sql=f"""
+    with recursive {_ACTS_SQL.strip()},
+    p as (
+      select conv_id, name as root, name as cur, contains(lower(name), 'fail') as fails from acts where turn = 0
+      union all select p.conv_id, root, e.target, fails or contains(lower(e.target), 'fail') from p join edges e on p.conv_id = e.conv_id and p.cur = e.source)
+    select conv_id, root, cur as "end", fails, cast(count(*) as bigint) as paths from p
+    where not exists (select 1 from edges e where e.conv_id = p.conv_id and e.source = p.cur) group by all""",
+)
+def flow_path_counts(spark, sf):
+    """Ways through the conversations' flows from each root to each end, with and without a failure."""
+    counts = lin.path_counts(activities(spark, sf), edges(spark, sf), "conv_id")
+    return counts.withColumn("paths", F.col("paths").cast("bigint"))
+
+
 @query(
     "flow_order",
     sql=f"with {_ACTS_SQL} select conv_id, name, turn as level, false as cyclic from acts",

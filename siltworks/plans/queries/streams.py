@@ -8,7 +8,7 @@ from siltworks.functions.rules import Rule
 from siltworks.plans.layers import Dataset, LayerStore, run_dataset
 from siltworks.plans.registry import query, table
 from siltworks.plans.scratch import scratch_path
-from siltworks.streaming.arrivals import file_stream, ingest_arrivals, log_arrivals
+from siltworks.streaming.arrivals import ANNOUNCED, file_stream, ingest_arrivals, ingest_new_versions, log_arrivals
 
 EVENT_RULES = [
     Rule("event_id", "INTEGER", "UNIQUE", "BLOCK"),
@@ -72,3 +72,31 @@ def layer_run(spark, sf):
     return store.run_history().select(
         F.col("batch_id").alias("run"), "raw_rows", "dq_violations", "dq_warnings", "silver_rows", "gold_rows", "gold_status"
     )
+
+
+@query(
+    "stream_object_versions",
+    sql="""
+    select 'obj/' || event_id as path, event_type as etag, ts as modified, user_id as size, 0 as run from events
+    union all select 'obj/' || event_id, 'r-' || event_type, ts + interval 1 hour, user_id, 1 from events where event_type = 'purchase'
+    union all select 'late/' || event_id, event_type, ts - interval 300 day, user_id, 1 from events where event_type = 'view'""",
+)
+def stream_object_versions(spark, sf):
+    """Announcements of objects in two runs of one stream.  The second, after a restart, brings all objects again, replaces
+    some, announces old versions of others late, and first announces some that are far older than anything before."""
+    root = scratch_path(spark, "versions")
+    seen = table(spark, sf, "events").selectExpr("'obj/' || event_id as path", "event_type as etag", "cast(ts as timestamp) as modified", "user_id as size")
+    announced = lambda df: df.select("path", "etag", "modified", "size").write.mode("append").parquet(f"{root}/in")
+    run = lambda: ingest_new_versions(spark.readStream.schema(ANNOUNCED).parquet(f"{root}/in"), f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    announced(seen.unionByName(seen.where("etag = 'click'")))
+    run()
+    replaced = seen.where("etag = 'purchase'").selectExpr("path", "'r-' || etag as etag", "modified + interval 1 hour as modified", "size")
+    stale = seen.where("etag = 'click'").selectExpr("path", "'old' as etag", "modified - interval 1 hour as modified", "size")
+    far = seen.where("etag = 'view'").selectExpr("replace(path, 'obj/', 'late/') as path", "etag", "modified - interval 300 day as modified", "size")
+    for df in (seen, replaced, replaced, stale, far):
+        announced(df)
+    run()
+    # a run of the stream is one epoch or more
+    out = spark.read.parquet(f"{root}/out")
+    first = spark.read.parquet(f"{root}/out").where("path like 'obj/%' and etag not like 'r-%'").agg(F.max("epoch")).first()[0]
+    return out.select("path", "etag", F.col("modified").cast("timestamp_ntz").alias("modified"), "size", (F.col("epoch") > first).cast("int").alias("run"))

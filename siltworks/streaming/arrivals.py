@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from siltworks.functions.rules import Rule
 from siltworks.plans.layers import Dataset, LayerStore, run_dataset
@@ -87,3 +89,55 @@ def log_arrivals(spark: SparkSession, path: str, log_path: str, client: str, bat
     return (
         files.writeStream.foreachBatch(with_retries(one)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
+
+
+ANNOUNCED = "path string, etag string, modified timestamp, size bigint"
+RETENTION = 7 * 24 * 3600 * 1000  # milliseconds without news after which an object's state is dropped
+
+
+def new_versions(announcements: DataFrame, retention: int = RETENTION) -> DataFrame:
+    """Of a stream of announcements (path, etag, modified, size), those that bring a new version of an object.
+
+    The state of a path is the newest version seen: its time of change and its etag.  An announcement passes when the path is
+    new, or when it is of a later change with another etag; announced twice, announced late after a newer version, or touched
+    without a change of the etag, it does not.  No announcement is too late for an object not seen yet, however old its
+    version is, so the stream's event time is the time of arrival: a path without news for `retention` is forgotten, which
+    bounds the state.  Of announcements with one time of change the largest etag counts; a null time is the
+    earliest, a null etag is empty; a null path is one object.
+    """
+
+    def latest(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get if state.exists else None
+        rows = pd.concat(frames).sort_values(["at", "etag", "size"], kind="stable", na_position="first")
+        rows = rows.drop_duplicates("at", keep="last")  # one version a time of change
+        keep = []
+        for at, etag in zip(rows["at"].tolist(), rows["etag"], strict=True):
+            new = last is None or (at > last[0] and etag != last[1])
+            if last is None or at > last[0]:
+                last = (at, etag)
+            keep.append(new)
+        state.update(last)
+        state.setTimeoutTimestamp(int(rows["arrived"].max().timestamp() * 1000) + retention)
+        yield rows.loc[keep, ["path", "etag", "at", "size"]]
+
+    rows = announcements.select(
+        "path", F.coalesce("etag", F.lit("")).alias("etag"), F.coalesce(F.unix_micros("modified"), F.lit(-(2**62))).alias("at"), F.col("size").cast("bigint").alias("size"),
+        F.current_timestamp().alias("arrived"),
+    )
+    kept = rows.withWatermark("arrived", "0 seconds").groupBy("path").applyInPandasWithState(
+        latest, "path string, etag string, at bigint, size bigint", "at bigint, etag string", "append", GroupStateTimeout.EventTimeTimeout
+    )
+    return kept.select("path", "etag", F.when(F.col("at") > -(2**62), F.timestamp_micros("at")).alias("modified"), "size")
+
+
+def ingest_new_versions(announcements: DataFrame, out: str, checkpoint: str, retention: int = RETENTION) -> StreamingQuery:
+    """Write each epoch's new versions to a directory of its own, which a replayed epoch overwrites."""
+
+    def one(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch:06d}")
+
+    stream = new_versions(announcements, retention).writeStream.outputMode("append").foreachBatch(with_retries(one))
+    return stream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
