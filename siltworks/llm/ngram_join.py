@@ -14,9 +14,9 @@ What is compared is narrowed without losing a pair.  A pair over the threshold t
    fragments, at every cut up to the one that is fine enough for them, and a pair is taken from the coarsest cut that is
    fine enough for it.  A passage or a word that many documents share makes no list: all of a fragment must agree.
 4. A list is not expanded into pairs: its members are compared with a few leaders, those with the fewest n-grams of their
-   own, and lists whose members have come into one component are closed.  Rounds go on until the members outside the
-   largest component of their list make no more pairs than the lists have members, `ROUNDS` at most; these pairs are then
-   compared one by one, a long list block by block.  So every link either is found or joins two nodes that are already connected.
+   own, and lists whose members have come into one component are closed.  Rounds go on while they find links and until the
+   members outside the largest component of their list make no more pairs than the lists have members, `ROUNDS` at most; these
+   pairs are then compared one by one, a long list block by block, each in one of the lists it shares.  So every link either is found or joins two nodes that are already connected.
 
 N-grams are known by 48-bit hashes, sets by 64-bit hashes.
 """
@@ -42,7 +42,7 @@ SIEVE_BITS = 1 << 25
 STRIPS = 256
 MEMO = 100_000  # hashes of words a task remembers
 FRAGMENTS = 4
-ROUNDS, LEADERS = 6, 4  # rounds of comparison with leaders, at most, and leaders of a list in each
+ROUNDS, LEADERS = 4, 1  # rounds of comparison with leaders, at most, and leaders of a list in each
 LIST = 256  # members of a list that meet at a time
 _TOP = 1 << 48
 
@@ -287,17 +287,26 @@ def _pairs(left: DataFrame, right: DataFrame, percent: int, tested: DataFrame |
     common = F.least(F.col("n") - F.col("own"), F.col("other_n") - F.col("other_own"))
     enough = (100 + percent) * common >= percent * (F.col("n") + F.col("other_n"))
     both = both.where((100 * F.least("n", "other_n") >= percent * F.greatest("n", "other_n")) & enough & (F.greatest("before", "other_before") <= budget))
+    if "lists" in left.columns:
+        fits = lambda c: F.transform(F.filter(c, lambda e: e["before"] <= budget), lambda e: e["gram"])
+        # two members outside meet from both sides: once is enough
+        both = both.where((F.col("gram") == F.array_min(F.array_intersect(fits("lists"), fits("other_lists")))) & (~F.col("_outside") | (F.col("node") < F.col("other"))))
     both = both.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
     return both if tested is None else both.join(tested, ["a", "b"], "left_anti")
 
 
 def _dealt(open_: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The members outside the leader's component and all members of each list, for a join that deals a long list into
-    blocks of about `LIST` rows and meets them block by block, so that no key has more than two blocks."""
+    """The members outside the largest component and all members of each list, for a join that deals a long list into
+    blocks of about `LIST` rows and meets them block by block, so that no key has more than two blocks.
+
+    Each row has all open lists of its node, which are no more than the fragments it was cut into: a pair of nodes with several
+    lists in common is taken from the least of them alone."""
     salted = open_.withColumn("_blocks", F.ceil(F.col("_all") / LIST).cast("int")).withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
+    salted = salted.join(open_.groupBy("node").agg(F.collect_list(F.struct("gram", "before")).alias("lists")), "node")
     every = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    left = salted.where("label <> _top").select("gram", F.col("_own").alias("_a"), every.alias("_b"), *MEMBER)
-    return left, salted.select("gram", every.alias("_a"), F.col("_own").alias("_b"), *_as_other())
+    left = salted.where("label <> _top").select("gram", F.col("_own").alias("_a"), every.alias("_b"), *MEMBER, "lists")
+    right = salted.select("gram", every.alias("_a"), F.col("_own").alias("_b"), *_as_other(), F.col("lists").alias("other_lists"), (F.col("label") != F.col("_top")).alias("_outside"))
+    return left, right
 
 
 MEMBER = ("node", "n", "own", "before", "label")
@@ -334,7 +343,7 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     lists = stored(_lists(fragments, percent), "gram-lists")
 
     listed = lists.count()
-    tested = links = None
+    tested = links = found = None
     labelled = stored(lists.withColumn("label", F.col("node")), "gram-labelled")
     for turn in range(ROUNDS + 1):
         # of each list: its members, and the component that has most of them
@@ -342,7 +351,7 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
         apart = counts.groupBy("gram").agg(F.sum("_k").alias("_all"), F.max(F.struct("_k", "label")).alias("_most")).where("_all > _most._k")
         apart = stored(apart.select("gram", "_all", F.col("_most.label").alias("_top"), (F.col("_all") - F.col("_most._k")).alias("_out")), "gram-apart")
         left_over = apart.agg(F.sum(F.col("_out") * F.col("_all"))).first()[0] or 0
-        last = turn == ROUNDS or left_over <= listed
+        last = turn == ROUNDS or left_over <= listed or (found is not None and found.isEmpty())
         open_ = labelled.join(apart.select("gram", "_all", "_top"), "gram")
         if last:  # what is still apart is compared in full, members outside the largest component with all
             left_side, right = _dealt(open_)
