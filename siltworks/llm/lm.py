@@ -1,14 +1,16 @@
 """Language-model scores by deleted interpolation of word n-grams.
 
-A token is a lower-cased word or the end of a text, which is also the context of a text's first word.  Its probability
-mixes the maximum-likelihood estimates of the bigram and the word with a uniform one; each bucket of context frequency has
-weights of its own, found by expectation-maximisation on the counts of a held-out part of the training texts.  With the
-weights found, the counts of all training texts are used.  What is unknown is one more member of the vocabulary.
+A token is a lower-cased word or the end of a text; what stands before a text is read as ends.  Its probability mixes
+the maximum-likelihood estimates of the n-grams up to `order` with a uniform one; each bucket of context frequency (that of
+the longest context seen in training) has weights of its own, found by expectation-maximisation on the counts of a held-out
+part of the training texts.  With the weights found, the counts of all training texts are used.  What is unknown is one more
+member of the vocabulary.
 
 How it runs: documents are coded once into chunks, each with a dictionary of its own words, and written.  A chunk sends
-each of its distinct n-grams once, as sorted hashes cut into key ranges; a range adds up what all chunks sent and answers each
-chunk in the order it asked in.  So a frequent word costs one entry per chunk, not one per token, and no table of the
-corpus has to fit anywhere.  Words are known by 64-bit hashes, bigrams within a range by 48 bits.
+each of its distinct n-grams once, as sorted hashes, to the key ranges of `exchange`, which add up what all chunks sent and
+answer each chunk in the order it asked in; with its answers a chunk writes the counts of its tokens, which the weights and
+the scores are then read from without another shuffle.  So a frequent word costs one entry per chunk, not one per token, no
+table of the corpus has to fit anywhere, and what is exchanged grows with the data.  N-grams are known by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -23,16 +25,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltworks.llm.common import crc32_mod, stored
+from siltworks.llm.exchange import SUMS, answers_of, cuts, exchange, merged, press, unpress
 
+ORDER, TOP_ORDER = 3, 5
 CHUNK_DOCS, CHUNK_TOKENS = 4096, 2_000_000
-BUCKETS = 40  # powers of two of the context's count
-STEP = 0.1  # of natural logarithms, in the table of held-out tokens
+BUCKETS = 40  # powers of two of a context's count, for each length of context
+STEP = 0.4  # of natural logarithms, in the table of held-out tokens
+STEPS = 1000  # more than there can be between the least and the greatest estimate
 EM_ROUNDS = 40
 
-CHUNKS = "chunk long, doc_ids array<long>, held_out array<boolean>, lengths array<int>, tokens binary, words binary, train binary, part binary, roles binary"
-ASKED = "span int, chunk long, words binary, words_train binary, words_part binary, pairs binary, pairs_train binary, pairs_part binary"
-ANSWERED = "span int, chunk long, words_train binary, words_part binary, pairs_train binary, pairs_part binary, n long, v long, n_part long, v_part long"
-CELLS = "bucket int, word_step int, pair_step int, n long"
+CHUNKS = "chunk long, doc_ids array<long>, held_out array<boolean>, lengths array<int>, tokens binary, words binary, roles binary"
+COUNTED = "doc_ids array<long>, held_out array<boolean>, lengths array<int>, roles binary, train binary, part binary, n long, v long, n_part long, v_part long"
+CELLS = "cell long, n long"
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -55,16 +59,6 @@ def _unpress(blob: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(blob)
 
 
-def _packed(numbers: np.ndarray) -> bytes:
-    """Numbers by byte planes, compressed: small numbers have empty high planes, which take next to no room."""
-    return _press(np.ascontiguousarray(numbers.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes())
-
-
-def _unpacked(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(_unpress(blob), np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view("<i8").ravel()
-
-
 def _chunk(docs: list[tuple], salt: int) -> tuple:
     """docs: (doc_id, held_out, part of the training texts that sets the weights, words)."""
     place: dict[bytes, int] = {}
@@ -72,15 +66,14 @@ def _chunk(docs: list[tuple], salt: int) -> tuple:
     lengths = [len(x) for x in ids]
     tokens = np.concatenate(ids)
     roles = np.array([0 if held else 2 if part else 1 for _, held, part, _ in docs], dtype=np.uint8)
-    role, n = np.repeat(roles, lengths), len(place)
+    n = len(place)
     order = np.argsort(-np.bincount(tokens, minlength=n), kind="stable")
     rank = np.empty(n, dtype=np.int64)
     rank[order] = np.arange(n)
     words = list(place)
-    coded = _packed(rank[tokens])
-    train, part = (np.bincount(tokens[keep], minlength=n)[order] for keep in (role > 0, role == 2))
+    coded = press(rank[tokens])
     name = xxhash.xxh64_intdigest(coded, salt) >> 1
-    return (name, [d[0] for d in docs], [d[1] for d in docs], lengths, coded, _press(b"\n".join(words[i] for i in order)), _packed(train), _packed(part), roles.tobytes())
+    return (name, [d[0] for d in docs], [d[1] for d in docs], lengths, coded, _press(b"\n".join(words[i] for i in order)), roles.tobytes())
 
 
 def code(docs: DataFrame, held_out, part, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -108,109 +101,106 @@ def code(docs: DataFrame, held_out, part, key: str = "doc_id", text: str = "text
     return chunks.withColumn("chunk", F.xxhash64("chunk", F.input_file_name(), F.input_file_block_start()))
 
 
+def _add_up(numbers: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Counts are added; the third number is the least chunk that has the word."""
+    return np.column_stack([np.add.reduceat(numbers[:, :2], starts, axis=0), np.minimum.reduceat(numbers[:, 2], starts)])
+
+
+COUNTS = SUMS._replace(merge=_add_up)
+
+
 class _Coded:
-    """A chunk's n-grams: its words by sorted hash, its distinct bigrams by sorted hash, and each token's place in both."""
+    """A chunk's n-grams: for each order the sorted distinct hashes, and each token's place among them."""
 
-    def __init__(self, row: dict) -> None:
+    def __init__(self, row: dict, order: int) -> None:
+        self.name = row["chunk"]
         words = _unpress(row["words"]).split(b"\n")
         hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), dtype=np.uint64, count=len(words))
-        self.order = np.argsort(hashes)
-        self.word_keys = hashes[self.order]
-        self.end = words.index(b"")
-        self.tokens = _unpacked(row["tokens"])
+        tokens = unpress(row["tokens"])
         self.lengths = np.asarray(row["lengths"], dtype=np.int64)
-        self.before = np.concatenate([[self.end], self.tokens[:-1]])
-        with np.errstate(over="ignore"):
-            mixed = hashes[self.before] * np.uint64(0x9E3779B97F4A7C15) + hashes[self.tokens]
-            mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        self.pair_keys, self.pair = np.unique(mixed ^ (mixed >> np.uint64(32)), return_inverse=True)
+        starts = self.lengths.cumsum() - self.lengths
         self.role = np.repeat(np.frombuffer(row["roles"], np.uint8), self.lengths)
-
-    def pair_counts(self) -> tuple[np.ndarray, np.ndarray]:
-        n = len(self.pair_keys)
-        return np.bincount(self.pair[self.role > 0], minlength=n), np.bincount(self.pair[self.role == 2], minlength=n)
-
-
-def _span_of(keys: np.ndarray, spans: int) -> np.ndarray:
-    return ((keys >> np.uint64(32)) * np.uint64(spans)) >> np.uint64(32)
-
-
-def _ask(chunks: DataFrame, spans: int) -> DataFrame:
-    """What each chunk asks each key range, with its own counts to add."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                c = _Coded(row)
-                words = (c.word_keys, _unpacked(row["train"])[c.order], _unpacked(row["part"])[c.order])
-                pairs = (c.pair_keys, *c.pair_counts())
-                edges = [np.searchsorted(_span_of(k[0], spans), np.arange(spans + 1)) for k in (words, pairs)]
-                for s in np.flatnonzero((np.diff(edges[0]) > 0) | (np.diff(edges[1]) > 0)).tolist():
-                    (wa, wb), (pa_, pb) = (e[s : s + 2] for e in edges)
-                    low = np.ascontiguousarray(pairs[0][pa_:pb].view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-                    yield _rows([(s, row["chunk"], words[0][wa:wb].tobytes(), _packed(words[1][wa:wb]), _packed(words[2][wa:wb]), low, _packed(pairs[1][pa_:pb]), _packed(pairs[2][pa_:pb]))], ASKED)
-
-    return chunks.select("chunk", "lengths", "tokens", "words", "train", "part", "roles").mapInArrow(run, ASKED)
-
-
-def _sum_span(asked: pa.Table) -> pa.Table:
-    """The sums over all chunks of one key range, for each chunk in its own order, and the range's totals once."""
-    rows = asked.to_pylist()
-    out: list[list] = [[r["span"], r["chunk"]] for r in rows]
-    totals = []
-    for kind in ("words", "pairs"):
-        if kind == "words":
-            keys = [np.frombuffer(r[kind], np.uint64) for r in rows]
-        else:
-            keys = []
-            for r in rows:
-                low = np.frombuffer(r[kind], np.uint8).reshape(-1, 6)
-                wide = np.zeros((len(low), 8), np.uint8)
-                wide[:, :6] = low
-                keys.append(wide.view(np.uint64).ravel())
-        distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        ends = np.cumsum([len(k) for k in keys])
-        for which in ("train", "part"):
-            total = np.bincount(inverse, np.concatenate([_unpacked(r[f"{kind}_{which}"]) for r in rows]), len(distinct)).astype(np.int64)
-            for o, part in zip(out, np.split(total[inverse], ends[:-1]), strict=True):
-                o.append(_packed(part))
-            if kind == "words":
-                totals.append(total)
-    train, part = totals
-    for k, o in enumerate(out):
-        o += [int(train.sum()), int((train > 0).sum()), int(part.sum()), int((train > part).sum())] if k == 0 else [0, 0, 0, 0]
-    return pa.Table.from_batches([_rows([tuple(o) for o in out], ANSWERED)])
-
-
-def _known(c: _Coded, answers: list[dict]) -> dict[str, np.ndarray]:
-    """Corpus counts of the chunk's words (by dictionary place) and of its distinct bigrams."""
-    answers = sorted(answers, key=lambda r: r["span"])
-    out = {}
-    for name in ("words_train", "words_part", "pairs_train", "pairs_part"):
-        got = np.concatenate([_unpacked(r[name]) for r in answers])
-        if name.startswith("words"):
-            placed = np.empty(len(got), dtype=np.int64)
-            placed[c.order] = got
-            got = placed
-        out[name] = got
-    if len(out["words_train"]) != len(c.word_keys) or len(out["pairs_train"]) != len(c.pair_keys):
-        raise ValueError("a chunk's answers don't match its n-grams")
-    return out
-
-
-def _estimates(words: np.ndarray, pairs: np.ndarray, c: _Coded, n: int, v: int, at=slice(None)) -> tuple[np.ndarray, np.ndarray]:
-    """Per token the estimates (uniform, word, bigram) and the bucket of its context's count.
-
-    The vocabulary has one member for all unknown words.  After a context that was never seen, the bigram's estimate is
-    the word's."""
-    token, context = c.tokens[at], words[c.before[at]]
-    word = words[token] / max(n, 1)
-    pair = np.where(context > 0, pairs[c.pair[at]] / np.maximum(context, 1), word)
-    bucket = np.minimum(np.ceil(np.log2(context + 1)), BUCKETS - 1).astype(np.int64)
-    return np.stack([np.full(len(token), 1.0 / (v + 1)), word, pair], axis=1), bucket
-
-
-def mixture_weights(bucket: np.ndarray, p: np.ndarray, n: np.ndarray) -> np.ndarray:
+        distinct, place = np.unique(hashes, return_inverse=True)
+        self.grams, self.places = [distinct], [place[tokens]]
+        word = gram = hashes[tokens]
+        end = ends = hashes[words.index(b"")]
+        for _ in range(1, order):
+            context = np.concatenate([[ends], gram[:-1]]).astype(np.uint64)
+            context[starts] = ends
+            gram, ends = _mixed(context, word), _mixed(np.array([ends]), np.array([end]))[0]
+            distinct, place = np.unique(gram, return_inverse=True)
+            self.grams.append(distinct)
+            self.places.append(place)
+
+    def asks(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted distinct hashes with what the chunk's training texts count, and the chunk's name beside words."""
+        numbers = []
+        for k, (grams, place) in enumerate(zip(self.grams, self.places, strict=True)):
+            train, part = (np.bincount(place[keep], minlength=len(grams)) for keep in (self.role > 0, self.role == 2))
+            numbers.append(np.column_stack([train, part, np.full(len(grams), 0 if k else self.name, dtype=np.int64)]))
+        return merged(np.concatenate(self.grams), np.concatenate(numbers), COUNTS)
+
+
+def _mixed(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        both = context * np.uint64(0x9E3779B97F4A7C15) + word
+        both = (both ^ (both >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return both ^ (both >> np.uint64(32))
+
+
+def count(chunks: DataFrame, order: int, spans: int | None = None) -> DataFrame:
+    """The chunks with the training counts of each token's n-grams, written to the shared folder.
+
+    `train` holds the counts order by order; `part`, for the tokens of the part that sets the weights, what that part
+    counts of them.  n, v: the chunk's training tokens, and those of its training words that it owns (so that they add up to
+    the corpus' vocabulary); n_part the tokens of the part, v_part the owned words without it."""
+    spans = max(1, chunks.count()) if spans is None else spans
+    asked = chunks.select("chunk", "lengths", "tokens", "words", "roles")
+
+    def asks(row: dict) -> tuple[int, np.ndarray, np.ndarray]:
+        return row["chunk"], *_Coded(row, order).asks()
+
+    answers = exchange(asked, asks, COUNTS, spans)
+    ranges = cuts(spans)
+
+    def join(chunk: pa.Table, answered: pa.Table) -> pa.Table:
+        out = []
+        replies = answered.to_pylist()
+        for row in chunk.to_pylist():
+            c = _Coded(row, order)
+            keys = np.unique(np.concatenate(c.grams))
+            known = answers_of(keys, replies, COUNTS, ranges)
+            each = [known[np.searchsorted(keys, grams)] for grams in c.grams]
+            part_only = c.role == 2
+            train = np.concatenate([x[:, 0][place] for x, place in zip(each, c.places, strict=True)])
+            part = np.concatenate([x[:, 1][place[part_only]] for x, place in zip(each, c.places, strict=True)])
+            words = each[0][each[0][:, 2] == c.name]
+            totals = (int((c.role > 0).sum()), int((words[:, 0] > 0).sum()), int(part_only.sum()), int((words[:, 0] > words[:, 1]).sum()))
+            out.append((row["doc_ids"], row["held_out"], row["lengths"], row["roles"], press(train), press(part), *totals))
+        return pa.Table.from_batches([_rows(out, COUNTED)])
+
+    return stored(chunks.groupBy("chunk").cogroup(answers.groupBy("block")).applyInArrow(join, COUNTED), "lm-counts")
+
+
+def _estimates(counts: np.ndarray, lengths: np.ndarray, n: int, v: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per token the estimates (uniform, word, bigram, ...) and the bucket of its context.
+
+    counts: order x token.  The vocabulary has one member for all unknown words.  After a context that was never seen, an
+    n-gram's estimate is that of the shorter one, and the bucket that of the shorter context."""
+    lasts = lengths.cumsum() - 1
+    starts = lasts - lengths + 1
+    out = [np.full(counts.shape[1], 1.0 / (v + 1)), counts[0] / max(n, 1)]
+    bucket = np.zeros(counts.shape[1], dtype=np.int64)
+    for k in range(1, len(counts)):
+        context = np.concatenate([[0], counts[k - 1][:-1]])
+        context[starts] = counts[0][lasts]  # as many texts begin as end
+        seen = context > 0
+        out.append(np.where(seen, counts[k] / np.maximum(context, 1), out[-1]))
+        bucket = np.where(seen, (k - 1) * BUCKETS + np.minimum(np.ceil(np.log2(context + 1)), BUCKETS - 1).astype(np.int64), bucket)
+    return np.stack(out, axis=1), bucket
+
+
+def mixture_weights(bucket: np.ndarray, p: np.ndarray, n: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
     """Weights (bucket x estimate) that make n held-out tokens of each kind likeliest; a bucket without any takes the
     weights of all tokens together."""
 
@@ -225,84 +215,87 @@ def mixture_weights(bucket: np.ndarray, p: np.ndarray, n: np.ndarray) -> np.ndar
         return w
 
     if not len(n):
-        return np.full((BUCKETS, p.shape[1]), 1.0 / p.shape[1])
-    together, each = learn(np.zeros_like(bucket), 1), learn(bucket, BUCKETS)
-    seen = np.bincount(bucket, n, BUCKETS) > 0
+        return np.full((buckets, p.shape[1]), 1.0 / p.shape[1])
+    together, each = learn(np.zeros_like(bucket), 1), learn(bucket, buckets)
+    seen = np.bincount(bucket, n, buckets) > 0
     # a weight that no held-out token supports must not forbid a text
     mixed = np.where(seen[:, None], each, together) * (1 - 1e-4) + together * 0.5e-4 + 0.5e-4 / p.shape[1]
     return mixed / mixed.sum(axis=1, keepdims=True)
 
 
-def _held_out_cells(chunks: DataFrame, answers: DataFrame, n: int, v: int) -> DataFrame:
-    """(bucket, word_step, pair_step, n): tokens of the held-out part by their estimates from the other training texts."""
-    top = v + 1
+def _batches(df: DataFrame, of, schema: str) -> DataFrame:
+    """`of` each row, one at a time."""
 
-    def run(chunk: pa.Table, answered: pa.Table) -> pa.Table:
-        out = []
-        replies = answered.to_pylist()
-        for row in chunk.to_pylist():
-            c = _Coded(row)
-            at = np.flatnonzero(c.role == 2)
-            if len(at):
-                k = _known(c, replies)
-                p, bucket = _estimates(k["words_train"] - k["words_part"], k["pairs_train"] - k["pairs_part"], c, n, v, at)
-                with np.errstate(divide="ignore"):
-                    steps = np.rint(np.log(p[:, 1:] * top) / STEP)
-                steps = np.where(np.isfinite(steps), steps, -10_000).astype(np.int64) + 20_000
-                cell, count = np.unique((bucket * 40_000 + steps[:, 0]) * 40_000 + steps[:, 1], return_counts=True)
-                out.append(pa.table({
-                    "bucket": pa.array(cell // 1_600_000_000, pa.int32()), "word_step": pa.array(cell // 40_000 % 40_000 - 20_000, pa.int32()),
-                    "pair_step": pa.array(cell % 40_000 - 20_000, pa.int32()), "n": pa.array(count, pa.int64()),
-                }))
-        return pa.concat_tables(out) if out else pa.Table.from_batches([_rows([], CELLS)])
-
-    each = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, CELLS)
-    return each.groupBy("bucket", "word_step", "pair_step").agg(F.sum("n").alias("n"))
-
-
-def fit(chunks: DataFrame, answers: DataFrame, n: int, v: int) -> np.ndarray:
-    """The mixture weights.  The table of held-out tokens has at most BUCKETS x steps x steps rows, whatever the corpus is."""
-    got = _held_out_cells(chunks, answers, n, v).toPandas()
-    steps = got[["word_step", "pair_step"]].to_numpy(dtype=float)
-    p = np.where(steps <= -10_000, 0.0, np.exp(steps * STEP))  # relative to the uniform estimate
-    p = np.concatenate([np.ones((len(got), 1)), p], axis=1)
-    return mixture_weights(got["bucket"].to_numpy(dtype=np.int64), p, got["n"].to_numpy(dtype=float))
-
-
-def score(docs: DataFrame, held_out, part=None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in (r for b in batches for k in range(b.num_rows) for r in b.slice(k, 1).to_pylist()):
+            yield from of(row).to_batches()
+
+    return df.mapInArrow(run, schema)
+
+
+def _held_out_cells(counted: DataFrame, order: int, n: int, v: int) -> DataFrame:
+    """(cell, n): tokens of the held-out part by bucket and by their estimates from the other training texts."""
+
+    def cells(row: dict) -> pa.Table:
+        held = np.frombuffer(row["roles"], np.uint8) == 2
+        lengths = np.asarray(row["lengths"], dtype=np.int64)
+        own = np.repeat(held, lengths)
+        found, number = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if own.any():
+            counts = unpress(row["train"]).reshape(order, -1)[:, own] - unpress(row["part"]).reshape(order, -1)
+            p, bucket = _estimates(counts, lengths[held], n, v)
+            with np.errstate(divide="ignore"):
+                steps = np.rint(np.log(p[:, 1:] * (v + 1)) / STEP)
+            code = bucket
+            for k in range(order):
+                code = code * STEPS + np.where(np.isfinite(steps[:, k]), steps[:, k] + STEPS // 2, 0).astype(np.int64)
+            found, number = np.unique(code, return_counts=True)
+        return pa.table({"cell": pa.array(found, pa.int64()), "n": pa.array(number, pa.int64())})
+
+    return _batches(counted.select("lengths", "roles", "train", "part"), cells, CELLS).groupBy("cell").agg(F.sum("n").alias("n"))
+
+
+def fit(counted: DataFrame, order: int, n: int, v: int) -> np.ndarray:
+    """The mixture weights.  The table of held-out tokens has at most buckets x steps^order rows, whatever the corpus is: a
+    step of STEP logarithms each for what lies between one in all tokens and one."""
+    got = _held_out_cells(counted, order, n, v).toPandas()
+    cell, p = got["cell"].to_numpy(dtype=np.int64), []
+    for _ in range(order):
+        step, cell = cell % STEPS, cell // STEPS
+        p.append(np.where(step == 0, 0.0, np.exp((step - STEPS // 2) * STEP)))  # relative to the uniform estimate
+    p = np.stack([np.ones(len(got)), *reversed(p)], axis=1)
+    return mixture_weights(cell, p, got["n"].to_numpy(dtype=float), BUCKETS * max(1, order - 1))
+
+
+def score(docs: DataFrame, held_out, part=None, key: str = "doc_id", text: str = "text", order: int = ORDER, spans: int | None = None) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities).
 
     held_out: a boolean column; rows where it is true are scored but teach nothing.  part: training rows whose counts set
-    the weights (default: one in eight by crc32 of the key).  base_score adds one to every word's count.  A null text is
-    empty and has the end alone; repeated rows count as often as they occur; without training rows every base score is 0.
+    the weights (default: one in eight by crc32 of the key).  order: the longest n-gram, 1 to 5.  spans: key ranges of the
+    exchange (default: as many as chunks).  base_score adds one to every word's count.  A null text is empty and has the end
+    alone; a text of any length is one document of its chunk; repeated rows count as often as they occur; other columns are
+    not read; without training rows every base score is 0, and a table without rows gives none.
     """
+    if not 1 <= order <= TOP_ORDER:
+        raise ValueError(f"order must be 1 to {TOP_ORDER}")
     part = crc32_mod(key, 8) == 5 if part is None else part
-    chunks = code(docs, held_out, part, key, text)
-    spans = max(1, 2 * chunks.count())
-    answers = stored(_ask(chunks, spans).groupBy("span").applyInArrow(_sum_span, ANSWERED), "lm-answers")
-    sums = answers.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "n_part", "v_part")]).first()
+    counted = count(code(docs, held_out, part, key, text), order, spans)
+    sums = counted.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "n_part", "v_part")]).first()
     n, v = sums["n"], sums["v"]
-    slim = chunks.select("chunk", "doc_ids", "held_out", "lengths", "tokens", "words", "roles")
-    replies = answers.select("chunk", "span", "words_train", "words_part", "pairs_train", "pairs_part")
-    weights = fit(slim, replies, n - sums["n_part"], sums["v_part"])
-
-    def finish(chunk: pa.Table, answered: pa.Table) -> pa.Table:
-        out = []
-        replies = answered.to_pylist()
-        for row in chunk.to_pylist():
-            c = _Coded(row)
-            k = _known(c, replies)
-            p, bucket = _estimates(k["words_train"], k["pairs_train"], c, n, v)
-            both = np.log10((weights[bucket] * p).sum(axis=1))
-            count = k["words_train"]
-            base = np.log10((count + 1) / (n + v + 1))
-            starts = c.lengths.cumsum() - c.lengths
-            add = lambda x: np.add.reduceat(x, starts)
-            out.append(pa.table({
-                "doc_id": pa.array(row["doc_ids"], pa.int64()), "held_out": pa.array(row["held_out"], pa.bool_()), "n_tokens": pa.array(c.lengths),
-                "n_known": pa.array(add((count > 0)[c.tokens].astype(np.int64))), "base_score": pa.array(add(base[c.tokens])), "score": pa.array(add(both)),
-            }))
-        return pa.concat_tables(out) if out else pa.Table.from_batches([_rows([], SCORED)])
-
-    scored = slim.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(finish, SCORED)
+    weights = fit(counted, order, n - sums["n_part"], sums["v_part"])
+
+    def finish(row: dict) -> pa.Table:
+        lengths = np.asarray(row["lengths"], dtype=np.int64)
+        counts = unpress(row["train"]).reshape(order, -1)
+        p, bucket = _estimates(counts, lengths, n, v)
+        both = np.log10((weights[bucket] * p).sum(axis=1))
+        base = np.log10((counts[0] + 1) / (n + v + 1))
+        starts = lengths.cumsum() - lengths
+        add = lambda x: np.add.reduceat(x, starts)
+        return pa.table({
+            "doc_id": pa.array(row["doc_ids"], pa.int64()), "held_out": pa.array(row["held_out"], pa.bool_()), "n_tokens": pa.array(lengths),
+            "n_known": pa.array(add((counts[0] > 0).astype(np.int64))), "base_score": pa.array(add(base)), "score": pa.array(add(both)),
+        })
+
+    scored = _batches(counted.select("doc_ids", "held_out", "lengths", "train"), finish, SCORED)
     return scored.select(F.col("doc_id").alias(key), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from siltworks.llm import lm, quality, rules, secrets
@@ -143,32 +144,58 @@ def test_the_sample_is_full_where_most_labels_have_no_document(spark):
     assert fitted == [100]
 
 
-def test_scores_against_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize(("order", "spans"), [(1, None), (2, None), (3, 1), (3, 200), (4, 7)])
+def test_scores_against_brute_force(spark, monkeypatch, order, spans):
     rng = random.Random(8)
     texts = [None, "", "A a\x0bB"] + [" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(30))) for _ in range(150)]
     rows = [(i, t) for i, t in enumerate(texts)] + [(7, texts[7])]
-    weights = np.tile([0.2, 0.3, 0.5], (lm.BUCKETS, 1))
-    monkeypatch.setattr(lm, "mixture_weights", lambda *a: weights)
-    got = lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), crc32_mod("doc_id", 7) == 2).collect()
+    share = np.arange(1.0, order + 2) / np.arange(1.0, order + 2).sum()
+    monkeypatch.setattr(lm, "mixture_weights", lambda bucket, p, n, buckets: np.tile(share, (buckets, 1)))
+    got = lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), crc32_mod("doc_id", 7) == 2, order=order, spans=spans).collect()
     tokens = [(i, (t or "").encode().lower().split() + [b""]) for i, t in rows]
+    grams, contexts = collections.Counter(), collections.Counter()
     train = [w for i, w in tokens if zlib.crc32(str(i).encode()) % 7 != 2]
-    one, two = collections.Counter(), collections.Counter()
+
+    def histories(w, k):
+        padded = [b""] * (order - 1) + w
+        return [tuple(padded[order - 1 + i - k : order - 1 + i]) for i in range(len(w))]
+
     for w in train:
-        one.update(w)
-        two.update(zip([b"", *w[:-1]], w, strict=True))
-    n, v = sum(one.values()), len(one)
+        for k in range(order):
+            for h, x in zip(histories(w, k), w, strict=True):
+                grams[h, x] += 1
+                contexts[h] += 1
+    n, v = contexts[()], sum(h == () for h, _ in grams)
     want = []
     for i, w in tokens:
-        score = 0.0
-        for c, x in zip([b"", *w[:-1]], w, strict=True):
-            p1 = one[x] / n
-            p2 = two[c, x] / one[c] if one[c] else p1
-            score += math.log10(0.2 / (v + 1) + 0.3 * p1 + 0.5 * p2)
-        want.append((i, len(w), sum(one[x] > 0 for x in w), n, sum(math.log10((one[x] + 1) / (n + v + 1)) for x in w), score))
+        total = 0.0
+        for at, x in enumerate(w):
+            p = [1 / (v + 1)]
+            for k in range(order):
+                h = histories(w, k)[at]
+                p.append(grams[h, x] / contexts[h] if contexts[h] else p[-1])
+            total += math.log10(float((share * p).sum()))
+        want.append((i, len(w), sum(grams[(), x] > 0 for x in w), n, sum(math.log10((grams[(), x] + 1) / (n + v + 1)) for x in w), total))
     got = sorted((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got)
     assert np.allclose(np.array(got, dtype=float), np.array(sorted(want), dtype=float))
 
 
+def test_three_words_tell_more_than_two(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    two, three = (lm.score(d, crc32_mod("doc_id", 7) == 2, order=k).where("held_out").agg(F.sum("score").alias("s")).first().s for k in (2, 3))
+    print(two, three)
+    assert three > two
+
+
+def test_contexts_fall_in_the_bucket_of_the_longest_one_seen():
+    counts = np.array([[4, 6, 4], [3, 2, 0], [2, 0, 0]])
+    p, bucket = lm._estimates(counts, np.array([3]), 100, 10)
+    assert bucket.tolist() == [lm.BUCKETS + 3, lm.BUCKETS + 2, lm.BUCKETS + 2]
+    assert np.allclose(p[:, 3], [2 / 4, 0, 0]) and np.allclose(p[:, 2], [3 / 4, 2 / 4, 0])
+    with pytest.raises(ValueError):
+        lm.score(None, None, order=6)
+
+
 def test_learned_weights_beat_the_base_on_held_out_texts(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = lm.score(d, crc32_mod("doc_id", 7) == 2).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
