@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltworks.functions import paths
@@ -452,6 +455,29 @@ def header_problems(spark, sf):
     return docs.select("doc_id", F.array_join(checks.header_problems(F.col("header")), "|").alias("problems"))
 
 
+# Customers in four dialects, with separators and quotes of all of them inside a field.
+DIALECTS = ((",", '"', True), (";", '"', False), ("|", "'", True), ("\t", '"', False))
+_REMARK = """case c_nationkey % 6 when 0 then 'a, b' when 1 then 'c; d' when 2 then 'e | f' when 3 then 'it''s' when 4 then 'say "x"'
+    else c_mktsegment end"""
+_DIALECT_SQL = " union all ".join(
+    f"select {i} as file, {str(header).lower()} as header, c_custkey as k, {_REMARK} as remark, c_acctbal as balance from customer"
+    for i, (_, _, header) in enumerate(DIALECTS)
+)
+
+
+@query("read_inferred_dialects", sql=_DIALECT_SQL)
+def read_inferred_dialects(spark, sf):
+    customers = table(spark, sf, "customer").selectExpr("c_custkey as k", f"{_REMARK.replace(chr(39) * 2, chr(92) + chr(39))} as remark", "c_acctbal as balance")
+    parts = []
+    for i, (sep, quote, header) in enumerate(DIALECTS):
+        path = scratch_path(spark, f"dialect-{i}")
+        customers.write.csv(path, sep=sep, quote=quote, escape=quote, header=header)
+        back = readers.read_inferred(spark, path)
+        named = back.columns == customers.columns
+        parts.append(back.toDF("k", "remark", "balance").select(F.lit(i).alias("file"), F.lit(named).alias("header"), "k", "remark", "balance"))
+    return reduce(DataFrame.unionAll, parts)
+
+
 @query("header_lines_of_files", sql="select 'c_custkey,c_name,segment,c_acctbal' as header, '' as problems")
 def header_lines_of_files(spark, sf):
     path = scratch_path(spark, "headed")

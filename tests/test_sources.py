@@ -173,3 +173,30 @@ def test_long_integers_of_keys_past_five_digits(spark, tmp_path):
     got = sorted(tuple(r) for r in sources.read_csv_long_integers_all(spark, str(tmp_path)).collect())
     assert got == [(k, int(f"12345678901234{k % 10**5:05}"), f"99999999999999{k % 10**8:08}") for k in keys]
     assert sorted(r.o_orderkey for r in sources.read_csv_long_integers(spark, str(tmp_path)).collect()) == keys[:2]
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("a;b\n1;\"x;y\"\n2;z\n3;w, v\n", (";", '"', True)),
+        ("1|'p|q'|2.5\n2|'it''s'|3\n3|r|4\n", ("|", "'", False)),
+        ("name,city\nann,bonn\nbob,rome\n", (",", '"', True)),
+        ("ann,bonn\nbob,rome\nann,oslo\n", (",", '"', False)),
+        ("id\tday\n1\t2024-01-01\n2\t2024-02-01\n3\n4\tNA\tmore\n5\tNA\n", ("\t", '"', True)),
+        ("x,y,\n1,2,3\n", (",", '"', False)),
+        ("id,id\n1,2\n", (",", '"', False)),
+        ("one column\nof text\n", (",", '"', False)),
+        ("", (",", '"', False)),
+    ],
+)
+def test_dialects_are_inferred(spark, tmp_path, text, want):
+    assert tuple(readers.infer_dialect(spark, write(tmp_path, "d.txt", text))) == want
+
+
+def test_inferred_files_are_read(spark, tmp_path):
+    p = write(tmp_path, "d.txt", "k;v\n1;'a;b'\n2;'it''s'\n")
+    assert [tuple(r) for r in readers.read_inferred(spark, p).select("k", "v").collect()] == [(1, "a;b"), (2, "it's")]
+    for i, head in enumerate(("k,v", "k,w")):
+        write(tmp_path, f"part-{i}.csv", f"{head}\n1,a\n")
+    parts = [str(tmp_path / f"part-{i}.csv") for i in range(2)]
+    assert not readers.infer_dialect(spark, parts).header  # files with headers of their own share none
