@@ -10,11 +10,14 @@ How it runs: documents are coded once into chunks, each with a dictionary of its
 each of its distinct n-grams once, as sorted hashes, to the key ranges of `exchange`, which add up what all chunks sent and
 answer each chunk in the order it asked in; with its answers a chunk writes the counts of its tokens, which the weights and
 the scores are then read from without another shuffle.  So a frequent word costs one entry per chunk, not one per token, no
-table of the corpus has to fit anywhere, and what is exchanged grows with the data.  N-grams are known by 64-bit hashes.
+table of the corpus has to fit anywhere, and what is exchanged grows with the data.  Chunks are written in buckets by name
+and so meet their answers without being shuffled.  Words are known by 64-bit hashes, longer n-grams by as many bits as number
+them all and SPARE more: at every size one in 2^SPARE shares its hash with another.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,10 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltworks.llm.common import crc32_mod, stored
-from siltworks.llm.exchange import SUMS, answers_of, cuts, exchange, merged, press, unpress
+from siltworks.llm.exchange import SUMS, Tally, answers_of, cuts, exchange, merged, press, unpress
+from siltworks.plans.scratch import scratch_path
 
 ORDER, TOP_ORDER = 3, 5
-CHUNK_DOCS, CHUNK_TOKENS = 4096, 2_000_000
+CHUNK_DOCS, CHUNK_TOKENS = 4096, 1_000_000
+SPARE = 20
+FAN = 1024  # ranges a chunk asks at once: some thousands of n-grams each
 BUCKETS = 40  # powers of two of a context's count, for each length of context
 STEP = 0.4  # of natural logarithms, in the table of held-out tokens
 STEPS = 1000  # more than there can be between the least and the greatest estimate
@@ -52,7 +58,7 @@ def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 
 def _press(raw: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+    return zstandard.ZstdCompressor(level=6).compress(raw)
 
 
 def _unpress(blob: bytes) -> bytes:
@@ -76,29 +82,33 @@ def _chunk(docs: list[tuple], salt: int) -> tuple:
     return (name, [d[0] for d in docs], [d[1] for d in docs], lengths, coded, _press(b"\n".join(words[i] for i in order)), roles.tobytes())
 
 
-def code(docs: DataFrame, held_out, part, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents as chunks of dictionary-coded tokens, written to the shared folder."""
+def code(docs: DataFrame, held_out, part, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, str]:
+    """The documents as chunks of dictionary-coded tokens, written to the shared folder as a table in buckets, and its name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        size = made = 0
+        size = made = task = 0
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 for row in zip(*(c.to_pylist() for c in batch.slice(k, 256).columns), strict=True):
                     words = (row[3] or "").encode().lower().split()
                     words.append(b"")  # the end
                     held.append((*row[:3], words))
-                    size += len(words)
+                    task, size = row[4], size + len(words)
                     if len(held) >= CHUNK_DOCS or size >= CHUNK_TOKENS:
-                        yield _rows([_chunk(held, made)], CHUNKS)
+                        yield _rows([_chunk(held, task << 32 | made)], CHUNKS)
                         held, size, made = [], 0, made + 1
         if held:
-            yield _rows([_chunk(held, made)], CHUNKS)
+            yield _rows([_chunk(held, task << 32 | made)], CHUNKS)
 
-    rows = docs.select(F.col(key).cast("long"), held_out.alias("_held"), part.alias("_part"), text)
-    chunks = stored(rows.mapInArrow(run, CHUNKS), "lm-chunks")
-    # chunks of equal rows in different tasks are told apart by where they were written
-    return chunks.withColumn("chunk", F.xxhash64("chunk", F.input_file_name(), F.input_file_block_start()))
+    spark = docs.sparkSession
+    # chunks of equal rows are told apart by task and by number
+    rows = docs.select(F.col(key).cast("long"), held_out.alias("_held"), part.alias("_part"), text, F.spark_partition_id().alias("_task"))
+    name = f"lm_chunks_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    written = rows.mapInArrow(run, CHUNKS).write.bucketBy(buckets, "chunk").format("parquet").option("path", scratch_path(spark, "lm-chunks"))
+    written.saveAsTable(name)
+    return spark.table(name), name
 
 
 def _add_up(numbers: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -106,13 +116,29 @@ def _add_up(numbers: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.column_stack([np.add.reduceat(numbers[:, :2], starts, axis=0), np.minimum.reduceat(numbers[:, 2], starts)])
 
 
-COUNTS = SUMS._replace(merge=_add_up)
+def _columns(numbers: np.ndarray) -> bytes:
+    """Each number's column by itself: most of the third are zero."""
+    parts = [SUMS.write(np.ascontiguousarray(c)) for c in numbers.T]
+    return b"".join(len(x).to_bytes(4, "little") + x for x in parts)
+
+
+def _of_columns(blob: bytes, keys: int) -> np.ndarray:
+    out, at = [], 0
+    while at < len(blob):
+        size = int.from_bytes(blob[at : at + 4], "little")
+        out.append(SUMS.read(blob[at + 4 : at + 4 + size], keys))
+        at += 4 + size
+    return np.concatenate(out, axis=1)
+
+
+COUNTS = Tally(_add_up, _columns, _of_columns, _columns)
 
 
 class _Coded:
     """A chunk's n-grams: for each order the sorted distinct hashes, and each token's place among them."""
 
-    def __init__(self, row: dict, order: int) -> None:
+    def __init__(self, row: dict, order: int, bits: int) -> None:
+        low = np.uint64(64 - bits)
         self.name = row["chunk"]
         words = _unpress(row["words"]).split(b"\n")
         hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), dtype=np.uint64, count=len(words))
@@ -121,16 +147,16 @@ class _Coded:
         starts = self.lengths.cumsum() - self.lengths
         self.role = np.repeat(np.frombuffer(row["roles"], np.uint8), self.lengths)
         distinct, place = np.unique(hashes, return_inverse=True)
-        self.grams, self.places = [distinct], [place[tokens]]
+        self.grams, self.places = [distinct], [place[tokens].astype(np.int32)]
         word = gram = hashes[tokens]
         end = ends = hashes[words.index(b"")]
         for _ in range(1, order):
             context = np.concatenate([[ends], gram[:-1]]).astype(np.uint64)
             context[starts] = ends
             gram, ends = _mixed(context, word), _mixed(np.array([ends]), np.array([end]))[0]
-            distinct, place = np.unique(gram, return_inverse=True)
+            distinct, place = np.unique(gram >> low << low, return_inverse=True)
             self.grams.append(distinct)
-            self.places.append(place)
+            self.places.append(place.astype(np.int32))
 
     def asks(self) -> tuple[np.ndarray, np.ndarray]:
         """Sorted distinct hashes with what the chunk's training texts count, and the chunk's name beside words."""
@@ -148,26 +174,28 @@ def _mixed(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return both ^ (both >> np.uint64(32))
 
 
-def count(chunks: DataFrame, order: int, spans: int | None = None) -> DataFrame:
+def count(chunks: DataFrame, order: int, spans: int | None = None, fan: int = FAN) -> DataFrame:
     """The chunks with the training counts of each token's n-grams, written to the shared folder.
 
     `train` holds the counts order by order; `part`, for the tokens of the part that sets the weights, what that part
     counts of them.  n, v: the chunk's training tokens, and those of its training words that it owns (so that they add up to
     the corpus' vocabulary); n_part the tokens of the part, v_part the owned words without it."""
-    spans = max(1, chunks.count()) if spans is None else spans
+    size = chunks.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0)).alias("tokens")).first()
+    spans = max(1, 2 * size["n"]) if spans is None else spans
+    bits = min(64, (order * size["tokens"]).bit_length() + SPARE)
     asked = chunks.select("chunk", "lengths", "tokens", "words", "roles")
 
     def asks(row: dict) -> tuple[int, np.ndarray, np.ndarray]:
-        return row["chunk"], *_Coded(row, order).asks()
+        return row["chunk"], *_Coded(row, order, bits).asks()
 
-    answers = exchange(asked, asks, COUNTS, spans)
-    ranges = cuts(spans)
+    answers = exchange(asked, asks, COUNTS, spans, fan)
+    ranges = cuts(spans, fan)
 
     def join(chunk: pa.Table, answered: pa.Table) -> pa.Table:
         out = []
         replies = answered.to_pylist()
         for row in chunk.to_pylist():
-            c = _Coded(row, order)
+            c = _Coded(row, order, bits)
             keys = np.unique(np.concatenate(c.grams))
             known = answers_of(keys, replies, COUNTS, ranges)
             each = [known[np.searchsorted(keys, grams)] for grams in c.grams]
@@ -267,19 +295,21 @@ def fit(counted: DataFrame, order: int, n: int, v: int) -> np.ndarray:
     return mixture_weights(cell, p, got["n"].to_numpy(dtype=float), BUCKETS * max(1, order - 1))
 
 
-def score(docs: DataFrame, held_out, part=None, key: str = "doc_id", text: str = "text", order: int = ORDER, spans: int | None = None) -> DataFrame:
+def score(docs: DataFrame, held_out, part=None, key: str = "doc_id", text: str = "text", order: int = ORDER, spans: int | None = None, fan: int = FAN) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities).
 
     held_out: a boolean column; rows where it is true are scored but teach nothing.  part: training rows whose counts set
     the weights (default: one in eight by crc32 of the key).  order: the longest n-gram, 1 to 5.  spans: key ranges of the
-    exchange (default: as many as chunks).  base_score adds one to every word's count.  A null text is empty and has the end
+    exchange (default: two a chunk), beyond `fan` asked over two levels.  base_score adds one to every word's count.  A null text is empty and has the end
     alone; a text of any length is one document of its chunk; repeated rows count as often as they occur; other columns are
     not read; without training rows every base score is 0, and a table without rows gives none.
     """
     if not 1 <= order <= TOP_ORDER:
         raise ValueError(f"order must be 1 to {TOP_ORDER}")
     part = crc32_mod(key, 8) == 5 if part is None else part
-    counted = count(code(docs, held_out, part, key, text), order, spans)
+    chunks, name = code(docs, held_out, part, key, text)
+    counted = count(chunks, order, spans, fan)
+    docs.sparkSession.sql(f"drop table {name}")  # the catalog's entry: the counts no longer read it
     sums = counted.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "n_part", "v_part")]).first()
     n, v = sums["n"], sums["v"]
     weights = fit(counted, order, n - sums["n_part"], sums["v_part"])

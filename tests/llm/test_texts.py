@@ -144,14 +144,14 @@ def test_the_sample_is_full_where_most_labels_have_no_document(spark):
     assert fitted == [100]
 
 
-@pytest.mark.parametrize(("order", "spans"), [(1, None), (2, None), (3, 1), (3, 200), (4, 7)])
+@pytest.mark.parametrize(("order", "spans"), [(1, None), (2, None), (3, 1), (3, 90), (4, 7)])
 def test_scores_against_brute_force(spark, monkeypatch, order, spans):
     rng = random.Random(8)
     texts = [None, "", "A a\x0bB"] + [" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(30))) for _ in range(150)]
     rows = [(i, t) for i, t in enumerate(texts)] + [(7, texts[7])]
     share = np.arange(1.0, order + 2) / np.arange(1.0, order + 2).sum()
     monkeypatch.setattr(lm, "mixture_weights", lambda bucket, p, n, buckets: np.tile(share, (buckets, 1)))
-    got = lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), crc32_mod("doc_id", 7) == 2, order=order, spans=spans).collect()
+    got = lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), crc32_mod("doc_id", 7) == 2, order=order, spans=spans, fan=16).collect()
     tokens = [(i, (t or "").encode().lower().split() + [b""]) for i, t in rows]
     grams, contexts = collections.Counter(), collections.Counter()
     train = [w for i, w in tokens if zlib.crc32(str(i).encode()) % 7 != 2]
@@ -183,8 +183,7 @@ def test_scores_against_brute_force(spark, monkeypatch, order, spans):
 def test_three_words_tell_more_than_two(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     two, three = (lm.score(d, crc32_mod("doc_id", 7) == 2, order=k).where("held_out").agg(F.sum("score").alias("s")).first().s for k in (2, 3))
-    print(two, three)
-    assert three > two
+    assert three > 0.93 * two  # log10 probabilities
 
 
 def test_contexts_fall_in_the_bucket_of_the_longest_one_seen():
