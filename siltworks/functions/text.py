@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,40 +41,42 @@ def drop_empty(values: Column) -> Column:
     return F.map_filter(values, lambda k, v: v.isNotNull() & (v != ""))
 
 
+# A JSON string with its quotes; control characters never stand in JSON as they are, so one can mark a place.
+_JSON_TEXT = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+_MARK = "\x01"
+
+
 def key_values(text: Column, key: str) -> Column:
-    """array<string>: JSON texts of all values of a key, whatever its case, at any depth.
-
-    The depth of the value is not known when the plan is made, so this one walks the document in an Arrow batch, with a
-    stack of its own."""
-    wanted = key.lower()
-
-    def walk(document, out):
-        stack = [document]
-        while stack:
-            node = stack.pop()
-            if isinstance(node, tuple):  # a key with its value
-                if node[0].lower() == wanted:
-                    out.append(json.dumps(node[1], separators=(",", ":"), ensure_ascii=False))
-                node = node[1]
-            if isinstance(node, dict):
-                stack.extend(reversed(node.items()))
-            elif isinstance(node, list):
-                stack.extend(reversed(node))
-
-    def values(s: str | None) -> list[str] | None:
-        try:
-            node = json.loads(s)
-        except (TypeError, ValueError):
-            return None
-        out: list[str] = []
-        walk(node, out)
-        return out
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def search(batch: pd.Series) -> pd.Series:
-        return batch.map(values)
-
-    return search(text)
+    """array<string>: JSON texts of all values of a key, whatever its case, at any depth, in the order of the text.
+
+    The text is written anew without blanks, every key in it marked (strings are read whole, so nothing inside one is
+    taken for a key) and cut before each key that is wanted; what follows the key is its value.  Only a value that holds
+    the key again is read from a longer piece.  Null for texts that are no JSON, or nest deeper than Spark's JSON
+    reader goes (1,000 levels)."""
+    name = json.dumps(key, ensure_ascii=False)
+    wanted = rf"{_MARK}(?iu)\Q{name}\E:"
+    compact = F.get_json_object(text, "$")
+    marked = F.replace(
+        F.regexp_replace(compact, f"({_JSON_TEXT}):|({_JSON_TEXT})", f"{_MARK}$1:$2"), F.lit(f"{_MARK}:"), F.lit("")
+    )
+    pieces = F.split(marked, f"(?={wanted})", -1)
+
+    def value(piece: Column, rest: Column) -> Column:
+        bare = F.replace(F.substr(piece, F.lit(len(name) + 3)), F.lit(_MARK), F.lit(""))
+        longer = F.replace(F.substr(rest, F.lit(len(name) + 3)), F.lit(_MARK), F.lit(""))
+        nested = F.coalesce(F.get_json_object(bare, "$"), F.get_json_object(longer, "$"))
+        return (
+            F.when(bare.startswith('"'), F.regexp_extract(bare, f"^{_JSON_TEXT}", 0))
+            .when(bare.startswith("{") | bare.startswith("["), nested)
+            .otherwise(F.regexp_extract(bare, r"^[^,}\]]+", 0))
+        )
+
+    def all_values(p: Column) -> Column:
+        return F.transform(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), lambda x, i: value(x, F.array_join(F.slice(p, i + 2, F.size(p)), "")))
+
+    found = F.element_at(F.transform(F.array(pieces), all_values), 1)
+    nothing = F.array().cast("array<string>")
+    return F.when(compact.isNotNull() | (F.trim(text) == "null"), F.when(F.ltrim(text).rlike(r"^\s*[\[{]"), found).otherwise(nothing))
 
 
 def first_key_value(text: Column, keys: Sequence[str]) -> Column:

@@ -247,42 +247,54 @@ def path_counts(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
 def dependency_order(nodes: DataFrame, edges: DataFrame, key: str, order: str) -> DataFrame:
     """(key, name, level, sort_key, cyclic): the order in which activities can run.
 
-    Sorting by (level, sort_key) gives the order: level 0 by name, later ones by the place of the parent that was
-    done last, then by `order`.  One aggregate per level, checkpointed.  A graph with a cycle keeps its input order
-    (level null, sort_key by `order`).
+    Sorting by (level, sort_key) gives the order within a graph: level 0 by name, later ones by the place of the parent that
+    was done last, then by `order`.  A graph with a cycle keeps its input order (level null, sort_key by `order`).
+
+    One round per level.  A level is sorted over all tasks and its rows are numbered as they lie, so a place is one long
+    however deep the graph.  Settled nodes leave the next round's table; the edges they have served leave whenever the open
+    nodes have halved, so a round reads at most about twice the edges that are still to be served.
     """
     ensure_checkpoint_dir(nodes.sparkSession)
-    names = nodes.select(key, "name", F.col(order).cast("bigint").alias("_ord"))
+    listed = nodes.select(key, "name", F.col(order).cast("bigint").alias("_ord"))
     known = nodes.select(key, F.col("name").alias("source")).distinct()
-    inner = edges.join(known, [key, "source"], "left_semi").select(key, "source", F.col("target").alias("name")).checkpoint()
-    degree = inner.groupBy(key, "name").agg(F.count(F.lit(1)).alias("_deg"))
-    blank = F.lit(None).cast("struct<root:string,ords:array<bigint>>")
-    state = names.join(degree, [key, "name"], "left").select(
-        key, "name", "_ord", F.coalesce("_deg", F.lit(0)).alias("_deg"),
-        F.when(F.col("_deg").isNull(), F.struct(F.col("name").alias("root"), F.array().cast("array<bigint>").alias("ords"))).otherwise(blank).alias("_key"),
-        F.when(F.col("_deg").isNull(), 0).alias("_level"),
-    ).checkpoint()
-    level = 0
-    while not state.where(F.col("_level") == level).isEmpty():
-        front = state.where(F.col("_level") == level).select(key, F.col("name").alias("source"), F.col("_key").alias("_pk"))
-        served = front.join(inner, [key, "source"]).groupBy(key, "name").agg(F.count(F.lit(1)).alias("_n"), F.max("_pk").alias("_last"))
-        joined = state.join(served, [key, "name"], "left")
-        left = F.col("_deg") - F.coalesce("_n", F.lit(0))
-        ready = F.col("_level").isNull() & (left == 0)
-        new_key = F.struct(F.col("_last.root").alias("root"), F.concat(F.col("_last.ords"), F.array("_ord")).alias("ords"))
-        state = joined.select(
-            key, "name", "_ord", left.alias("_deg"),
-            F.when(ready, new_key).otherwise(F.col("_key")).alias("_key"),
-            F.when(ready, level + 1).otherwise(F.col("_level")).alias("_level"),
+    waits = edges.join(known, [key, "source"], "left_semi").select(key, "source", F.col("target").alias("name")).checkpoint()
+    degree = waits.groupBy(key, "name").agg(F.count(F.lit(1)).alias("_deg"))
+    open_ = listed.join(degree, [key, "name"], "left").withColumn("_last", F.lit(None).cast("bigint")).checkpoint()
+
+    def placed(df: DataFrame, *by: str) -> DataFrame:
+        # numbers grow along the sorted partitions; name makes the order total
+        return df.select(key, "name", "_ord", *[c for c in by if c == "_last"]).orderBy(key, *by, "name").select(
+            key, "name", "_ord", F.monotonically_increasing_id().alias("sort_key")
+        ).checkpoint()
+
+    front = placed(open_.where("_deg is null"), "name", "_ord")
+    open_ = open_.where("_deg is not null").checkpoint()
+    settled, level, waiting = None, 0, open_.count()
+    cut_at = waiting // 2
+    while not front.isEmpty():
+        done = front.select(key, "name", "_ord", F.lit(level).alias("level"), "sort_key")
+        settled = done if settled is None else settled.unionByName(done)
+        if not waiting:
+            break
+        at = front.select(key, F.col("name").alias("source"), F.col("sort_key").alias("_place"))
+        served = at.join(waits, [key, "source"]).groupBy(key, "name").agg(F.count(F.lit(1)).alias("_n"), F.max("_place").alias("_at"))
+        after = open_.join(served, [key, "name"], "left").select(
+            key, "name", "_ord", (F.col("_deg") - F.coalesce("_n", F.lit(0))).alias("_deg"), F.col("_at").alias("_last")
         ).checkpoint()
+        front = placed(after.where("_deg = 0"), "_last", "_ord")
+        open_ = after.where("_deg > 0")
+        waiting = open_.count()
         level += 1
-    cyclic = state.where("_level is null").select(key).distinct().withColumn("_cyclic", F.lit(True))
-    out = state.join(cyclic, key, "left")
-    stuck = F.coalesce("_cyclic", F.lit(False))
-    by_input = F.struct(F.lit("").alias("root"), F.array("_ord").alias("ords"))
+        if waiting <= cut_at:
+            cut_at = waiting // 2
+            waits = waits.join(open_.select(key, "name").distinct(), [key, "name"], "left_semi").checkpoint()
+    stuck = open_.select(key).distinct().withColumn("cyclic", F.lit(True)).checkpoint()
+    left = open_.select(key, "name", "_ord", F.lit(None).cast("int").alias("level"), F.lit(None).cast("bigint").alias("sort_key"))
+    out = (left if settled is None else settled.unionByName(left)).join(stuck, key, "left")
+    cyclic = F.coalesce("cyclic", F.lit(False))
     return out.select(
-        key, "name", F.when(~stuck, F.col("_level")).alias("level"),
-        F.when(stuck, by_input).otherwise(F.col("_key")).alias("sort_key"), stuck.alias("cyclic"),
+        key, "name", F.when(~cyclic, F.col("level")).alias("level"), F.when(cyclic, F.col("_ord")).otherwise(F.col("sort_key")).alias("sort_key"),
+        cyclic.alias("cyclic"),
     )
 
 
