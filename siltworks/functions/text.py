@@ -106,9 +106,105 @@ def sql_filter(sql: Column) -> Column:
     return F.trim(F.regexp_extract(sql, r"(?is)\bwhere\b\s+(.+?)(?:\border\b|\bgroup\b|$)", 1))
 
 
-def sql_purpose(sql: Column) -> Column:
+# SQL as tokens: blanks with comments, strings, names with their dots and quotes, single characters.
+_SQL_PART = r"""(?:[\w@#$]+|\[[^\]]*\]|"[^"]*"|`[^`]*`)"""
+_SQL_TOKEN = rf"""(?U)(?:\s++|--[^\n]*+|/\*(?s:.*?)\*/)++|'[^']*+(?:''[^']*+)*+'|{_SQL_PART}(?:\.{_SQL_PART})*|\S"""
+_CLAUSE_ENDS = (
+    "WHERE", "GROUP", "ORDER", "HAVING", "LIMIT", "UNION", "INTERSECT", "EXCEPT", "MINUS", "WINDOW", "QUALIFY", "SET", "VALUES", "FETCH", "OFFSET", ";",
+)
+_SCAN = "struct<levels:array<int>,tables:array<string>,ctes:array<string>,before:string,expects:boolean,named:boolean,start:int,stop:int>"
+_SELECTS, _IN_FROM, _IN_WITH = 1, 2, 4  # what is known of a level of parentheses
+
+
+def sql_scan(sql: Column) -> Column:
+    """struct<tables array<string>, filter string>: the tables a statement reads, as written, and its outermost condition.
+
+    One pass over the tokens carries the open parentheses, so FROM counts only in a query (not in `extract(year from d)` or `is
+    distinct from`), commas in a FROM list name further tables, and derived tables, table functions and names that WITH
+    defines are no tables.  Comments and strings say nothing.  The condition is that of the first statement with a WHERE outside
+    parentheses, blanks and comments as single blanks; empty where there is none.  Null for null."""
+    tokens = find_all(sql, _SQL_TOKEN)
+
+    def blank(t: Column) -> Column:
+        return t.rlike(r"(?Us)^(?:\s|--|/\*.*\*/)")
+
+    words = F.filter(F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda w: ~blank(w["t"]))
+    texts = "array<string>"
+    start = F.struct(
+        F.array(F.lit(0)).alias("levels"), F.array().cast(texts).alias("tables"), F.array().cast(texts).alias("ctes"), F.lit(";").alias("before"),
+        F.lit(False).alias("expects"), F.lit(False).alias("named"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("stop"),
+    ).cast(_SCAN)
+
+    def step(s: Column, w: Column) -> Column:
+        t, u = w["t"], F.upper(w["t"])
+        levels, top, depth = s["levels"], F.element_at(s["levels"], -1), F.size(s["levels"])
+
+        def has(bit: int) -> Column:
+            return top.bitwiseAND(F.lit(bit)) != 0
+
+        ends = u.isin(*_CLAUSE_ENDS)
+        reads = (u == "FROM") & has(_SELECTS) & (s["before"] != "DISTINCT")
+        joins = (u == "JOIN") & has(_IN_FROM)
+        lists = (u == ",") & has(_IN_FROM)
+        passes = u.isin("LATERAL", "ONLY", "RECURSIVE")
+        is_name = t.rlike(r"""(?U)^[\w@#$\["`]""") & ~t.rlike("^[0-9]") & ~ends & ~passes & ~u.isin("SELECT", "FROM", "WITH")
+        table = s["expects"] & is_name
+        defines = has(_IN_WITH) & ~has(_SELECTS) & is_name & s["before"].isin("WITH", "RECURSIVE", ",")
+        begins_with = (u == "WITH") & ~has(_SELECTS)
+        new_top = (
+            F.when(u == "SELECT", F.lit(_SELECTS))
+            .when(u == "DELETE", top.bitwiseOR(F.lit(_SELECTS)))
+            .when(reads, top.bitwiseOR(F.lit(_IN_FROM)))
+            .when(begins_with, top.bitwiseOR(F.lit(_IN_WITH)))
+            .when(ends, top.bitwiseAND(F.lit(_SELECTS | _IN_WITH)))
+            .otherwise(top)
+        )
+        below = F.slice(levels, 1, depth - 1)
+        new_levels = (
+            # a parenthesis where a table is expected holds a join or a query
+            F.when(t == "(", F.concat(levels, F.array(F.when(s["expects"], F.lit(_IN_FROM)).otherwise(F.lit(0)))))
+            .when((t == ")") & (depth > 1), below)
+            .when(t == ";", F.array(F.lit(0)))
+            .when(new_top != top, F.concat(below, F.array(new_top)))
+            .otherwise(levels)
+        )
+        called = (t == "(") & s["named"]
+        tables = F.when(table, F.concat(s["tables"], F.array(t))).when(called, F.slice(s["tables"], 1, F.size(s["tables"]) - 1)).otherwise(s["tables"])
+        outside = depth == 1
+        return F.struct(
+            new_levels.alias("levels"), tables.alias("tables"),
+            F.when(defines, F.concat(s["ctes"], F.array(F.lower(t)))).otherwise(s["ctes"]).alias("ctes"), u.alias("before"),
+            (reads | joins | lists | ((passes | (t == "(")) & s["expects"])).alias("expects"), table.alias("named"),
+            F.coalesce(s["start"], F.when(outside & (u == "WHERE"), w["i"] + 1)).alias("start"),
+            F.coalesce(s["stop"], F.when(outside & ends & s["start"].isNotNull(), w["i"])).alias("stop"),
+        ).cast(_SCAN)
+
+    def result(s: Column) -> Column:
+        stop = F.coalesce(s["stop"], F.size(tokens))
+        shown = F.transform(F.slice(tokens, s["start"] + 1, stop - s["start"]), lambda t: F.when(blank(t), F.lit(" ")).otherwise(t))
+        condition = F.trim(F.array_join(shown, ""))
+        return F.struct(
+            F.filter(s["tables"], lambda t: ~F.array_contains(s["ctes"], F.lower(t))).alias("tables"),
+            F.coalesce(condition, F.lit("")).alias("filter"),
+        )
+
+    return F.when(sql.isNotNull(), F.aggregate(words, start, step, result))
+
+
+def sql_reading(df: DataFrame, sql: str) -> DataFrame:
+    """Tables, condition and purpose of a column of SQL statements, by `sql_scan`; `sql_analysis` is for texts that only mention SQL."""
+    s = F.col(sql)
+    read = df.withColumn("_scan", sql_scan(s))
+    tables = F.col("_scan.tables")
+    return read.withColumns({
+        "tables": tables, "config_table": F.coalesce(F.get(tables, F.lit(0)), F.lit("UNKNOWN")), "filter_logic": F.col("_scan.filter"),
+        "purpose": purpose_of(tables, s),
+    }).drop("_scan")
+
+
+def purpose_of(tables: Column, sql: Column) -> Column:
     """What a statement is for, by the name of its first table and its words."""
-    table = F.lower(F.coalesce(F.get(sql_tables(sql), F.lit(0)), F.lit("")))
+    table = F.lower(F.coalesce(F.get(tables, F.lit(0)), F.lit("")))
     return (
         F.when(contains_any(table, ("config", "control", "metadata")), "Metadata-driven ingestion controller")
         .when(contains_any(table, ("audit", "status", "log")), "Audit/status tracking")
@@ -123,7 +219,7 @@ def sql_analysis(df: DataFrame, sql: str) -> DataFrame:
         "tables": sql_tables(s),
         "config_table": F.coalesce(F.get(sql_tables(s), F.lit(0)), F.lit("UNKNOWN")),
         "filter_logic": sql_filter(s),
-        "purpose": sql_purpose(s),
+        "purpose": purpose_of(sql_tables(s), s),
     })
 
 

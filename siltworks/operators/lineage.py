@@ -428,27 +428,57 @@ def notebook_layers(activities: DataFrame, keep: Sequence[str]) -> DataFrame:
     return activities.where(F.lower("type").contains("notebook")).select(*keep, layers.alias("layers"), intent.alias("intent"))
 
 
-def graph_signature(nodes: DataFrame, edges: DataFrame, key: str, flow: DataFrame) -> DataFrame:
-    """(key, signature): equal for definitions whose normalised nodes, edges and flow text are equal.
+def _plain_name(c: str) -> Column:
+    return F.regexp_replace(F.trim(F.lower(F.col(c))), r"_?\d+$", "")
 
-    Nodes and edges enter as a count and two sums of 64-bit hashes, which do not depend on order and combine
-    map-side, so a graph of any size is summarised without being collected."""
 
-    def plain(c: str) -> Column:
-        return F.regexp_replace(F.trim(F.lower(F.col(c))), r"_?\d+$", "")
+def _bag(colour: Column, *, name: str) -> list[Column]:
+    """Aggregates that say which colours a group holds and how often, whatever their order: a count and two sums.
 
-    def digest(df: DataFrame, text: Column, name: str) -> DataFrame:
-        h = df.select(key, F.xxhash64(text).alias("a"), F.hash(text).cast("bigint").alias("b"))
-        dec = "decimal(38,0)"
-        return h.groupBy(key).agg(
-            F.concat_ws(":", F.count(F.lit(1)).cast("string"), F.sum(F.col("a").cast(dec)).cast("string"), F.sum("b").cast("string")).alias(name)
-        )
+    They combine map-side, so a node with very many neighbours, or a very large graph, is never collected."""
+    halves = [F.conv(F.substring(colour, at, 15), 16, 10).cast("decimal(38,0)") for at in (1, 17)]
+    return [F.count(colour).alias(f"{name}n"), *[F.sum(h).alias(f"{name}{i}") for i, h in enumerate(halves)]]
+
+
+def refined_colours(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
+    """(key, name, colour): nodes have one colour when nothing about their surroundings tells them apart.
+
+    The first colour of a node is its plain name and type; each round adds the colours of the nodes before and after it,
+    until no round tells more nodes apart.  Names only say which nodes an edge joins; their numbers do not count.  An end of an edge that is no
+    node is one without a type.  As ever with this method, graphs in which all nodes look alike (one ring of six, two rings of three) stay equal."""
+    ensure_checkpoint_dir(nodes.sparkSession)
+    wires = edges.select(key, "source", "target").checkpoint()
+    label = F.md5(F.concat(_plain_name("name"), F.lit("::"), F.coalesce(F.trim(F.lower("type")), F.lit(""))))
+    ends = wires.select(key, F.col("source").alias("name")).unionByName(wires.select(key, F.col("target").alias("name"))).distinct()
+    ends = ends.join(nodes.select(key, "name").distinct(), [key, "name"], "left_anti").withColumn("type", F.lit(None).cast("string"))
+    every = nodes.select(key, "name", F.col("type").cast("string").alias("type")).unionByName(ends)
+    parts = ("n", "0", "1")
+
+    def mixed(*names: str) -> Column:
+        return F.md5(F.concat_ws("|", *[F.coalesce(F.col(n).cast("string"), F.lit("-")) for n in names]))
+
+    colours = every.groupBy(key, "name").agg(*_bag(label, name="_l")).select(key, "name", mixed(*[f"_l{p}" for p in parts]).alias("colour")).checkpoint()
+    classes = colours.select("colour").distinct().count()
+    while True:
+        before = wires.join(colours.withColumnRenamed("name", "source"), [key, "source"]).select(key, F.col("target").alias("name"), F.col("colour").alias("_b"), F.lit(None).cast("string").alias("_a"))
+        after = wires.join(colours.withColumnRenamed("name", "target"), [key, "target"]).select(key, F.col("source").alias("name"), F.lit(None).cast("string").alias("_b"), F.col("colour").alias("_a"))
+        around = before.unionByName(after).groupBy(key, "name").agg(*_bag(F.col("_b"), name="_b"), *_bag(F.col("_a"), name="_a"))
+        told = colours.join(around, [key, "name"], "left").select(key, "name", mixed("colour", *[f"_{s}{p}" for s in "ba" for p in parts]).alias("colour")).checkpoint()
+        more = told.select("colour").distinct().count()
+        if more == classes:
+            return colours
+        colours, classes = told, more
+
+
+def graph_signature(nodes: DataFrame, edges: DataFrame, key: str, flow: DataFrame) -> DataFrame:
+    """(key, signature): equal for definitions of equal structure (by `refined_colours`) and equal flow text.
 
-    n = digest(nodes, F.concat(plain("name"), F.lit("::"), F.trim(F.lower("type"))), "_n")
-    e = digest(edges, F.concat(plain("source"), F.lit("->"), plain("target")), "_e")
+    Copies whose activities only bear other numbers are equal; the same activities wired otherwise are not."""
+    bags = refined_colours(nodes, edges, key).groupBy(key).agg(*_bag(F.col("colour"), name="_c"))
     text = flow.select(key, F.sha2(F.trim(F.lower("flow")), 256).alias("_f"))
-    whole = n.join(e, key, "left").join(text, key, "left")
-    return whole.select(key, F.sha2(F.concat_ws("|", "_n", F.coalesce("_e", F.lit("-")), F.coalesce("_f", F.lit("-"))), 256).alias("signature"))
+    whole = bags.join(text, key, "left")
+    parts = [F.col(f"_c{p}").cast("string") for p in ("n", "0", "1")]
+    return whole.select(key, F.sha2(F.concat_ws("|", *parts, F.coalesce("_f", F.lit("-"))), 256).alias("signature"))
 
 
 def first_of_structure(signatures: DataFrame, key: str) -> DataFrame:

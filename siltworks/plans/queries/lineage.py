@@ -231,6 +231,27 @@ def flow_structures(spark, sf):
     return lin.first_of_structure(lin.graph_signature(a, e, "conv_id", text), "conv_id").select("conv_id")
 
 
+# Three flows per order, of 4 to 6 steps of one name and type: a path, the path with other numbers in reverse listing, a star.
+_STEPS = "sequence(1, cast(3 + o_orderkey % 3 as int))"
+
+
+@query(
+    "flow_structures_wired",
+    sql="""
+    select min(3 * o_orderkey + v) as flow_id, count(*) as flows from orders, (select unnest([0, 1, 2]) as v) group by o_orderkey % 3, v = 2""",
+)
+def flow_structures_wired(spark, sf):
+    """The first flow of each structure and the number of flows that have it; names and numbers of edges alone are equal in all."""
+    o = table(spark, sf, "orders").select("o_orderkey", F.explode(F.array(*[F.lit(v) for v in range(3)])).alias("v"))
+    wired = o.select((3 * F.col("o_orderkey") + F.col("v")).alias("flow_id"), "v", F.explode(F.expr(_STEPS)).alias("i"))
+    step = "concat('Step_', case v when 1 then 90 - {0} else {0} end)"
+    e = wired.selectExpr("flow_id", f"case v when 2 then 'Step_0' else {step.format('(i - 1)')} end as source", f"{step.format('i')} as target")
+    n = e.select("flow_id", "source").union(e.select("flow_id", "target")).distinct().toDF("flow_id", "name").withColumn("type", F.lit("Copy"))
+    text = o.select((3 * F.col("o_orderkey") + F.col("v")).alias("flow_id"), F.lit("copies").alias("flow"))
+    signed = lin.graph_signature(n, e, "flow_id", text)
+    return signed.groupBy("signature").agg(F.min("flow_id").alias("flow_id"), F.count(F.lit(1)).alias("flows")).drop("signature")
+
+
 # Nested definitions: one per document.
 NESTED = """
   '[{"name": "load_' || source || '", "type": "ForEach", "policy": {"retry": ' || doc_id % 3 || ', "timeout": "1h"}, "typeProperties": {"items": {"value": "' ||

@@ -375,6 +375,35 @@ def sql_statements(spark, sf):
     return out.select("doc_id", "config_table", _joined("tables").alias("tables"), "filter_logic", "purpose")
 
 
+# Statements over the given rows: (statement, tables, condition, purpose), SQL texts over event_id, user_id and event_type.
+_STATEMENTS = (
+    ("'select * from control.' || event_type || '_tbl -- from hidden' || chr(10) || 'where id = ' || event_id || ' order by id'",
+     "'control.' || event_type || '_tbl'", "'id = ' || event_id", "Metadata-driven ingestion controller"),
+    ("'with c as (select * from [raw].' || event_type || ') select * from c join dim_' || user_id || ' using (i) where x in (select y from z where y > 0)'",
+     "'[raw].' || event_type || '|dim_' || user_id || '|z'", "'x in (select y from z where y > 0)'", "Operational SQL"),
+    ("'select ~from audit~, extract(day from ts) from /* join b */ ' || event_type || ' a, status_log where k = ~where ' || user_id || '~ group by k'",
+     "event_type || '|status_log'", "'k = ~where ' || user_id || '~'", "Operational SQL"),
+    ("'delete from audit_log where watermark < ' || event_id", "'audit_log'", "'watermark < ' || event_id", "Audit/status tracking"),
+    ("'select max(watermark) from (select * from t' || user_id || ') s union all select 1 from range(3)'", "'t' || user_id", "''", "Incremental load control"),
+    ("'select ' || event_id", "''", "''", "Operational SQL"),
+)
+
+
+def _statement(part: int) -> str:
+    cases = " ".join(f"when {i} then {x[part] if part < 3 else chr(39) + x[part] + chr(39)}" for i, x in enumerate(_STATEMENTS))
+    return f"replace(case event_id % {len(_STATEMENTS)} {cases} end, '~', chr(39))"
+
+
+@query(
+    "sql_statements_scanned",
+    sql=f"""
+    select event_id, coalesce(nullif(split_part({_statement(1)}, '|', 1), ''), 'UNKNOWN') as config_table, {_statement(1)} as tables,
+      {_statement(2)} as filter_logic, {_statement(3)} as purpose from events""",
+)
+def sql_statements_scanned(spark, sf):
+    """Statements with comments, strings, common table expressions, derived tables and functions: what each reads."""
+    out = tx.sql_reading(table(spark, sf, "events").select("event_id", F.expr(_statement(0)).alias("body")), "body")
+    return out.select("event_id", "config_table", _joined("tables").alias("tables"), "filter_logic", "purpose")
 
 
 @query(

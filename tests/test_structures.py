@@ -1,8 +1,7 @@
-"""Keys deep in JSON texts and the order of dependencies, against plain Python."""
+"""Keys deep in JSON texts, SQL statements, and the order and structure of flows, on hand-written and random cases."""
 
 import json
 import random
-import time
 
 from siltworks.functions import text as tx
 from siltworks.operators import lineage
@@ -56,19 +55,115 @@ def test_key_values_of_long_and_deep_texts(spark):
 
 
 def test_a_long_chain_keeps_short_places_and_drops_what_is_settled(spark):
-    names = [f"n{i}" for i in range(40)]
+    names = [f"n{i}" for i in range(20)]
     nodes = spark.createDataFrame([("g", x, i) for i, x in enumerate(reversed(names))] + [("h", "b", 0), ("h", "a", 1), ("h", "free", 2)], "g string, name string, o int")
     edges = spark.createDataFrame(
-        [("g", a, b) for a, b in zip(names, names[1:])] + [("g", "n0", "n30"), ("g", "gone", "n3"), ("h", "a", "b"), ("h", "b", "a")],
+        [("g", a, b) for a, b in zip(names, names[1:])] + [("g", "n0", "n15"), ("g", "gone", "n3"), ("h", "a", "b"), ("h", "b", "a")],
         "g string, source string, target string",
     )
-    start = time.time()
     rows = lineage.dependency_order(nodes, edges, "g", "o").orderBy("g", "level", "sort_key").collect()
-    print(f"{time.time() - start:.1f} s")
-    assert [r["name"] for r in rows if r["g"] == "g"] == names and [r["level"] for r in rows if r["g"] == "g"] == list(range(40))
+    assert [r["name"] for r in rows if r["g"] == "g"] == names and [r["level"] for r in rows if r["g"] == "g"] == list(range(20))
     assert [(r["name"], r["level"], r["sort_key"], r["cyclic"]) for r in rows if r["g"] == "h"] == [("b", None, 0, True), ("a", None, 1, True), ("free", None, 2, True)]
 
 
 def test_order_of_no_nodes_is_empty(spark):
     nodes = spark.createDataFrame([], "g string, name string, o int")
     assert lineage.dependency_order(nodes, spark.createDataFrame([], "g string, source string, target string"), "g", "o").count() == 0
+
+
+def _structures(spark, graphs):
+    """The groups of graphs told to be equal; a graph is (nodes, edges), nodes being (name, type)."""
+    nodes = spark.createDataFrame([(g, n, t) for g, (ns, _) in graphs.items() for n, t in ns], "g string, name string, type string")
+    edges = spark.createDataFrame([(g, a, b) for g, (_, es) in graphs.items() for a, b in es], "g string, source string, target string")
+    flow = nodes.select("g").distinct().selectExpr("g", "'' as flow")
+    groups = {}
+    for r in lineage.graph_signature(nodes, edges, "g", flow).collect():
+        groups.setdefault(r["signature"], set()).add(r["g"])
+    return {frozenset(v) for v in groups.values()}
+
+
+def test_structures_are_told_apart_by_wiring(spark):
+    def numbered(numbers, pairs):
+        return [(f"Step_{n}", "Copy") for n in numbers], [(f"Step_{a}", f"Step_{b}") for a, b in pairs]
+
+    path, star = [(1, 2), (2, 3), (3, 4)], [(1, 2), (1, 3), (1, 4)]
+    graphs = {
+        "path": numbered(range(1, 5), path), "renamed": numbered(range(11, 15), [(a + 10, b + 10) for a, b in reversed(path)]),
+        "turned": numbered(range(1, 5), [(3, 1), (1, 4), (4, 2)]), "star": numbered(range(1, 5), star),
+        "star in": numbered(range(1, 5), [(b, a) for a, b in star]), "loose": numbered(range(1, 5), []),
+        "late fork": numbered(range(1, 7), [(1, 2), (2, 3), (3, 4), (3, 5), (5, 6)]), "early fork": numbered(range(1, 7), [(1, 2), (2, 3), (2, 4), (4, 5), (5, 6)]),
+        "typed": ([("Step_1", "Copy"), ("Step_2", "Copy"), ("Step_3", "Wait"), ("Step_4", "Copy")], [(f"Step_{a}", f"Step_{b}") for a, b in path]),
+        "outside": numbered(range(1, 4), path),
+    }
+    assert _structures(spark, graphs) == {frozenset({"path", "renamed", "turned"})} | {frozenset({g}) for g in graphs if g not in ("path", "renamed", "turned")}
+
+
+def test_structures_of_a_thousand_equal_and_unequal_trees(spark):
+    rng = random.Random(6)
+
+    def tree(shape):
+        numbers = rng.sample(range(100), len(shape) + 1)
+        return [(f"n{i}", "Copy") for i in numbers], [(f"n{numbers[p]}", f"n{numbers[i + 1]}") for i, p in enumerate(shape)]
+
+    def canonical(shape, node=0):
+        return "(" + "".join(sorted(canonical(shape, i + 1) for i, p in enumerate(shape) if p == node)) + ")"
+
+    shapes = {f"t{i}": [rng.randrange(k + 1) for k in range(rng.randint(1, 5))] for i in range(300)}
+    want = {}
+    for g, shape in shapes.items():
+        want.setdefault(canonical(shape), set()).add(g)
+    assert _structures(spark, {g: tree(s) for g, s in shapes.items()}) == {frozenset(v) for v in want.values()}
+
+
+STATEMENTS = [
+    ("select * from a", ["a"], ""),
+    ("SELECT x FROM dbo.[My Table] WHERE x = 1 ORDER BY x", ["dbo.[My Table]"], "x = 1"),
+    ("select 1 -- from hidden\nfrom shown", ["shown"], ""),
+    ("select /* from hidden join other */ 1 from shown", ["shown"], ""),
+    ("select 'from hidden' as t from shown where t <> 'it''s from hidden'", ["shown"], "t <> 'it''s from hidden'"),
+    ('select "from" from "odd name"."t" join `b c` on 1 = 1', ['"odd name"."t"', "`b c`"], ""),
+    ("select * from a, b as x, c y where a.i = b.i", ["a", "b", "c"], "a.i = b.i"),
+    ("with c as (select * from base) select * from c join d using (i)", ["base", "d"], ""),
+    ("with recursive c(n) as (select 1 union all select n + 1 from c), e as (select * from f) select * from e, c", ["f"], ""),
+    ("select * from (select * from inner_t where y = 2) s where s.x > 3 group by 1", ["inner_t"], "s.x > 3"),
+    ("select * from a where i in (select j from b where k = 1 order by j) and z = 2 limit 5", ["a", "b"], "i in (select j from b where k = 1 order by j) and z = 2"),
+    ("select extract(year from d), trim(both ' ' from s), substring(s from 2) from t", ["t"], ""),
+    ("select * from a where x is distinct from y", ["a"], "x is distinct from y"),
+    ("select * from generate_series(1, 3) g, real_t", ["real_t"], ""),
+    ("select * from (a join b on a.i = b.i) left join c on true", ["a", "b", "c"], ""),
+    ("select * from a union all select * from b where q having z", ["a", "b"], "q"),
+    ("delete from a where i < 5", ["a"], "i < 5"),
+    ("select * from a cross join lateral (select * from b where b.i = a.i) l", ["a", "b"], ""),
+    ("select f(a, b), c from t1, t2 where c in (1, 2, 3)", ["t1", "t2"], "c in (1, 2, 3)"),
+    ("select * from a; select * from b where 1 = 2; select 3", ["a", "b"], "1 = 2"),
+    ("select * from a with (nolock) join b with (nolock) on a.i = b.i where x", ["a", "b"], "x"),
+    ("select where_clause, from_date from orders_from where from_date > 1", ["orders_from"], "from_date > 1"),
+    ("select *\nfrom\n  a -- the first\nwhere x = 1 -- y = 2\n  and z = 3", ["a"], "x = 1 and z = 3"),
+    ("select (select max(i) from b) m from a", ["b", "a"], ""),
+    ("select * from only a tablesample (10 percent)", ["a"], ""),
+    ("insert into t select * from s where k", ["s"], "k"),
+    ("select * from a join b on a.x = b.x join c on b.y = c.y and c.z = '-- no comment' where w", ["a", "b", "c"], "w"),
+    ("select 1", [], ""),
+    ("select * from 's3://x/from y'", [], ""),
+    ("select case when exists (select 1 from e where e.i = a.i) then 1 end from a where (((x)))", ["e", "a"], "(((x)))"),
+    ("with a as (select * from src.a) select * from a where 'unfinished", ["src.a"], "'unfinished"),
+    ("", [], ""),
+    (")) from )( x", [], ""),
+]
+
+
+def test_statements_are_read_by_their_tokens(spark):
+    df = spark.createDataFrame([(i, s) for i, (s, _, _) in enumerate(STATEMENTS)] + [(len(STATEMENTS), None)], "i int, s string")
+    out = df.select("i", tx.sql_scan(df["s"]).alias("r"))
+    got = {r["i"]: r["r"] for r in out.collect()}
+    for i, (s, tables, condition) in enumerate(STATEMENTS):
+        assert (got[i]["tables"], got[i]["filter"]) == (tables, condition), s
+    assert got[len(STATEMENTS)] is None
+    assert "Python" not in out._jdf.queryExecution().toString()
+
+
+def test_a_long_statement_is_read_in_time(spark):
+    s = "select * from a where i in (" + ", ".join(map(str, range(20000))) + ") and j = 'x'"
+    df = spark.createDataFrame([(s,)], "s string")
+    r = df.select(tx.sql_scan(df["s"]).alias("r")).first()["r"]
+    assert r["tables"] == ["a"] and r["filter"].endswith("and j = 'x'")
