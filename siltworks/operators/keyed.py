@@ -35,8 +35,9 @@ def attach_marks(df: DataFrame, key: Column, counts: DataFrame, out: str) -> Dat
     shuffle; whether it becomes a broadcast is up to Spark's size check.
     """
     hot = counts.orderBy(F.desc("_n"), "_k").limit(HOT_KEYS).select(F.col("_k").alias("_hk"), F.col("_m").alias("_hm"))
-    # the zero is computed: a literal would be folded into the condition and the salt would be no join key any more
-    zero = F.pmod(F.hash("_k"), F.lit(1))
+    # the zero is computed: a literal would be folded into the condition and the salt would be no join key any more.  It is
+    # never null: a null check of it would be pushed below the counts, which then were no longer those of `hot` and not reused
+    zero = F.hash("_k").bitwiseAND(F.lit(0))
     cold = counts.where("_m").select(F.col("_k").alias("_ck"), zero.alias("_cs"), F.lit(True).alias("_cm"))
     keyed = df.withColumn("_key", key).join(F.broadcast(hot), F.col("_key").eqNullSafe(F.col("_hk")), "left")
     keyed = keyed.withColumns({
