@@ -62,6 +62,81 @@ def profile(df: DataFrame, dataset_id: str, keys: bool = True) -> DataFrame:
     )
 
 
+# Profiles kept per batch.  The sketch of 2^LG_BUCKETS registers takes at most 64 KB a key-like column and batch.
+SKETCHES = (
+    "dataset_id string, batch_id string, column_name string, data_type string, ordinal int, row_count bigint, null_count bigint, "
+    "keyed boolean, sketch binary"
+)
+LG_BUCKETS = 16
+# Three standard errors of a merged sketch (1.04 / sqrt(2^LG_BUCKETS)): a key column's estimate stays within it 99.7 % of the time.
+SKETCH_ERROR = 3 * 1.04 / 2 ** (LG_BUCKETS / 2)
+# A column whose estimate is this many such bounds below its number of rows is no key: six standard errors, so a true key is lost once in some 10^9 columns.
+SURE = 2
+
+
+def batch_sketches(df: DataFrame, dataset_id: str, batch_id: str) -> DataFrame:
+    """What one batch adds to a profile: a row per column with its rows, gaps and, for key-like columns, a sketch of its values.
+
+    One aggregate to one row per task; no value leaves its task but as part of a sketch."""
+    fields = df.schema.fields
+    aggs, rows = [F.count(F.lit(1)).alias("n")], []
+    for i, f in enumerate(fields):
+        c, named = F.col(f"`{f.name}`"), any(t in f.name.lower() for t in KEY_TOKENS)
+        aggs.append(F.count(c).alias(f"f{i}"))
+        if named:
+            aggs.append(F.hll_sketch_agg(c.cast("string"), LG_BUCKETS).alias(f"s{i}"))
+        sketch = F.col(f"s{i}") if named else F.lit(None).cast("binary")
+        rows.append(F.struct(
+            F.lit(dataset_id).alias("dataset_id"), F.lit(batch_id).alias("batch_id"), F.lit(f.name).alias("column_name"), F.lit(type_name(f.dataType)).alias("data_type"),
+            F.lit(i + 1).alias("ordinal"), F.col("n").alias("row_count"), (F.col("n") - F.col(f"f{i}")).alias("null_count"), F.lit(named).alias("keyed"), sketch.alias("sketch"),
+        ))
+    return df.agg(*aggs).select(F.inline(F.array(*rows)))
+
+
+def keep_sketches(df: DataFrame, dataset_id: str, batch_id: str, path: str) -> None:
+    """Write a batch's profile below the control folder `path`; the same batch again replaces its own."""
+    part = "".join(ch if ch.isalnum() or ch in "._-" else f"%{ord(ch):X}" for ch in f"{dataset_id}.{batch_id}")
+    batch_sketches(df, dataset_id, batch_id).write.mode("overwrite").parquet(f"{path}/{part}")
+
+
+def kept_sketches(spark, path: str) -> DataFrame:
+    return spark.read.schema(SKETCHES).option("recursiveFileLookup", True).parquet(path)
+
+
+def merged_profile(sketches: DataFrame) -> DataFrame:
+    """The profile of all batches together, from what was kept of them: PROFILE's columns and `distinct_estimate`.
+
+    Counts are exact.  `key_candidate` is what counts and sketch leave open: a key-like column without gaps whose estimate is
+    not surely below its number of rows; `exact_keys` decides.  A column that a batch lacks is a gap in all of its rows, one whose types differ a STRING,
+    and its place is that of the last batch that has it."""
+    batches = sketches.groupBy("dataset_id", "batch_id").agg(F.max("row_count").alias("n")).groupBy("dataset_id").agg(F.sum("n").alias("row_count"))
+    filled = F.sum(F.col("row_count") - F.col("null_count"))
+    per = sketches.groupBy("dataset_id", "column_name").agg(
+        F.when(F.min("data_type") == F.max("data_type"), F.max("data_type")).otherwise("STRING").alias("data_type"),
+        F.max_by("ordinal", "batch_id").alias("ordinal"), filled.alias("_filled"), F.bool_or("keyed").alias("_keyed"),
+        F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("_estimate"),
+    )
+    open_ = F.col("_estimate") >= F.col("row_count") * (1 - SURE * SKETCH_ERROR)
+    # a dataset is one row of `batches`
+    return per.join(batches, "dataset_id").select(
+        "dataset_id", "column_name", "data_type", (F.col("_filled") < F.col("row_count")).alias("nullable"), "ordinal", "row_count",
+        (F.col("row_count") - F.col("_filled")).alias("null_count"),
+        F.coalesce(F.col("_keyed") & (F.col("row_count") > 0) & (F.col("_filled") == F.col("row_count")) & open_, F.lit(False)).alias("key_candidate"),
+        F.when(F.col("_keyed"), F.coalesce("_estimate", F.lit(0))).cast("bigint").alias("distinct_estimate"),
+    )
+
+
+def exact_keys(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column_name) of those columns of a whole table that are unique and without gaps.  Only these columns are read; equal
+    values are counted together map-side, long texts by digest."""
+    if not columns:
+        return literal_table(df.sparkSession, [], "column_name string")
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    cells = [F.struct(F.lit(c).alias("column_name"), compact_key(F.col(f"`{c}`").cast("string"), isinstance(kinds[c], T.StringType)).alias("value")) for c in columns]
+    counted = df.select(F.inline(F.array(*cells))).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    return counted.groupBy("column_name").agg(F.max(F.col("value").isNull() | (F.col("n") > 1)).alias("not_key")).where("not not_key").select("column_name")
+
+
 def value_type(text: Column) -> Column:
     """What a text value looks like: INTEGER, DOUBLE, TIMESTAMP, JSON or STRING."""
     t = F.trim(text)

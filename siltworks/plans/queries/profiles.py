@@ -7,8 +7,10 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from siltworks.operators import profile as prof
+from siltworks.operators.literals import literal_table
 from siltworks.plans.queries.rules import DIRTY_EVENTS_SQL, dirty_events
 from siltworks.plans.registry import query, table
+from siltworks.plans.scratch import scratch_path
 
 _DIRTY_COLUMNS = [
     ("event_id", "INTEGER"), ("event_type", "STRING"), ("user_text", "STRING"), ("props", "STRING"), ("flag_text", "STRING"), ("value", "FLOAT"),
@@ -51,6 +53,35 @@ def key_candidates(spark, sf):
     return _profiles(spark, sf).where("key_candidate").select("dataset_id", "column_name")
 
 
+_BATCHED = ("orders", "lineitem", "events")
+
+
+def _batched_sql() -> str:
+    types = {"orders": (("o_orderkey", True), ("o_custkey", True), ("o_totalprice", False)), "lineitem": (("l_orderkey", True), ("l_partkey", True), ("l_suppkey", True)), "events": (("event_id", True), ("user_id", True))}
+    return " union all ".join(
+        f"select '{t}' as dataset_id, '{c}' as column_name, count(*) as row_count, count(*) - count({c}) as null_count, "
+        f"{f'count(distinct {c}) = count(*)' if keyed else 'false'} as is_key from {t}"
+        for t, cs in types.items() for c, keyed in cs
+    )
+
+
+@query("profile_from_batches", sql=_batched_sql())
+def profile_from_batches(spark, sf):
+    """Three tables profiled batch by batch; the merged profile names the key candidates, and only these are checked on the rows."""
+    path = scratch_path(spark, "profiles")
+    for t in _BATCHED:
+        rows = table(spark, sf, t)
+        for b in range(4):
+            prof.keep_sketches(rows.where(F.pmod(F.xxhash64(rows.columns[0]), F.lit(4)) == b), t, f"batch {b}", path)
+    merged = prof.merged_profile(prof.kept_sketches(spark, path)).checkpoint()
+    found = merged.where("key_candidate").groupBy("dataset_id").agg(F.collect_list("column_name").alias("c")).collect()  # columns of the named tables
+    keys = [prof.exact_keys(table(spark, sf, r["dataset_id"]), r["c"]).withColumn("dataset_id", F.lit(r["dataset_id"])) for r in found]
+    known = reduce(lambda a, b: a.unionByName(b), keys, literal_table(spark, [], "column_name string, dataset_id string")).withColumn("is_key", F.lit(True))
+    shown = "o_orderkey o_custkey o_totalprice l_orderkey l_partkey l_suppkey event_id user_id".split()
+    out = merged.where(F.col("column_name").isin(shown)).join(F.broadcast(known), ["dataset_id", "column_name"], "left")  # a row per column
+    return out.select("dataset_id", "column_name", "row_count", "null_count", F.coalesce("is_key", F.lit(False)).alias("is_key"))
+
+
 @query(
     "timestamp_columns",
     sql="""
@@ -111,7 +142,6 @@ def schema_guesses(spark, sf):
 def rules_seeded_from_profile(spark, sf):
     """Seeds for the unruled columns of the orders, and the static suggestion for all of them."""
     from siltworks.operators import rule_catalog as rc
-    from siltworks.operators.literals import literal_table
 
     orders = table(spark, sf, "orders")
     p = prof.profile(orders, "orders", keys=False)
