@@ -8,7 +8,9 @@ from siltworks.operators import catalog as cat
 from siltworks.operators import upsert as up
 from siltworks.plans.queries.texts import _DEFS_SQL, definitions
 from siltworks.plans.registry import query, table
+from siltworks.plans.scratch import scratch_path
 from siltworks.sources import inventory
+from siltworks.sources.readers import read_delimited
 
 _HOST = "regexp_extract(url, '^https?://([^/?#]+)', 1)"
 _PATH = "regexp_extract(url, '^https?://[^/]+/([^?#]*)', 1)"
@@ -437,3 +439,46 @@ def first_by_marker(spark, sf):
 def first_by_record(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang", F.lit("").alias("name"))
     return up.first_by_marker(docs, ["name"], ["doc_id"]).drop("name")
+
+
+_NOTED = "case page_id % 3 when 0 then 'plain' when 1 then 'a \"quoted\", comma' else 'tab' || {tab} || 'end' end"
+
+
+@query(
+    "catalog_file_round_trip",
+    sql=f"""
+    select cast(page_id as varchar) as dataset_id, {_HOST} as client_name, {_NOTED.format(tab="chr(9)").replace(chr(92), "")} as source_object,
+      nullif({_LANG}, '') as source_folder, case when page_id % 2 = 0 then 'true' else 'false' end as is_active, cast(null as varchar) as upsert_key from pages""",
+)
+def catalog_file_round_trip(spark, sf):
+    """The catalog as comma-separated files and back: all columns of a catalog, as text; what was empty is null."""
+    noted = _NOTED.format(tab="chr(9)").replace(chr(92), "")
+    c = table(spark, sf, "pages").selectExpr(
+        "cast(page_id as string) as dataset_id", f"{_HOST} as client_name", f"{noted} as source_object", f"{_LANG} as source_folder",
+        "page_id % 2 = 0 as is_active", "case when page_id % 5 = 0 then '' end as upsert_key",
+    )
+    path = scratch_path(spark, "catalog_csv")
+    cat.export_csv(c, path)
+    back = cat.import_csv(spark, path)
+    return back.select("dataset_id", "client_name", "source_object", "source_folder", F.col("is_active").cast("string").alias("is_active"), "upsert_key")
+
+
+@query(
+    "catalog_missing_columns",
+    sql="""
+    select 'bare' as catalog, c as missing, n as rows from (select unnest(['pipeline_id', 'source_folder', 'file_format', 'target_layer_bronze', 'target_layer_silver']) as c),
+      (select count(*) as n from documents where doc_id % 2 = 0)
+    union all select 'named', 'target_layer_silver', count(*) from documents where doc_id % 2 = 1""",
+)
+def catalog_missing_columns(spark, sf):
+    """Two catalog files of which one lacks five required columns and the other one: what an upload of them is told."""
+    d = table(spark, sf, "documents").selectExpr("doc_id", "cast(doc_id as string) as dataset_id", "source as client_name", "'S3' as source_type", "lang as source_object")
+    full = d.where("doc_id % 2 = 1").selectExpr("*", "'p' as pipeline_id", "source_object as source_folder", "'CSV' as file_format", "'Bronze' as target_layer_bronze")
+    rows = []
+    for name, c in (("bare", d.where("doc_id % 2 = 0")), ("named", full)):
+        path = scratch_path(spark, f"catalog_{name}")
+        cat.export_csv(c.drop("doc_id"), path)
+        upload = read_delimited(spark, path)
+        missing = F.explode(F.array(*[F.lit(m) for m in cat.missing_columns(upload)]))
+        rows.append(upload.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("catalog"), missing.alias("missing"), "rows"))
+    return rows[0].unionByName(rows[1])

@@ -399,3 +399,41 @@ def dq_many_keys(spark, sf):
         Rule("l_comment_key", "INTEGER", "UNIQUE", "BLOCK"), Rule("l_partkey", "INTEGER", "REFERENTIAL", "WARN", "part.p_partkey"),
     ]
     return flagged_counts(dq.flag(li, rules, {"part.p_partkey": parts}))
+
+
+@query(
+    "dq_missing_column",
+    sql="""
+    select o_orderstatus, cast(null as varchar) as approved_by, count(*) as rows, count(*) filter (where o_totalprice >= 400000) as failed_rows, count(*) as warnings
+    from orders group by o_orderstatus""",
+)
+def dq_missing_column(spark, sf):
+    """A rule names a column that the orders lack: it is there afterwards, empty, and its NOT_NULL warns on every row."""
+    rules = [Rule("approved_by", "STRING", "NOT_NULL", "WARN"), Rule("o_totalprice", "FLOAT", "RANGE", "ERROR", ":399999.99")]
+    flagged = dq.flag(table(spark, sf, "orders"), rules)
+    return flagged.groupBy("o_orderstatus", F.col("approved_by").cast("string").alias("approved_by")).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(dq.INVALID).alias("failed_rows"), F.sum(dq.WARNINGS).alias("warnings")
+    )
+
+
+@query(
+    "dq_registered_rules",
+    sql="""
+    select l_returnflag, count(*) as rows, count(*) filter (where l_quantity % 5 <> 0) as failed_rows, count(*) filter (where l_shipdate < l_commitdate_floor) as warnings
+    from (select *, timestamp '1995-01-01' as l_commitdate_floor from lineitem) group by l_returnflag""",
+)
+def dq_registered_rules(spark, sf):
+    """A row rule and a keyword of the CUSTOM rule that the caller adds, used on the line items and taken away again."""
+    from siltworks.functions.rules import register_rule, unregister_rule
+
+    register_rule("MULTIPLE_OF", lambda c, kind, value: c.isNotNull() & (c % F.lit(float(value)) != 0))
+    register_rule("NOT_BEFORE", lambda c, kind, value: c < F.lit(value).cast("timestamp"), custom=True)
+    try:
+        rules = [Rule("l_quantity", "FLOAT", "MULTIPLE_OF", "ERROR", "5"), Rule("l_shipdate", "TIMESTAMP", "CUSTOM", "WARN", "NOT_BEFORE=1995-01-01")]
+        flagged = dq.flag(table(spark, sf, "lineitem"), rules)
+    finally:
+        unregister_rule("MULTIPLE_OF")
+        unregister_rule("NOT_BEFORE", custom=True)
+    return flagged.groupBy("l_returnflag").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(dq.INVALID).alias("failed_rows"), F.sum(dq.WARNINGS).alias("warnings")
+    )

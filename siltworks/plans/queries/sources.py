@@ -517,3 +517,25 @@ def reader_strategies(spark, sf):
     )
     s = readers.preview_strategy(F.col("st"), F.col("ct"), F.col("fm"), F.col("url"), F.col("mk"))
     return p.select("page_id", s.alias("strategy"))
+
+
+@query(
+    "table_structure_problems",
+    sql="""
+    select 'orders' as dataset, 'none' as problem, count(*) as rows from orders
+    union all select 'unnamed', 'Invalid column name found', count(*) from customer
+    union all select 'repeated', 'Duplicate column names found', count(*) from part
+    union all select 'empty', 'Dataset is empty', count(*) from supplier where s_suppkey < 0""",
+)
+def table_structure_problems(spark, sf):
+    """What is wrong with tables already read: no rows, names that are missing or stand twice."""
+    p = table(spark, sf, "part").select("p_partkey", "p_size")
+    tables = {
+        "orders": table(spark, sf, "orders"), "unnamed": table(spark, sf, "customer").withColumnRenamed("c_name", "Unnamed: 1"),
+        "repeated": p.toDF("p_partkey", "p_partkey"), "empty": table(spark, sf, "supplier").where("s_suppkey < 0"),
+    }
+    rows = []
+    for name, df in tables.items():
+        found = F.explode(F.array(*[F.lit(x) for x in checks.table_problems(df) or ["none"]]))
+        rows.append(df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("dataset"), found.alias("problem"), "rows"))
+    return reduce(lambda a, b: a.unionByName(b), rows)

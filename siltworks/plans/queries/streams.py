@@ -8,7 +8,7 @@ from siltworks.functions.rules import Rule
 from siltworks.plans.layers import Dataset, LayerStore, run_dataset
 from siltworks.plans.registry import query, table
 from siltworks.plans.scratch import scratch_path
-from siltworks.streaming.arrivals import ANNOUNCED, file_stream, ingest_arrivals, ingest_new_versions, log_arrivals
+from siltworks.streaming.arrivals import ANNOUNCED, file_stream, ingest_arrivals, ingest_new_versions, log_arrivals, with_retries
 
 EVENT_RULES = [
     Rule("event_id", "INTEGER", "UNIQUE", "BLOCK"),
@@ -100,3 +100,28 @@ def stream_object_versions(spark, sf):
     out = spark.read.parquet(f"{root}/out")
     first = spark.read.parquet(f"{root}/out").where("path like 'obj/%' and etag not like 'r-%'").agg(F.max("epoch")).first()[0]
     return out.select("path", "etag", F.col("modified").cast("timestamp_ntz").alias("modified"), "size", (F.col("epoch") > first).cast("int").alias("run"))
+
+
+@query(
+    "stream_retried_batches",
+    sql="select event_type, count(*) as rows, round(sum(value), 3) as total from events group by event_type",
+)
+def stream_retried_batches(spark, sf):
+    """Every micro-batch of the events fails after it has written and is tried again: each event is in the output once."""
+    root = scratch_path(spark, "retries")
+    table(spark, sf, "events").repartition(4, "event_id").write.parquet(f"{root}/in")
+    failed = set()
+
+    def land(batch, epoch):
+        batch.write.mode("overwrite").parquet(f"{root}/out/epoch={epoch}")
+        if epoch not in failed:
+            failed.add(epoch)
+            raise OSError("the store is away")
+
+    stream = file_stream(spark, f"{root}/in", table(spark, sf, "events").schema, files_per_batch=2)
+    run = stream.writeStream.foreachBatch(with_retries(land, delay=0.0)).option("checkpointLocation", f"{root}/checkpoint")
+    run.trigger(availableNow=True).start().awaitTermination()
+    if not failed:
+        raise RuntimeError("no batch has failed, so none was tried again")
+    out = spark.read.parquet(f"{root}/out")
+    return out.groupBy("event_type").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("value"), 3).alias("total"))
