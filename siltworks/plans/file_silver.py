@@ -62,8 +62,11 @@ class FileSilver:
         literal_table(self.spark, [], FILE_VERSIONS).write.mode("ignore").parquet(f"{path}/empty")
         return self.spark.read.schema(FILE_VERSIONS).option("recursiveFileLookup", True).parquet(path)
 
-    def version(self, number: int | None = None):
+    def version(self, number: int | None = None, but: str | None = None):
+        """The newest version (or the one of a number), or None; `but` leaves out those of a batch."""
         rows = self.versions() if number is None else self.versions().where(F.col("version") == number)
+        if but is not None:
+            rows = rows.where(F.col("batch_id") != but)
         names = [f.name for f in T.StructType.fromDDL(FILE_VERSIONS)]
         return rows.agg(F.max_by(F.struct(*names), "version").alias("top")).first()["top"]
 
@@ -124,8 +127,10 @@ class FileSilver:
     def merge(self, batch: DataFrame, batch_id: str) -> dict:
         """Merge a batch by key, as `upsert` does, and record a version; returns what was written and what was shared.
 
-        A new row beats an old one, then the later watermark, then the larger tie-break values.  Null keys are one key."""
-        top = self.version()
+        A new row beats an old one, then the later watermark, then the larger tie-break values.  Null keys are one key.  A batch that
+        runs again is merged into the version before its own; when others came after it, into theirs, and their rows win."""
+        newest, top = self.version(), self.version(but=batch_id)
+        late = newest is not None and top is not None and not self.versions().where((F.col("batch_id") == batch_id) & (F.col("version") < top["version"])).isEmpty()
         attempt = f"{self.path}/files/attempt={uuid.uuid4().hex}"
         incoming = upsert(None, batch, self.keys, self.watermark, self.tie_break)
         if top is None:
@@ -136,13 +141,14 @@ class FileSilver:
             merged = incoming.withColumn("_slot", self._slot(bounds))
         else:
             bounds, filters = json.loads(top["bounds"]), list(top["filters"])
-            live = self.manifest()
+            live = self.manifest(top["version"])
             staged = f"{attempt}/staged"
             incoming.withColumn("_slot", self._slot(bounds)).write.parquet(staged)
             incoming = self.spark.read.schema(T.StructType([*incoming.schema.fields, T.StructField("_slot", T.IntegerType())])).parquet(staged)
             touched = [r["file"] for r in self._touched(incoming, live, filters).toLocalIterator()] if filters else []
             old = self._files(touched, T.StructType.fromJson(json.loads(top["schema_json"])))
-            merged = upsert(old, incoming.drop("_slot"), self.keys, self.watermark, self.tie_break).withColumn("_slot", self._slot(bounds))
+            under, over = (incoming.drop("_slot"), old) if late else (old, incoming.drop("_slot"))
+            merged = upsert(under, over, self.keys, self.watermark, self.tie_break).withColumn("_slot", self._slot(bounds))
         data = f"{attempt}/data"
         lead = self.keys[0]
         schema = merged.drop("_slot").schema
@@ -159,7 +165,7 @@ class FileSilver:
         fresh.write.parquet(listed)
         now = self.spark.read.schema(MANIFEST).parquet(listed)
         total = now.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.count_if(F.col("file").contains(attempt.rsplit("/", 1)[1])).alias("written")).first()
-        row = (top["version"] + 1 if top else 1, batch_id, listed, [*filters, own_filters], json.dumps(bounds), schema.json(), total["files"], total["written"], total["rows"])
+        row = (newest["version"] + 1 if newest else 1, batch_id, listed, [*filters, own_filters], json.dumps(bounds), schema.json(), total["files"], total["written"], total["rows"])
         literal_table(self.spark, [row], FILE_VERSIONS).coalesce(1).write.parquet(f"{self.path}/versions/v{row[0]:09d}")  # fails if another merge was first
         return {"version": row[0], "files": total["files"], "written": total["written"], "replaced": len(touched), "rows": total["rows"]}
 

@@ -4,7 +4,8 @@ Every layer but silver is a directory per batch that the batch overwrites, so a
 same files.  Silver is versioned: every attempt of a run writes a snapshot of its own and then one row of the version
 table, so nothing is overwritten while it is being read and a reader never sees half a merge.  A batch that runs again
 after later ones is merged below them: their rows win.  Control rows (versions, history, reports)
-are one small directory per run and dataset, overwritten by a repeated run.
+are one small directory per run and dataset, overwritten by a repeated run.  A dataset with `rows_a_file` keeps silver
+by files instead: a batch rewrites only those that hold its keys, and the versions lie beside them.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from siltworks.operators import dq
 from siltworks.operators.literals import literal_table
 from siltworks.operators.standardize import standardize
 from siltworks.operators.upsert import newer_than, upsert
+from siltworks.plans.file_silver import FileSilver
 from siltworks.plans.schemas import DQ_DETAILS, RUN_HISTORY, VERSIONS, WATERMARKS
 
 
@@ -37,6 +39,12 @@ class Dataset:
     watermark_column: str | None = None
     partition_column: str | None = None
     tie_break: tuple[str, ...] = ()
+    # rows a silver file holds when batches are merged by files (`plans/file_silver.py`); None writes a snapshot per run
+    rows_a_file: int | None = None
+
+    @property
+    def by_files(self) -> bool:
+        return self.incremental and self.rows_a_file is not None
 
     @property
     def keys(self) -> list[str]:
@@ -136,7 +144,15 @@ class LayerStore:
         """A silver snapshot with its own schema: types of partition columns are not guessed from directory names."""
         return self.spark.read.schema(schema).parquet(path)
 
+    def file_silver(self, dataset: Dataset) -> FileSilver:
+        path = f"{self.root}/Silver/{dataset.client}/{dataset.name}/by_files"
+        return FileSilver(self.spark, path, dataset.keys, dataset.watermark_column, dataset.tie_break, dataset.rows_a_file)
+
     def silver(self, dataset: Dataset, before_batch: str | None = None) -> DataFrame | None:
+        if dataset.by_files:
+            silver = self.file_silver(dataset)
+            top = silver.version(but=before_batch)
+            return silver.read(top["version"]) if top else None
         top = self.current_version(dataset, before_batch)
         return self.read_snapshot(top["path"], T.StructType.fromJson(json.loads(top["schema_json"]))) if top else None
 
@@ -197,7 +213,12 @@ def run_dataset(
     report.unpersist()
     valid = dq.valid_rows(checked)
     has_valid = counts["rows"] > failed
-    if has_valid:
+    if has_valid and dataset.by_files:
+        # the files are cut by key; a partition column plays no part in them
+        files = store.file_silver(dataset)
+        m["silver_rows"], m["silver_path"] = files.merge(valid, batch_id)["rows"], files.path
+        silver = files.read()
+    elif has_valid:
         top = store.current_version(dataset, before_batch=batch_id)
         existing = store.silver(dataset, before_batch=batch_id) if dataset.incremental else None
         own = store.version_of(dataset, batch_id)
@@ -214,7 +235,8 @@ def run_dataset(
         m["rejected_path"] = paths["Rejected"]
     if has_valid:
         try:
-            gold = store.read_snapshot(paths["Silver"], silver.schema) if gold_from == "silver" else valid
+            snapshot = silver if dataset.by_files else store.read_snapshot(paths["Silver"], silver.schema)
+            gold = snapshot if gold_from == "silver" else valid
             m["gold_rows"] = write_counted(gold, paths["Gold"])["rows"]
             m["gold_status"], m["gold_path"] = "PASSED", paths["Gold"]
         except Exception as e:  # a failed publish is a status of the run, not its end

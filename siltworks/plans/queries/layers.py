@@ -10,7 +10,7 @@ from siltworks.operators import dq
 from siltworks.operators.standardize import conform, known_first, preview, standardize, union_all
 from siltworks.operators.upsert import newer_than, upsert
 from siltworks.plans.file_silver import FileSilver
-from siltworks.plans.layers import Dataset, plan_layers
+from siltworks.plans.layers import Dataset, LayerStore, plan_layers, run_dataset
 from siltworks.plans.registry import query, table
 from siltworks.plans.scratch import scratch_path
 
@@ -265,3 +265,32 @@ def silver_file_snapshots(spark, sf):
     both = silver.read(1).withColumn("version", F.lit(1).cast("bigint")).unionByName(silver.read(2).withColumn("version", F.lit(2).cast("bigint")))
     sums = both.groupBy("version").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("o_totalprice")).cast("bigint").alias("worth"))
     return sums.join(kept, "version").select("batch_id", "n_rows", "worth", "shares")
+
+
+@query(
+    "layer_run_by_files",
+    sql=f"""
+    with {_NEWEST_SQL}, ok as (select * from newest where o_totalprice between 1000 and 400000),
+    silver as (select * from ok union all select o_orderkey, o_custkey, o_orderstatus, o_totalprice from orders
+      where o_totalprice between 1000 and 400000 and o_orderkey not in (select o_orderkey from ok))
+    select o_orderstatus, count(*) as n_rows, cast(round(sum(o_totalprice)) as bigint) as worth, true as shares from silver group by o_orderstatus""",
+)
+def layer_run_by_files(spark, sf):
+    """Two runs of the orders through all layers, the second of the newest keys and run twice, as after a failure: silver as it
+    stands, and whether the last run wrote no more than 5 per cent of its files."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    top = orders.agg((F.max("o_orderkey") - F.expr("max(o_orderkey) div 1000")).alias("_from"))
+    newest = orders.join(F.broadcast(top), F.col("o_orderkey") > F.col("_from")).drop("_from")  # one row
+    newest = newest.withColumn("o_totalprice", F.col("o_totalprice") + 1)
+    newest = newest.unionByName(newest.withColumn("o_orderkey", F.col("o_orderkey") + 1_000_000_000))
+    d = Dataset("orders", "shop", "orders", "INCREMENTAL", "o_orderkey", rows_a_file=max(1, orders.count() // 100))  # about a hundred files at any size
+    rules = [Rule("o_totalprice", "FLOAT", "RANGE", "ERROR", "1000:400000")]
+    store = LayerStore(spark, scratch_path(spark, "lake"))
+    run_dataset(store, d, [orders], rules, "first", "2024-01-02T03:04:05")
+    for _ in range(2):
+        run_dataset(store, d, [newest], rules, "second", "2024-01-03T03:04:05")
+    top = store.file_silver(d).version()
+    shares = F.lit(top["written"] * 20 <= top["files"])
+    return store.silver(d).groupBy("o_orderstatus").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("o_totalprice")).cast("bigint").alias("worth"), F.first(shares).alias("shares")
+    )

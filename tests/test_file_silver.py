@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from siltworks.operators.upsert import upsert
 from siltworks.plans.file_silver import FileSilver
@@ -68,3 +69,40 @@ def test_an_empty_first_load(spark):
     silver.merge(spark.range(0).selectExpr("id", "0 as v"), "none")
     silver.merge(spark.range(5).selectExpr("id", "0 as v"), "some")
     assert silver.read().count() == 5
+
+
+def test_a_batch_that_runs_again_replaces_its_own_and_stays_below_later_ones(spark):
+    silver = FileSilver(spark, scratch_path(spark, "fs"), ["id"], rows_a_file=50)
+
+    def merge(batch, value, *spans):
+        rows = [(i, value) for a, b in spans for i in range(a, b)]
+        silver.merge(spark.createDataFrame(rows, "id long, v string"), batch)
+        return {r["v"]: r["count"] for r in silver.read().groupBy("v").count().collect()}
+
+    assert merge("one", "a", (0, 1000)) == {"a": 1000}
+    assert merge("two", "b", (0, 100), (2000, 2100)) == {"a": 900, "b": 200}
+    assert merge("two", "b2", (0, 50)) == {"a": 950, "b2": 50}  # what the first attempt added is gone
+    assert merge("three", "c", (40, 60)) == {"a": 940, "b2": 40, "c": 20}
+    assert merge("two", "b3", (30, 70), (3000, 3001)) == {"a": 940, "b2": 40, "c": 20, "b3": 1}  # rows of a later version win
+    assert silver.read(2).count() == 1100
+    assert merge("one", "a", (0, 10)) == {"a": 940, "b2": 40, "c": 20, "b3": 1}
+
+
+def test_the_layered_run_keeps_silver_by_files(spark):
+    from siltworks.functions.rules import Rule
+    from siltworks.plans.layers import Dataset, LayerStore, run_dataset
+
+    store = LayerStore(spark, scratch_path(spark, "lake"))
+    d = Dataset("d", "c", "sales", "INCREMENTAL", "k", "at", rows_a_file=100)
+    rules = [Rule("v", "INTEGER", "RANGE", "ERROR", "0:")]
+    assert store.silver(d) is None
+    all_ = spark.range(10_000).selectExpr("id as k", "id as v", "1 as at")
+    run = run_dataset(store, d, [all_], rules, "b1", "2024-01-01T00:00:00", gold_from="silver")
+    assert run["silver_rows"] == run["gold_rows"] == 10_000
+    few = spark.createDataFrame([(5, -1, 2), (6, 60, 2), (6, 61, 3), (20_000, 1, 2)], "k long, v long, at int").withColumn("note", F.lit("n"))
+    run = run_dataset(store, d, [few], rules, "b2", "2024-01-02T00:00:00", gold_from="silver")
+    assert run["silver_rows"] == run["gold_rows"] == 10_001 and run["silver_path"] == store.file_silver(d).path
+    got = {r["k"]: (r["v"], r["note"]) for r in store.silver(d).where("k in (5, 6, 7, 20000)").collect()}
+    assert got == {5: (5, None), 6: (61, "n"), 7: (7, None), 20_000: (1, "n")}
+    top = store.file_silver(d).version()
+    assert top["written"] * 20 <= top["files"] and store.silver(d, before_batch="b2").count() == 10_000
