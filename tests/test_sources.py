@@ -172,7 +172,6 @@ def test_long_integers_of_keys_past_five_digits(spark, tmp_path):
     spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
     got = sorted(tuple(r) for r in sources.read_csv_long_integers_all(spark, str(tmp_path)).collect())
     assert got == [(k, int(f"12345678901234{k % 10**5:05}"), f"99999999999999{k % 10**8:08}") for k in keys]
-    assert sorted(r.o_orderkey for r in sources.read_csv_long_integers(spark, str(tmp_path)).collect()) == keys[:2]
 
 
 @pytest.mark.parametrize(
