@@ -22,6 +22,13 @@ def compact_key(key: Column, is_text: bool) -> Column:
     return F.when(F.length(key) > 64, F.concat(F.lit("#"), F.sha2(key, 256))).otherwise(key)
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """A side of a join that is never to be broadcast, though Spark's estimate of its size may be small.
+
+    That estimate follows the bytes of the files below: it knows nothing of the rows that an explode makes of them."""
+    return df.hint("merge")
+
+
 def key_counts(df: DataFrame, key: Column) -> DataFrame:
     """(_k, _n): rows per key, combined map-side; null is a key like any other."""
     return df.select(key.alias("_k")).groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))

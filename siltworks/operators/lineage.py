@@ -13,7 +13,7 @@ from siltworks.functions import labels as L
 from siltworks.functions import paths
 from siltworks.functions.text import contains_any, expression_references
 from siltworks.operators.exploding import explode_once, posexplode_once
-from siltworks.operators.keyed import first_per_key
+from siltworks.operators.keyed import by_shuffle, first_per_key
 from siltworks.operators.scans import spread
 from siltworks.session import ensure_checkpoint_dir
 
@@ -450,7 +450,7 @@ def refined_colours(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     wires = edges.select(key, "source", "target").checkpoint()
     label = F.md5(F.concat(_plain_name("name"), F.lit("::"), F.coalesce(F.trim(F.lower("type")), F.lit(""))))
     ends = wires.select(key, F.col("source").alias("name")).unionByName(wires.select(key, F.col("target").alias("name"))).distinct()
-    ends = ends.join(nodes.select(key, "name").distinct(), [key, "name"], "left_anti").withColumn("type", F.lit(None).cast("string"))
+    ends = ends.join(by_shuffle(nodes.select(key, "name").distinct()), [key, "name"], "left_anti").withColumn("type", F.lit(None).cast("string"))
     every = nodes.select(key, "name", F.col("type").cast("string").alias("type")).unionByName(ends)
     parts = ("n", "0", "1")
 
@@ -460,10 +460,10 @@ def refined_colours(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     colours = every.groupBy(key, "name").agg(*_bag(label, name="_l")).select(key, "name", mixed(*[f"_l{p}" for p in parts]).alias("colour")).checkpoint()
     classes = colours.select("colour").distinct().count()
     while True:
-        before = wires.join(colours.withColumnRenamed("name", "source"), [key, "source"]).select(key, F.col("target").alias("name"), F.col("colour").alias("_b"), F.lit(None).cast("string").alias("_a"))
-        after = wires.join(colours.withColumnRenamed("name", "target"), [key, "target"]).select(key, F.col("source").alias("name"), F.lit(None).cast("string").alias("_b"), F.col("colour").alias("_a"))
+        before = wires.join(by_shuffle(colours.withColumnRenamed("name", "source")), [key, "source"]).select(key, F.col("target").alias("name"), F.col("colour").alias("_b"), F.lit(None).cast("string").alias("_a"))
+        after = wires.join(by_shuffle(colours.withColumnRenamed("name", "target")), [key, "target"]).select(key, F.col("source").alias("name"), F.lit(None).cast("string").alias("_b"), F.col("colour").alias("_a"))
         around = before.unionByName(after).groupBy(key, "name").agg(*_bag(F.col("_b"), name="_b"), *_bag(F.col("_a"), name="_a"))
-        told = colours.join(around, [key, "name"], "left").select(key, "name", mixed("colour", *[f"_{s}{p}" for s in "ba" for p in parts]).alias("colour")).checkpoint()
+        told = colours.join(by_shuffle(around), [key, "name"], "left").select(key, "name", mixed("colour", *[f"_{s}{p}" for s in "ba" for p in parts]).alias("colour")).checkpoint()
         more = told.select("colour").distinct().count()
         if more == classes:
             return colours
@@ -476,7 +476,7 @@ def graph_signature(nodes: DataFrame, edges: DataFrame, key: str, flow: DataFram
     Copies whose activities only bear other numbers are equal; the same activities wired otherwise are not."""
     bags = refined_colours(nodes, edges, key).groupBy(key).agg(*_bag(F.col("colour"), name="_c"))
     text = flow.select(key, F.sha2(F.trim(F.lower("flow")), 256).alias("_f"))
-    whole = bags.join(text, key, "left")
+    whole = bags.join(by_shuffle(text), key, "left")
     parts = [F.col(f"_c{p}").cast("string") for p in ("n", "0", "1")]
     return whole.select(key, F.sha2(F.concat_ws("|", *parts, F.coalesce("_f", F.lit("-"))), 256).alias("signature"))
 

@@ -167,3 +167,13 @@ def test_a_long_statement_is_read_in_time(spark):
     df = spark.createDataFrame([(s,)], "s string")
     r = df.select(tx.sql_scan(df["s"]).alias("r")).first()["r"]
     assert r["tables"] == ["a"] and r["filter"].endswith("and j = 'x'")
+
+
+def test_no_colour_is_broadcast(spark):
+    # Spark takes the rows that an explode makes for no more bytes than the file below has
+    steps = spark.range(100).selectExpr("id as k", "explode(sequence(1, 4)) as i")
+    e = steps.selectExpr("k", "concat('s', i) as source", "concat('s', i + 1) as target")
+    n = e.selectExpr("k", "source as name").union(e.selectExpr("k", "target")).distinct().selectExpr("k", "name", "'Copy' as type")
+    signed = lineage.graph_signature(n, e, "k", spark.range(100).selectExpr("id as k", "'copies' as flow"))
+    assert "Broadcast" not in signed._jdf.queryExecution().executedPlan().toString()
+    assert signed.select("signature").distinct().count() == 1 and signed.count() == 100
