@@ -5,9 +5,11 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from siltworks.functions import labels as L
 from siltworks.functions import paths
@@ -58,11 +60,15 @@ ACTIVITY_FIELDS = (
 )
 
 
+OUT_CHARS = 4_000_000
+
+
 def activity_rows(definitions: DataFrame, key: str, activities: str) -> DataFrame:
     """(key, pos, name, type, parent, scope, depth, branch, depends_on, definition) of nested activity lists (JSON).
 
     Definitions nest to any depth, which no fixed chain of explodes covers, so each is walked in an Arrow batch;
-    every definition is one row and stays in its task.
+    every definition is one row and stays in its task.  An activity's text holds those inside it, so rows leave whenever
+    they hold `OUT_CHARS` characters: a task holds the texts of one definition and no more than that, however many come in a batch.
     """
 
     def named(a: dict, depth: int, index: int) -> str:
@@ -114,13 +120,28 @@ def activity_rows(definitions: DataFrame, key: str, activities: str) -> DataFram
 
     columns = ["pos", "name", "type", "parent", "scope", "depth", "branch", "depends_on", "definition"]
 
-    def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(k, *r) for k, text in zip(b[key], b[activities]) for r in walk(text)]
-            yield pd.DataFrame(rows, columns=[key, *columns])
-
-    kind = definitions.schema[key].dataType.simpleString()
-    return spread(definitions.select(key, activities)).mapInPandas(explode, f"{key} {kind}, pos int, {ACTIVITY_FIELDS}")
+            keys, texts = b.column(0), b.column(1)
+            held, size = [], 0
+            for i in range(b.num_rows):
+                for r in walk(texts[i].as_py()):
+                    held.append((i, *r))
+                    size += len(r[-1])
+                    if size >= OUT_CHARS:
+                        yield rows(keys, held)
+                        held, size = [], 0
+            if held:
+                yield rows(keys, held)
+
+    def rows(keys: pa.Array, held: list[tuple]) -> pa.RecordBatch:
+        at, *values = zip(*held, strict=True)
+        filled = [pa.array(v, f.type) for v, f in zip(values, list(kinds)[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(at, pa.int32())), *filled], names=[key, *columns])
+
+    schema = T.StructType([T.StructField(key, definitions.schema[key].dataType), *T.StructType.fromDDL(f"pos int, {ACTIVITY_FIELDS}").fields])
+    kinds = to_arrow_schema(schema)
+    return spread(definitions.select(key, activities)).mapInArrow(explode, schema)
 
 
 def activity_edges(activities: DataFrame, key: str, expressions: DataFrame | None = None) -> DataFrame:

@@ -177,3 +177,19 @@ def test_no_colour_is_broadcast(spark):
     signed = lineage.graph_signature(n, e, "k", spark.range(100).selectExpr("id as k", "'copies' as flow"))
     assert "Broadcast" not in signed._jdf.queryExecution().executedPlan().toString()
     assert signed.select("signature").distinct().count() == 1 and signed.count() == 100
+
+
+def test_activities_leave_in_small_batches(spark, monkeypatch):
+    def definition(i):
+        inner = [{"name": f"c{i}_{k}", "type": "Copy", "dependsOn": [{"activity": "prep"}]} for k in range(i % 4)]
+        return json.dumps([{"name": f"a{i}", "type": "ForEach", "typeProperties": {"activities": inner}}, {"name": f"z{i}"}])
+
+    rows = [(i, definition(i)) for i in range(300)] + [(300, None), (301, "[{"), (None, definition(2))]
+    df = spark.createDataFrame(rows, "k long, text string")
+    whole = sorted(lineage.activity_rows(df, "k", "text").collect(), key=str)
+    monkeypatch.setattr(lineage, "OUT_CHARS", 500)
+    cut = lineage.activity_rows(df, "k", "text")
+    assert sorted(cut.collect(), key=str) == whole and len(whole) == 600 + 75 * 6 + 4
+    one = cut.where("k = 3").orderBy("pos").collect()
+    assert [(r.pos, r.name, r.parent, r.branch) for r in one] == [(0, "a3", None, None), *[(i + 1, f"c3_{i}", "a3", "ForEach") for i in range(3)], (4, "z3", None, None)]
+    assert one[1].depends_on[0].activity == "prep" and one[1].depends_on[0].dependencyConditions == ["Succeeded"]
