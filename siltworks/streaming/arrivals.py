@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from siltworks.functions.rules import Rule
+from siltworks.operators.literals import literal_table
 from siltworks.plans.layers import Dataset, LayerStore, run_dataset
 from siltworks.sources import checks, inventory
 
@@ -92,52 +91,50 @@ def log_arrivals(spark: SparkSession, path: str, log_path: str, client: str, bat
 
 
 ANNOUNCED = "path string, etag string, modified timestamp, size bigint"
+NEWEST = "path string, at bigint, etag string, arrived bigint"
 RETENTION = 7 * 24 * 3600 * 1000  # milliseconds without news after which an object's state is dropped
 
 
-def new_versions(announcements: DataFrame, retention: int = RETENTION) -> DataFrame:
-    """Of a stream of announcements (path, etag, modified, size), those that bring a new version of an object.
+def new_versions(announcements: DataFrame, newest: DataFrame, now: int, retention: int = RETENTION) -> tuple[DataFrame, DataFrame]:
+    """Of announcements (path, etag, modified, size), those that bring a new version of an object, and what is known after them.
 
-    The state of a path is the newest version seen: its time of change and its etag.  An announcement passes when the path is
-    new, or when it is of a later change with another etag; announced twice, announced late after a newer version, or touched
-    without a change of the etag, it does not.  No announcement is too late for an object not seen yet, however old its
-    version is, so the stream's event time is the time of arrival: a path without news for `retention` is forgotten, which
-    bounds the state.  Of announcements with one time of change the largest etag counts; a null time is the
-    earliest, a null etag is empty; a null path is one object.
+    What is known of a path (`newest`) is the newest version seen, by its time of change and its etag, and when news of it last
+    arrived.  An announcement passes when the path is new, or when it is of a later change with another etag; announced
+    twice, announced late after a newer version, or touched without a change of the etag, it does not.  No announcement is too
+    late for an object not seen yet, however old its version is: a path without news for `retention` milliseconds before
+    `now` is forgotten, which bounds what is kept.  Of announcements with one time of change the largest etag counts; a null
+    time is the earliest, a null etag is empty; a null path is one object.
     """
-
-    def latest(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get if state.exists else None
-        rows = pd.concat(frames).sort_values(["at", "etag", "size"], kind="stable", na_position="first")
-        rows = rows.drop_duplicates("at", keep="last")  # one version a time of change
-        keep = []
-        for at, etag in zip(rows["at"].tolist(), rows["etag"], strict=True):
-            new = last is None or (at > last[0] and etag != last[1])
-            if last is None or at > last[0]:
-                last = (at, etag)
-            keep.append(new)
-        state.update(last)
-        state.setTimeoutTimestamp(int(rows["arrived"].max().timestamp() * 1000) + retention)
-        yield rows.loc[keep, ["path", "etag", "at", "size"]]
-
     rows = announcements.select(
-        "path", F.coalesce("etag", F.lit("")).alias("etag"), F.coalesce(F.unix_micros("modified"), F.lit(-(2**62))).alias("at"), F.col("size").cast("bigint").alias("size"),
-        F.current_timestamp().alias("arrived"),
+        "path", F.coalesce("etag", F.lit("")).alias("etag"), F.coalesce(F.unix_micros("modified"), F.lit(-(2**62))).alias("at"), F.col("size").cast("bigint").alias("size")
     )
-    kept = rows.withWatermark("arrived", "0 seconds").groupBy("path").applyInPandasWithState(
-        latest, "path string, etag string, at bigint, size bigint", "at bigint, etag string", "append", GroupStateTimeout.EventTimeTimeout
+    # one version a time of change
+    each = rows.groupBy("path", "at").agg(F.max(F.struct("etag", "size")).alias("_v")).select("path", "at", "_v.etag", "_v.size")
+    last = newest.select(F.col("path").alias("_path"), F.col("at").alias("_at"), F.col("etag").alias("_etag"))
+    later = each.join(last, F.col("path").eqNullSafe(F.col("_path")), "left").where("_at is null or at > _at")
+    before = F.coalesce(F.lag("etag").over(Window.partitionBy("path").orderBy("at")), F.col("_etag"))
+    kept = later.withColumn("_before", before).where("_before is null or etag <> _before")
+    passed = kept.select("path", "etag", F.when(F.col("at") > -(2**62), F.timestamp_micros("at")).alias("modified"), "size")
+    # of one time of change, the version seen first stays
+    both = newest.select("path", "at", F.lit(1).alias("_old"), "etag", "arrived").unionByName(
+        each.select("path", "at", F.lit(0).alias("_old"), "etag", F.lit(now).cast("bigint").alias("arrived"))
     )
-    return kept.select("path", "etag", F.when(F.col("at") > -(2**62), F.timestamp_micros("at")).alias("modified"), "size")
+    known = both.groupBy("path").agg(F.max(F.struct("at", "_old", "etag")).alias("_v"), F.max("arrived").alias("arrived"))
+    return passed, known.select("path", "_v.at", "_v.etag", "arrived").where(F.col("arrived") + retention >= now)
 
 
 def ingest_new_versions(announcements: DataFrame, out: str, checkpoint: str, retention: int = RETENTION) -> StreamingQuery:
-    """Write each epoch's new versions to a directory of its own, which a replayed epoch overwrites."""
+    """Write each epoch's new versions to a directory of its own, which a replayed epoch overwrites.
+
+    What is known of the objects lies beside the checkpoint as a table, the one before an epoch and the one after it: an
+    epoch reads the one and writes the other, so it can be replayed, and costs two passes over the objects known."""
+    spark = announcements.sparkSession
 
     def one(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch:06d}")
+        state = spark.read.schema(NEWEST).parquet(f"{checkpoint}/newest/{(epoch - 1) % 2}") if epoch else literal_table(spark, [], NEWEST)
+        passed, known = new_versions(batch, state, int(time.time() * 1000), retention)
+        passed.write.mode("overwrite").parquet(f"{out}/epoch={epoch:06d}")
+        known.write.mode("overwrite").parquet(f"{checkpoint}/newest/{epoch % 2}")
 
-    stream = new_versions(announcements, retention).writeStream.outputMode("append").foreachBatch(with_retries(one))
+    stream = announcements.writeStream.foreachBatch(with_retries(one))
     return stream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

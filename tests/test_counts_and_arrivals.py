@@ -5,8 +5,9 @@ import random
 from collections import Counter
 
 from siltworks.operators import lineage
+from siltworks.operators.literals import literal_table
 from siltworks.plans.scratch import scratch_path
-from siltworks.streaming.arrivals import ANNOUNCED, ingest_new_versions
+from siltworks.streaming.arrivals import ANNOUNCED, NEWEST, ingest_new_versions, new_versions
 
 NODES, EDGES = "g string, name string", "g string, source string, target string"
 
@@ -68,3 +69,28 @@ def test_versions_are_ingested_once_across_a_restart(spark):
     first = [("", "", 3), ("a", "1", 1), ("b", "1", 2), ("c", "1", 4)]
     second = sorted([*first, ("a", "2", 5), ("d", "x", 7)])
     assert got == [first, second, second, sorted([*second, ("a", "1", 8)])]
+
+
+def test_versions_of_many_objects_are_those_of_a_walk(spark):
+    rng = random.Random(5)
+    newest, known, want, got = literal_table(spark, [], NEWEST), {}, [], []
+    for now in (0, 10, 20, 25):
+        rows = [(rng.choice(["a", "b", "c", "d", None]), rng.choice(["1", "2", None]), rng.choice([_at(h) for h in range(6)] + [None]), rng.choice([1, 2, None])) for _ in range(9)]
+        best = {}
+        for path, etag, modified, size in rows:
+            at = (path, modified is not None, modified or _at(0))
+            best[at] = max(best.get(at, ("", False, 0)), (etag or "", size is not None, size or 0))
+        for (path, *at), (etag, has, size) in sorted(best.items(), key=lambda x: x[0][1:]):
+            last = known.get(path)
+            if last is None or (at > last[0] and etag != last[1]):
+                want.append((now, path, etag, at[1] if at[0] else None, size if has else None))
+            if last is None or at > last[0]:
+                known[path] = (at, etag, now)
+            known[path] = (*known[path][:2], now)
+        known = {p: x for p, x in known.items() if x[2] + 10 >= now}
+        passed, after = new_versions(spark.createDataFrame(rows, ANNOUNCED), newest, now, 10)
+        got += [(now, *r) for r in passed.collect()]
+        newest = after.localCheckpoint()
+        assert sorted((str(r.path), r.etag, r.arrived) for r in newest.collect()) == sorted((str(p), x[1], x[2]) for p, x in known.items())
+        assert "Python" not in passed._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(got, key=str) == sorted(want, key=str)
