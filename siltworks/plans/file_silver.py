@@ -181,6 +181,13 @@ class FileSilver:
         )
 
     def _filters(self, data: str, schema: T.StructType, described: DataFrame) -> DataFrame:
-        rows = self._with_file(data, schema).join(described.select("file", "pages"), "file")
-        bits = rows.select("file", _page(self.keys, F.col("pages")).alias("page"), F.explode(_positions(self.keys)).alias("at"))
-        return bits.groupBy("file", "page").agg(F.call_function("bitmap_construct_agg", F.col("at")).alias("bits"))
+        """(file, page, bits).  Pages are built by a sort, so a row of it is a key's few numbers and no file's name; a key's
+        probes go to a bitmap each.  Files of one hash and number of pages would share their pages, which then let more pass."""
+        named = described.select("file", F.xxhash64("file").alias("_f"), "pages")
+        rows = self._with_file(data, schema).select(*self.keys, F.xxhash64("file").alias("_f")).join(named.select("_f", "pages").distinct(), "_f")
+        at = _positions(self.keys)
+        rows = rows.select("_f", "pages", _page(self.keys, F.col("pages")).alias("page"), *[at[i].alias(f"_at{i}") for i in range(PROBES)])
+        each = [F.call_function("bitmap_construct_agg", F.col(f"_at{i}")) for i in range(PROBES)]
+        bits = rows.groupBy("_f", "pages", "page").agg(F.array(*each).alias("_each")).select("_f", "pages", "page", F.explode("_each").alias("_bits"))
+        bits = bits.groupBy("_f", "pages", "page").agg(F.call_function("bitmap_or_agg", F.col("_bits")).alias("bits"))
+        return bits.join(named, ["_f", "pages"]).select("file", "page", "bits")

@@ -1,5 +1,6 @@
 """Merges by files against merges of the whole table."""
 
+import json
 import random
 
 import pytest
@@ -106,3 +107,21 @@ def test_the_layered_run_keeps_silver_by_files(spark):
     assert got == {5: (5, None), 6: (61, "n"), 7: (7, None), 20_000: (1, "n")}
     top = store.file_silver(d).version()
     assert top["written"] * 20 <= top["files"] and store.silver(d, before_batch="b2").count() == 10_000
+
+
+def test_filters_are_built_of_numbers_and_hold_every_key(spark):
+    silver = FileSilver(spark, scratch_path(spark, "filters"), ["a", "b"], rows_a_file=3000)
+    rows = spark.range(20_000).selectExpr("id * 3 as a", "cast(id % 7 as string) as b")
+    silver.merge(rows, "first")
+    listed = silver.manifest().cache()
+    data = listed.first()["file"].split("/_slot=")[0]
+    built = silver._filters(data, rows.schema, listed)
+    plan = built._jdf.queryExecution().executedPlan().toString()
+    sorts = [line for line in plan.splitlines() if " Sort [" in line]
+    assert sorts and not any("[file" in line for line in sorts)  # no row of a sort has a file's name
+    assert built.count() == listed.agg(F.sum("pages")).first()[0]
+    keys = rows.withColumn("_slot", silver._slot(json.loads(silver.version()["bounds"])))
+    held = silver._touched(keys, listed, list(silver.version()["filters"]))
+    assert held.count() == listed.count() > 3
+    absent = keys.where("a < 300").withColumn("a", F.col("a") + 1)
+    assert silver._touched(absent, listed, list(silver.version()["filters"])).count() <= 1
