@@ -123,12 +123,17 @@ def sql_scan(sql: Column) -> Column:
     distinct from`), commas in a FROM list name further tables, and derived tables, table functions and names that WITH
     defines are no tables.  Comments and strings say nothing.  The condition is that of the first statement with a WHERE outside
     parentheses, blanks and comments as single blanks; empty where there is none.  Null for null."""
-    tokens = find_all(sql, _SQL_TOKEN)
 
     def blank(t: Column) -> Column:
         return t.rlike(r"(?Us)^(?:\s|--|/\*.*\*/)")
 
-    words = F.filter(F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda w: ~blank(w["t"]))
+    def read(word: Column) -> Column:
+        """What a token is by itself, found once and not at each use in a step."""
+        t, u = word["t"], word["u"]
+        ends, passes = u.isin(*_CLAUSE_ENDS), u.isin("LATERAL", "ONLY", "RECURSIVE")
+        is_name = t.rlike(r"""(?U)^[\w@#$\["`]""") & ~t.rlike("^[0-9]") & ~ends & ~passes & ~u.isin("SELECT", "FROM", "WITH")
+        return F.struct(t.alias("t"), u.alias("u"), word["i"].alias("i"), ends.alias("ends"), passes.alias("passes"), is_name.alias("is_name"))
+
     texts = "array<string>"
     start = F.struct(
         F.array(F.lit(0)).alias("levels"), F.array().cast(texts).alias("tables"), F.array().cast(texts).alias("ctes"), F.lit(";").alias("before"),
@@ -136,18 +141,15 @@ def sql_scan(sql: Column) -> Column:
     ).cast(_SCAN)
 
     def step(s: Column, w: Column) -> Column:
-        t, u = w["t"], F.upper(w["t"])
+        t, u, ends, passes, is_name = (w[c] for c in ("t", "u", "ends", "passes", "is_name"))
         levels, top, depth = s["levels"], F.element_at(s["levels"], -1), F.size(s["levels"])
 
         def has(bit: int) -> Column:
             return top.bitwiseAND(F.lit(bit)) != 0
 
-        ends = u.isin(*_CLAUSE_ENDS)
         reads = (u == "FROM") & has(_SELECTS) & (s["before"] != "DISTINCT")
         joins = (u == "JOIN") & has(_IN_FROM)
         lists = (u == ",") & has(_IN_FROM)
-        passes = u.isin("LATERAL", "ONLY", "RECURSIVE")
-        is_name = t.rlike(r"""(?U)^[\w@#$\["`]""") & ~t.rlike("^[0-9]") & ~ends & ~passes & ~u.isin("SELECT", "FROM", "WITH")
         table = s["expects"] & is_name
         defines = has(_IN_WITH) & ~has(_SELECTS) & is_name & s["before"].isin("WITH", "RECURSIVE", ",")
         begins_with = (u == "WITH") & ~has(_SELECTS)
@@ -179,7 +181,7 @@ def sql_scan(sql: Column) -> Column:
             F.coalesce(s["stop"], F.when(outside & ends & s["start"].isNotNull(), w["i"])).alias("stop"),
         ).cast(_SCAN)
 
-    def result(s: Column) -> Column:
+    def result(tokens: Column, s: Column) -> Column:
         stop = F.coalesce(s["stop"], F.size(tokens))
         shown = F.transform(F.slice(tokens, s["start"] + 1, stop - s["start"]), lambda t: F.when(blank(t), F.lit(" ")).otherwise(t))
         condition = F.trim(F.array_join(shown, ""))
@@ -188,7 +190,12 @@ def sql_scan(sql: Column) -> Column:
             F.coalesce(condition, F.lit("")).alias("filter"),
         )
 
-    return F.when(sql.isNotNull(), F.aggregate(words, start, step, result))
+    def scan(tokens: Column) -> Column:
+        words = F.filter(F.transform(tokens, lambda t, i: F.struct(t.alias("t"), F.upper(t).alias("u"), i.alias("i"))), lambda w: ~blank(w["t"]))
+        return F.aggregate(F.transform(words, read), start, step, lambda s: result(tokens, s))
+
+    # an array of one element names the tokens, so that the statement is cut once
+    return F.when(sql.isNotNull(), F.get(F.transform(F.array(find_all(sql, _SQL_TOKEN)), scan), F.lit(0)))
 
 
 def sql_reading(df: DataFrame, sql: str) -> DataFrame:

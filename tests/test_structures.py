@@ -193,3 +193,8 @@ def test_activities_leave_in_small_batches(spark, monkeypatch):
     one = cut.where("k = 3").orderBy("pos").collect()
     assert [(r.pos, r.name, r.parent, r.branch) for r in one] == [(0, "a3", None, None), *[(i + 1, f"c3_{i}", "a3", "ForEach") for i in range(3)], (4, "z3", None, None)]
     assert one[1].depends_on[0].activity == "prep" and one[1].depends_on[0].dependencyConditions == ["Succeeded"]
+
+
+def test_a_statement_is_cut_into_tokens_once(spark):
+    df = spark.range(1).selectExpr("concat('select * from t', id) as s")
+    assert tx.sql_reading(df, "s")._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
