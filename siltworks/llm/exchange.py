@@ -42,40 +42,107 @@ class Tally(NamedTuple):
 
 
 def press(numbers: np.ndarray) -> bytes:
-    """64-bit numbers by byte planes, compressed: small numbers have empty high planes, which take next to no room."""
-    planes = np.ascontiguousarray(np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, 8).T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    """64-bit numbers by byte planes, as many as the largest needs, each compressed by itself or as it is, if that is shorter."""
+    raw = np.ascontiguousarray(numbers).view(np.uint64).ravel()
+    width = (int(raw.max()).bit_length() + 7) // 8 if len(raw) else 0
+    each, compressor = raw.view(np.uint8).reshape(-1, 8), zstandard.ZstdCompressor(level=1)
+    planes = [each[:, k].tobytes() for k in range(width)]
+    pressed = [compressor.compress(p) for p in planes]
+    shorter = [len(z) < len(p) for z, p in zip(pressed, planes, strict=True)]
+    flags = sum(s << k for k, s in enumerate(shorter))
+    return len(raw).to_bytes(8, "little") + bytes([flags]) + _framed([z if s else p for z, p, s in zip(pressed, planes, shorter, strict=True)])
 
 
 def unpress(blob: bytes, kind: type = np.int64) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view(kind).ravel()
+    wide = np.zeros((int.from_bytes(blob[:8], "little"), 8), np.uint8)
+    decompressor = zstandard.ZstdDecompressor()
+    for k, part in enumerate(_parts(blob[9:])):
+        wide[:, k] = np.frombuffer(decompressor.decompress(part) if blob[8] >> k & 1 else part, np.uint8)
+    return wide.view(kind).ravel()
+
+
+def _framed(parts: list[bytes]) -> bytes:
+    return b"".join(len(x).to_bytes(4, "little") + x for x in parts)
+
+
+def _parts(blob: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(blob):
+        size = int.from_bytes(blob[at : at + 4], "little")
+        out.append(blob[at + 4 : at + 4 + size])
+        at += 4 + size
+    return out
 
 
 def press_keys(keys: np.ndarray) -> bytes:
-    """Sorted unsigned keys by the gaps between them."""
-    return press(np.diff(keys, prepend=np.uint64(0)))
+    """Sorted unsigned keys by the gaps between them.
+
+    Keys known by fewer bits end in zeros.  Where most do, they are written without them, and the others by themselves: a
+    long key among them would give both gaps beside it all its bits."""
+    one = np.uint64(1)
+    zeros = np.bitwise_count((keys & (~keys + one)) - one)  # that a key ends in
+    shift = np.uint64(min(32, int(np.partition(zeros, len(zeros) // 3)[len(zeros) // 3]) if len(zeros) else 0))
+    short = zeros >= shift
+    both = (keys[short] >> shift, keys[~short])
+    return bytes([int(shift)]) + _framed([press(np.diff(k, prepend=np.uint64(0))) for k in both])
 
 
 def unpress_keys(blob: bytes) -> np.ndarray:
-    return np.cumsum(unpress(blob, np.uint64), dtype=np.uint64)
+    short, long_ = (np.cumsum(unpress(x, np.uint64), dtype=np.uint64) for x in _parts(blob[1:]))
+    short = short << np.uint64(blob[0])
+    return np.sort(np.concatenate([short, long_]), kind="stable") if len(long_) else short
+
+
+def _listed(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Large numbers that repeat, such as names, as places in a list of them, which is empty where that is no use."""
+    low, high = numbers.min(), numbers.max()
+    none = np.zeros(0, np.int64)
+    if 0 <= low and high < 1 << 16:
+        return none, numbers
+    above = numbers == high
+    if (above | (numbers == low)).all():
+        return np.array([low, high], dtype=np.int64), above.astype(np.int64)
+    names, place = np.unique(numbers, return_inverse=True)
+    return (none, numbers) if len(names) * 2 > len(numbers) else (names, place.astype(np.int64).ravel())
+
+
+FEW, JOINT = 12, 3  # numbers under FEW in rows of up to JOINT are one symbol a row
 
 
 def _press_numbers(numbers: np.ndarray) -> bytes:
-    """Numbers that repeat, such as names, as places in a list of them."""
-    names, place = np.unique(numbers, return_inverse=True)
-    if len(names) * 2 > len(numbers):
-        return b"\0" + press(numbers)
-    listed = press(names)
-    return b"\1" + len(listed).to_bytes(4, "little") + listed + press(place.astype(np.int64).ravel())
+    """Rows of small numbers are one symbol each, the most frequent being the smallest; the others go column by column."""
+    numbers = numbers.reshape(len(numbers), -1)
+    if not numbers.size:
+        return b""
+    names, places = zip(*[_listed(np.ascontiguousarray(c)) for c in numbers.T], strict=True)
+    few = np.zeros(len(numbers), dtype=bool)
+    code = np.zeros(len(numbers), dtype=np.int64)
+    if 1 < len(places) <= JOINT:
+        few = np.logical_and.reduce([(p >= 0) & (p < FEW) for p in places])
+        for p in places:
+            code = code * FEW + p
+        code = np.where(few, code + 1, 0)
+    known = np.argsort(-np.bincount(code), kind="stable")
+    rank = np.empty(len(known), dtype=np.int64)
+    rank[known] = np.arange(len(known))
+    symbols = rank[code]
+    return _framed([press(known[: symbols.max() + 1]), press(symbols), *map(press, names), *[press(p[~few]) for p in places]])
 
 
 def _unpress_numbers(blob: bytes, keys: int) -> np.ndarray:
     """A row a key."""
-    if blob[:1] == b"\0":
-        return unpress(blob[1:]).reshape(keys, -1)
-    size = int.from_bytes(blob[1:5], "little")
-    return unpress(blob[5 : 5 + size])[unpress(blob[5 + size :])].reshape(keys, -1)
+    if not blob:
+        return np.zeros((keys, 1), np.int64)
+    known, symbols, *rest = map(unpress, _parts(blob))
+    code, width = known[symbols] - 1, len(rest) // 2
+    few = code >= 0
+    out = np.empty((keys, width), dtype=np.int64)
+    for k, (names, others) in reversed(list(enumerate(zip(rest[:width], rest[width:], strict=True)))):
+        place = np.where(few, code % FEW, 0)
+        place[~few] = others
+        out[:, k] = names[place] if len(names) else place
+        code = code // FEW
+    return out
 
 
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -84,12 +151,22 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[t]) for i, (_, t) in enumerate(fields)], names=[n for n, _ in fields])
 
 
-def merged(keys: np.ndarray, numbers: np.ndarray, tally: Tally) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct sorted keys and their merged numbers."""
+def _placed(keys: np.ndarray, numbers: np.ndarray, tally: Tally) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct sorted keys, their merged numbers and the place of each given key among them."""
+    if not len(keys):
+        return keys, numbers, np.zeros(0, np.int64)
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
-    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[starts], tally.merge(numbers[order], starts) if len(keys) else numbers
+    first = np.concatenate([[True], keys[1:] != keys[:-1]])
+    place = np.empty(len(keys), dtype=np.int64)
+    place[order] = np.cumsum(first) - 1
+    starts = np.flatnonzero(first)
+    return keys[starts], tally.merge(numbers[order], starts), place
+
+
+def merged(keys: np.ndarray, numbers: np.ndarray, tally: Tally) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct sorted keys and their merged numbers."""
+    return _placed(keys, numbers, tally)[:2]
 
 
 def _cut(block: int, keys: np.ndarray, numbers: np.ndarray, spans: int) -> Iterator[tuple]:
@@ -109,8 +186,9 @@ def _answer(tally: Tally):
     def run(asked: pa.Table) -> pa.Table:
         rows = asked.to_pylist()
         each, keys, numbers = _opened(rows)
-        distinct, total = merged(keys, numbers, tally)
-        return pa.Table.from_batches([_batch([(r["block"], r["span"], tally.write(total[np.searchsorted(distinct, k)])) for r, k in zip(rows, each, strict=True)], ANSWERED)])
+        _, total, place = _placed(keys, numbers, tally)
+        mine = np.split(place, np.cumsum([len(k) for k in each])[:-1])
+        return pa.Table.from_batches([_batch([(r["block"], r["span"], tally.write(total[p])) for r, p in zip(rows, mine, strict=True)], ANSWERED)])
 
     return run
 

@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltworks.llm.common import crc32_mod, stored
-from siltworks.llm.exchange import SUMS, Tally, answers_of, cuts, exchange, merged, press, unpress
+from siltworks.llm.exchange import SUMS, answers_of, cuts, exchange, merged, press, unpress
 from siltworks.plans.scratch import scratch_path
 
 ORDER, TOP_ORDER = 3, 5
-CHUNK_DOCS, CHUNK_TOKENS = 4096, 1_000_000
+CHUNK_DOCS, CHUNK_TOKENS = 4096, 1_500_000
 SPARE = 20
 FAN = 1024  # ranges a chunk asks at once: some thousands of n-grams each
 BUCKETS = 40  # powers of two of a context's count, for each length of context
@@ -65,12 +65,10 @@ def _unpress(blob: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(blob)
 
 
-def _chunk(docs: list[tuple], salt: int) -> tuple:
-    """docs: (doc_id, held_out, part of the training texts that sets the weights, words)."""
-    place: dict[bytes, int] = {}
-    ids = [np.fromiter((place.setdefault(w, len(place)) for w in words), dtype=np.int64, count=len(words)) for *_, words in docs]
-    lengths = [len(x) for x in ids]
-    tokens = np.concatenate(ids)
+def _chunk(docs: list[tuple], place: dict[bytes, int], salt: int) -> tuple:
+    """docs: (doc_id, held_out, part of the training texts that sets the weights, the places of its words)."""
+    lengths = [len(x) for *_, x in docs]
+    tokens = np.concatenate([x for *_, x in docs])
     roles = np.array([0 if held else 2 if part else 1 for _, held, part, _ in docs], dtype=np.uint8)
     n = len(place)
     order = np.argsort(-np.bincount(tokens, minlength=n), kind="stable")
@@ -87,19 +85,21 @@ def code(docs: DataFrame, held_out, part, key: str = "doc_id", text: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        place: dict[bytes, int] = {}
         size = made = task = 0
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 for row in zip(*(c.to_pylist() for c in batch.slice(k, 256).columns), strict=True):
                     words = (row[3] or "").encode().lower().split()
                     words.append(b"")  # the end
-                    held.append((*row[:3], words))
+                    ids = np.fromiter((place.setdefault(w, len(place)) for w in words), dtype=np.int32, count=len(words))
+                    held.append((*row[:3], ids))
                     task, size = row[4], size + len(words)
                     if len(held) >= CHUNK_DOCS or size >= CHUNK_TOKENS:
-                        yield _rows([_chunk(held, task << 32 | made)], CHUNKS)
-                        held, size, made = [], 0, made + 1
+                        yield _rows([_chunk(held, place, task << 32 | made)], CHUNKS)
+                        held, place, size, made = [], {}, 0, made + 1
         if held:
-            yield _rows([_chunk(held, task << 32 | made)], CHUNKS)
+            yield _rows([_chunk(held, place, task << 32 | made)], CHUNKS)
 
     spark = docs.sparkSession
     # chunks of equal rows are told apart by task and by number
@@ -116,22 +116,7 @@ def _add_up(numbers: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.column_stack([np.add.reduceat(numbers[:, :2], starts, axis=0), np.minimum.reduceat(numbers[:, 2], starts)])
 
 
-def _columns(numbers: np.ndarray) -> bytes:
-    """Each number's column by itself: most of the third are zero."""
-    parts = [SUMS.write(np.ascontiguousarray(c)) for c in numbers.T]
-    return b"".join(len(x).to_bytes(4, "little") + x for x in parts)
-
-
-def _of_columns(blob: bytes, keys: int) -> np.ndarray:
-    out, at = [], 0
-    while at < len(blob):
-        size = int.from_bytes(blob[at : at + 4], "little")
-        out.append(SUMS.read(blob[at + 4 : at + 4 + size], keys))
-        at += 4 + size
-    return np.concatenate(out, axis=1)
-
-
-COUNTS = Tally(_add_up, _columns, _of_columns, _columns)
+COUNTS = SUMS._replace(merge=_add_up)
 
 
 class _Coded:
@@ -196,7 +181,8 @@ def count(chunks: DataFrame, order: int, spans: int | None = None, fan: int = FA
         replies = answered.to_pylist()
         for row in chunk.to_pylist():
             c = _Coded(row, order, bits)
-            keys = np.unique(np.concatenate(c.grams))
+            keys = np.sort(np.concatenate(c.grams), kind="stable")  # runs that are sorted already
+            keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
             known = answers_of(keys, replies, COUNTS, ranges)
             each = [known[np.searchsorted(keys, grams)] for grams in c.grams]
             part_only = c.role == 2

@@ -132,3 +132,12 @@ def test_text_hash_is_that_of_spark(spark):
     docs = spark.createDataFrame([(1, "Ünï cödé TEXT of words"), (2, ""), (3, "a b c d e f g")], "doc_id long, text string")
     want = {r[0]: r[1] for r in docs.select("doc_id", F.xxhash64("text")).collect()}
     assert {r["doc_id"]: r["text_hash"] for r in ngram_join.near_copies(docs).collect()} == want
+
+
+def test_short_keys_cost_little_beside_long_ones():
+    rng = np.random.default_rng(3)
+    short = (rng.integers(0, 1 << 49, 5000, dtype=np.uint64) // np.uint64(320)) << np.uint64(15)  # of one range
+    keys = np.unique(np.concatenate([short, rng.integers(0, 1 << 63, 500, dtype=np.uint64) // np.uint64(160)]))
+    blob = exchange.press_keys(keys)
+    assert (exchange.unpress_keys(blob) == keys).all()
+    assert len(blob) < 4.1 * len(keys)
