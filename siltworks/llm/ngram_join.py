@@ -299,13 +299,17 @@ def _dealt(open_: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The members outside the largest component and all members of each list, for a join that deals a long list into
     blocks of about `LIST` rows and meets them block by block, so that no key has more than two blocks.
 
+    Members outside are dealt into `_outer` blocks of their own and come to each of the list's `_blocks`; all others come to the
+    `_outer` ones alone.  So rows are those of the lists and a part in `LIST` of the pairs there are to compare.
+
     Each row has all open lists of its node, which are no more than the fragments it was cut into: a pair of nodes with several
     lists in common is taken from the least of them alone."""
-    salted = open_.withColumn("_blocks", F.ceil(F.col("_all") / LIST).cast("int")).withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
+    parts = {n: F.ceil(F.col(c) / LIST).cast("int") for n, c in (("_blocks", "_all"), ("_outer", "_out"))}
+    salted = open_.withColumns(parts).withColumn("_hash", F.xxhash64("node"))
     salted = salted.join(open_.groupBy("node").agg(F.collect_list(F.struct("gram", "before")).alias("lists")), "node")
-    every = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    left = salted.where("label <> _top").select("gram", F.col("_own").alias("_a"), every.alias("_b"), *MEMBER, "lists")
-    right = salted.select("gram", every.alias("_a"), F.col("_own").alias("_b"), *_as_other(), F.col("lists").alias("other_lists"), (F.col("label") != F.col("_top")).alias("_outside"))
+    own, every = (lambda n: F.pmod("_hash", n).cast("int")), (lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
+    left = salted.where("label <> _top").select("gram", own("_outer").alias("_a"), every("_blocks").alias("_b"), *MEMBER, "lists")
+    right = salted.select("gram", every("_outer").alias("_a"), own("_blocks").alias("_b"), *_as_other(), F.col("lists").alias("other_lists"), (F.col("label") != F.col("_top")).alias("_outside"))
     return left, right
 
 
@@ -352,13 +356,13 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
         apart = stored(apart.select("gram", "_all", F.col("_most.label").alias("_top"), (F.col("_all") - F.col("_most._k")).alias("_out")), "gram-apart")
         left_over = apart.agg(F.sum(F.col("_out") * F.col("_all"))).first()[0] or 0
         last = turn == ROUNDS or left_over <= listed or (found is not None and found.isEmpty())
-        open_ = labelled.join(apart.select("gram", "_all", "_top"), "gram")
+        open_ = labelled.join(apart.select("gram", "_all", "_out", "_top"), "gram")
         if last:  # what is still apart is compared in full, members outside the largest component with all
             left_side, right = _dealt(open_)
         else:  # all members with a leader of each of some groups of components
             bucket = F.pmod(F.xxhash64("label", F.lit(turn)), F.lit(LEADERS))
             lead = F.min_by(F.struct(*MEMBER), F.struct("own", F.xxhash64("node", F.lit(turn)))).alias("_lead")
-            left_side, right = open_.drop("_all", "_top"), open_.groupBy("gram", bucket.alias("_bucket")).agg(lead).select("gram", *_as_other("_lead"))
+            left_side, right = open_.drop("_all", "_out", "_top"), open_.groupBy("gram", bucket.alias("_bucket")).agg(lead).select("gram", *_as_other("_lead"))
         pairs = stored(_pairs(left_side, right, percent, tested), "gram-pairs")
         found = stored(_linked(pairs, fragments, percent), "gram-links")
         tested = pairs if tested is None else tested.unionByName(pairs)

@@ -276,3 +276,12 @@ def test_other_queries_return_a_row_per_document(spark):
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
     for name in ("op2_quality", "op3_secrets", "op7_mixing", "op8_rules", "op9_lm"):
         assert QUERIES[name](spark, SF).count() == n, name
+
+
+def test_a_long_list_is_dealt_by_the_members_outside(spark):
+    members = spark.range(5000).selectExpr("1L as gram", "id as node", "10L as n", "0L as own", "0L as before", "case when id < 3 then id else 3 end as label", "5000L as _all", "3L as _out", "3L as _top")
+    left, right = ngram_join._dealt(members)
+    # all members once, and each of the three outside to all blocks
+    assert right.count() == 5000 and left.count() == 3 * 20
+    met = left.join(right, ["gram", "_a", "_b"]).select("node", "other")
+    assert met.count() == met.distinct().count() == 3 * 5000
