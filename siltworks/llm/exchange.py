@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from siltworks.llm.common import stored
 
 FAN = 128
+SENT = 1 << 20  # bytes of pieces that are handed on at a time
 ASKED = "span long, block long, keys binary, numbers binary"
 ANSWERED = "block long, span long, answers binary"
 
@@ -151,44 +152,60 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[t]) for i, (_, t) in enumerate(fields)], names=[n for n, _ in fields])
 
 
-def _placed(keys: np.ndarray, numbers: np.ndarray, tally: Tally) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct sorted keys, their merged numbers and the place of each given key among them."""
+def merged(keys: np.ndarray, numbers: np.ndarray, tally: Tally) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct sorted keys and their merged numbers."""
     if not len(keys):
-        return keys, numbers, np.zeros(0, np.int64)
+        return keys, numbers
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
-    first = np.concatenate([[True], keys[1:] != keys[:-1]])
-    place = np.empty(len(keys), dtype=np.int64)
-    place[order] = np.cumsum(first) - 1
-    starts = np.flatnonzero(first)
-    return keys[starts], tally.merge(numbers[order], starts), place
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[starts], tally.merge(numbers[order], starts)
 
 
-def merged(keys: np.ndarray, numbers: np.ndarray, tally: Tally) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct sorted keys and their merged numbers."""
-    return _placed(keys, numbers, tally)[:2]
+def _ranges(runs: list[np.ndarray], spans: int) -> Iterator[tuple[int, list[slice]]]:
+    """The ranges in which sorted keys lie, and where in each run."""
+    least = np.array([-(-(s << 32) // spans) << 32 for s in range(spans)], dtype=np.uint64)
+    edges = np.array([np.append(np.searchsorted(keys, least), len(keys)) for keys in runs])
+    for s in np.flatnonzero((edges[:, 1:] > edges[:, :-1]).any(axis=0)).tolist():
+        yield s, [slice(a, z) for a, z in edges[:, s : s + 2].tolist()]
 
 
-def _cut(block: int, keys: np.ndarray, numbers: np.ndarray, spans: int) -> Iterator[tuple]:
-    edges = np.searchsorted(((keys >> np.uint64(32)) * np.uint64(spans)) >> np.uint64(32), np.arange(spans + 1))
-    for s in np.flatnonzero(np.diff(edges)).tolist():
-        a, z = edges[s], edges[s + 1]
-        yield s, block, press_keys(keys[a:z]), _press_numbers(numbers[a:z])
+def _cut(block: int, runs: list[tuple[np.ndarray, np.ndarray]], spans: int, tally: Tally) -> Iterator[tuple]:
+    """The pieces of sorted distinct keys and their numbers; runs are merged range by range, so that they are never held as one."""
+    for s, own in _ranges([keys for keys, _ in runs], spans):
+        parts = [(keys[i], numbers[i].astype(np.int64, copy=False)) for (keys, numbers), i in zip(runs, own, strict=True) if i.start < i.stop]
+        keys, numbers = parts[0] if len(parts) == 1 else merged(*map(np.concatenate, zip(*parts, strict=True)), tally)
+        yield s, block, press_keys(keys), _press_numbers(numbers)
 
 
-def _opened(rows: list[dict]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    keys = [unpress_keys(r["keys"]) for r in rows]
-    numbers = np.concatenate([_unpress_numbers(r["numbers"], len(k)) for r, k in zip(rows, keys, strict=True)])
-    return keys, np.concatenate(keys), numbers
+def _opened(rows: list[dict]) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [(keys, _unpress_numbers(r["numbers"], len(keys))) for r in rows for keys in [unpress_keys(r["keys"])]]
 
 
 def _answer(tally: Tally):
     def run(asked: pa.Table) -> pa.Table:
         rows = asked.to_pylist()
-        each, keys, numbers = _opened(rows)
-        _, total, place = _placed(keys, numbers, tally)
-        mine = np.split(place, np.cumsum([len(k) for k in each])[:-1])
-        return pa.Table.from_batches([_batch([(r["block"], r["span"], tally.write(total[p])) for r, p in zip(rows, mine, strict=True)], ANSWERED)])
+        each = [unpress_keys(r["keys"]) for r in rows]
+        ends = np.cumsum([len(k) for k in each])
+        keys = np.concatenate(each)
+        del each
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        first = np.concatenate([[True], keys[1:] != keys[:-1]])
+        at = np.empty(len(keys), dtype=np.int32 if len(keys) < 1 << 31 else np.int64)  # where a key is in their order
+        at[order] = np.arange(len(keys), dtype=at.dtype)
+        del order, keys
+        numbers = None
+        for r, mine in zip(rows, np.split(at, ends[:-1]), strict=True):
+            own = _unpress_numbers(r["numbers"], len(mine))
+            numbers = np.empty((len(at), own.shape[1]), np.int64) if numbers is None else numbers
+            numbers[mine] = own
+        total = tally.merge(numbers, np.flatnonzero(first))
+        del numbers
+        place = np.cumsum(first, dtype=at.dtype)
+        place -= 1
+        out = [(r["block"], r["span"], tally.write(total[place[mine]])) for r, mine in zip(rows, np.split(at, ends[:-1]), strict=True)]
+        return pa.Table.from_batches([_batch(out, ANSWERED)])
 
     return run
 
@@ -207,16 +224,43 @@ def answers_of(keys: np.ndarray, rows: list[dict], tally: Tally, cuts: int) -> n
     return np.concatenate([tally.read(r["answers"], int(sizes[r["span"]])) for r in rows])
 
 
+def answers_by_range(runs: list[np.ndarray], rows: list[dict], tally: Tally, cuts: int) -> Iterator[tuple[list[slice], list[np.ndarray]]]:
+    """Range by range where its keys are in each run of a block's sorted distinct keys, and the answers to them."""
+    replies = {r["span"]: r["answers"] for r in rows}
+    asked = 0
+    for span, own in _ranges(runs, cuts):
+        if span not in replies:
+            break
+        asked += 1
+        distinct = np.unique(np.concatenate([keys[i] for keys, i in zip(runs, own, strict=True)]))
+        known = tally.read(replies[span], len(distinct))
+        yield own, [known[np.searchsorted(distinct, keys[i])] for keys, i in zip(runs, own, strict=True)]
+    else:
+        if asked == len(rows):
+            return
+    raise ValueError("a block's answers don't match what it asked")
+
+
 def exchange(blocks: DataFrame, asks: Callable[[dict], tuple[int, np.ndarray, np.ndarray]], tally: Tally, spans: int, fan: int = FAN) -> DataFrame:
     """(block, span, answers): end to end in the order of spans, the answers to the sorted distinct keys of each block.
 
-    asks: a row of `blocks` to (block, sorted distinct unsigned 64-bit keys, their numbers, a row of int64 a key).
+    asks: a row of `blocks` to (block, sorted distinct unsigned 64-bit keys, their numbers, a row of int64 a key), or to lists
+    of such runs of keys and numbers, whose equal keys are merged; a block then asks for what is in any of them.
     """
 
     def cut(spans: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for row in (r for b in batches for k in range(b.num_rows) for r in b.slice(k, 1).to_pylist()):
-                yield _batch(list(_cut(*asks(row), spans)), ASKED)
+                block, keys, numbers = asks(row)
+                held, size = [], 0
+                for piece in _cut(block, list(zip(keys, numbers, strict=True)) if isinstance(keys, list) else [(keys, numbers)], spans, tally):
+                    held.append(piece)
+                    size += len(piece[2]) + len(piece[3])
+                    if size >= SENT:
+                        yield _batch(held, ASKED)
+                        held, size = [], 0
+                if held:
+                    yield _batch(held, ASKED)
 
         return run
 
@@ -231,17 +275,17 @@ def exchange(blocks: DataFrame, asks: Callable[[dict], tuple[int, np.ndarray, np
 
     def join(asked: pa.Table) -> pa.Table:
         rows = asked.to_pylist()
-        _, keys, numbers = _opened(rows)
-        return pa.Table.from_batches([_batch(list(_cut(rows[0]["second"], *merged(keys, numbers, tally), coarse * coarse)), ASKED)])
+        return pa.Table.from_batches([_batch(list(_cut(rows[0]["second"], _opened(rows), coarse * coarse, tally)), ASKED)])
 
     answered = named.groupBy("second").applyInArrow(join, ASKED).groupBy("span").applyInArrow(_answer(tally), ANSWERED)
 
     def back(asked: pa.Table, replies: pa.Table) -> pa.Table:
-        rows = asked.to_pylist()
-        each, keys, numbers = _opened(rows)
-        distinct = np.unique(keys)
-        known = answers_of(distinct, replies.to_pylist(), tally, coarse * coarse)
-        return pa.Table.from_batches([_batch([(r["block"], r["span"], tally.rewrite(known[np.searchsorted(distinct, k)])) for r, k in zip(rows, each, strict=True)], ANSWERED)])
+        rows = asked.select(["block", "span", "keys"]).to_pylist()
+        parts = [[] for _ in rows]
+        for _, known in answers_by_range([unpress_keys(r["keys"]) for r in rows], replies.to_pylist(), tally, coarse * coarse):
+            for mine, x in zip(parts, known, strict=True):
+                mine.append(x)
+        return pa.Table.from_batches([_batch([(r["block"], r["span"], tally.rewrite(np.concatenate(x))) for r, x in zip(rows, parts, strict=True)], ANSWERED)])
 
     replies = answered.withColumnRenamed("block", "second")
     return named.groupBy("second").cogroup(replies.groupBy("second")).applyInArrow(back, ANSWERED)

@@ -28,11 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltworks.llm.common import crc32_mod, stored
-from siltworks.llm.exchange import SUMS, answers_of, cuts, exchange, merged, press, unpress
+from siltworks.llm.exchange import SUMS, answers_by_range, cuts, exchange, press, unpress
 from siltworks.plans.scratch import scratch_path
 
 ORDER, TOP_ORDER = 3, 5
 CHUNK_DOCS, CHUNK_TOKENS = 4096, 1_500_000
+SHEET = 1 << 18  # tokens of a chunk that are counted and scored at a time
 SPARE = 20
 FAN = 1024  # ranges a chunk asks at once: some thousands of n-grams each
 BUCKETS = 40  # powers of two of a context's count, for each length of context
@@ -119,78 +120,111 @@ def _add_up(numbers: np.ndarray, starts: np.ndarray) -> np.ndarray:
 COUNTS = SUMS._replace(merge=_add_up)
 
 
-class _Coded:
-    """A chunk's n-grams: for each order the sorted distinct hashes, and each token's place among them."""
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct values, and each one's place among them."""
+    order = np.argsort(values)
+    ordered = values[order]
+    first = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    distinct = ordered[first]
+    del ordered
+    number = np.cumsum(first, dtype=np.int32)
+    number -= 1
+    place = np.empty(len(values), dtype=np.int32)
+    place[order] = number
+    return distinct, place
+
 
-    def __init__(self, row: dict, order: int, bits: int) -> None:
-        low = np.uint64(64 - bits)
-        self.name = row["chunk"]
-        words = _unpress(row["words"]).split(b"\n")
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), dtype=np.uint64, count=len(words))
-        tokens = unpress(row["tokens"])
-        self.lengths = np.asarray(row["lengths"], dtype=np.int64)
-        starts = self.lengths.cumsum() - self.lengths
-        self.role = np.repeat(np.frombuffer(row["roles"], np.uint8), self.lengths)
-        distinct, place = np.unique(hashes, return_inverse=True)
-        self.grams, self.places = [distinct], [place[tokens].astype(np.int32)]
-        word = gram = hashes[tokens]
-        end = ends = hashes[words.index(b"")]
-        for _ in range(1, order):
-            context = np.concatenate([[ends], gram[:-1]]).astype(np.uint64)
-            context[starts] = ends
-            gram, ends = _mixed(context, word), _mixed(np.array([ends]), np.array([end]))[0]
-            distinct, place = np.unique(gram >> low << low, return_inverse=True)
-            self.grams.append(distinct)
-            self.places.append(place.astype(np.int32))
-
-    def asks(self) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted distinct hashes with what the chunk's training texts count, and the chunk's name beside words."""
-        numbers = []
-        for k, (grams, place) in enumerate(zip(self.grams, self.places, strict=True)):
-            train, part = (np.bincount(place[keep], minlength=len(grams)) for keep in (self.role > 0, self.role == 2))
-            numbers.append(np.column_stack([train, part, np.full(len(grams), 0 if k else self.name, dtype=np.int64)]))
-        return merged(np.concatenate(self.grams), np.concatenate(numbers), COUNTS)
+def _grams(row: dict, order: int, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """A chunk's n-grams: for each order the sorted distinct hashes, and each token's place among them."""
+    low = np.uint64(64 - bits)
+    words = _unpress(row["words"]).split(b"\n")
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), dtype=np.uint64, count=len(words))
+    end = ends = hashes[words.index(b"")]
+    del words
+    tokens = unpress(row["tokens"]).astype(np.int32)
+    lengths = np.asarray(row["lengths"], dtype=np.int64)
+    starts = lengths.cumsum() - lengths
+    distinct, place = _distinct(hashes)
+    word = gram = hashes[tokens]
+    tokens = place[tokens]
+    yield distinct, tokens
+    del distinct, place, tokens, hashes
+    for _ in range(1, order):
+        context = np.empty_like(gram)
+        context[1:] = gram[:-1]
+        context[starts] = ends
+        gram, ends = _mixed(context, word), _mixed(np.array([ends]), np.array([end]))[0]
+        yield _distinct(gram >> low << low)
+
+
+def _asks(row: dict, order: int, bits: int) -> tuple[int, list[np.ndarray], list[np.ndarray]]:
+    """For each order the sorted distinct hashes with what the chunk's training texts count, and the chunk's name beside words."""
+    role = np.repeat(np.frombuffer(row["roles"], np.uint8), row["lengths"])
+    keys, numbers = [], []
+    for grams, place in _grams(row, order, bits):
+        own = np.zeros((len(grams), 3), dtype=np.int32 if keys else np.int64)  # a chunk's counts are small, its name isn't
+        own[:, 0], own[:, 1] = (np.bincount(place[keep], minlength=len(grams)) for keep in (role > 0, role == 2))
+        own[:, 2] = 0 if keys else row["chunk"]
+        keys.append(grams)
+        numbers.append(own)
+    return row["chunk"], keys, numbers
 
 
 def _mixed(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The hash of each word after its context, in the place of the context's."""
     with np.errstate(over="ignore"):
-        both = context * np.uint64(0x9E3779B97F4A7C15) + word
-        both = (both ^ (both >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return both ^ (both >> np.uint64(32))
+        context *= np.uint64(0x9E3779B97F4A7C15)
+        context += word
+        context ^= context >> np.uint64(29)
+        context *= np.uint64(0xBF58476D1CE4E5B9)
+    context ^= context >> np.uint64(32)
+    return context
+
+
+def _sheets(lengths: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of whole documents, from and to, that end in the same SHEET tokens."""
+    edges = np.flatnonzero(np.diff((lengths.cumsum() - 1) // SHEET)) + 1
+    return list(zip([0, *edges.tolist()], [*edges.tolist(), len(lengths)], strict=True))
 
 
 def count(chunks: DataFrame, order: int, spans: int | None = None, fan: int = FAN) -> DataFrame:
-    """The chunks with the training counts of each token's n-grams, written to the shared folder.
+    """The chunks with the training counts of each token's n-grams, in sheets of some documents, written to the shared folder.
 
     `train` holds the counts order by order; `part`, for the tokens of the part that sets the weights, what that part
-    counts of them.  n, v: the chunk's training tokens, and those of its training words that it owns (so that they add up to
-    the corpus' vocabulary); n_part the tokens of the part, v_part the owned words without it."""
+    counts of them.  n, v: the sheet's training tokens, and those of its chunk's training words that the chunk owns (on its first
+    sheet, so that they add up to the corpus' vocabulary); n_part the tokens of the part, v_part the owned words without it."""
     size = chunks.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0)).alias("tokens")).first()
     spans = max(1, 2 * size["n"]) if spans is None else spans
     bits = min(64, (order * size["tokens"]).bit_length() + SPARE)
     asked = chunks.select("chunk", "lengths", "tokens", "words", "roles")
 
-    def asks(row: dict) -> tuple[int, np.ndarray, np.ndarray]:
-        return row["chunk"], *_Coded(row, order, bits).asks()
-
-    answers = exchange(asked, asks, COUNTS, spans, fan)
+    answers = exchange(asked, lambda row: _asks(row, order, bits), COUNTS, spans, fan)
     ranges = cuts(spans, fan)
 
     def join(chunk: pa.Table, answered: pa.Table) -> pa.Table:
         out = []
         replies = answered.to_pylist()
         for row in chunk.to_pylist():
-            c = _Coded(row, order, bits)
-            keys = np.sort(np.concatenate(c.grams), kind="stable")  # runs that are sorted already
-            keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
-            known = answers_of(keys, replies, COUNTS, ranges)
-            each = [known[np.searchsorted(keys, grams)] for grams in c.grams]
-            part_only = c.role == 2
-            train = np.concatenate([x[:, 0][place] for x, place in zip(each, c.places, strict=True)])
-            part = np.concatenate([x[:, 1][place[part_only]] for x, place in zip(each, c.places, strict=True)])
-            words = each[0][each[0][:, 2] == c.name]
-            totals = (int((c.role > 0).sum()), int((words[:, 0] > 0).sum()), int(part_only.sum()), int((words[:, 0] > words[:, 1]).sum()))
-            out.append((row["doc_ids"], row["held_out"], row["lengths"], row["roles"], press(train), press(part), *totals))
+            grams, places = map(list, zip(*_grams(row, order, bits), strict=True))
+            counts = [np.empty((len(g), 2), dtype=np.int64) for g in grams]  # in training, in the part
+            v = v_part = 0
+            for own, known in answers_by_range(grams, replies, COUNTS, ranges):
+                for into, at, x in zip(counts, own, known, strict=True):
+                    into[at] = x[:, :2]
+                words = known[0][known[0][:, 2] == row["chunk"]]
+                v += int((words[:, 0] > 0).sum())
+                v_part += int((words[:, 0] > words[:, 1]).sum())
+            del grams
+            lengths, roles = np.asarray(row["lengths"], dtype=np.int64), np.frombuffer(row["roles"], np.uint8)
+            ends = lengths.cumsum()
+            for a, z in _sheets(lengths):
+                role = np.repeat(roles[a:z], lengths[a:z])
+                part_only = role == 2
+                mine = [place[ends[a] - lengths[a] : ends[z - 1]] for place in places]
+                train = np.concatenate([x[:, 0][place] for x, place in zip(counts, mine, strict=True)])
+                part = np.concatenate([x[:, 1][place[part_only]] for x, place in zip(counts, mine, strict=True)])
+                totals = (int((role > 0).sum()), 0 if a else v, int(part_only.sum()), 0 if a else v_part)
+                out.append((*(row[c][a:z] for c in ("doc_ids", "held_out", "lengths", "roles")), press(train), press(part), *totals))
         return pa.Table.from_batches([_rows(out, COUNTED)])
 
     return stored(chunks.groupBy("chunk").cogroup(answers.groupBy("block")).applyInArrow(join, COUNTED), "lm-counts")

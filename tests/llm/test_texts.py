@@ -4,9 +4,11 @@ import collections
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,6 +182,63 @@ def test_scores_against_brute_force(spark, monkeypatch, order, spans):
     assert np.allclose(np.array(got, dtype=float), np.array(sorted(want), dtype=float))
 
 
+class _Frame:
+    """Stands for every table of `lm.count` and keeps the functions that tasks would run."""
+
+    def __init__(self, tokens):
+        self.ran, self.tokens = [], tokens
+
+    def first(self):
+        return {"n": 1, "tokens": self.tokens}
+
+    def mapInArrow(self, f, _):  # noqa: N802
+        self.ran.append(f)
+        return self
+
+    applyInArrow = mapInArrow  # noqa: N815
+    agg = select = groupBy = cogroup = lambda self, *_: self  # noqa: N815
+
+
+@pytest.mark.parametrize("spans", [90, 3000])
+def test_a_chunk_is_counted_in_little_memory(spark, monkeypatch, spans):
+    """What a task holds beside the chunk and the answers, for each token of the chunk: the n-grams' hashes, counts and places."""
+    monkeypatch.setattr(lm, "stored", lambda df, _: df)
+    tokens = np.random.default_rng(1).zipf(1.3, 300_000) % 50_000
+    words = [str(w).encode() for w in tokens]
+    words[99::100] = [b""] * 3000
+    place = {}
+    ids = np.fromiter((place.setdefault(w, len(place)) for w in words), dtype=np.int32)
+    chunk = lm._chunk([(i, i % 7 == 2, i % 8 == 5, x) for i, x in enumerate(ids.reshape(3000, 100))], place, 1)
+    frame = _Frame(len(ids))
+    lm.count(frame, 3, spans, fan=4096)
+    cut, answer, join = frame.ran
+    batch = lm._rows([chunk], lm.CHUNKS)
+
+    def peak(run):
+        tracemalloc.start()
+        try:
+            out = run()
+            return out, tracemalloc.get_traced_memory()[1] / len(ids)
+        finally:
+            tracemalloc.stop()
+
+    pieces, asking = peak(lambda: list(cut(iter([batch]))))
+    asked = pa.Table.from_batches(pieces)
+    spans_of = asked["span"].to_pylist()
+    assert spans_of == sorted(set(spans_of))
+    answers = pa.concat_tables([answer(asked.slice(k, 1)) for k in range(asked.num_rows)])
+    counted, joining = peak(lambda: join(pa.Table.from_batches([batch]), answers))
+    assert asking < 100 and joining < 100, (asking, joining)  # bytes
+    counts, lengths = collections.Counter(words[i] for k in range(3000) if k % 7 != 2 for i in range(k * 100, k * 100 + 100)), []
+    for r in counted.to_pylist():
+        train = lm.unpress(r["train"]).reshape(3, -1)[0]
+        at = 100 * len(lengths)
+        assert train.tolist() == [counts[w] for w in words[at : at + len(train)]]
+        lengths += r["lengths"]
+    assert lengths == [100] * 3000 and counted.num_rows > 1
+    assert sum(counted["n"].to_pylist()) == counts.total() and sum(counted["v"].to_pylist()) == len(counts)
+
+
 def test_three_words_tell_more_than_two(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     two, three = (lm.score(d, crc32_mod("doc_id", 7) == 2, order=k).where("held_out").agg(F.sum("score").alias("s")).first().s for k in (2, 3))
