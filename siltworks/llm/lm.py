@@ -42,7 +42,7 @@ STEPS = 1000  # more than there can be between the least and the greatest estima
 EM_ROUNDS = 40
 
 CHUNKS = "chunk long, doc_ids array<long>, held_out array<boolean>, lengths array<int>, tokens binary, words binary, roles binary"
-COUNTED = "doc_ids array<long>, held_out array<boolean>, lengths array<int>, roles binary, train binary, part binary, n long, v long, n_part long, v_part long"
+COUNTED = "doc_ids array<long>, held_out array<boolean>, lengths array<int>, roles binary, known binary, words binary, longer binary, part binary, n long, v long, n_part long, v_part long"
 CELLS = "cell long, n long"
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
@@ -187,10 +187,29 @@ def _sheets(lengths: np.ndarray) -> list[tuple[int, int]]:
     return list(zip([0, *edges.tolist()], [*edges.tolist(), len(lengths)], strict=True))
 
 
+def _press_counts(counts: list[np.ndarray]) -> tuple[bytes, bytes, bytes]:
+    """Tokens' counts: those of words, few of which differ, as places in a list with the most frequent first, where that is
+    shorter, else with no list and as they are; and those of longer n-grams."""
+    names, which = np.unique(counts[0], return_inverse=True)
+    often = np.argsort(-np.bincount(which), kind="stable")
+    rank = np.empty(len(names), dtype=np.int64)
+    rank[often] = np.arange(len(names))
+    plain, known, words = press(counts[0]), press(names[often]), press(rank[which])
+    longer = press(np.concatenate([np.zeros(0, np.int64), *counts[1:]]))
+    return (known, words, longer) if len(known) + len(words) < len(plain) else (b"", plain, longer)
+
+
+def _unpress_counts(row: dict, order: int) -> np.ndarray:
+    """Order x token."""
+    words = unpress(row["words"])
+    words = unpress(row["known"])[words] if row["known"] else words
+    return np.concatenate([words, unpress(row["longer"])]).reshape(order, -1)
+
+
 def count(chunks: DataFrame, order: int, spans: int | None = None, fan: int = FAN) -> DataFrame:
     """The chunks with the training counts of each token's n-grams, in sheets of some documents, written to the shared folder.
 
-    `train` holds the counts order by order; `part`, for the tokens of the part that sets the weights, what that part
+    `known`, `words` and `longer` hold the counts order by order, as `_press_counts` writes them; `part`, for the tokens of the part that sets the weights, what that part
     counts of them.  n, v: the sheet's training tokens, and those of its chunk's training words that the chunk owns (on its first
     sheet, so that they add up to the corpus' vocabulary); n_part the tokens of the part, v_part the owned words without it."""
     size = chunks.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0)).alias("tokens")).first()
@@ -221,10 +240,10 @@ def count(chunks: DataFrame, order: int, spans: int | None = None, fan: int = FA
                 role = np.repeat(roles[a:z], lengths[a:z])
                 part_only = role == 2
                 mine = [place[ends[a] - lengths[a] : ends[z - 1]] for place in places]
-                train = np.concatenate([x[:, 0][place] for x, place in zip(counts, mine, strict=True)])
+                train = [x[:, 0][place] for x, place in zip(counts, mine, strict=True)]
                 part = np.concatenate([x[:, 1][place[part_only]] for x, place in zip(counts, mine, strict=True)])
                 totals = (int((role > 0).sum()), 0 if a else v, int(part_only.sum()), 0 if a else v_part)
-                out.append((*(row[c][a:z] for c in ("doc_ids", "held_out", "lengths", "roles")), press(train), press(part), *totals))
+                out.append((*(row[c][a:z] for c in ("doc_ids", "held_out", "lengths", "roles")), *_press_counts(train), press(part), *totals))
         return pa.Table.from_batches([_rows(out, COUNTED)])
 
     return stored(chunks.groupBy("chunk").cogroup(answers.groupBy("block")).applyInArrow(join, COUNTED), "lm-counts")
@@ -290,7 +309,7 @@ def _held_out_cells(counted: DataFrame, order: int, n: int, v: int) -> DataFrame
         own = np.repeat(held, lengths)
         found, number = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if own.any():
-            counts = unpress(row["train"]).reshape(order, -1)[:, own] - unpress(row["part"]).reshape(order, -1)
+            counts = _unpress_counts(row, order)[:, own] - unpress(row["part"]).reshape(order, -1)
             p, bucket = _estimates(counts, lengths[held], n, v)
             with np.errstate(divide="ignore"):
                 steps = np.rint(np.log(p[:, 1:] * (v + 1)) / STEP)
@@ -300,7 +319,7 @@ def _held_out_cells(counted: DataFrame, order: int, n: int, v: int) -> DataFrame
             found, number = np.unique(code, return_counts=True)
         return pa.table({"cell": pa.array(found, pa.int64()), "n": pa.array(number, pa.int64())})
 
-    return _batches(counted.select("lengths", "roles", "train", "part"), cells, CELLS).groupBy("cell").agg(F.sum("n").alias("n"))
+    return _batches(counted.select("lengths", "roles", "known", "words", "longer", "part"), cells, CELLS).groupBy("cell").agg(F.sum("n").alias("n"))
 
 
 def fit(counted: DataFrame, order: int, n: int, v: int) -> np.ndarray:
@@ -336,7 +355,7 @@ def score(docs: DataFrame, held_out, part=None, key: str = "doc_id", text: str =
 
     def finish(row: dict) -> pa.Table:
         lengths = np.asarray(row["lengths"], dtype=np.int64)
-        counts = unpress(row["train"]).reshape(order, -1)
+        counts = _unpress_counts(row, order)
         p, bucket = _estimates(counts, lengths, n, v)
         both = np.log10((weights[bucket] * p).sum(axis=1))
         base = np.log10((counts[0] + 1) / (n + v + 1))
@@ -347,5 +366,5 @@ def score(docs: DataFrame, held_out, part=None, key: str = "doc_id", text: str =
             "n_known": pa.array(add((counts[0] > 0).astype(np.int64))), "base_score": pa.array(add(base)), "score": pa.array(add(both)),
         })
 
-    scored = _batches(counted.select("doc_ids", "held_out", "lengths", "train"), finish, SCORED)
+    scored = _batches(counted.select("doc_ids", "held_out", "lengths", "known", "words", "longer"), finish, SCORED)
     return scored.select(F.col("doc_id").alias(key), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -231,7 +231,7 @@ def test_a_chunk_is_counted_in_little_memory(spark, monkeypatch, spans):
     assert asking < 100 and joining < 100, (asking, joining)  # bytes
     counts, lengths = collections.Counter(words[i] for k in range(3000) if k % 7 != 2 for i in range(k * 100, k * 100 + 100)), []
     for r in counted.to_pylist():
-        train = lm.unpress(r["train"]).reshape(3, -1)[0]
+        train = lm._unpress_counts(r, 3)[0]
         at = 100 * len(lengths)
         assert train.tolist() == [counts[w] for w in words[at : at + len(train)]]
         lengths += r["lengths"]
@@ -239,6 +239,18 @@ def test_a_chunk_is_counted_in_little_memory(spark, monkeypatch, spans):
     assert sum(counted["n"].to_pylist()) == counts.total() and sum(counted["v"].to_pylist()) == len(counts)
 
 
+def test_counts_of_tokens_are_read_as_they_were():
+    rng = np.random.default_rng(2)
+    few, all_differ = rng.choice([0, 3, 70_000, 2**40], 5000), rng.permutation(5000) + 2**33
+    for words in (few, all_differ, few[:1]):
+        for order in (1, 3):
+            counts = [words, *[rng.integers(0, 9, len(words)) for _ in range(order - 1)]]
+            row = dict(zip(("known", "words", "longer"), lm._press_counts(counts), strict=True))
+            assert np.array_equal(lm._unpress_counts(row, order), np.stack(counts))
+    short = lm._press_counts([few])
+    assert sum(map(len, short)) < len(lm.press(few)) / 2 and not lm._press_counts([all_differ])[0]
+
+
 def test_three_words_tell_more_than_two(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     two, three = (lm.score(d, crc32_mod("doc_id", 7) == 2, order=k).where("held_out").agg(F.sum("score").alias("s")).first().s for k in (2, 3))
