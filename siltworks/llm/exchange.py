@@ -170,6 +170,10 @@ def _ranges(runs: list[np.ndarray], spans: int) -> Iterator[tuple[int, list[slic
         yield s, [slice(a, z) for a, z in edges[:, s : s + 2].tolist()]
 
 
+def _as_runs(block: int, keys, numbers) -> tuple[int, list[tuple[np.ndarray, np.ndarray]]]:
+    return block, list(zip(keys, numbers, strict=True)) if isinstance(keys, list) else [(keys, numbers)]
+
+
 def _cut(block: int, runs: list[tuple[np.ndarray, np.ndarray]], spans: int, tally: Tally) -> Iterator[tuple]:
     """The pieces of sorted distinct keys and their numbers; runs are merged range by range, so that they are never held as one."""
     for s, own in _ranges([keys for keys, _ in runs], spans):
@@ -251,9 +255,8 @@ def exchange(blocks: DataFrame, asks: Callable[[dict], tuple[int, np.ndarray, np
     def cut(spans: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for row in (r for b in batches for k in range(b.num_rows) for r in b.slice(k, 1).to_pylist()):
-                block, keys, numbers = asks(row)
                 held, size = [], 0
-                for piece in _cut(block, list(zip(keys, numbers, strict=True)) if isinstance(keys, list) else [(keys, numbers)], spans, tally):
+                for piece in _cut(*_as_runs(*asks(row)), spans, tally):  # no name keeps the runs while the next row asks
                     held.append(piece)
                     size += len(piece[2]) + len(piece[3])
                     if size >= SENT:
