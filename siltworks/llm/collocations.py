@@ -1,23 +1,23 @@
-"""Phrases that many texts repeat, scored as collocations, by SON partitioning.
+"""Phrases that many texts repeat, scored as collocations, counted level by level.
 
 Texts are coded once into chunks of one language, each with a dictionary of its own words, and written.  A language's chunks are
-dealt into shards of about `SHARD_WORDS` words, whatever the input's partitions are.
-
-1. Each shard is mined completely, level by level, at a local support lowered to its share of the language's words: a phrase
-   that has fewer than support * n_s / n in every shard has fewer than `support` in all.  So every phrase that is frequent at
-   all is frequent in some shard, its parts too.
-2. The union of what shards found makes the candidates: a bitmap of a fixed size, into which their hashes are dealt.
-3. Every shard counts what is in the union exactly; counts meet by hash ranges, which keep what has the support.  What is
-   in the bitmap by chance alone cannot have it.
-
-A phrase's words are read once, out of a chunk that has it, when it is known to be frequent.  With more shards of a
-language than `support` the local support is one and the first step prunes nothing; counts stay exact, and the work is in
-proportion to the input.  Phrases are known by 64-bit hashes of language and words.
+dealt into shards of about `SHARD_WORDS` words, whatever the input's partitions are, and written in that order.  Then, for phrases
+of 1, 2, ... words:
+
+1. Every shard counts its phrases whose two parts, without the first and without the last word, may be frequent.  A shard is
+   sorted in parts, by the highest bits of the hashes, and what is counted leaves the task at once.
+2. The counts meet by hash ranges, which keep what has the support in all shards together.
+3. The hashes of what they keep are dealt into a bitmap, by which the next level tells what may be frequent.  What is in it by
+   chance alone cannot have the support, nor can what contains it: counts are exact.
+
+What a level looks at depends on what is frequent in the whole input and not on how many shards there are.  A phrase's words are
+read once, out of a chunk that has it.  Phrases are known by 64-bit hashes of language and words.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import functools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +32,15 @@ from siltworks.llm.common import stored
 CHUNK_WORDS = 400_000  # a text goes on in the next chunk at the end of a piece
 SHARD_WORDS = 8_000_000
 RANGE_WORDS = 4_000_000  # words of the input a hash range is made for, at least
-SORTED = 1_000_000  # phrases a shard sorts at a time, about
-SIEVE = 25  # bits of a hash that the bitmap tells apart
+PARTS = 4  # bits of a hash by which a shard is sorted in parts
+READ = 10_000  # phrases whose words are read at a time
+SIEVE, SIEVE_MOST = 25, 28  # bits of a hash that the bitmap tells apart, of a small input and of the largest
 UNKNOWN = "und"
 
 CHUNKS = "chunk long, lang string, tokens_of long, words_of long, tokens binary, words binary"
-FOUND = "range int, hashes binary"
-COUNTED = "range int, hashes binary, k binary, n binary, piece binary, at binary, chunks array<long>"
-FREQUENT = "hash long, k int, f long, chunk long, at long"
+COUNTED = "range int, hashes binary, n binary, piece binary, at binary, chunks array<long>"
+FREQUENT = "range int, hash long, k int, f long, chunk long, at long"
+BITS = "range int, bits binary"
 PHRASES = "lang string, phrase string, k int, f long"
 
 # Fixed by the contract: what ends a piece, and white space inside one; all else makes words.
@@ -129,136 +130,119 @@ def _mix(h: np.ndarray, w: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-class _Shard:
-    """The chunks of a shard end to end, words numbered alike in all of them."""
-
-    def __init__(self, rows: list[dict]) -> None:
-        tokens = [_unpressed(r["tokens"]) for r in rows]
-        hashes = [np.array([xxhash.xxh64_intdigest(w) for w in zstandard.ZstdDecompressor().decompress(r["words"]).split(b" ")], dtype=np.uint64) for r in rows]
-        self.keys, number = np.unique(np.concatenate(hashes), return_inverse=True)
-        first = np.cumsum([0] + [len(h) for h in hashes])
-        self.tokens = np.concatenate([number[a + t].astype(np.uint32) for a, t in zip(first[:-1].tolist(), tokens, strict=True)])
-        self.end = int(number[0])
-        self.starts = np.cumsum([0] + [len(t) for t in tokens])
-        self.chunks = [r["chunk"] for r in rows]
-        self.seed = np.uint64(xxhash.xxh64_intdigest(rows[0]["lang"].encode(), 1))
-
-    def levels(self, longest: int, looked_at: Callable[[np.ndarray], np.ndarray] | None, least: int) -> Iterator[tuple[np.ndarray, ...]]:
-        """(hashes, k, counts, a place of each) of the phrases of 1, 2, ... words, each level in the order of hashes.
-
-        A phrase is only looked at where both its parts, without the first and without the last word, passed: where
-        `looked_at` of its hash holds, and it has `least` occurrences here."""
-        n = len(self.tokens)
-        alive, h = self.tokens != self.end, np.full(n, self.seed)
-        for k in range(1, longest + 1):
-            n = len(self.tokens) - k + 1
-            if n < 1:
-                return
-            h = h[:n]
-            for a in range(0, n, SORTED):  # in place
-                z = min(a + SORTED, n)
-                h[a:z] = _mix(h[a:z], self.keys[self.tokens[a + k - 1 : z + k - 1]])
-            if k > 1:
-                alive = alive[:-1] & alive[1:]
-            bits = max(0, int(np.count_nonzero(alive)) // SORTED).bit_length()
-            bucket = (h >> np.uint64(56)).astype(np.uint8) >> np.uint8(8 - bits) if 0 < bits <= 8 else np.zeros(n, np.uint8)
-            passed, out = np.zeros(n, dtype=bool), []
-            for b in range(1 << min(bits, 8) if bits else 1):
-                at = np.flatnonzero(alive & (bucket == b))
-                keys = h[at]
-                if looked_at is not None:
-                    some = looked_at(keys)
-                    at, keys = at[some], keys[some]
-                order = np.argsort(keys)
-                at, keys = at[order], keys[order]
-                edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-                count = np.diff(np.append(edge, len(keys)))
-                keep = count >= least
-                passed[at[np.repeat(keep, count)]] = True
-                out.append((keys[edge][keep], count[keep], at[edge][keep]))
-            alive = passed
-            keys, count, at = (np.concatenate(c) for c in zip(*out, strict=True))
-            yield keys, np.full(len(keys), k), count, at
-
-
-def _sorted(levels: Iterator[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
-    columns = [np.concatenate(c) for c in zip(*levels, strict=True)]
-    order = np.argsort(columns[0], kind="stable")
-    return [c[order] for c in columns]
-
-
-def _cuts(keys: np.ndarray, ranges: int) -> Iterator[tuple[int, int, int]]:
-    """(range, from, to) of sorted hashes."""
-    bits = keys >> np.uint64(64 - SIEVE)
-    edges = np.searchsorted(bits * np.uint64(ranges) >> np.uint64(SIEVE), np.arange(ranges + 1))
-    for r in np.flatnonzero(np.diff(edges)).tolist():
-        yield r, int(edges[r]), int(edges[r + 1])
-
-
-def _mine(rows: list[dict], support: int, longest: int, ranges: int) -> Iterator[tuple]:
-    # the least whole number that is no less than the shard's share of the support
-    least = -(-support * sum(r["words_of"] for r in rows) // rows[0]["total"])
-    keys = _sorted(_Shard(rows).levels(longest, None, max(1, least)))[0]
-    for r, a, z in _cuts(keys, ranges):
-        yield r, keys[a:z].tobytes()
-
+def _hashes(row: dict, k: int, sieve: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of the phrases of k words in a chunk, those whose parts are in the sieve."""
+    words = np.array([xxhash.xxh64_intdigest(w) for w in zstandard.ZstdDecompressor().decompress(row["words"]).split(b" ")], dtype=np.uint64)
+    tokens = _unpressed(row["tokens"])
+    alive, h = tokens > 0, np.full(len(tokens), np.uint64(xxhash.xxh64_intdigest(row["lang"].encode(), 1)))
+    for length in range(1, min(k, len(tokens)) + 1):
+        h = _mix(h[: len(tokens) - length + 1], words[tokens[length - 1 :]])
+        if length > 1:
+            alive = alive[:-1] & alive[1:]
+        if length < k:
+            at = np.flatnonzero(alive)
+            alive[at[~_held(sieve, h[at], bits)]] = False
+    at = np.flatnonzero(alive) if k <= len(tokens) else np.zeros(0, np.int64)
+    return h[at], at.astype(np.uint32)
 
-def _first_bit(r: int, ranges: int) -> int:
-    return -(-(r << SIEVE) // ranges)
 
+def _held(sieve: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
+    bit = h >> np.uint64(64 - bits)
+    return (sieve[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
-def _bitmap(rows: list[dict], ranges: int) -> Iterator[tuple]:
-    r = rows[0]["range"]
-    low = _first_bit(r, ranges)
-    bits = np.zeros(_first_bit(r + 1, ranges) - low, dtype=bool)
-    for row in rows:
-        bits[(np.frombuffer(row["hashes"], np.uint64) >> np.uint64(64 - SIEVE)).astype(np.int64) - low] = True
-    yield r, np.packbits(bits).tobytes()
 
+def _cuts(keys: np.ndarray, ranges: int, bits: int) -> Iterator[tuple[int, int, int]]:
+    """(range, from, to) of sorted hashes; a range has whole bytes of the bitmap."""
+    byte = keys >> np.uint64(67 - bits)
+    edges = np.searchsorted(byte, np.array([_first_byte(r, ranges, bits) for r in range(ranges + 1)], dtype=np.uint64))
+    for r in np.flatnonzero(np.diff(edges)).tolist():
+        yield r, int(edges[r]), int(edges[r + 1])
 
-def _tally(rows: list[dict], longest: int, sieve: np.ndarray, ranges: int) -> Iterator[tuple]:
-    shard = _Shard(rows)
 
-    def looked_at(h: np.ndarray) -> np.ndarray:
-        bit = h >> np.uint64(64 - SIEVE)
-        return (sieve[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+def _first_byte(r: int, ranges: int, bits: int) -> int:
+    return -(-(r << bits - 3) // ranges)
 
-    keys, k, n, at = _sorted(shard.levels(longest, looked_at, 1))
-    piece = np.searchsorted(shard.starts, at, side="right") - 1
-    for r, a, z in _cuts(keys, ranges):
-        numbers = [_pressed(c[a:z]) for c in (k, n, piece, at - shard.starts[piece])]
-        yield r, keys[a:z].tobytes(), *numbers, shard.chunks
 
+class _Shard:
+    """The phrases of a shard's chunks, dealt by the highest bits of their hashes."""
 
-def _sum(rows: list[dict], support: int) -> Iterator[tuple]:
+    def __init__(self) -> None:
+        self.parts, self.chunks = [[] for _ in range(1 << PARTS)], []
+
+    def add(self, chunk: int, hashes: np.ndarray, at: np.ndarray) -> None:
+        part = (hashes >> np.uint64(64 - PARTS)).astype(np.uint8)
+        for b, held in enumerate(self.parts):
+            mine = np.flatnonzero(part == b)
+            held.append((hashes[mine], at[mine]))
+        self.chunks.append(chunk)
+
+    def rows(self, ranges: int, bits: int) -> Iterator[pa.RecordBatch]:
+        while self.parts:
+            held = self.parts.pop()
+            starts = np.cumsum([0] + [len(h) for h, _ in held])
+            keys, at = (np.concatenate(c) for c in zip(*held, strict=True))
+            del held
+            order = np.argsort(keys)
+            keys = keys[order]
+            edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+            n, keys, first = np.diff(np.append(edge, len(keys))), keys[edge], order[edge]
+            columns = n, np.searchsorted(starts, first, side="right") - 1, at[first]
+            yield _rows([(r, keys[a:z].tobytes(), *(_pressed(c[a:z]) for c in columns), self.chunks) for r, a, z in _cuts(keys, ranges, bits)], COUNTED)
+
+
+def _tally(batches: Iterator[pa.RecordBatch], k: int, sieve: np.ndarray, ranges: int, bits: int) -> Iterator[pa.RecordBatch]:
+    shard, name = _Shard(), None
+    for row in (r for b in batches for i in range(b.num_rows) for r in b.slice(i, 1).to_pylist()):
+        if shard.chunks and name != (row["lang"], row["shard"]):  # the chunks of a shard stand together
+            yield from shard.rows(ranges, bits)
+            shard = _Shard()
+        name = row["lang"], row["shard"]
+        shard.add(row["chunk"], *_hashes(row, k, sieve, bits))
+    if shard.chunks:
+        yield from shard.rows(ranges, bits)
+
+
+def _sum(t: pa.Table, support: int, k: int) -> pa.Table:
     """The phrases of a range that have the support, each with a place to read it from."""
-    keys = np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in rows])
-    n = np.concatenate([_unpressed(r["n"]) for r in rows]).astype(np.int64)
-    order = np.argsort(keys, kind="stable")
-    edge = np.flatnonzero(np.concatenate([[True], np.diff(keys[order]) != 0]))
-    f = np.add.reduceat(n[order], edge)
+    keys = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in t["hashes"]])
+    n = np.concatenate([_unpressed(x.as_buffer()) for x in t["n"]])
+    starts = np.cumsum([0] + [len(x.as_buffer()) // 8 for x in t["hashes"]])
+    order = np.argsort(keys)
+    sorted_keys = keys[order]
+    edge = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]]))
+    f = np.add.reduceat(n[order], edge, dtype=np.int64)
     often = f >= support
-    first = order[edge[often]]
-    k, at = (np.concatenate([_unpressed(r[c]) for r in rows])[first] for c in ("k", "at"))
-    chunk = np.concatenate([np.asarray(r["chunks"], dtype=np.int64)[_unpressed(r["piece"])] for r in rows])[first]
-    yield from zip(*(c.tolist() for c in (keys[first].astype(np.int64), k, f[often], chunk, at)), strict=True)
-
-
-def _grouped(run, schema: str):
-    def apply(t: pa.Table) -> pa.Table:
-        return pa.Table.from_batches([_rows(list(run(t.to_pylist())), schema)])
-
-    return apply
+    first, f = order[edge[often]], f[often]
+    turn = np.argsort(first)
+    first, f = first[turn], f[turn]
+    chunk, at = np.empty(len(first), np.int64), np.empty(len(first), np.int64)
+    cuts = np.searchsorted(first, starts)
+    for i in np.flatnonzero(np.diff(cuts)).tolist():
+        here = slice(cuts[i], cuts[i + 1])
+        places = first[here] - starts[i]
+        chunk[here] = np.asarray(t["chunks"][i].as_py(), dtype=np.int64)[_unpressed(t["piece"][i].as_buffer())[places]]
+        at[here] = _unpressed(t["at"][i].as_buffer())[places]
+    columns = [np.full(len(first), t["range"][0].as_py(), np.int32), keys[first].view(np.int64), np.full(len(first), k, np.int32), f, chunk, at]
+    return pa.Table.from_arrays([pa.array(c) for c in columns], names=[x.split()[0] for x in FREQUENT.split(", ")])
+
+
+def _bitmap(t: pa.Table, ranges: int, bits: int) -> pa.Table:
+    r = t["range"][0].as_py()
+    low, high = (_first_byte(x, ranges, bits) << 3 for x in (r, r + 1))
+    held = np.zeros(high - low, dtype=bool)
+    held[(t["hash"].to_numpy().view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64) - low] = True
+    return pa.Table.from_batches([_rows([(r, np.packbits(held, bitorder="little").tobytes())], BITS)])
 
 
 def _read(chunk: pa.Table, places: pa.Table) -> pa.Table:
-    out = []
-    wanted = places.to_pylist()
-    for row in chunk.to_pylist() if wanted else []:
+    out = [_rows([], PHRASES)]
+    for row in chunk.to_pylist() if len(places) else []:
         words, tokens = zstandard.ZstdDecompressor().decompress(row["words"]).split(b" "), _unpressed(row["tokens"])
-        for p in wanted:
-            out.append((row["lang"], b" ".join(words[i] for i in tokens[p["at"] : p["at"] + p["k"]].tolist()).decode(), p["k"], p["f"]))
-    return pa.Table.from_batches([_rows(out, PHRASES)])
+        for some in places.to_batches(max_chunksize=READ):
+            at, k = some["at"].to_numpy(), some["k"].to_numpy()
+            phrases = [b" ".join([words[i] for i in tokens[a:z].tolist()]).decode() for a, z in zip(at.tolist(), (at + k).tolist(), strict=True)]
+            out.append(pa.RecordBatch.from_arrays([pa.array([row["lang"]] * len(phrases), pa.string()), pa.array(phrases, pa.string()), some["k"], some["f"]], names=out[0].schema.names))
+    return pa.Table.from_batches(out)
 
 
 def frequent_phrases(docs: DataFrame, support: int = 100, longest: int = 5, text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame]:
@@ -273,22 +257,27 @@ def frequent_phrases(docs: DataFrame, support: int = 100, longest: int = 5, text
     totals = stored(chunks.groupBy("lang").agg(F.sum("words_of").alias("n")).where("n > 0"), "phrase-totals")
     words = totals.agg(F.sum("n")).first()[0] or 0
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), words // RANGE_WORDS)
+    bits = min(SIEVE_MOST, max(SIEVE, (words // 16).bit_length()))
     # places in the written table, dealt in turn; a small table of languages is broadcast, and Spark sees its size
     turn = F.monotonically_increasing_id() % (1 << 33) + F.spark_partition_id()
     dealt = chunks.withColumn("_turn", turn).join(totals.withColumnRenamed("n", "total"), "lang")
-    dealt = dealt.withColumn("shard", F.pmod("_turn", F.ceil(F.col("total") / SHARD_WORDS))).drop("_turn").groupBy("lang", "shard")
-
-    found = dealt.applyInArrow(_grouped(lambda rows: _mine(rows, support, longest, ranges), FOUND), FOUND)
-    union = found.groupBy("range").applyInArrow(_grouped(lambda rows: _bitmap(rows, ranges), FOUND), FOUND)
-    sieve = np.zeros(1 << SIEVE, dtype=bool)
-    for r, bits in union.collect():  # 2^SIEVE bits in all, however large the input is
-        low, high = _first_bit(r, ranges), _first_bit(r + 1, ranges)
-        sieve[low:high] = np.unpackbits(np.frombuffer(bits, np.uint8), count=high - low).astype(bool)
-    sieve = np.packbits(sieve, bitorder="little")
-
-    counted = dealt.applyInArrow(_grouped(lambda rows: _tally(rows, longest, sieve, ranges), COUNTED), COUNTED)
-    frequent = stored(counted.groupBy("range").applyInArrow(_grouped(lambda rows: _sum(rows, support), FREQUENT), FREQUENT), "phrase-counts")
-    phrases = chunks.groupBy("chunk").cogroup(frequent.groupBy("chunk")).applyInArrow(_read, PHRASES)
+    dealt = dealt.withColumn("shard", F.pmod("_turn", F.ceil(F.col("total") / SHARD_WORDS))).drop("_turn", "total", "tokens_of", "words_of")
+    shards = stored(dealt.repartition("lang", "shard").sortWithinPartitions("lang", "shard"), "phrase-shards")
+
+    def level(k: int, sieve: np.ndarray) -> DataFrame:
+        counted = shards.mapInArrow(lambda batches: _tally(batches, k, sieve, ranges, bits), COUNTED)
+        return stored(counted.groupBy("range").applyInArrow(lambda t: _sum(t, support, k), FREQUENT), "phrase-counts")
+
+    found, sieve = [level(1, np.zeros(0, np.uint8))], np.zeros(1 << bits - 3, np.uint8)
+    for k in range(2, longest + 1):
+        held = found[-1].groupBy("range").applyInArrow(lambda t: _bitmap(t, ranges, bits), BITS).collect()  # 2^bits in all
+        for r, some in held:
+            sieve[_first_byte(r, ranges, bits) : _first_byte(r + 1, ranges, bits)] |= np.frombuffer(some, np.uint8)
+        if not held:
+            break
+        found.append(level(k, sieve))
+    frequent = functools.reduce(DataFrame.unionByName, found)
+    phrases = shards.groupBy("chunk").cogroup(frequent.groupBy("chunk")).applyInArrow(_read, PHRASES)
     return stored(phrases, "phrases"), totals
 
 

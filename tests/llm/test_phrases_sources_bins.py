@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 from itertools import product
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -88,6 +91,36 @@ def test_a_phrase_below_its_share_in_all_shards_but_one_is_found(spark, monkeypa
     assert [(r["phrase"], r["a"], r["l"], r["r"]) for r in got] == [("rare pair", 10, 10, 10)]
 
 
+def test_a_shard_counts_only_what_may_be_frequent_and_holds_little():
+    """However many shards a language has, a phrase is looked at only where both its parts are frequent."""
+    rng = np.random.default_rng(5)
+    numbers = rng.integers(0, 40_000, 500_000)  # of 40,000 words half are frequent, none of the pairs of others is looked at
+    chunks = []
+    for i, some in enumerate(np.split(numbers, 5)):
+        chunk = collocations._Chunk()
+        chunk.add([b"w%d" % x for x in some.tolist()] + [b"."])
+        number, lang, _, _, tokens, words = chunk.row(i, "en")
+        chunks.append((number, lang, 0, tokens, words))
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*chunks, strict=True)], names=["chunk", "lang", "shard", "tokens", "words"])
+    bits, ranges = 25, 3
+    sieve = np.zeros(1 << bits - 3, np.uint8)
+    often = np.array([xxhash.xxh64_intdigest(b"w%d" % x) for x in range(20_000)], dtype=np.uint64)
+    often = collocations._mix(np.full(20_000, np.uint64(xxhash.xxh64_intdigest(b"en", 1))), often)
+    for bit in (often >> np.uint64(64 - bits)).tolist():
+        sieve[bit >> 3] |= 1 << (bit & 7)
+    tracemalloc.start()
+    n, rows = 0, 0
+    for found in collocations._tally(iter([batch]), 2, sieve, ranges, bits):
+        for row in found.to_pylist():
+            counts = collocations._unpressed(row["n"])
+            n, rows = n + int(counts.sum()), rows + len(counts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    pairs = [p for some in np.split(numbers, 5) for p in zip(some[:-1].tolist(), some[1:].tolist(), strict=True) if max(p) < 20_000]
+    assert len(pairs) <= n < 1.02 * len(pairs) and len(set(pairs)) <= rows < 1.02 * len(set(pairs))  # a few more by chance
+    assert peak < 60 * len(numbers)
+
+
 def test_products_beyond_64_bits(spark):
     """Scores of counts that are far too large to multiply in 64 bits."""
     row = spark.createDataFrame([(10**12, 10**14, 10**12, 10**13)], "a long, n long, l long, r long")
