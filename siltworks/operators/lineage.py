@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -491,15 +494,173 @@ def refined_colours(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
         colours, classes = told, more
 
 
+# What ends a name without counting: `_plain_name` in Python.  In Java $ also stands before a line break that ends the text.
+_NUMBER = re.compile("_?[0-9]+(?=(?:\r\n|[\n\r\x85\u2028\u2029])?\\Z)")
+LARGE = 100_000  # nodes and edges of a graph that one task may take whole
+BUCKET_ROWS = 400_000  # nodes and edges, of many graphs, that one task looks at together
+PACK_ROWS = 500_000  # nodes and edges that a task deals out together
+
+
+def _label(name: str, kind: str) -> bytes:
+    return hashlib.blake2b(f"{_NUMBER.sub('', name.lower().strip(' '))}::{kind}".encode(), digest_size=16).digest()
+
+
+def _stirred(h: np.ndarray, w: np.ndarray, lane: int) -> np.ndarray:
+    h = (h ^ (w + np.uint64(lane))) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def _summed(values: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    out = np.zeros(size, np.uint64)
+    np.add.at(out, at, values)
+    return out
+
+
+def _packed(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows of nodes and edges as one text of bytes per bucket, a few hundred thousand rows at a time."""
+
+    def pack(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        order = np.argsort(t["bucket"].to_numpy(), kind="stable")
+        cuts = np.searchsorted(t["bucket"].to_numpy()[order], np.arange(buckets + 1))
+        t, full, out = t.drop_columns(["bucket"]).take(order), np.flatnonzero(np.diff(cuts)), []
+        for i in full.tolist():
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="lz4", use_threads=False)) as writer:
+                writer.write_table(t.slice(int(cuts[i]), int(cuts[i + 1] - cuts[i])))
+            out.append(sink.getvalue().to_pybytes())
+        return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(out, pa.binary())], names=["bucket", "rows"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= PACK_ROWS:
+            yield pack(held)
+            held = []
+    if held:
+        yield pack(held)
+
+
+def _bags(packed: pa.Table) -> pa.Table:
+    """(_k, r, n, s0, s1) for each graph: the round that tells no more of its nodes apart, and the bag of that round's colours.
+
+    A graph's colours are those of `refined_colours`, but every graph stops by itself.  Two graphs whose last rounds have equal
+    numbers and equal bags have equal bags for ever: a colour holds the one before, so in both the same colours follow each other."""
+    t = pa.concat_tables([pa.ipc.open_stream(x.as_buffer(), options=pa.ipc.IpcReadOptions(use_threads=False)).read_all() for x in packed["rows"]]).combine_chunks()
+    keys = t["_k"].combine_chunks().dictionary_encode()
+    graph, node = keys.indices.to_numpy().astype(np.int64), t["node"].to_numpy()
+    a, b = t["a"].combine_chunks(), t["b"].combine_chunks()
+    wire = np.flatnonzero(~node)
+    names = pa.concat_arrays([a, b.take(wire)]).dictionary_encode()
+    code = names.indices.fill_null(len(names.dictionary)).to_numpy().astype(np.int64)  # a null comes after all names
+    ids, vertex = np.unique(np.concatenate([graph, graph[wire]]) * (len(names.dictionary) + 1) + code, return_inverse=True)
+    graph, code = np.divmod(ids, len(names.dictionary) + 1)  # of each vertex, by graph
+    named = code < len(names.dictionary)
+
+    kinds = b.filter(pa.array(node)).dictionary_encode()
+    texts = ["", *(x.lower().strip(" ") for x in kinds.dictionary.to_pylist())]
+    kind = kinds.indices.fill_null(-1).to_numpy().astype(np.int64) + 1
+    own = vertex[: len(node)][node]
+    bare = np.ones(len(ids), bool)  # an end of an edge that is no node is one without a type
+    bare[own] = False
+    bare = np.flatnonzero(bare & named)
+    own, kind = own[named[own]], kind[named[own]]
+    pairs, pair = np.unique(np.concatenate([code[own] * len(texts) + kind, code[bare] * len(texts)]), return_inverse=True)
+    said = names.dictionary.to_pylist()
+    labels = np.frombuffer(b"".join(_label(said[p // len(texts)], texts[p % len(texts)]) for p in pairs.tolist()), np.uint64).reshape(-1, 2)
+    own = np.concatenate([own, bare])
+    count = np.bincount(own, minlength=len(ids)).astype(np.uint64)
+    colour = [_stirred(_summed(labels[pair, lane], own, len(ids)), count, lane) for lane in (0, 1)]
+
+    # an edge with a null end joins nothing
+    source, target = vertex[: len(node)][wire], vertex[len(node) :]
+    both = named[source] & named[target]
+    source, target = source[both], target[both]
+    degree = np.bincount(target, minlength=len(ids)).astype(np.uint64) << np.uint64(32) | np.bincount(source, minlength=len(ids)).astype(np.uint64)
+    out = np.zeros((4, len(keys.dictionary)), np.uint64)
+    which = np.arange(len(keys.dictionary))  # the graphs that go on
+
+    def classes() -> np.ndarray:
+        bits = np.uint64(max(1, len(which).bit_length()))
+        marked = np.sort(graph.astype(np.uint64) << (np.uint64(64) - bits) | colour[0] >> bits)
+        return np.add.reduceat(np.concatenate([[True], marked[1:] != marked[:-1]]), starts, dtype=np.int64)
+
+    starts = np.searchsorted(graph, which)
+    told, r = classes(), 0
+    while len(which):
+        r += 1
+        colour = [
+            _stirred(_stirred(_stirred(c, degree, lane), _summed(c[source], target, len(c)), lane), _summed(c[target], source, len(c)), lane)
+            for lane, c in enumerate(colour)
+        ]
+        more = classes()
+        ends = more == told
+        if not ends.any():
+            told = more
+            continue
+        size = np.diff(np.append(starts, len(graph)))
+        for i, x in enumerate([np.full(len(which), r), size, *(np.add.reduceat(c, starts) for c in colour)]):
+            out[i, which[ends]] = x[ends]
+        # the others go on without the graphs that are done
+        stay = ~ends[graph]
+        number = np.cumsum(stay) - 1
+        held = stay[source]
+        source, target = number[source[held]], number[target[held]]
+        graph, degree, colour = (np.cumsum(~ends) - 1)[graph[stay]], degree[stay], [c[stay] for c in colour]
+        which, told = which[~ends], more[~ends]
+        starts = np.searchsorted(graph, np.arange(len(which)))
+    return pa.Table.from_arrays([keys.dictionary, *(pa.array(x.view(np.int64)) for x in out)], names=["_k", "r", "n", "s0", "s1"])
+
+
+def _large_graphs(every: DataFrame) -> tuple[DataFrame | None, int]:
+    """(_k) of the graphs that no task is to take whole, and of a null key, whose nodes no edge joins, if there are any; the number of all rows.
+
+    Graphs of equal colours are of equal size here: labels and edges that join two nodes."""
+    counts = every.groupBy("_k").count()
+    nulls = F.count_if(F.col("_k").isNull())
+    n, most, nulls = counts.agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0)), nulls).first()
+    if most <= LARGE // 4 and not nulls:
+        return None, n
+    some = counts.where((F.col("count") > LARGE // 4) | F.col("_k").isNull()).select("_k").checkpoint()
+    rows = every.join(F.broadcast(some), "_k")
+    wires = rows.where("not node")
+    ends = wires.select("_k", "a").union(wires.select("_k", "b")).where("a is not null").distinct()
+    own = rows.where("node and a is not null").select("_k", "a")
+    ends = ends.join(by_shuffle(own.distinct()), ["_k", "a"], "left_anti")
+    sizes = own.union(ends).select("_k").union(wires.where("a is not null and b is not null").select("_k")).groupBy("_k").count()
+    return sizes.where(F.col("count") > LARGE).select("_k").union(some.where("_k is null")).checkpoint(), n
+
+
+def structure_bags(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
+    """(key, _c): a text that is equal for graphs that `refined_colours` colours alike.
+
+    Graphs are dealt out whole, many to a task; what is too large for that is coloured as a table."""
+    ensure_checkpoint_dir(nodes.sparkSession)
+    every = nodes.select(F.col(key).alias("_k"), F.lit(True).alias("node"), F.col("name").alias("a"), F.col("type").cast("string").alias("b")).unionByName(
+        edges.select(F.col(key).alias("_k"), F.lit(False).alias("node"), F.col("source").alias("a"), F.col("target").alias("b"))
+    )
+    large, n = _large_graphs(every)
+    small = every if large is None else every.join(F.broadcast(large), "_k", "left_anti").where("_k is not null")
+    buckets = max(1, n // BUCKET_ROWS)
+    packed = small.withColumn("bucket", F.pmod(F.xxhash64("_k"), F.lit(buckets)).cast("int")).mapInArrow(lambda batches: _packed(batches, buckets), "bucket int, rows binary")
+    schema = T.StructType([every.schema["_k"], *(T.StructField(c, T.LongType()) for c in ("r", "n", "s0", "s1"))])
+    bags = packed.groupBy("bucket").applyInArrow(_bags, schema).select(F.col("_k").alias(key), F.concat_ws("|", "r", "n", "s0", "s1").alias("_c"))
+    if large is None:
+        return bags
+    known = F.broadcast(large.select(F.col("_k").alias("_lk")))
+    apart = [df.join(known, F.col(key).eqNullSafe(F.col("_lk")), "left_semi") for df in (nodes, edges)]
+    whole = refined_colours(*apart, key).groupBy(key).agg(*_bag(F.col("colour"), name="_c"))
+    return bags.unionByName(whole.select(key, F.concat_ws("|", F.lit("large"), *[F.col(f"_c{p}").cast("string") for p in ("n", "0", "1")]).alias("_c")))
+
+
 def graph_signature(nodes: DataFrame, edges: DataFrame, key: str, flow: DataFrame) -> DataFrame:
-    """(key, signature): equal for definitions of equal structure (by `refined_colours`) and equal flow text.
+    """(key, signature): equal for definitions of equal structure (by `structure_bags`) and equal flow text.
 
     Copies whose activities only bear other numbers are equal; the same activities wired otherwise are not."""
-    bags = refined_colours(nodes, edges, key).groupBy(key).agg(*_bag(F.col("colour"), name="_c"))
     text = flow.select(key, F.sha2(F.trim(F.lower("flow")), 256).alias("_f"))
-    whole = bags.join(by_shuffle(text), key, "left")
-    parts = [F.col(f"_c{p}").cast("string") for p in ("n", "0", "1")]
-    return whole.select(key, F.sha2(F.concat_ws("|", *parts, F.coalesce("_f", F.lit("-"))), 256).alias("signature"))
+    whole = by_shuffle(structure_bags(nodes, edges, key)).join(by_shuffle(text), key, "left")
+    return whole.select(key, F.sha2(F.concat_ws("|", "_c", F.coalesce("_f", F.lit("-"))), 256).alias("signature"))
 
 
 def first_of_structure(signatures: DataFrame, key: str) -> DataFrame:

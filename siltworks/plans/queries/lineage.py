@@ -242,11 +242,14 @@ _STEPS = "sequence(1, cast(3 + o_orderkey % 3 as int))"
 )
 def flow_structures_wired(spark, sf):
     """The first flow of each structure and the number of flows that have it; names and numbers of edges alone are equal in all."""
-    o = table(spark, sf, "orders").select("o_orderkey", F.explode(F.array(*[F.lit(v) for v in range(3)])).alias("v"))
+    keys, v = table(spark, sf, "orders").select("o_orderkey"), F.explode(F.array(*[F.lit(v) for v in range(3)])).alias("v")
+    o = keys.select("o_orderkey", v)
     wired = o.select((3 * F.col("o_orderkey") + F.col("v")).alias("flow_id"), "v", F.explode(F.expr(_STEPS)).alias("i"))
     step = "concat('Step_', case v when 1 then 90 - {0} else {0} end)"
     e = wired.selectExpr("flow_id", f"case v when 2 then 'Step_0' else {step.format('(i - 1)')} end as source", f"{step.format('i')} as target")
-    n = e.select("flow_id", "source").union(e.select("flow_id", "target")).distinct().toDF("flow_id", "name").withColumn("type", F.lit("Copy"))
+    # the steps 0, 1, ... of each flow that has any: the distinct ends of its edges
+    n = keys.distinct().select("o_orderkey", v).select((3 * F.col("o_orderkey") + F.col("v")).alias("flow_id"), "v", F.explode(F.expr(_STEPS.replace("sequence(1", "sequence(0"))).alias("i"))
+    n = n.selectExpr("flow_id", f"{step.format('i')} as name", "'Copy' as type")
     text = o.select((3 * F.col("o_orderkey") + F.col("v")).alias("flow_id"), F.lit("copies").alias("flow"))
     signed = lin.graph_signature(n, e, "flow_id", text)
     return signed.groupBy("signature").agg(F.min("flow_id").alias("flow_id"), F.count(F.lit(1)).alias("flows")).drop("signature")

@@ -179,6 +179,45 @@ def test_no_colour_is_broadcast(spark):
     assert signed.select("signature").distinct().count() == 1 and signed.count() == 100
 
 
+def test_long_flows_are_told_apart_in_a_few_jobs(spark):
+    # a path of 40 steps takes 20 rounds until all of its steps are told apart
+    paths = {f"p{i}": ([(f"n{k}", "Copy") for k in range(n)], [(f"n{k}", f"n{k + 1}") for k in range(n - 1)]) for i, n in enumerate([40, 40, 41])}
+    spark.sparkContext.setJobGroup("long flows", "")
+    try:
+        assert _structures(spark, paths) == {frozenset({"p0", "p1"}), frozenset({"p2"})}
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("long flows")) <= 12
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_graphs_taken_whole_are_equal_where_tables_of_them_are(spark, monkeypatch):
+    """Names and types with nulls, capitals, blanks and line breaks, nodes and edges that come twice, ends that are no nodes, keys that are null."""
+    rng = random.Random(4)
+    names, kinds = ["a_1", "a_2", "A", " a1", "b\n", "B7\r\n", "é٣", None], ["x", "X ", None, ""]
+    nodes, edges, flows = [], [], []
+    for g in [None, *range(250)]:
+        some = rng.sample(names, rng.randint(0, 3))
+        nodes += [(g, n, rng.choice(kinds)) for n in [*some, *some[: rng.randint(0, 1)]]]
+        edges += [(g, rng.choice(names), rng.choice(names)) for _ in range(rng.choice([0, 1, 1, 2, 3]))]
+        flows += [(g, rng.choice(["f", "F "]))] if rng.random() < 0.9 else []
+    frames = [spark.createDataFrame(nodes, "g long, name string, type string"), spark.createDataFrame(edges, "g long, source string, target string")]
+    flows = spark.createDataFrame(flows + flows[:2], "g long, flow string")
+
+    def groups():
+        out = {}
+        for r in lineage.graph_signature(*frames, "g", flows).collect():
+            out.setdefault(r["signature"], []).append(str(r["g"]))
+        return sorted(sorted(x) for x in out.values())
+
+    taken = {}
+    for large in (lineage.LARGE, 0, 5):
+        monkeypatch.setattr(lineage, "LARGE", large)
+        taken[large] = groups()
+    assert taken[0] == taken[5] == taken[100_000] and 20 < len(taken[0]) < 240
+    monkeypatch.setattr(lineage, "BUCKET_ROWS", 10)
+    assert groups() == taken[0]
+
+
 def test_activities_leave_in_small_batches(spark, monkeypatch):
     def definition(i):
         inner = [{"name": f"c{i}_{k}", "type": "Copy", "dependsOn": [{"activity": "prep"}]} for k in range(i % 4)]
