@@ -16,6 +16,7 @@ read once, out of a chunk that has it.  Phrases are known by 64-bit hashes of la
 
 from __future__ import annotations
 
+import contextlib
 import functools
 from collections.abc import Iterator
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltworks.llm.common import stored
@@ -33,6 +34,7 @@ CHUNK_WORDS = 400_000  # a text goes on in the next chunk at the end of a piece
 SHARD_WORDS = 8_000_000
 RANGE_WORDS = 4_000_000  # words of the input a hash range is made for, at least
 PARTS = 4  # bits of a hash by which a shard is sorted in parts
+BATCH = 4  # chunks, or counts of a shard for a range, that go to Python together: Spark holds a batch outside its heap
 READ = 10_000  # phrases whose words are read at a time
 SIEVE, SIEVE_MOST = 25, 28  # bits of a hash that the bitmap tells apart, of a small input and of the largest
 UNKNOWN = "und"
@@ -245,6 +247,17 @@ def _read(chunk: pa.Table, places: pa.Table) -> pa.Table:
     return pa.Table.from_batches(out)
 
 
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def frequent_phrases(docs: DataFrame, support: int = 100, longest: int = 5, text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, k, f) of all phrases of 1 to `longest` words with f >= support, and (lang, n), the words of each language.
 
@@ -266,7 +279,8 @@ def frequent_phrases(docs: DataFrame, support: int = 100, longest: int = 5, text
 
     def level(k: int, sieve: np.ndarray) -> DataFrame:
         counted = shards.mapInArrow(lambda batches: _tally(batches, k, sieve, ranges, bits), COUNTED)
-        return stored(counted.groupBy("range").applyInArrow(lambda t: _sum(t, support, k), FREQUENT), "phrase-counts")
+        with _small_batches(spark):
+            return stored(counted.groupBy("range").applyInArrow(lambda t: _sum(t, support, k), FREQUENT), "phrase-counts")
 
     found, sieve = [level(1, np.zeros(0, np.uint8))], np.zeros(1 << bits - 3, np.uint8)
     for k in range(2, longest + 1):
